@@ -34,22 +34,24 @@ def search(cuts: Column, key: Column, size: int = MAX_SLICES) -> Column:
 
 
 def cut_points(df: DataFrame, group: list[str], key: Column, sizes: DataFrame,
-               slice_rows: int) -> DataFrame:
+               slice_rows: int, row: Column | None = None) -> DataFrame:
     """Cut points of each large group: ``group..., _cuts``.
 
-    ``sizes`` holds ``group..., _n`` for the large groups. Keys are sampled by their hash, so
-    a repeated key counts once, and a group yields about ``OVERSAMPLE`` keys per slice.
+    ``sizes`` holds ``group..., _n`` for the large groups, in distinct keys, and slices get
+    like numbers of distinct keys. With ``row``, a unique row key, ``_n`` counts rows and
+    slices get like numbers of rows. Sampling is by hash, about ``OVERSAMPLE`` keys per slice.
     """
     slices = F.least(F.lit(MAX_SLICES), F.ceil(F.col("_n") / slice_rows)).cast("int")
     rate = F.greatest(F.lit(1), F.floor(F.col("_n") / (OVERSAMPLE * slices))).cast("long")
-    sample = (join_small(df.select(*group, key.alias("_key")), sizes, group)
-              .filter(F.pmod(F.xxhash64("_key"), rate) == 0))
+    drawn = df.select(*group, key.alias("_key"), F.xxhash64(key if row is None else row).alias("_h"))
+    sample = join_small(drawn, sizes, group).filter(F.pmod("_h", rate) == 0)
+    collected = F.collect_set("_key") if row is None else F.collect_list("_key")
     keys = F.col("_keys")
     every = F.size(keys) / F.col("_slices")
     cuts = F.transform(F.sequence(F.lit(1), F.col("_slices") - 1),
                        lambda i: F.get(keys, F.floor(i * every).cast("int")))
     return (sample.groupBy(*group)
-            .agg(F.sort_array(F.collect_set("_key")).alias("_keys"),
+            .agg(F.sort_array(collected).alias("_keys"),
                  F.first(slices).alias("_slices"))
             .filter(F.col("_slices") > 1)
             .select(*group, F.array_distinct(cuts).alias("_cuts")))

@@ -1,32 +1,32 @@
 """Do real and synthetic rows mix? Nearest-neighbour two-sample share (Schilling 1986).
 
-The search is exact and never pairs all rows. Points are put into cells around pivots, large
-cells are cut into blocks of bounded size, each point gets an upper bound from its own block,
-and only blocks that the triangle inequality cannot rule out are compared. A comparison of two
-blocks runs in one task and passes on at most ``k`` distances per point.
-
-How many blocks are ruled out depends on the data: nearly all for the two or three components
-of ``project_pair``, few for many unrelated dimensions, where no exact method does better. On
-very large tables run it on projected rows.
+The search is exact and never pairs all rows. Distinct points are cut into blocks of bounded
+size along their first two coordinates. Each point gets an upper bound for its ``k``-th
+distance inside its own block, and is then compared only with blocks that reach closer than
+that. Two blocks meet in one task and pass on at most ``k + 1`` distances per point.
+
+How many blocks are ruled out depends on the data: nearly all for the few components of
+``project_pair``, few for many unrelated dimensions, where exact search stays quadratic. On
+very large tables run it on projected rows, widest component first.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longitab.functions.small import small_rows
+from longitab.functions.ranges import MAX_SLICES, cut_points, search
+from longitab.functions.small import join_small
 from longitab.operators.fidelity import pair
-from longitab.operators.moments import vectors
 from longitab.sources.shared import settle
 
-BLOCK_ROWS = 2_048
-MAX_PIVOTS = 4_096
+BLOCK_ROWS = 1_024
+BROADCAST_CUTS = 2_000_000
 DIGITS = 9
 SLACK = 1e-6
 
@@ -35,7 +35,7 @@ def distinct_points(real: DataFrame, synth: DataFrame, features: list[str] | str
     """``point, x, n1, n0``: each distinct vector once, with its rows per source.
 
     Copies are counted before the shuffle, so a vector shared by a third of all rows is one
-    point afterwards.
+    point afterwards. Rows with a null are left out.
     """
     columns = [features] if isinstance(features, str) else list(features)
     x = (F.col(features) if isinstance(features, str) else F.array(*columns)).cast("array<double>")
@@ -46,49 +46,141 @@ def distinct_points(real: DataFrame, synth: DataFrame, features: list[str] | str
             .select(F.md5(F.col("x").cast("string")).alias("point"), "x", "n1", "n0"))
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, differences first so equal points give exactly 0."""
-    out = np.empty((len(a), len(b)))
-    rows = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), rows):
-        gap = a[i:i + rows, None, :] - b[None, :, :]
-        out[i:i + rows] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, differences first so equal points give exactly 0."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        gap = a[:, i, None] - b[None, :, i]
+        gap *= gap
+        out += gap
     return out
 
 
-def nearest(d: np.ndarray, n1: np.ndarray, n0: np.ndarray, k: int):
-    """Per row of ``d``, the points that can hold its ``k`` nearest rows, ties at the end kept.
-
-    Counts are row weights. One more than ``k`` rows are wanted, since a point may find itself.
-    Returns column indices as ``(row, column)``.
+class Blocks:
+    """Cut points that send a point to a block: first coordinate, then the second inside it."""
+
+    def __init__(self, points: DataFrame, size: int, block_rows: int):
+        spark = points.sparkSession
+        wanted = math.ceil(size / block_rows)
+        first_rows = math.ceil(size / math.ceil(math.sqrt(wanted)))
+        inner = max(1, math.ceil(first_rows / block_rows))
+        self.max_rows = max(1, BROADCAST_CUTS // inner)
+        # Block work is compute, not bytes, so its partitions are counted in blocks.
+        self.partitions = max(spark.sparkContext.defaultParallelism, wanted // 4)
+        one = points.select("point", F.lit(0).alias("_all"), F.get("x", F.lit(0)).alias("_x1"),
+                            F.coalesce(F.get("x", F.lit(1)), F.lit(0.0)).alias("_x2"))
+        total = spark.createDataFrame([(0, size)], "_all int, _n bigint")
+        first = cut_points(one, ["_all"], F.col("_x1"), total, first_rows,
+                           F.col("point")).select("_cuts").toArrow()
+        found = first.column(0).to_pylist()
+        cuts = found[0] if found else []
+        # One literal for the few cuts of the first level; it is folded before the scan.
+        self.first = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
+        strips = one.withColumn("strip", self.strip_of(F.col("_x1")))
+        sizes = strips.groupBy("strip").agg(F.count("*").alias("_n")).filter(F.col("_n") > block_rows)
+        self.second = settle(cut_points(strips, ["strip"], F.col("_x2"), sizes, block_rows,
+                                        F.col("point")))
+        placed = self.place(points)
+        over = (placed.groupBy("strip", "tile").agg(F.count("*").alias("_n"))
+                .filter(F.col("_n") > 2 * block_rows)
+                .select("strip", "tile", F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts")))
+        self.over = settle(over)
+
+    def strip_of(self, x1):
+        return search(self.first, x1, MAX_SLICES)
+
+    def place(self, points: DataFrame) -> DataFrame:
+        """Add ``strip`` and ``tile``."""
+        strips = points.withColumn("strip", self.strip_of(F.get("x", F.lit(0))))
+        x2 = F.coalesce(F.get("x", F.lit(1)), F.lit(0.0))
+        return (join_small(strips, self.second, ["strip"], "left", self.max_rows)
+                .withColumn("tile", search(F.col("_cuts"), x2, MAX_SLICES)).drop("_cuts"))
+
+    def assign(self, points: DataFrame) -> DataFrame:
+        """Add ``block``. Points that share both coordinates are told apart by their hash."""
+        parts = F.coalesce("_parts", F.lit(1))
+        part = F.pmod(F.xxhash64("point"), parts.cast("long")).cast("int")
+        return (join_small(self.place(points), self.over, ["strip", "tile"], "left")
+                .withColumn("block", F.struct("strip", "tile", part.alias("part")))
+                .drop("strip", "tile", "_parts"))
+
+    def reach(self, bounded: DataFrame) -> DataFrame:
+        """One row per block that may hold a point within ``bound``, as ``other``."""
+        edge = F.col("bound") + SLACK
+        x1 = F.get("x", F.lit(0))
+        x2 = F.coalesce(F.get("x", F.lit(1)), F.lit(0.0))
+        strips = bounded.withColumn("strip", F.explode(F.sequence(
+            self.strip_of(x1 - edge), self.strip_of(x1 + edge))))
+        tiles = (join_small(strips, self.second, ["strip"], "left", self.max_rows)
+                 .withColumn("tile", F.explode(F.sequence(
+                     search(F.col("_cuts"), x2 - edge), search(F.col("_cuts"), x2 + edge))))
+                 .drop("_cuts"))
+        parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+        return (join_small(tiles, self.over, ["strip", "tile"], "left")
+                .withColumn("_part", F.explode(parts))
+                .withColumn("other", F.struct("strip", "tile", F.col("_part").alias("part")))
+                .drop("strip", "tile", "_part", "_parts", "bound"))
+
+
+def own_bounds(blocked: DataFrame, k: int, partitions: int) -> DataFrame:
+    """Add ``bound``, a distance within which a point surely has ``k`` other rows.
+
+    Infinite where the own block is too small to tell.
     """
-    d = np.round(d, DIGITS)
-    take = min(d.shape[1], k + 1)
-    edge = np.partition(d, take - 1, axis=1)[:, take - 1] if take else np.full(len(d), np.inf)
-    return np.nonzero(d <= edge[:, None])
-
-
-def assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add ``cell``, the nearest pivot, and ``away``, the distance to it."""
-    schema = f"point string, x array<double>, n1 bigint, n0 bigint, cell int, away double"
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = distances(vectors(batch.column(1)), pivots)
-            cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)),
-                 pa.array(d[np.arange(len(cell)), cell])],
-                names=["point", "x", "n1", "n0", "cell", "away"])
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack(pdf["x"])
+        weight = (pdf["n1"] + pdf["n0"]).to_numpy()
+        d = squared(x, x)
+        near = min(len(d), k + 1)
+        order = np.argpartition(d, near - 1, axis=1)[:, :near]
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), axis=1), 1)
+        enough = np.cumsum(weight[order], axis=1) >= k + 1
+        column = np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1)
+        limit = np.where(enough.any(axis=1),
+                         np.sqrt(np.take_along_axis(d, column, axis=1)[:, 0]), np.inf)
+        return pd.DataFrame({"point": pdf["point"], "x": pdf["x"], "strip": pdf["strip"],
+                             "tile": pdf["tile"], "part": pdf["part"], "bound": limit})
+
+    flat = blocked.select("point", "x", "n1", "n0", "block.*").repartition(
+        partitions, "strip", "tile", "part")
+    bounded = flat.groupBy("strip", "tile", "part").applyInPandas(
+        bound, "point string, x array<double>, strip int, tile int, part int, bound double")
+    return bounded.select("point", "x", "bound", F.struct("strip", "tile", "part").alias("block"))
+
+
+def nearest_rows(queries: DataFrame, blocked: DataFrame, k: int, partitions: int) -> DataFrame:
+    """``point, d, n1, n0``: per point the rows at each of its nearest distances.
+
+    ``queries`` holds a point once per block in ``other``. Both sides are grouped by the pair
+    of blocks, so a task holds two blocks whatever a block's popularity.
+    """
+    def name(c):
+        return F.concat_ws(":", f"{c}.strip", f"{c}.tile", f"{c}.part")
 
-    return points.mapInArrow(run, schema)
+    meetings = queries.select("block", "other").distinct()
+    sides = blocked.select(F.col("block").alias("_b"), "x", "n1", "n0")
+    data = (meetings.join(sides, F.col("other") == F.col("_b"))
+            .select(name("block").alias("b"), name("other").alias("o"), "x", "n1", "n0")
+            .repartition(partitions, "b", "o"))
+    asked = queries.select(name("block").alias("qb"), name("other").alias("qo"), "point",
+                           F.col("x").alias("qx")).repartition(partitions, "qb", "qo")
 
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"point": [], "d": [], "n1": [], "n0": []})
+        d = squared(np.vstack(left["qx"]), np.vstack(right["x"]))
+        take = min(d.shape[1], k + 1)
+        edge = np.sqrt(np.partition(d, take - 1, axis=1)[:, take - 1]) + SLACK
+        row, column = np.nonzero(d <= (edge * edge)[:, None])
+        found = pd.DataFrame({"point": left["point"].to_numpy()[row],
+                              "d": np.round(np.sqrt(d[row, column]), DIGITS),
+                              "n1": right["n1"].to_numpy()[column],
+                              "n0": right["n0"].to_numpy()[column]})
+        return found.groupby(["point", "d"], as_index=False).sum()
 
-def block_of(cell, point, parts):
-    """Block inside a cell: the cell is split by point hash into ``parts``."""
-    return F.concat_ws(":", cell.cast("string"), F.pmod(F.xxhash64(point), parts).cast("string"))
+    return (asked.groupBy("qb", "qo").cogroup(data.groupBy("b", "o"))
+            .applyInPandas(compare, "point string, d double, n1 bigint, n0 bigint")
+            .groupBy("point", "d").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
 
 
 def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str, k: int = 5,
@@ -100,96 +192,34 @@ def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str,
     count in equal parts, so no order among ties is needed.
     """
     points = settle(distinct_points(real, synth, features))
-    size = points.agg(F.count("*").alias("points"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
+    size = points.agg(F.count("*").alias("points"), F.sum("n1").alias("n1"),
+                      F.sum("n0").alias("n0")).first()
     if not size["points"]:
         raise ValueError("no rows to compare")
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(2 * size["points"] / block_rows)))
-    chosen = points.select("x", F.md5("point").alias("_h")).orderBy("_h").limit(wanted)
-    pivots = vectors(chosen.select("x").toArrow().column("x"))
-    celled = settle(assign_cells(points, pivots))
-
-    cells = small_rows(celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")))
-    parts = np.zeros(len(pivots), dtype=np.int64)
-    radius = np.full(len(pivots), -np.inf)
-    for c in cells:
-        parts[c["cell"]] = math.ceil(c["n"] / block_rows)
-        radius[c["cell"]] = c["radius"]
-    part_of = F.get(F.array(*[F.lit(int(p)) for p in np.maximum(parts, 1)]), F.col("cell"))
-    blocked = celled.withColumn("block", block_of(F.col("cell"), F.col("point"), part_of))
-
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf["x"])
-        weight = (pdf["n1"] + pdf["n0"]).to_numpy()
-        d = distances(x, x)
-        order = np.argsort(d, axis=1, kind="stable")
-        reached = np.cumsum(weight[order], axis=1) >= k + 1
-        at = np.where(reached.any(axis=1), reached.argmax(axis=1), -1)
-        limit = np.where(at >= 0, np.take_along_axis(
-            d, np.take_along_axis(order, np.maximum(at, 0)[:, None], 1), 1)[:, 0], np.inf)
-        return pd.DataFrame({"point": pdf["point"], "x": pdf["x"], "cell": pdf["cell"],
-                             "block": pdf["block"], "bound": limit})
-
-    bounded = blocked.groupBy("block").applyInPandas(
-        bound, "point string, x array<double>, cell int, block string, bound double")
-
-    def reach(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = vectors(batch.column(1))
-            d = distances(x, pivots)
-            own = batch.column(2).to_numpy()
-            limit = batch.column(4).to_numpy(zero_copy_only=False)
-            nearest_possible = np.maximum(d - radius[None, :],
-                                          (d - d[np.arange(len(d)), own][:, None]) / 2)
-            hit = (nearest_possible <= limit[:, None] + SLACK) & (parts > 0)[None, :]
-            at, cell = np.nonzero(hit)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
-                 batch.column(3).take(pa.array(at)), pa.array(cell.astype(np.int32))],
-                names=["point", "x", "block", "target"])
-
-    targets = bounded.mapInArrow(reach, "point string, x array<double>, block string, target int")
-    target_parts = F.get(F.array(*[F.lit(int(p)) for p in np.maximum(parts, 1)]), F.col("target"))
-    queries = settle(targets.select(
-        "point", "x", "block", F.explode(F.transform(
-            F.sequence(F.lit(0), target_parts - 1),
-            lambda i: F.concat_ws(":", F.col("target").cast("string"), i.cast("string")))).alias("other")))
-    meetings = queries.select("block", "other").distinct()
-    data = (meetings.join(blocked.select(F.col("block").alias("other"), "x", "n1", "n0"), "other"))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"point": [], "d": [], "n1": [], "n0": []})
-        d = distances(np.vstack(left["x"]), np.vstack(right["x"]))
-        n1, n0 = right["n1"].to_numpy(), right["n0"].to_numpy()
-        row, column = nearest(d, n1, n0, k)
-        found = pd.DataFrame({"point": left["point"].to_numpy()[row],
-                              "d": np.round(d[row, column], DIGITS),
-                              "n1": n1[column], "n0": n0[column]})
-        return found.groupby(["point", "d"], as_index=False).sum()
+    blocks = Blocks(points, size["points"], block_rows)
+    blocked = settle(blocks.assign(points))
+    queries = settle(blocks.reach(own_bounds(blocked, k, blocks.partitions)))
+    found = nearest_rows(queries, blocked, k, blocks.partitions)
 
-    found = (queries.groupBy("block", "other")
-             .cogroup(data.groupBy("block", "other"))
-             .applyInPandas(compare, "point string, d double, n1 bigint, n0 bigint")
-             .groupBy("point", "d").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
-    owners = points.select("point", F.explode(F.array(
+    owners = points.select(F.col("point").alias("_p"), F.inline(F.array(
         F.struct(F.lit("real").alias("source"), F.col("n1").alias("rows")),
-        F.struct(F.lit("synth").alias("source"), F.col("n0").alias("rows")))).alias("o")).select(
-            "point", "o.source", "o.rows").filter("rows > 0")
-    real_side = F.col("source") == "real"
+        F.struct(F.lit("synth").alias("source"), F.col("n0").alias("rows"))))).filter("rows > 0")
+    is_real = F.col("source") == "real"
     me = F.when(F.col("d") == 0, 1).otherwise(0)
-    upto = Window.partitionBy("point", "source").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    shares = (found.join(owners, "point")
+    before = Window.partitionBy("point", "source").orderBy("d").rowsBetween(
+        Window.unboundedPreceding, -1)
+    shares = (found.join(owners, F.col("point") == F.col("_p"))
               .withColumn("all", F.col("n1") + F.col("n0") - me)
-              .withColumn("same", F.when(real_side, F.col("n1")).otherwise(F.col("n0")) - me)
-              .withColumn("before", F.coalesce(F.sum("all").over(upto), F.lit(0)))
+              .withColumn("same", F.when(is_real, F.col("n1")).otherwise(F.col("n0")) - me)
+              .withColumn("before", F.coalesce(F.sum("all").over(before), F.lit(0)))
               .filter((F.col("before") < k) & (F.col("all") > 0))
               .withColumn("used", F.least(F.col("all"), F.lit(k) - F.col("before")))
               .groupBy("point", "source", "rows")
-              .agg((F.sum(F.col("same") * F.col("used") / F.col("all")) / F.sum("used")).alias("share")))
+              .agg((F.sum(F.col("same") * F.col("used") / F.col("all"))
+                    / F.sum("used")).alias("share")))
     total = size["n1"] + size["n0"]
-    own = F.when(real_side, F.lit(size["n1"])).otherwise(F.lit(size["n0"]))
+    own = F.when(is_real, F.lit(size["n1"])).otherwise(F.lit(size["n0"]))
     return (shares.groupBy("source")
-            .agg(F.sum("rows").alias("n"), (F.sum(F.col("share") * F.col("rows")) / F.sum("rows")).alias("same_share"))
+            .agg(F.sum("rows").alias("n"),
+                 (F.sum(F.col("share") * F.col("rows")) / F.sum("rows")).alias("same_share"))
             .withColumn("expected_share", (own - 1) / F.lit(float(max(total - 1, 1)))))
