@@ -33,6 +33,15 @@ def search(cuts: Column, key: Column, size: int = MAX_SLICES) -> Column:
         lambda pos, s: F.when(F.get(cuts, pos + s - 1) <= key, pos + s).otherwise(pos)))
 
 
+def add_slice(df: DataFrame, name: str, cuts: Column, key: Column) -> DataFrame:
+    """Add the ``search`` result as a column.
+
+    It goes through ``explode`` of a one-element array, so that the optimiser keeps it as a
+    computed column: copied into filters and join conditions it would run several times.
+    """
+    return df.withColumn(name, F.explode(F.array(search(cuts, key))))
+
+
 def cut_points(df: DataFrame, group: list[str], key: Column, sizes: DataFrame,
                slice_rows: int, row: Column | None = None) -> DataFrame:
     """Cut points of each large group: ``group..., _cuts``.
@@ -75,7 +84,7 @@ def with_slices(df: DataFrame, group: list[str], order: list[str],
     key = F.struct(*order)
     cuts = cut_points(df, group, key, large, slice_rows)
     cut = join_small(df, cuts, group, "left")
-    return cut.withColumn("_slice", search(F.col("_cuts"), key)).drop("_cuts"), True
+    return add_slice(cut, "_slice", F.col("_cuts"), key).drop("_cuts"), True
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], out: str,

@@ -137,7 +137,7 @@ def class_metrics(cells: DataFrame) -> DataFrame:
         ["label"], ["precision", "recall", "f1"], "metric", "value")
     occurs = F.col("actual") > 0
     overall = per.agg(
-        (F.sum("right") / F.sum("actual")).alias("accuracy"),
+        (F.sum("right") / F.nullif(F.sum("actual"), F.lit(0))).alias("accuracy"),
         F.avg(F.when(occurs, F.col("recall"))).alias("balanced_accuracy"),
         F.avg(F.when(occurs, F.col("f1"))).alias("macro_f1"))
     whole = overall.select(F.lit(None).cast("int").alias("label"), "*").unpivot(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longitab.functions.ranges import MAX_SLICES, cut_points, lagged, search, SLICE_ROWS
+from longitab.functions.ranges import SLICE_ROWS, add_slice, cut_points, lagged
 from longitab.functions.small import join_small, small_table
 from longitab.operators.projection import Projection, pca_fit, pca_transform
 
@@ -46,13 +46,13 @@ def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str]
     values = values.filter(there)
     sizes = small_table(totals)
     large = sizes.filter(F.col("_n") > slice_rows)
-    known = sizes.select(*group, "n1", "n0")
+    known = sizes.filter("n1 > 0 AND n0 > 0").select(*group, "n1", "n0")
     if large.isEmpty():
         sliced = join_small(values, known, group).withColumn("_slice", F.lit(0))
     else:
         cuts = cut_points(values, group, F.col("value"), large.select(*group, "_n"), slice_rows)
-        sliced = (join_small(join_small(values, known, group), cuts, group, "left")
-                  .withColumn("_slice", search(F.col("_cuts"), F.col("value"), MAX_SLICES)))
+        cut = join_small(join_small(values, known, group), cuts, group, "left")
+        sliced = add_slice(cut, "_slice", F.col("_cuts"), F.col("value"))
     counts = sliced.groupBy(*group, "_slice", "value").agg(
         F.count_if(is_a).alias("_c1"), F.count_if(~is_a).alias("_c0"),
         F.first("n1").alias("n1"), F.first("n0").alias("n0"))
@@ -68,8 +68,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str]
     distance = (slices.withColumn("_shift", shift).groupBy(*group)
                 .agg(F.max(F.greatest(F.abs(F.col("_shift") + F.col("_hi")),
                                       F.abs(F.col("_shift") + F.col("_lo")))).alias("d")))
-    return (sizes.select(*group, "n1", "n0", "nulls").join(distance, group, "left")
-            .withColumn("d", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("d"))))
+    return sizes.select(*group, "n1", "n0", "nulls").join(distance, group, "left")
 
 
 def ks_pvalue(d, n1, n0) -> Column:
@@ -78,7 +77,7 @@ def ks_pvalue(d, n1, n0) -> Column:
     The series is of no use near zero, so 1 is given below 0.3.
     """
     d, n1, n0 = (F.col(c) if isinstance(c, str) else c for c in (d, n1, n0))
-    m = n1 * n0 / (n1 + n0)
+    m = F.nullif(n1 * n0, F.lit(0)) / F.nullif(n1 + n0, F.lit(0))
     lam = (F.sqrt(m) + 0.12 + 0.11 / F.sqrt(m)) * d
     terms = [F.lit(2.0 * (-1) ** (j - 1)) * F.exp(F.lit(-2.0 * j * j) * lam * lam)
              for j in range(1, 9)]
@@ -115,8 +114,8 @@ def grid_overlap(proj: DataFrame, cell: float, x: str = "pc1", y: str = "pc2") -
     cells = (proj.groupBy(F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"))
              .agg(F.count_if(is_real).alias("_c1"), F.count_if(~is_real).alias("_c0")))
     totals = proj.agg(F.count_if(is_real).alias("n1"), F.count_if(~is_real).alias("n0"))
-    shared = F.least(F.col("_c1") / totals.select("n1").scalar(),
-                     F.col("_c0") / totals.select("n0").scalar())
+    shared = F.least(F.col("_c1") / F.nullif(totals.select("n1").scalar(), F.lit(0)),
+                     F.col("_c0") / F.nullif(totals.select("n0").scalar(), F.lit(0)))
     return cells.withColumn("_shared", shared).agg(
         F.sum("_shared").alias("overlap"), F.count("*").alias("cells"),
         F.count_if((F.col("_c1") > 0) & (F.col("_c0") > 0)).alias("shared_cells"))

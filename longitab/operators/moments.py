@@ -109,4 +109,4 @@ def covariance(df: DataFrame, features: list[str] | str, by: str | None = None)
     return (pair.filter(i <= j)
             .select(*([by] if by else []), feature(i).alias("feature_i"),
                     feature(j).alias("feature_j"), "n",
-                    (F.col("_m2") / (F.col("n") - 1)).alias("cov")))
+                    (F.col("_m2") / F.nullif(F.col("n") - 1, F.lit(0))).alias("cov")))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longitab.functions.ranges import MAX_SLICES, cut_points, search
+from longitab.functions.ranges import add_slice, cut_points, search
 from longitab.functions.small import join_small
 from longitab.operators.fidelity import pair
 from longitab.sources.shared import settle
@@ -76,7 +76,7 @@ class Blocks:
         cuts = found[0] if found else []
         # One literal for the few cuts of the first level; it is folded before the scan.
         self.first = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
-        strips = one.withColumn("strip", self.strip_of(F.col("_x1")))
+        strips = add_slice(one, "strip", self.first, F.col("_x1"))
         sizes = strips.groupBy("strip").agg(F.count("*").alias("_n")).filter(F.col("_n") > block_rows)
         self.second = settle(cut_points(strips, ["strip"], F.col("_x2"), sizes, block_rows,
                                         F.col("point")))
@@ -86,15 +86,12 @@ class Blocks:
                 .select("strip", "tile", F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts")))
         self.over = settle(over)
 
-    def strip_of(self, x1):
-        return search(self.first, x1, MAX_SLICES)
-
     def place(self, points: DataFrame) -> DataFrame:
         """Add ``strip`` and ``tile``."""
-        strips = points.withColumn("strip", self.strip_of(F.get("x", F.lit(0))))
+        strips = add_slice(points, "strip", self.first, F.get("x", F.lit(0)))
         x2 = F.coalesce(F.get("x", F.lit(1)), F.lit(0.0))
-        return (join_small(strips, self.second, ["strip"], "left", self.max_rows)
-                .withColumn("tile", search(F.col("_cuts"), x2, MAX_SLICES)).drop("_cuts"))
+        cut = join_small(strips, self.second, ["strip"], "left", self.max_rows)
+        return add_slice(cut, "tile", F.col("_cuts"), x2).drop("_cuts")
 
     def assign(self, points: DataFrame) -> DataFrame:
         """Add ``block``. Points that share both coordinates are told apart by their hash."""
@@ -110,7 +107,7 @@ class Blocks:
         x1 = F.get("x", F.lit(0))
         x2 = F.coalesce(F.get("x", F.lit(1)), F.lit(0.0))
         strips = bounded.withColumn("strip", F.explode(F.sequence(
-            self.strip_of(x1 - edge), self.strip_of(x1 + edge))))
+            search(self.first, x1 - edge), search(self.first, x1 + edge))))
         tiles = (join_small(strips, self.second, ["strip"], "left", self.max_rows)
                  .withColumn("tile", F.explode(F.sequence(
                      search(F.col("_cuts"), x2 - edge), search(F.col("_cuts"), x2 + edge))))
@@ -167,7 +164,8 @@ def nearest_rows(queries: DataFrame, blocked: DataFrame, k: int, partitions: int
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"point": [], "d": [], "n1": [], "n0": []})
+            none = {"point": object, "d": float, "n1": "int64", "n0": "int64"}
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in none.items()})
         d = squared(np.vstack(left["qx"]), np.vstack(right["x"]))
         take = min(d.shape[1], k + 1)
         edge = np.sqrt(np.partition(d, take - 1, axis=1)[:, take - 1]) + SLACK
