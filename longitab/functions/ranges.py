@@ -33,13 +33,14 @@ def search(cuts: Column, key: Column, size: int = MAX_SLICES) -> Column:
         lambda pos, s: F.when(F.get(cuts, pos + s - 1) <= key, pos + s).otherwise(pos)))
 
 
-def add_slice(df: DataFrame, name: str, cuts: Column, key: Column) -> DataFrame:
-    """Add the ``search`` result as a column.
+def add_slice(df: DataFrame, name: str, cuts: Column, key: Column,
+              size: int = MAX_SLICES) -> DataFrame:
+    """Add the ``search`` result as a column; fewer steps where ``size`` bounds the cuts.
 
     It goes through ``explode`` of a one-element array, so that the optimiser keeps it as a
     computed column: copied into filters and join conditions it would run several times.
     """
-    return df.withColumn(name, F.explode(F.array(search(cuts, key))))
+    return df.withColumn(name, F.explode(F.array(search(cuts, key, size))))
 
 
 def cut_points(df: DataFrame, group: list[str], key: Column, sizes: DataFrame,
@@ -66,6 +67,11 @@ def cut_points(df: DataFrame, group: list[str], key: Column, sizes: DataFrame,
             .select(*group, F.array_distinct(cuts).alias("_cuts")))
 
 
+def slices_for(rows: int, slice_rows: int) -> int:
+    """Most slices a group of ``rows`` rows is cut into."""
+    return min(MAX_SLICES, max(1, -(-rows // slice_rows)))
+
+
 def large_groups(df: DataFrame, group: list[str], rows: int) -> DataFrame:
     """Groups above ``rows`` rows with their size; at most 1 in ``rows`` rows is one."""
     return df.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
@@ -79,12 +85,14 @@ def with_slices(df: DataFrame, group: list[str], order: list[str],
     table = head(large)
     if table is not None and table.num_rows == 0:
         return df.withColumn("_slice", F.lit(0)), False
+    size = MAX_SLICES
     if table is not None:
         large = df.sparkSession.createDataFrame(table, schema=large.schema)
+        size = slices_for(max(table.column("_n").to_pylist()), slice_rows)
     key = F.struct(*order)
     cuts = cut_points(df, group, key, large, slice_rows)
     cut = join_small(df, cuts, group, "left")
-    return add_slice(cut, "_slice", F.col("_cuts"), key).drop("_cuts"), True
+    return add_slice(cut, "_slice", F.col("_cuts"), key, size).drop("_cuts"), True
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], out: str,

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longitab.functions.ranges import SLICE_ROWS, add_slice, cut_points, lagged
-from longitab.functions.small import join_small, small_table
+from longitab.functions.ranges import SLICE_ROWS, lagged
+from longitab.functions.small import small_table
 from longitab.operators.projection import Projection, pca_fit, pca_transform
 
-KS_SLICE_ROWS = 200_000
-
 
 def pair(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """Both tables on top of each other with ``source`` = ``real`` or ``synth``."""
@@ -26,14 +27,46 @@ def long_values(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame
     return doubles.unpivot(ids, features, "feature", "value")
 
 
-def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str] = (),
-                 slice_rows: int = KS_SLICE_ROWS) -> DataFrame:
+def running_extremes(counts: DataFrame) -> DataFrame:
+    """Per sorted partition and group, the extremes and the end of the running difference.
+
+    ``counts`` is sorted inside range partitions by ``g, value``. One vectorised pass; state
+    is one group's running totals.
+    """
+    schema = "g int, part int, hi double, lo double, s1 bigint, s0 bigint"
+
+    def run(batches):
+        part, rows, held = TaskContext.get().partitionId(), [], None
+        for batch in batches:
+            g, c1, c0, n1, n0 = (batch.column(c).to_numpy() for c in ("g", "c1", "c0", "n1", "n0"))
+            edges = np.flatnonzero(np.diff(g)) + 1
+            for at, to in zip([0, *edges], [*edges, len(g)]):
+                if at == to:
+                    continue
+                if held is None or held[0] != g[at]:
+                    held = [int(g[at]), part, -np.inf, np.inf, 0, 0]
+                    rows.append(held)
+                r1 = held[4] + np.cumsum(c1[at:to])
+                r0 = held[5] + np.cumsum(c0[at:to])
+                gap = r1 / n1[at] - r0 / n0[at]
+                held[2:] = [max(held[2], float(gap.max())), min(held[3], float(gap.min())),
+                            int(r1[-1]), int(r0[-1])]
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)],
+                                         names=["g", "part", "hi", "lo", "s1", "s0"])
+
+    return counts.mapInArrow(run, schema)
+
+
+def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
     """Two-sample distance ``max |F_a - F_b|``: ``by..., feature, n1, n0, nulls, d``. Exact.
 
-    Values are counted before they are shuffled, so ties cost one row. A feature with many
-    distinct values is cut into ordered slices; inside a slice only the running difference's
-    extremes are kept, and the totals of the slices before it shift them. Nulls are left out
-    and counted; d is null when one side has no value.
+    Values are counted before they are shuffled, so ties cost one row. The counts are then
+    range-partitioned by feature and value, so a feature with most of the rows is spread over
+    as many tasks as it needs. Each partition reports its extremes of the running difference
+    from its own start, and the totals of the partitions before it shift them. Nulls are left
+    out and counted; d is null when one side has no value.
     """
     by = list(by)
     group = [*by, "feature"]
@@ -42,33 +75,24 @@ def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str]
     there = F.col("value").isNotNull()
     totals = values.groupBy(*group).agg(
         F.count_if(is_a & there).alias("n1"), F.count_if(~is_a & there).alias("n0"),
-        F.count_if(~there).alias("nulls"), F.approx_count_distinct("value").alias("_n"))
-    values = values.filter(there)
-    sizes = small_table(totals)
-    large = sizes.filter(F.col("_n") > slice_rows)
-    known = sizes.filter("n1 > 0 AND n0 > 0").select(*group, "n1", "n0")
-    if large.isEmpty():
-        sliced = join_small(values, known, group).withColumn("_slice", F.lit(0))
-    else:
-        cuts = cut_points(values, group, F.col("value"), large.select(*group, "_n"), slice_rows)
-        cut = join_small(join_small(values, known, group), cuts, group, "left")
-        sliced = add_slice(cut, "_slice", F.col("_cuts"), F.col("value"))
-    counts = sliced.groupBy(*group, "_slice", "value").agg(
-        F.count_if(is_a).alias("_c1"), F.count_if(~is_a).alias("_c0"),
-        F.first("n1").alias("n1"), F.first("n0").alias("n0"))
-    upto = Window.partitionBy(*group, "_slice").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, 0)
-    gap = F.sum("_c1").over(upto) / F.col("n1") - F.sum("_c0").over(upto) / F.col("n0")
-    slices = (counts.withColumn("_gap", gap).groupBy(*group, "_slice")
-              .agg(F.max("_gap").alias("_hi"), F.min("_gap").alias("_lo"),
-                   (F.sum("_c1") / F.first("n1") - F.sum("_c0") / F.first("n0")).alias("_end")))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("_end").over(before), F.lit(0.0))
-    distance = (slices.withColumn("_shift", shift).groupBy(*group)
-                .agg(F.max(F.greatest(F.abs(F.col("_shift") + F.col("_hi")),
-                                      F.abs(F.col("_shift") + F.col("_lo")))).alias("d")))
-    return sizes.select(*group, "n1", "n0", "nulls").join(distance, group, "left")
+        F.count_if(~there).alias("nulls"))
+    sizes = small_table(totals.withColumn("g", F.row_number().over(
+        Window.partitionBy(F.lit(1)).orderBy(*group))))
+    known = sizes.filter("n1 > 0 AND n0 > 0").select(*group, "g", "n1", "n0")
+    counts = (values.filter(there).groupBy(*group, "value")
+              .agg(F.count_if(is_a).alias("c1"), F.count_if(~is_a).alias("c0"))
+              .join(F.broadcast(known), group)
+              .select("g", "value", "c1", "c0", "n1", "n0")
+              .repartitionByRange("g", "value").sortWithinPartitions("g", "value"))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    started = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    parts = (running_extremes(counts)
+             .withColumns({"b1": started("s1"), "b0": started("s0")})
+             .join(F.broadcast(known.select("g", "n1", "n0")), "g")
+             .withColumn("shift", F.col("b1") / F.col("n1") - F.col("b0") / F.col("n0")))
+    distance = parts.groupBy("g").agg(F.max(F.greatest(
+        F.abs(F.col("shift") + F.col("hi")), F.abs(F.col("shift") + F.col("lo")))).alias("d"))
+    return sizes.join(distance, "g", "left").select(*group, "n1", "n0", "nulls", "d")
 
 
 def ks_pvalue(d, n1, n0) -> Column:
@@ -86,12 +110,12 @@ def ks_pvalue(d, n1, n0) -> Column:
 
 
 def ks_report(real: DataFrame, synth: DataFrame, features: list[str], by: list[str] = (),
-              alpha: float = 0.05, slice_rows: int = KS_SLICE_ROWS) -> DataFrame:
+              alpha: float = 0.05) -> DataFrame:
     """Distance and p-value per feature and ``by`` (phase, class), and per ``by`` the share of
     tested features that pass ``p > alpha``."""
     by = list(by)
     same = Window.partitionBy(*(by or [F.lit(1)]))
-    return (ks_statistic(real, synth, features, by, slice_rows)
+    return (ks_statistic(real, synth, features, by)
             .withColumn("p_value", ks_pvalue("d", "n1", "n0"))
             .withColumn("passed", F.col("p_value") > alpha)
             .withColumn("share_passed", F.avg(F.col("passed").cast("double")).over(same)))

@@ -16,13 +16,14 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longitab.functions.ranges import add_slice, cut_points, search
+from longitab.functions.ranges import add_slice, cut_points, search, slices_for
 from longitab.functions.small import join_small
 from longitab.operators.fidelity import pair
+from longitab.operators.moments import vectors
 from longitab.sources.shared import settle
 
 BLOCK_ROWS = 1_024
@@ -64,6 +65,7 @@ class Blocks:
         wanted = math.ceil(size / block_rows)
         first_rows = math.ceil(size / math.ceil(math.sqrt(wanted)))
         inner = max(1, math.ceil(first_rows / block_rows))
+        self.strips = slices_for(size, first_rows)
         self.max_rows = max(1, BROADCAST_CUTS // inner)
         # Block work is compute, not bytes, so its partitions are counted in blocks.
         self.partitions = max(spark.sparkContext.defaultParallelism, wanted // 4)
@@ -76,28 +78,27 @@ class Blocks:
         cuts = found[0] if found else []
         # One literal for the few cuts of the first level; it is folded before the scan.
         self.first = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
-        strips = add_slice(one, "strip", self.first, F.col("_x1"))
+        strips = add_slice(one, "strip", self.first, F.col("_x1"), self.strips)
         sizes = strips.groupBy("strip").agg(F.count("*").alias("_n")).filter(F.col("_n") > block_rows)
         self.second = settle(cut_points(strips, ["strip"], F.col("_x2"), sizes, block_rows,
                                         F.col("point")))
-        placed = self.place(points)
-        over = (placed.groupBy("strip", "tile").agg(F.count("*").alias("_n"))
-                .filter(F.col("_n") > 2 * block_rows)
-                .select("strip", "tile", F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts")))
-        self.over = settle(over)
+        self.placed = settle(self.place(points))
+        self.over = (self.placed.groupBy("strip", "tile").agg(F.count("*").alias("_n"))
+                     .filter(F.col("_n") > 2 * block_rows)
+                     .select("strip", "tile", F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts")))
 
     def place(self, points: DataFrame) -> DataFrame:
         """Add ``strip`` and ``tile``."""
-        strips = add_slice(points, "strip", self.first, F.get("x", F.lit(0)))
+        strips = add_slice(points, "strip", self.first, F.get("x", F.lit(0)), self.strips)
         x2 = F.coalesce(F.get("x", F.lit(1)), F.lit(0.0))
         cut = join_small(strips, self.second, ["strip"], "left", self.max_rows)
         return add_slice(cut, "tile", F.col("_cuts"), x2).drop("_cuts")
 
-    def assign(self, points: DataFrame) -> DataFrame:
-        """Add ``block``. Points that share both coordinates are told apart by their hash."""
+    def assign(self) -> DataFrame:
+        """The points with ``block``. Those that share both coordinates are told apart by hash."""
         parts = F.coalesce("_parts", F.lit(1))
         part = F.pmod(F.xxhash64("point"), parts.cast("long")).cast("int")
-        return (join_small(self.place(points), self.over, ["strip", "tile"], "left")
+        return (join_small(self.placed, self.over, ["strip", "tile"], "left")
                 .withColumn("block", F.struct("strip", "tile", part.alias("part")))
                 .drop("strip", "tile", "_parts"))
 
@@ -107,7 +108,7 @@ class Blocks:
         x1 = F.get("x", F.lit(0))
         x2 = F.coalesce(F.get("x", F.lit(1)), F.lit(0.0))
         strips = bounded.withColumn("strip", F.explode(F.sequence(
-            search(self.first, x1 - edge), search(self.first, x1 + edge))))
+            search(self.first, x1 - edge, self.strips), search(self.first, x1 + edge, self.strips))))
         tiles = (join_small(strips, self.second, ["strip"], "left", self.max_rows)
                  .withColumn("tile", F.explode(F.sequence(
                      search(F.col("_cuts"), x2 - edge), search(F.col("_cuts"), x2 + edge))))
@@ -124,9 +125,9 @@ def own_bounds(blocked: DataFrame, k: int, partitions: int) -> DataFrame:
 
     Infinite where the own block is too small to tell.
     """
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf["x"])
-        weight = (pdf["n1"] + pdf["n0"]).to_numpy()
+    def bound(table: pa.Table) -> pa.Table:
+        weight = table.column("n1").to_numpy() + table.column("n0").to_numpy()
+        x = vectors(table.column("x"))
         d = squared(x, x)
         near = min(len(d), k + 1)
         order = np.argpartition(d, near - 1, axis=1)[:, :near]
@@ -135,12 +136,11 @@ def own_bounds(blocked: DataFrame, k: int, partitions: int) -> DataFrame:
         column = np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1)
         limit = np.where(enough.any(axis=1),
                          np.sqrt(np.take_along_axis(d, column, axis=1)[:, 0]), np.inf)
-        return pd.DataFrame({"point": pdf["point"], "x": pdf["x"], "strip": pdf["strip"],
-                             "tile": pdf["tile"], "part": pdf["part"], "bound": limit})
+        return table.drop_columns(["n1", "n0"]).append_column("bound", pa.array(limit))
 
     flat = blocked.select("point", "x", "n1", "n0", "block.*").repartition(
         partitions, "strip", "tile", "part")
-    bounded = flat.groupBy("strip", "tile", "part").applyInPandas(
+    bounded = flat.groupBy("strip", "tile", "part").applyInArrow(
         bound, "point string, x array<double>, strip int, tile int, part int, bound double")
     return bounded.select("point", "x", "bound", F.struct("strip", "tile", "part").alias("block"))
 
@@ -162,22 +162,23 @@ def nearest_rows(queries: DataFrame, blocked: DataFrame, k: int, partitions: int
     asked = queries.select(name("block").alias("qb"), name("other").alias("qo"), "point",
                            F.col("x").alias("qx")).repartition(partitions, "qb", "qo")
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            none = {"point": object, "d": float, "n1": "int64", "n0": "int64"}
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in none.items()})
-        d = squared(np.vstack(left["qx"]), np.vstack(right["x"]))
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.string(), pa.float64(), pa.int64(), pa.int64())],
+                            names=["point", "d", "n1", "n0"])
+        d = squared(vectors(left.column("qx")), vectors(right.column("x")))
         take = min(d.shape[1], k + 1)
         edge = np.sqrt(np.partition(d, take - 1, axis=1)[:, take - 1]) + SLACK
         row, column = np.nonzero(d <= (edge * edge)[:, None])
-        found = pd.DataFrame({"point": left["point"].to_numpy()[row],
-                              "d": np.round(np.sqrt(d[row, column]), DIGITS),
-                              "n1": right["n1"].to_numpy()[column],
-                              "n0": right["n0"].to_numpy()[column]})
-        return found.groupby(["point", "d"], as_index=False).sum()
+        found = pa.table({"p": pa.array(row), "d": pa.array(np.round(np.sqrt(d[row, column]), DIGITS)),
+                          "n1": right.column("n1").take(pa.array(column)),
+                          "n0": right.column("n0").take(pa.array(column))})
+        found = found.group_by(["p", "d"]).aggregate([("n1", "sum"), ("n0", "sum")])
+        return pa.table({"point": left.column("point").take(found.column("p")), "d": found.column("d"),
+                         "n1": found.column("n1_sum"), "n0": found.column("n0_sum")})
 
     return (asked.groupBy("qb", "qo").cogroup(data.groupBy("b", "o"))
-            .applyInPandas(compare, "point string, d double, n1 bigint, n0 bigint")
+            .applyInArrow(compare, "point string, d double, n1 bigint, n0 bigint")
             .groupBy("point", "d").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
 
 
@@ -189,13 +190,14 @@ def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str,
     Distances are compared after rounding to nine digits. Rows tied at the ``k``-th distance
     count in equal parts, so no order among ties is needed.
     """
-    points = settle(distinct_points(real, synth, features))
+    spread = int(real.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = settle(distinct_points(real, synth, features).repartition(spread, "point"))
     size = points.agg(F.count("*").alias("points"), F.sum("n1").alias("n1"),
                       F.sum("n0").alias("n0")).first()
     if not size["points"]:
         raise ValueError("no rows to compare")
     blocks = Blocks(points, size["points"], block_rows)
-    blocked = settle(blocks.assign(points))
+    blocked = blocks.assign()
     queries = settle(blocks.reach(own_bounds(blocked, k, blocks.partitions)))
     found = nearest_rows(queries, blocked, k, blocks.partitions)
 

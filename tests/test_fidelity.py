@@ -36,9 +36,9 @@ def column(spark, values):
 
 
 @SLOW
-@given(VALUES, VALUES, st.sampled_from([3, 10**6]))
-def test_ks_by_hand(spark, a, b, slice_rows):
-    rows = fi.ks_report(column(spark, a), column(spark, b), ["f"], slice_rows=slice_rows).collect()
+@given(VALUES, VALUES)
+def test_ks_by_hand(spark, a, b):
+    rows = fi.ks_report(column(spark, a), column(spark, b), ["f"]).collect()
     if not a and not b:
         assert rows == []
         return
@@ -51,13 +51,22 @@ def test_ks_by_hand(spark, a, b, slice_rows):
         assert math.isclose(row["p_value"], p_by_hand(want, row["n1"], row["n0"]), abs_tol=1e-9)
 
 
-def test_ks_slices_are_exact(spark):
+def test_ks_is_exact_over_partitions(spark):
+    """The counts are spread over range partitions; adaptive execution must not merge them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check_ks_over_partitions(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_ks_over_partitions(spark):
     rng = random.Random(3)
     rows = [(i, i % 2, rng.choice([0.0, rng.lognormvariate(0, 3), round(rng.random(), 2)]), rng.gauss(i % 2, 2))
             for i in range(6000)]
     df = spark.createDataFrame(rows, "id int, side int, x double, y double")
     a, b = df.filter("side = 0"), df.filter("side = 1")
-    got = {r["feature"]: r["d"] for r in fi.ks_statistic(a, b, ["x", "y"], slice_rows=100).collect()}
+    got = {r["feature"]: r["d"] for r in fi.ks_statistic(a, b, ["x", "y"]).collect()}
     for i, f in ((2, "x"), (3, "y")):
         want = ks_by_numpy([r[i] for r in rows if r[1] == 0], [r[i] for r in rows if r[1] == 1])
         assert math.isclose(got[f], want, abs_tol=1e-12)
@@ -142,7 +151,7 @@ def test_neighbours_visit_few_blocks(spark):
     df = spark.createDataFrame([(i % 2, [rng.random(), rng.random()]) for i in range(4000)], "s int, x array<double>")
     points = nb.settle(nb.distinct_points(df.filter("s = 0"), df.filter("s = 1"), "x"))
     blocks = nb.Blocks(points, 4000, 100)
-    blocked = nb.settle(blocks.assign(points))
+    blocked = blocks.assign()
     sizes = [r["count"] for r in blocked.groupBy("block").count().collect()]
     assert len(sizes) > 25 and max(sizes) <= 300
     assert blocks.reach(nb.own_bounds(blocked, 5, 4)).count() < 4 * 4000
