@@ -44,9 +44,9 @@ class Perceptron:
         rows = self._vectors(train.select(self.label, self.features)).select(self.label, "_raw")
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            shape = rows.agg(F.max(self.label).alias("top"),
-                             F.max(F.size(vector_to_array("_raw"))).alias("width")).first()
-            model = self.pipeline(shape["width"], self.classes or shape["top"] + 1).fit(rows)
+            width = len(rows.select("_raw").first()["_raw"])
+            classes = self.classes or rows.agg(F.max(self.label)).first()[0] + 1
+            model = self.pipeline(width, classes).fit(rows)
         finally:
             rows.unpersist()
         return Fitted(lambda df: model.transform(self._vectors(df))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SALTS = 256
+SALTS = 1_024
 
 
 def vectors(column) -> np.ndarray:

@@ -153,8 +153,8 @@ GAPPY = "CASE WHEN event_type <> 'error' THEN value END"
 
 ORACLE = {
     "records_read": "SELECT event_id, user_id, event_type, value, epoch_us(ts) AS ts_us FROM events",
-    "phase_roundtrip": """SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings
-        WHERE vec_id % 2 = 1""",
+    "phase_roundtrip": """SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS x,
+        CASE WHEN vec_id % 2 = 0 THEN 'phase1' ELSE 'phase2' END AS phase FROM embeddings""",
     "numeric_select": f"SELECT event_id, value, {K} AS k FROM events",
     "numeric_failures": f"""
         SELECT 'value' AS feature, count(*) AS n_rows, count(*) FILTER (value IS NULL) AS n_null,
@@ -170,7 +170,7 @@ ORACLE = {
         PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
         FROM events""",
     "mean_impute": f"""SELECT event_id, round(coalesce({GAPPY},
-        (SELECT avg({GAPPY}) FROM events WHERE user_id % 2 = 0)), 6) AS value FROM events""",
+        (SELECT avg({GAPPY}) FROM events WHERE {unit("user_id")} < 0.7::DOUBLE)), 6) AS value FROM events""",
     "label_index": """SELECT c_custkey, c_mktsegment,
         CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS label FROM customer""",
     "class_profile_events": profile("events", "event_type"),

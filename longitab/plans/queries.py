@@ -24,7 +24,7 @@ from longitab.operators import split as sp
 from longitab.operators import synthesis as sy
 from longitab.plans.experiment import Config, run_experiment
 from longitab.sources.records import read_phase, read_records, write_phase
-from longitab.sources.shared import shared_folder
+from longitab.sources.shared import settle, shared_folder
 
 SEED = 42
 MAX_LEN = 24
@@ -109,8 +109,10 @@ def phase_roundtrip(spark, sf_dir):
     first, second = halves(rows, "vec_id")
     write_phase(first, folder, "phase1")
     write_phase(second, folder, "phase2")
-    back = read_phase(spark, folder, "phase2", rows.schema)
-    return back.select("vec_id", "label", F.round("x", 6).alias("x"))
+    back = [read_phase(spark, folder, p, rows.schema).select(
+        "vec_id", "label", F.round("x", 6).alias("x"), F.lit(p).alias("phase"))
+        for p in ("phase1", "phase2")]
+    return back[0].unionByName(back[1])
 
 
 # Preparation
@@ -140,7 +142,7 @@ def locf_impute(spark, sf_dir):
 
 def mean_impute(spark, sf_dir):
     rows = _gappy(spark, sf_dir)
-    train = rows.filter("user_id % 2 = 0")
+    train = sp.split_entities(rows, "user_id").filter("side = 'train'")
     out = pr.impute(rows, ["value"], "mean", train=train)
     return rounded(out.select("event_id", "value"), 6, "value")
 
@@ -177,7 +179,7 @@ def minmax(spark, sf_dir):
 
 def unscale_roundtrip(spark, sf_dir):
     rows = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", *NUMERICS)
-    model = pr.fit_scale(rows.filter("l_linenumber % 2 = 0"), NUMERICS)
+    model = pr.fit_scale(rows, NUMERICS)
     return rounded(pr.unscale(model.transform(rows), model), 4, *NUMERICS)
 
 
@@ -292,7 +294,7 @@ def var1_moments(spark, sf_dir):
 
 def _population(spark, sf_dir, mode="near_balanced"):
     """Ten synthetic sequences per user, so the work follows the table."""
-    seqs = _packed(spark, sf_dir)
+    seqs = settle(_packed(spark, sf_dir))
     model = sy.fit_sequence_model(seqs)
     profile = pr.class_profile(seqs, "label")
     n = 10 * seqs.count()
@@ -308,18 +310,19 @@ def synth_sequences(spark, sf_dir):
     """Sequences drawn in component space and decoded to real units."""
     rows = visits(spark, sf_dir)
     model = pj.pca_fit(rows, ["value", "k"], k=2)
-    seqs = sq.pack_sequences(pj.pca_transform(rows, model), "user_id", ["ts", "event_id"], "components",
-                             MAX_LEN, "label")
+    seqs = settle(sq.pack_sequences(pj.pca_transform(rows, model), "user_id", ["ts", "event_id"],
+                                    "components", MAX_LEN, "label"))
     synth = sy.synthesize(spark, sy.fit_sequence_model(seqs), seqs.count(), SEED)
     return sy.decode(synth, pr.fit_scale(rows, ["value", "k"]), model)
 
 
 def synth_range_check(spark, sf_dir):
     """Every decoded value lies inside the real range and none is null."""
-    limits = visits(spark, sf_dir).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    real = visits(spark, sf_dir).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    outside = (F.col("value") < real.select("lo").scalar()) | (F.col("value") > real.select("hi").scalar())
     return synth_sequences(spark, sf_dir).agg(
         F.count_if(F.col("value").isNull() | F.col("k").isNull()).alias("nulls"),
-        F.count_if((F.col("value") < limits["lo"]) | (F.col("value") > limits["hi"])).alias("outside"))
+        F.count_if(outside).alias("outside"))
 
 
 def _rejection(spark, sf_dir):
