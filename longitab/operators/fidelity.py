@@ -187,8 +187,9 @@ def moment_gap(real: DataFrame, synth: DataFrame, features: list[str], by: list[
 
 
 def _row_key(features: list[str], digits: int) -> Column:
-    values = [F.coalesce(F.round(F.col(f).cast("double"), digits).cast("string"), F.lit("null"))
-              for f in features]
+    # Adding 0.0 turns a negative zero into zero.
+    values = [F.coalesce((F.round(F.col(f).cast("double"), digits) + F.lit(0.0)).cast("string"),
+                         F.lit("null")) for f in features]
     return F.md5(F.concat_ws("|", *values))
 
 

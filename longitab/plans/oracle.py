@@ -191,6 +191,10 @@ ORACLE = {
     "pca_roundtrip_error": """SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos,
         round(unnest(embedding)::DOUBLE, 5) AS value FROM embeddings""",
     "pca_total_variance": """SELECT max(len(embedding))::DOUBLE AS total, 0.0::DOUBLE AS centre FROM embeddings""",
+    "pca_row_norms": """WITH d AS (SELECT vec_id, unnest(range(len(embedding))) AS i,
+            unnest(embedding)::DOUBLE AS x FROM embeddings),
+        s AS (SELECT i, avg(x) AS m, stddev_samp(x) AS w FROM d GROUP BY 1)
+        SELECT vec_id, round(sum(((x - m) / w) * ((x - m) / w)), 5) AS norm2 FROM d JOIN s USING (i) GROUP BY 1""",
     "pack_events": f"""WITH {PACKED},
         users AS (SELECT user_id, any_value(label) AS label, any_value(len) AS len FROM packed GROUP BY 1)
         SELECT u.user_id, u.label, u.len, CAST(g.pos AS INTEGER) AS pos, p.step IS NOT NULL AS mask,
@@ -224,6 +228,19 @@ ORACLE = {
         s AS (SELECT label, n / sum(n) OVER ()::DOUBLE AS share FROM c),
         {plan('share', 0.9, 'label', 's', '10 * (SELECT count(*) FROM u)')}
         SELECT label, target AS n, target AS ids FROM plan""",
+    "synth_draws": f"""WITH {STEPPED},
+        u AS (SELECT user_id, any_value(label) AS label, count(*) AS len FROM stepped
+              WHERE step <= 1 + user_id % 10 GROUP BY 1),
+        c AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) AS place FROM u GROUP BY 1),
+        cc AS (SELECT label, place, sum(n / (SELECT sum(n) FROM c)::DOUBLE) OVER (ORDER BY label) AS upto FROM c),
+        l AS (SELECT label, len, count(*) AS n FROM u GROUP BY 1, 2),
+        ll AS (SELECT label, len, sum(n) OVER (PARTITION BY label ORDER BY len)
+                      / sum(n) OVER (PARTITION BY label)::DOUBLE AS upto FROM l),
+        ids AS (SELECT range AS entity_id, {unit("range", "42|class")} AS uc,
+                       {unit("range", "42|len")} AS ul FROM range(2 * (SELECT count(*) FROM u))),
+        drawn AS (SELECT entity_id, ul, min(cc.label) FILTER (cc.upto > uc) AS label FROM ids, cc GROUP BY 1, 2)
+        SELECT d.entity_id, d.label, CAST(min(ll.len) FILTER (ll.upto > d.ul) AS INTEGER) AS len, TRUE AS padded
+        FROM drawn d JOIN ll ON ll.label = d.label GROUP BY 1, 2""",
     "synth_range_check": "SELECT 0::BIGINT AS nulls, 0::BIGINT AS outside",
     "reject_to_plan": """WITH r AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type) AS n,
             row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR) || '|42')) AS r FROM events)

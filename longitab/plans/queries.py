@@ -218,6 +218,14 @@ def pca_total_variance(spark, sf_dir):
     return parts.agg(F.round(F.sum("v"), 6).alias("total"), F.round(F.max(F.abs("m")), 6).alias("centre"))
 
 
+def pca_row_norms(spark, sf_dir):
+    """At full rank the axes only turn the standardised row, so its length stays."""
+    rows = embeddings(spark, sf_dir)
+    scores = pj.pca_transform(rows, pj.pca_fit(rows, "embedding", k=64))
+    squares = F.aggregate("components", F.lit(0.0), lambda acc, c: acc + c * c)
+    return scores.select("vec_id", F.round(squares, 5).alias("norm2"))
+
+
 def _packed(spark, sf_dir):
     return sq.pack_sequences(visits(spark, sf_dir), "user_id", ["ts", "event_id"], ["value", "k"],
                              MAX_LEN, "label")
@@ -316,6 +324,16 @@ def synth_sequences(spark, sf_dir):
     return sy.decode(synth, pr.fit_scale(rows, ["value", "k"]), model)
 
 
+def synth_draws(spark, sf_dir):
+    """Class and length drawn for each synthetic id, two ids per user; both follow the real
+    shares and depend on the id alone. Users keep 1 to 10 first visits, so that lengths vary."""
+    rows = stepped(visits(spark, sf_dir)).filter(F.col("step") <= 1 + F.col("user_id") % 10)
+    seqs = settle(sq.pack_sequences(rows, "user_id", ["step"], ["value", "k"], MAX_LEN, "label"))
+    synth = sy.synthesize(spark, sy.fit_sequence_model(seqs), 2 * seqs.count(), SEED)
+    real = F.size(F.filter("seq", lambda v: F.get(v, F.lit(0)) != 0.0))
+    return synth.select("entity_id", "label", "len", (real <= F.col("len")).alias("padded"))
+
+
 def synth_range_check(spark, sf_dir):
     """Every decoded value lies inside the real range and none is null."""
     real = visits(spark, sf_dir).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -470,10 +488,10 @@ QUERIES = {f.__name__: f for f in (
     records_read, phase_roundtrip, numeric_select, numeric_failures, visit_order, locf_impute,
     mean_impute, label_index, class_profile_events, class_profile_labels, zscore, minmax,
     unscale_roundtrip, covariance_pairs, covariance_by_status, pca_39, pca_variance,
-    pca_roundtrip_error, pca_total_variance, pack_events, unpack_events, split_rows_70_30,
+    pca_roundtrip_error, pca_total_variance, pca_row_norms, pack_events, unpack_events, split_rows_70_30,
     split_rows_hash, split_entities_70_30, static_last_visit, sequence_features,
     visit_differences, plan_proportional, plan_near_balanced, var1_moments, synth_counts,
-    synth_sequences, synth_range_check, reject_to_plan, reject_report, ks_lineitem_status,
+    synth_sequences, synth_draws, synth_range_check, reject_to_plan, reject_report, ks_lineitem_status,
     ks_events_by_type, ks_synthetic, project_pair, projection_overlap, grid_overlap,
     neighbour_mix, neighbour_mix_events, lag_fidelity, moment_gap, quality_checks, mlp_trtr,
     seq_mlp_tstr, centroid_confusion, centroid_metrics, centroid_tstr, compare_models,
