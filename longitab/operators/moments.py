@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ def vectors(column) -> np.ndarray:
     """An Arrow list column of equal-length rows as a 2-D array, without a copy per row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    widths = pc.min_max(pc.list_value_length(column))
+    if widths["min"].as_py() != widths["max"].as_py():
+        raise ValueError("vectors of one column must have one length")
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
