@@ -43,18 +43,19 @@ def add_slice(df: DataFrame, name: str, cuts: Column, key: Column,
     return df.withColumn(name, F.explode(F.array(search(cuts, key, size))))
 
 
-def cut_points(df: DataFrame, group: list[str], key: Column, sizes: DataFrame,
+def cut_points(df: DataFrame, group: list[str], key: Column, sizes: DataFrame | int,
                slice_rows: int, row: Column | None = None) -> DataFrame:
     """Cut points of each large group: ``group..., _cuts``.
 
     ``sizes`` holds ``group..., _n`` for the large groups, in distinct keys, and slices get
-    like numbers of distinct keys. With ``row``, a unique row key, ``_n`` counts rows and
+    like numbers of distinct keys. With no group it is the size of the whole table. With ``row``, a unique row key, ``_n`` counts rows and
     slices get like numbers of rows. Sampling is by hash, about ``OVERSAMPLE`` keys per slice.
     """
     slices = F.least(F.lit(MAX_SLICES), F.ceil(F.col("_n") / slice_rows)).cast("int")
     rate = F.greatest(F.lit(1), F.floor(F.col("_n") / (OVERSAMPLE * slices))).cast("long")
     drawn = df.select(*group, key.alias("_key"), F.xxhash64(key if row is None else row).alias("_h"))
-    sample = join_small(drawn, sizes, group).filter(F.pmod("_h", rate) == 0)
+    sized = join_small(drawn, sizes, group) if group else drawn.withColumn("_n", F.lit(sizes))
+    sample = sized.filter(F.pmod("_h", rate) == 0)
     collected = F.collect_set("_key") if row is None else F.collect_list("_key")
     keys = F.col("_keys")
     every = F.size(keys) / F.col("_slices")

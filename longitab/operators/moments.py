@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SALTS = 1_024
 
@@ -41,55 +41,57 @@ def merge(a, b):
     return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
 
 
-def grouped_moments(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """Count, mean and centred product sums of an array column: ``by, n, mean, m2``.
+def grouped_moments(df: DataFrame, column: str, by: str | list[str] = ()) -> DataFrame:
+    """Count, mean and centred product sums of an array column: ``by..., n, mean, m2``.
 
     ``m2`` is p*p, row by row. Rows with a null vector or null entries are left out. Rows are
     never shuffled: each task sends one partial result per group, and those are merged first
     over ``SALTS`` salts, so no task sees more than a fraction of the partials.
     """
-    key = by or "_all"
-    data = df.withColumn(key, F.lit(0)) if by is None else df
-    data = data.select(key, F.col(column).cast("array<double>").alias("_x")).filter(
+    by = [by] if isinstance(by, str) else list(by)
+    data = df.select(*by, F.col(column).cast("array<double>").alias("_x")).filter(
         F.col("_x").isNotNull() & ~F.exists("_x", lambda v: v.isNull()))
-    kind = data.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("_salt", T.IntegerType()),
-                           T.StructField("n", T.LongType()),
-                           T.StructField("mean", T.ArrayType(T.DoubleType())),
-                           T.StructField("m2", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([data.schema[c] for c in by]
+                          + [T.StructField("_salt", T.IntegerType()),
+                             T.StructField("n", T.LongType()),
+                             T.StructField("mean", T.ArrayType(T.DoubleType())),
+                             T.StructField("m2", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
+
+    def groups(batch):
+        if not by:
+            return {(): slice(None)} if batch.num_rows else {}
+        found = batch.select(by).to_pandas().groupby(by, dropna=False).indices
+        return {k if isinstance(k, tuple) else (k,): rows for k, rows in found.items()}
 
     def partial(batches):
         held = {}
         for batch in batches:
-            labels = batch.column(0).to_pandas()
-            x = vectors(batch.column(1))
-            for label, rows in labels.groupby(labels, dropna=False).indices.items():
+            x = vectors(batch.column(len(by)))
+            for key, rows in groups(batch).items():
                 part = x[rows]
                 mean = part.mean(axis=0)
                 centred = part - mean
-                held[label] = merge(held.get(label), (len(rows), mean, centred.T @ centred))
+                held[key] = merge(held.get(key), (len(part), mean, centred.T @ centred))
         salt = TaskContext.get().partitionId() % SALTS
-        rows = [(k, salt, v[0], v[1].tolist(), v[2].reshape(-1).tolist()) for k, v in held.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
+        rows = [(*k, salt, v[0], v[1].tolist(), v[2].reshape(-1).tolist()) for k, v in held.items()]
+        columns = list(zip(*rows)) if rows else [[]] * len(arrow)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(schema)
-
-    def pool(pdf):
+    def pool(table: pa.Table) -> pa.Table:
         total = None
-        for n, mean, m2 in zip(pdf["n"], pdf["mean"], pdf["m2"]):
-            mean = np.asarray(mean)
-            total = merge(total, (int(n), mean, np.asarray(m2).reshape(len(mean), -1)))
-        first = pdf.iloc[0]
-        return pd.DataFrame({key: [first[key]], "_salt": [first["_salt"]], "n": [total[0]],
-                             "mean": [total[1]], "m2": [total[2].reshape(-1)]})
+        for n, mean, m2 in zip(table.column("n").to_pylist(), vectors(table.column("mean")),
+                               vectors(table.column("m2"))):
+            total = merge(total, (n, mean, m2.reshape(len(mean), -1)))
+        pooled = [pa.array([total[0]], pa.int64()), lists(total[1][None, :]),
+                  lists(total[2].reshape(1, -1))]
+        kept = table.select([*by, "_salt"]).slice(0, 1)
+        return pa.table([*kept.columns, *pooled], names=schema.names)
 
-    pooled = (data.mapInArrow(partial, schema)
-              .groupBy(key, "_salt").applyInPandas(pool, schema)
-              .groupBy(key).applyInPandas(pool, schema).drop("_salt"))
-    return pooled.drop("_all")
+    return (data.mapInArrow(partial, schema)
+            .groupBy(*by, "_salt").applyInArrow(pool, schema)
+            .groupBy(*by).applyInArrow(pool, schema).drop("_salt"))
 
 
 def covariance(df: DataFrame, features: list[str] | str, by: str | None = None) -> DataFrame:
@@ -101,7 +103,7 @@ def covariance(df: DataFrame, features: list[str] | str, by: str | None = None)
     named = not isinstance(features, str)
     data = df.withColumn("_v", F.array(*[F.col(f).cast("double") for f in features])
                          if named else F.col(features))
-    sums = grouped_moments(data, "_v", by)
+    sums = grouped_moments(data, "_v", by or [])
     p = F.size("mean")
     pair = sums.select(*([by] if by else []), "n", p.alias("_p"), F.posexplode("m2").alias("_k", "_m2"))
     i, j = F.floor(F.col("_k") / F.col("_p")).cast("int"), (F.col("_k") % F.col("_p")).cast("int")

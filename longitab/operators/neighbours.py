@@ -69,10 +69,9 @@ class Blocks:
         self.max_rows = max(1, BROADCAST_CUTS // inner)
         # Block work is compute, not bytes, so its partitions are counted in blocks.
         self.partitions = max(spark.sparkContext.defaultParallelism, wanted // 4)
-        one = points.select("point", F.lit(0).alias("_all"), F.get("x", F.lit(0)).alias("_x1"),
+        one = points.select("point", F.get("x", F.lit(0)).alias("_x1"),
                             F.coalesce(F.get("x", F.lit(1)), F.lit(0.0)).alias("_x2"))
-        total = spark.createDataFrame([(0, size)], "_all int, _n bigint")
-        first = cut_points(one, ["_all"], F.col("_x1"), total, first_rows,
+        first = cut_points(one, [], F.col("_x1"), size, first_rows,
                            F.col("point")).select("_cuts").toArrow()
         found = first.column(0).to_pylist()
         cuts = found[0] if found else []

@@ -94,25 +94,42 @@ def root(cov: np.ndarray) -> np.ndarray:
     return axes * np.sqrt(np.clip(values, 0.0, None))
 
 
+def _pairs():
+    steps = F.when(F.col("len") > 1, F.sequence(F.lit(1), F.col("len") - 1))
+    return F.transform(steps, lambda t: F.concat(F.get("seq", t - 1), F.get("seq", t)))
+
+
+def _left(row: dict) -> dict:
+    """Moments of the first half of a vector."""
+    p = len(row["mean"]) // 2
+    m2 = np.array(row["m2"]).reshape(2 * p, 2 * p)[:p, :p]
+    return {"n": row["n"], "mean": row["mean"][:p], "m2": m2.reshape(-1)}
+
+
 def lag_pairs(seqs: DataFrame, label: str, out: str = "pair") -> DataFrame:
     """Each visit joined to the one before it, as one vector: ``label, pair``."""
-    steps = F.when(F.col("len") > 1, F.sequence(F.lit(1), F.col("len") - 1))
-    pairs = F.transform(steps, lambda t: F.concat(F.get("seq", t - 1), F.get("seq", t)))
-    return seqs.select(label, F.explode(pairs).alias(out))
+    return seqs.select(label, F.explode(_pairs()).alias(out))
 
 
 def fit_sequence_model(seqs: DataFrame, pooled: bool = True, ridge: float = 1e-3,
                        label: str = "label") -> SequenceModel:
     """Fit from packed training sequences.
 
-    Three grouped aggregates give the moments; what reaches the driver is p x p per class,
-    whatever the number of rows. ``pooled`` shares one ridge transition between the classes
+    One pass over the sequences gives the moments and one over the lengths their shares; what
+    reaches the driver is p x p per class, whatever the number of rows. ``pooled`` shares one ridge transition between the classes
     and keeps the intercepts apart; otherwise each class has its own.
     """
-    first = {r[label]: r for r in small_rows(grouped_moments(
-        seqs.filter(F.col("len") > 0).withColumn("_first", F.get("seq", F.lit(0))), "_first", label), 10_000)}
-    pair = {r[label]: r for r in small_rows(grouped_moments(lag_pairs(seqs, label), "pair", label), 10_000)}
-    lengths = small_rows(seqs.filter(F.col("len") > 0).groupBy(label, "len", F.size("seq").alias("_m"))
+    visited = seqs.filter(F.col("len") > 0)
+    # The first visit rides along as a pair with itself, so that the sequences are read once.
+    starts = F.array(F.struct(F.lit(True).alias("start"), F.concat(
+        F.get("seq", F.lit(0)), F.get("seq", F.lit(0))).alias("pair")))
+    rest = F.transform(_pairs(), lambda v: F.struct(F.lit(False).alias("start"), v.alias("pair")))
+    sums = small_rows(grouped_moments(
+        visited.select(label, F.inline(F.concat(starts, F.coalesce(rest, F.slice(starts, 1, 0))))),
+        "pair", [label, "start"]), 20_000)
+    first = {r[label]: _left(r) for r in sums if r["start"]}
+    pair = {r[label]: r for r in sums if not r["start"]}
+    lengths = small_rows(visited.groupBy(label, "len", F.size("seq").alias("_m"))
                          .agg(F.count("*").alias("n")))
     labels = sorted(first)
     if not labels:

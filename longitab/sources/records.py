@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,20 +47,20 @@ def write_phase(df: DataFrame, path: str, phase: str, fmt: str = "parquet",
                 label: str = "label", mode: str = "overwrite") -> None:
     """Save one phase's rows under ``phase=.../label=...`` folders.
 
-    Only the folders of this phase are replaced; other phases under ``path`` stay. The
-    partition columns are dropped from the files and come back on read. ``rebalance`` gives
-    evenly sized files and splits the rows of a frequent label over several.
+    Overwriting replaces this phase alone, with all its labels. The partition columns are not
+    in the files and come back on read. ``rebalance`` gives evenly sized files and splits the
+    rows of a frequent label over several.
     """
     if fmt not in ("csv", "parquet"):
         raise ValueError(f"unknown format {fmt}")
-    out = df.withColumn("phase", F.lit(phase))
-    if label != "label":
-        out = out.withColumnRenamed(label, "label")
-    writer = (out.hint("rebalance", "label").write.mode(mode).option("partitionOverwriteMode", "dynamic")
-              .partitionBy("phase", "label"))
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", phase):
+        raise ValueError(f"phase {phase!r} cannot name a folder")
+    out = df if label == "label" else df.withColumnRenamed(label, "label")
+    writer = (out.hint("rebalance", "label").write.mode(mode)
+              .option("partitionOverwriteMode", "static").partitionBy("label"))
     if fmt == "csv":
         writer = writer.option("header", "true")
-    writer.format(fmt).save(path)
+    writer.format(fmt).save(f"{path}/phase={phase}")
 
 
 def read_phase(spark: SparkSession, path: str, phase: str, schema: T.StructType,

@@ -37,8 +37,10 @@ def test_phase_hand_over(spark, tmp_path, fmt):
     path = os.path.join(tmp_path, "phases")
     df = spark.createDataFrame([(1, 0.5, 0), (2, 1.5, 1), (3, None, 1)], "entity_id bigint, f1 double, label int")
     write_phase(df, path, "phase1", fmt)
+    write_phase(df, path, "phase2", fmt)
     write_phase(df.filter("label = 1"), path, "phase2", fmt)
-    write_phase(df.filter("label = 1"), path, "phase2", fmt)
+    with pytest.raises(ValueError):
+        write_phase(df, path, "../phase3", fmt)
     assert read_phase(spark, path, "phase1", df.schema, fmt).count() == 3
     back = read_phase(spark, path, "phase2", df.schema, fmt)
     assert sorted(map(tuple, back.select(*df.columns).collect())) == [(2, 1.5, 1), (3, None, 1)]
