@@ -79,9 +79,12 @@ def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str]
     sizes = small_table(totals.withColumn("g", F.row_number().over(
         Window.partitionBy(F.lit(1)).orderBy(*group))))
     known = sizes.filter("n1 > 0 AND n0 > 0").select(*group, "g", "n1", "n0")
+    # A null class is a group like any other, so keys are compared null-safe.
+    named = known.withColumnsRenamed({c: f"_of_{c}" for c in group})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
     counts = (values.filter(there).groupBy(*group, "value")
               .agg(F.count_if(is_a).alias("c1"), F.count_if(~is_a).alias("c0"))
-              .join(F.broadcast(known), group)
+              .join(F.broadcast(named), same)
               .select("g", "value", "c1", "c0", "n1", "n0")
               .repartitionByRange("g", "value").sortWithinPartitions("g", "value"))
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -86,13 +86,14 @@ def test_ks_edges(spark):
 
 
 def test_report_per_phase(spark):
-    real = spark.createDataFrame([(p, float(i), float(i)) for p in ("phase1", "phase2") for i in range(50)],
+    real = spark.createDataFrame([(p, float(i), float(i)) for p in ("phase1", "phase2", None) for i in range(50)],
                                  "phase string, f double, g double")
     synth = real.withColumn("g", F.when(F.col("phase") == "phase1", F.col("g") + 1000).otherwise(F.col("g")))
     got = {(r["phase"], r["feature"]): (r["passed"], r["share_passed"])
            for r in fi.ks_report(real, synth, ["f", "g"], ["phase"]).collect()}
     assert got == {("phase1", "f"): (True, 0.5), ("phase1", "g"): (False, 0.5),
-                   ("phase2", "f"): (True, 1.0), ("phase2", "g"): (True, 1.0)}
+                   ("phase2", "f"): (True, 1.0), ("phase2", "g"): (True, 1.0),
+                   (None, "f"): (True, 1.0), (None, "g"): (True, 1.0)}
 
 
 def test_overlap(spark):
