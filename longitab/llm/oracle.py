@@ -6,6 +6,20 @@ from longitab.llm.url_rules import UNWANTED
 
 _A2Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+#: Exact links through common shingles; the closure is taken by repeated joins.
+OP1 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A2Z}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS t
+      FROM w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS g(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+walk AS (SELECT DISTINCT a AS doc_id, a AS other FROM edge UNION SELECT w.doc_id, e.b FROM walk w JOIN edge e ON w.other = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS c FROM walk GROUP BY doc_id) c USING (doc_id)
+"""
+
 OP2 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -49,4 +63,4 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLE = {"op2_exact_dedup": OP2, "op9_url_rules": OP9, "op10_decontamination": OP10}
+ORACLE = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op9_url_rules": OP9, "op10_decontamination": OP10}
