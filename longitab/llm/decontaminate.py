@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longitab.llm.common import bounded_batches, pieces, texts_of
 
@@ -92,9 +93,11 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[dict]:
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                   max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+                   max_bytes: int = MAX_BENCHMARK_BYTES,
+                   with_row: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_hit``, ``n_items``, ``items`` (item ids as
-    strings, sorted), ``items_sha256``, ``contaminated`` and ``spans`` (code points of the hit runs).
+    strings, sorted), ``items_sha256``, ``contaminated``, ``spans`` (code points of the hit runs),
+    and ``row``, a struct of all columns, if ``with_row``.
 
     Null and empty texts have no words and no hits; so have items without words. Null item ids
     count as the string ``null``. Repeated item ids count once, repeated rows of ``docs`` each give
@@ -125,10 +128,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                 ids = sorted({names[n] for n in numbers})
                 rows.append((doc, len(words), sum(e - b for b, e in runs), len(ids), ids,
                              hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(runs), spans_of(text, runs)))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    kind = ("id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, "
-            "contaminated boolean, spans array<struct<begin: long, end: long>>")
-    out = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-           .mapInArrow(run, kind))
-    return out.withColumnRenamed("id", id_col)
+            found = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+            yield pa.record_batch(found + ([batch.column(2)] if with_row else []), names=schema.names + ["row"] * with_row)
+
+    kind = T.StructType.fromDDL("id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, "
+                                "contaminated boolean, spans array<struct<begin: long, end: long>>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                       *[F.struct("*").alias("row")] * with_row)
+    return rows.mapInArrow(run, T.StructType([*kind, *rows.schema[2:]])).withColumnRenamed("id", id_col)

@@ -31,9 +31,10 @@ def without_space(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               normalise=without_space, partitions: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+def sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=without_space,
+               partitions: int | None = None, hot_rows: int = HOT_ROWS, with_row: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and
+    ``row``, a struct of all columns, if ``with_row``.
 
     Of rows with equal normalised text, the one with the most code points in the original text
     stays, then the smallest id, null last. Null text counts as empty, and all empty texts are
@@ -41,16 +42,16 @@ def sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``docs`` are ignored, an empty table gives an empty result.
     """
     n = partitions or partitions_of(docs.sparkSession)
-    d = docs.select(F.col(id_col).alias("_id"), normalise(F.col(text_col)).alias("_norm"),
-                    F.coalesce(F.length(text_col), F.lit(0)).alias("_chars"))
-    d = d.withColumn("_hash", F.xxhash64("_norm"))
+    row = [F.struct("*").alias("_row")] if with_row else []
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *row)
+    d = d.withColumn("_hash", F.xxhash64(normalise(F.col("_text"))))
     hot = _hot_hashes(d, hot_rows)
-    out = _sorted_groups(d.filter(~F.col("_hash").isin(hot)) if hot else d, n)
+    out = _sorted_groups(d.filter(~F.col("_hash").isin(hot)) if hot else d, normalise, n)
     if hot:
-        out = out.unionByName(_hot_groups(d.filter(F.col("_hash").isin(hot))))
+        out = out.unionByName(_hot_groups(d.filter(F.col("_hash").isin(hot)), normalise))
     return out.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"),
                       F.col("_size").alias("group_size"), F.col("_kept").alias("kept"),
-                      F.col("_sha").alias("text_sha256"))
+                      F.col("_sha").alias("text_sha256"), *[F.col("_row").alias("row") for _ in row])
 
 
 def _hot_hashes(d: DataFrame, hot_rows: int) -> list[int]:
@@ -59,29 +60,35 @@ def _hot_hashes(d: DataFrame, hot_rows: int) -> list[int]:
     return [r[0] for r in counts.filter(F.col("count") > max(hot_rows, total // HOT_TEXTS)).select("_hash").collect()]
 
 
-def _sorted_groups(d: DataFrame, n: int) -> DataFrame:
+def _with_text(d: DataFrame, normalise) -> DataFrame:
+    return d.withColumn("_norm", normalise(F.col("_text"))).withColumn("_chars", F.coalesce(F.length("_text"), F.lit(0)))
+
+
+def _sorted_groups(d: DataFrame, normalise, n: int) -> DataFrame:
     """Groups of the range-partitioned sort. The window needs no other shuffle: its keys
     contain those of the ranges."""
-    ranged = d.withColumn("_open", F.substring("_norm", 1, OPENING)).repartitionByRange(n, "_open", "_hash")
+    ranged = d.withColumn("_open", F.substring(normalise(F.col("_text")), 1, OPENING)).repartitionByRange(n, "_open", "_hash")
     order = (Window.partitionBy("_open", "_hash", "_norm")
              .orderBy(F.desc("_chars"), F.asc_nulls_last("_id")))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return ranged.select("_id", F.first("_id").over(whole).alias("_keep"),
-                         F.count(F.lit(1)).over(whole).alias("_size"),
-                         (F.row_number().over(order) == 1).alias("_kept"),
-                         F.sha2("_norm", 256).alias("_sha"))
+    rows = [c for c in d.columns if c == "_row"]
+    return _with_text(ranged, normalise).select(
+        "_id", F.first("_id").over(whole).alias("_keep"), F.count(F.lit(1)).over(whole).alias("_size"),
+        (F.row_number().over(order) == 1).alias("_kept"), F.sha2("_norm", 256).alias("_sha"), *rows)
 
 
-def _hot_groups(d: DataFrame) -> DataFrame:
+def _hot_groups(d: DataFrame, normalise) -> DataFrame:
     """Groups of the few texts with very many copies. Partial aggregation in the map tasks leaves
-    one row per task and text; the texts found, fewer than ``HOT_TEXTS``, are broadcast."""
+    one row per task and text; the texts found, fewer than ``HOT_TEXTS``, are broadcast as digests."""
+    extra = [c for c in d.columns if c == "_row"]
+    d = _with_text(d, normalise)
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i")))
     groups = (d.groupBy("_hash", "_norm").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size"))
               .select(F.col("_hash").alias("_h"), F.sha2("_norm", 256).alias("_sha"), "_best", "_size"))
     rows = (d.withColumn("_s", F.sha2("_norm", 256)).join(
                 F.broadcast(groups), (F.col("_hash") == F.col("_h")) & (F.col("_s") == F.col("_sha")))
             .withColumn("_first", F.col("_id").eqNullSafe(F.col("_best.i")) & (-F.col("_chars") == F.col("_best.c")))
-            .select("_id", F.col("_best.i").alias("_keep"), "_size", "_first", "_sha"))
+            .select("_id", F.col("_best.i").alias("_keep"), "_size", "_first", "_sha", *extra))
     # A repeated row can be first several times; only those rows are numbered.
     winners = rows.filter("_first").withColumn(
         "_kept", F.row_number().over(Window.partitionBy("_sha").orderBy("_id")) == 1).drop("_first")

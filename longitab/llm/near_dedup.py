@@ -240,10 +240,11 @@ def region_pairs(near: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, differ int").groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", small: int = 1_000_000) -> DataFrame:
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", small: int = 1_000_000,
+         id_col: str = "id") -> DataFrame:
     """Rows of ``docs`` with (or, ``left_anti``, without) an id of ``ids``. Up to ``small`` ids,
     16 MB, are broadcast after a count; more are joined by shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= small else ids, "id", how)
+    return docs.join(F.broadcast(ids) if ids.count() <= small else ids, id_col, how)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id",
