@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longitab.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, token_files, url_rules
+from longitab.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, pitman_yor, token_files, url_rules
 from longitab.llm.common import table, written
 from longitab.sources.shared import shared_folder
 
@@ -26,6 +26,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.sort_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("learn", language.in_training("doc_id"))
     model = language.learn(docs.filter("learn"))
@@ -68,4 +72,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op4_language, op6_chat, op7_token_files, op8_packing, op9_url_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_pitman_yor, op4_language, op6_chat, op7_token_files, op8_packing, op9_url_rules, op10_decontamination)}
