@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longitab.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, pitman_yor, token_files, url_rules
+from longitab.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, pitman_yor, quality, token_files, url_rules
 from longitab.llm.common import table, written
 from longitab.sources.shared import shared_folder
 
@@ -37,6 +37,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (~F.col("row.learn")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 #: Conversation -1 of the chat query, a user's and an assistant's row (fixed values).
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -72,4 +76,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_pitman_yor, op4_language, op6_chat, op7_token_files, op8_packing, op9_url_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_pitman_yor, op4_language, op5_quality, op6_chat, op7_token_files, op8_packing, op9_url_rules, op10_decontamination)}
