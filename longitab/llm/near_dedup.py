@@ -211,6 +211,7 @@ def region_pairs(near: DataFrame, labels: DataFrame | None) -> DataFrame:
     def compare(t: pa.Table):
         rest, comp, ids, b0, b1 = (t.column(c).to_numpy() for c in ("rest", "component", "id", "bits0", "bits1"))
         rest = rest.astype(bool)
+        b0, b1 = b0.view(np.uint64), b1.view(np.uint64)
         first = t.column("block")[0].as_py() == 0
         for at in np.array_split(np.flatnonzero(rest), max(1, int(rest.sum()) // 256)):
             d = np.bitwise_count(b0[at, None] ^ b0) + np.bitwise_count(b1[at, None] ^ b1)
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, id
     result.
     """
     s = written(sketch(docs, size, id_col, text_col), "sketch")
-    classes = s.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    classes = s.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     near = written(forest(s.join(classes, ["digest", "id"])), "forest")
     first = near.filter(F.col("differ") <= MAX_BITS).filter("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "differ")
     first = written(first.groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
