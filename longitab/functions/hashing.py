@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 
 
 def hash_hex(key, seed) -> Column:
-    """md5 of ``key|seed`` as 32 hex digits; ``key`` is a name or a list of names."""
+    """md5 of ``key|seed`` as 32 hex digits; ``key`` is a name or a list of names.
+
+    Of several keys, ``\\`` and ``|`` inside a part are escaped and a null part is ``\\N``, so that
+    no two lists of keys read the same."""
     keys = [key] if isinstance(key, (str, Column)) else list(key)
     parts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    if len(parts) > 1:
+        parts = [F.coalesce(F.regexp_replace(p, r"([\\|])", r"\\$1"), F.lit("\\N")) for p in parts]
+    else:
+        parts = [F.coalesce(p, F.lit("\\N")) for p in parts]
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longitab.functions.hashing import hash_hex
-from longitab.functions.small import small_table
+from longitab.functions.small import join_null_safe, small_table
 
 PREFIX = 4
 
@@ -26,7 +26,7 @@ def hash_cuts(df: DataFrame, label: str, key, targets: DataFrame, seed, prefix:
     counts = (hashed.groupBy(label, "_p").agg(F.count("*").alias("_n"))
               .withColumn("_upto", F.sum("_n").over(upto)))
     edges = small_table(
-        counts.join(F.broadcast(targets), label)
+        join_null_safe(counts, F.broadcast(targets), [label])
         .groupBy(label, "target")
         .agg(F.max("_upto").alias("have"),
              F.min(F.when(F.col("_upto") >= F.col("target"),
@@ -34,18 +34,16 @@ def hash_cuts(df: DataFrame, label: str, key, targets: DataFrame, seed, prefix:
                                    .alias("_need")))).alias("_edge"))
         .select(label, "target", "have", "_edge._p", "_edge._need"))
     rank = Window.partitionBy(label).orderBy("_h")
-    cuts = (hashed.join(F.broadcast(edges.filter("target > 0")
-                                    .select(label, "_p", "_need")), [label, "_p"])
+    cuts = (join_null_safe(hashed, F.broadcast(edges.filter("target > 0").select(label, "_p", "_need")), [label, "_p"])
             .withColumn("_r", F.row_number().over(rank))
             .filter(F.col("_r") == F.col("_need"))
             .select(label, F.col("_h").alias("cut")))
-    return small_table(targets.join(edges.select(label, "have"), label, "left")
-                       .join(cuts, label, "left")
+    return small_table(join_null_safe(join_null_safe(targets, edges.select(label, "have"), [label], "left"), cuts, [label], "left")
                        .select(label, "target", F.coalesce("have", F.lit(0)).alias("have"), "cut"))
 
 
 def within_cut(df: DataFrame, label: str, key, cuts: DataFrame, seed) -> DataFrame:
     """Add ``_in``: whether the row is among the first ``target`` of its class. Map-only."""
-    picked = df.join(F.broadcast(cuts.select(label, "target", "cut")), label, "left")
+    picked = join_null_safe(df, F.broadcast(cuts.select(label, "target", "cut")), [label], "left")
     inside = (F.col("target") > 0) & (F.col("cut").isNull() | (hash_hex(key, seed) <= F.col("cut")))
     return picked.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("target", "cut")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_SMALL_ROWS = 100_000
@@ -43,6 +45,13 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     """
     table = head(small, max_rows)
     if table is None:
-        return big.join(small, on, how)
+        return join_null_safe(big, small, on, how)
     local = big.sparkSession.createDataFrame(table, schema=small.schema)
-    return big.join(F.broadcast(local), on, how)
+    return join_null_safe(big, F.broadcast(local), on, how)
+
+
+def join_null_safe(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``inner`` or ``left`` join by name in which a null key equals a null key."""
+    other = small.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = reduce(Column.__and__, [big[c].eqNullSafe(other[f"_of_{c}"]) for c in on])
+    return big.join(other, same, how).drop(*[f"_of_{c}" for c in on])

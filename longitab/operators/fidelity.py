@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longitab.functions.ranges import SLICE_ROWS, lagged
-from longitab.functions.small import small_table
+from longitab.functions.small import join_small
 from longitab.operators.projection import Projection, pca_fit, pca_transform
 
 
@@ -33,7 +33,7 @@ def running_extremes(counts: DataFrame) -> DataFrame:
     ``counts`` is sorted inside range partitions by ``g, value``. One vectorised pass; state
     is one group's running totals.
     """
-    schema = "g int, part int, hi double, lo double, s1 bigint, s0 bigint"
+    schema = "g long, part int, hi double, lo double, s1 bigint, s0 bigint"
 
     def run(batches):
         part, rows, held = TaskContext.get().partitionId(), [], None
@@ -52,7 +52,7 @@ def running_extremes(counts: DataFrame) -> DataFrame:
                 held[2:] = [max(held[2], float(gap.max())), min(held[3], float(gap.min())),
                             int(r1[-1]), int(r0[-1])]
         columns = list(zip(*rows)) if rows else [[]] * 6
-        types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)],
                                          names=["g", "part", "hi", "lo", "s1", "s0"])
 
@@ -73,25 +73,23 @@ def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str]
     values = long_values(pair(a, b, [*by, *features]), [*by, "source"], list(features))
     is_a = F.col("source") == "real"
     there = F.col("value").isNotNull()
-    totals = values.groupBy(*group).agg(
-        F.count_if(is_a & there).alias("n1"), F.count_if(~is_a & there).alias("n0"),
-        F.count_if(~there).alias("nulls"))
-    sizes = small_table(totals.withColumn("g", F.row_number().over(
-        Window.partitionBy(F.lit(1)).orderBy(*group))))
-    known = sizes.filter("n1 > 0 AND n0 > 0").select(*group, "g", "n1", "n0")
-    # A null class is a group like any other, so keys are compared null-safe.
-    named = known.withColumnsRenamed({c: f"_of_{c}" for c in group})
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
-    counts = (values.filter(there).groupBy(*group, "value")
-              .agg(F.count_if(is_a).alias("c1"), F.count_if(~is_a).alias("c0"))
-              .join(F.broadcast(named), same)
+    # A group is known by a hash of its keys; null is a key of its own.
+    key = F.xxhash64(*[k for c in group for k in (F.col(c).isNull(), F.col(c))])
+    counted = (values.groupBy(*group, "value")
+               .agg(F.count_if(is_a).alias("c1"), F.count_if(~is_a).alias("c0")).withColumn("g", key))
+    sizes = counted.groupBy(*group, "g").agg(
+        F.coalesce(F.sum(F.when(there, F.col("c1"))), F.lit(0)).alias("n1"),
+        F.coalesce(F.sum(F.when(there, F.col("c0"))), F.lit(0)).alias("n0"),
+        F.coalesce(F.sum(F.when(~there, F.col("c1") + F.col("c0"))), F.lit(0)).alias("nulls"))
+    known = sizes.filter("n1 > 0 AND n0 > 0").select("g", "n1", "n0")
+    counts = (join_small(counted.filter(there), known, ["g"])
               .select("g", "value", "c1", "c0", "n1", "n0")
               .repartitionByRange("g", "value").sortWithinPartitions("g", "value"))
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     started = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     parts = (running_extremes(counts)
              .withColumns({"b1": started("s1"), "b0": started("s0")})
-             .join(F.broadcast(known.select("g", "n1", "n0")), "g")
+             .join(known, "g")
              .withColumn("shift", F.col("b1") / F.col("n1") - F.col("b0") / F.col("n0")))
     distance = parts.groupBy("g").agg(F.max(F.greatest(
         F.abs(F.col("shift") + F.col("hi")), F.abs(F.col("shift") + F.col("lo")))).alias("d"))
@@ -136,16 +134,27 @@ def project_pair(real: DataFrame, synth: DataFrame, features: list[str] | str, k
 
 
 def grid_overlap(proj: DataFrame, cell: float, x: str = "pc1", y: str = "pc2") -> DataFrame:
-    """Shared mass of the two sources' histograms on a square grid, 0 to 1, and cells used."""
+    """Shared mass of the two sources' histograms on a square grid, 0 to 1, and cells used.
+
+    Rows without both coordinates are in no cell; they are counted in ``nulls``. The input is
+    read once: with n1 and n0 rows in all, a cell shares ``least(c1 * n0, c0 * n1) / (n1 * n0)``,
+    and cells are first added up by their pair of counts, so totals and shares come from those.
+    """
     is_real = F.col("source") == "real"
-    cells = (proj.groupBy(F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"))
+    cx, cy = F.floor(F.col(x) / cell), F.floor(F.col(y) / cell)
+    there = cx.isNotNull() & cy.isNotNull()
+    cells = (proj.groupBy(F.when(there, cx).alias("_cx"), F.when(there, cy).alias("_cy"))
              .agg(F.count_if(is_real).alias("_c1"), F.count_if(~is_real).alias("_c0")))
-    totals = proj.agg(F.count_if(is_real).alias("n1"), F.count_if(~is_real).alias("n0"))
-    shared = F.least(F.col("_c1") / F.nullif(totals.select("n1").scalar(), F.lit(0)),
-                     F.col("_c0") / F.nullif(totals.select("n0").scalar(), F.lit(0)))
-    return cells.withColumn("_shared", shared).agg(
-        F.sum("_shared").alias("overlap"), F.count("*").alias("cells"),
-        F.count_if((F.col("_c1") > 0) & (F.col("_c0") > 0)).alias("shared_cells"))
+    used = F.col("_cx").isNotNull()
+    kinds = cells.groupBy("_c1", "_c0", used.alias("_used")).agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(F.lit(1))
+    total = lambda c: F.sum(F.when(F.col("_used"), F.col(c) * F.col("_n"))).over(every).cast("double")
+    shared = F.least(F.col("_c1") / F.nullif(F.col("_t1"), F.lit(0.0)), F.col("_c0") / F.nullif(F.col("_t0"), F.lit(0.0)))
+    return (kinds.withColumns({"_t1": total("_c1"), "_t0": total("_c0")}).agg(
+        F.sum(F.when(F.col("_used"), shared * F.col("_n"))).alias("overlap"),
+        F.coalesce(F.sum(F.when(F.col("_used"), F.col("_n"))), F.lit(0)).alias("cells"),
+        F.coalesce(F.sum(F.when(F.col("_used") & (F.col("_c1") > 0) & (F.col("_c0") > 0), F.col("_n"))), F.lit(0)).alias("shared_cells"),
+        F.coalesce(F.sum(F.when(~F.col("_used"), (F.col("_c1") + F.col("_c0")) * F.col("_n"))), F.lit(0)).alias("nulls")))
 
 
 def lag_correlations(visits: DataFrame, entity: str, step: str, features: list[str], by: list[str],

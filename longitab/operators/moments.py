@@ -61,8 +61,14 @@ def grouped_moments(df: DataFrame, column: str, by: str | list[str] = ()) -> Dat
     def groups(batch):
         if not by:
             return {(): slice(None)} if batch.num_rows else {}
-        found = batch.select(by).to_pandas().groupby(by, dropna=False).indices
-        return {k if isinstance(k, tuple) else (k,): rows for k, rows in found.items()}
+        # Codes per key column, null among them, so that no key changes its type.
+        coded = [batch.column(i).dictionary_encode(null_encoding="encode") for i in range(len(by))]
+        code = np.zeros(batch.num_rows, np.int64)
+        for c in coded:
+            code = np.unique(code * len(c.dictionary) + c.indices.to_numpy(), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if batch.num_rows else []
+        return {tuple(c.dictionary[c.indices[int(rows[0])].as_py()].as_py() for c in coded): rows for rows in parts}
 
     def partial(batches):
         held = {}

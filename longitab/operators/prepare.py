@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Imputer, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +40,27 @@ def order_visits(df: DataFrame, entity: str, ts: str, tie: str, fmt: str | None
     return number_rows(df, [entity], [ts, tie], out, slice_rows)
 
 
-def fit_imputer(train: DataFrame, features: list[str], strategy: str):
-    """Fit ``mean`` or ``median`` on the training rows; ``.transform(df)`` fills nulls."""
-    return Imputer(strategy=strategy, inputCols=features, outputCols=features).fit(train)
+@dataclass(frozen=True)
+class FillModel:
+    """The value that stands for a null, by feature; null where no training row has one."""
+
+    values: dict
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({f: F.coalesce(F.col(f), F.lit(v).cast("double")) for f, v in self.values.items()})
+
+
+def fit_imputer(train: DataFrame, features: list[str], strategy: str) -> FillModel:
+    """Fit ``mean`` or ``median`` on the training rows; ``.transform(df)`` fills nulls.
+
+    Both are exact. The median counts equal values before it shuffles; distinct values of a
+    feature meet in one aggregate, so round measurements of very fine resolution first.
+    """
+    how = {"mean": F.avg, "median": F.median}
+    if strategy not in how:
+        raise ValueError(f"unknown strategy {strategy}")
+    one = train.agg(*[how[strategy](F.nanvl(F.col(f).cast("double"), F.lit(None))).alias(f) for f in features]).first()
+    return FillModel({f: one[f] for f in features})
 
 
 def carry_forward(df: DataFrame, features: list[str], entity: str, order: list[str],

@@ -5,40 +5,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longitab.functions.ranges import SLICE_ROWS, lagged, number_rows
+from longitab.functions.small import join_null_safe
+
+
+def _vector(features: list[str] | str) -> Column:
+    if isinstance(features, str):
+        return F.col(features).cast("array<double>")
+    return F.array(*[F.col(f).cast("double") for f in features])
 
-def pack_sequences(df: DataFrame, entity: str, order: list[str], features: list[str] | str,
-                   max_len: int, label: str | None = None, keep: str = "first") -> DataFrame:
-    """Visits to ``entity, label, seq, mask, len``: ordered, cut to ``max_len``, zero-padded.
 
-    ``keep`` says which end stays when an entity has more visits. The rank filter is applied
-    in each map task before the shuffle, so an entity with very many visits sends no more than
-    ``max_len`` rows per task, and the collected list is never longer than ``max_len``.
+def longest(df: DataFrame, entity: str) -> int:
+    """Visits of the entity with the most; at least 1."""
+    return df.groupBy(entity).count().agg(F.max("count")).first()[0] or 1
+
+
+def pack_parts(df: DataFrame, entity: str, order: list[str], features: list[str] | str, part_len: int,
+               label: str | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """All visits as ``entity, label, part, context, seq, mask, len``: parts of at most ``part_len``.
+
+    Each part but the first begins with the last visit of the part before, ``context`` = 1, so no
+    pair of neighbours is lost. Visits are numbered by slices and grouped by entity and part: rows
+    are bounded and no entity is on one task, however many visits it has. ``order`` must be unique
+    in an entity. A label that varies in a part is the part's smallest.
+    """
+    if part_len < 2:
+        raise ValueError("a part holds two visits at least")
+    extra = [label] if label else []
+    rows = df.select(entity, *extra, *[c for c in order if c not in (entity, *extra)], _vector(features).alias("_v"))
+    rows = number_rows(rows, [entity], order, "_r", slice_rows)
+    stride = part_len - 1
+    own = F.greatest(F.floor((F.col("_r") - 2) / stride), F.lit(0))
+    again = (F.col("_r") > 1) & ((F.col("_r") - 1) % stride == 0)
+    parts = F.when(again, F.array(own, own + 1)).otherwise(F.array(own))
+    grouped = (rows.withColumn("part", F.explode(parts))
+               .groupBy(entity, "part")
+               .agg(*[F.min(c).alias(c) for c in extra],
+                    F.array_sort(F.collect_list(F.struct("_r", "_v"))).alias("_s"))
+               .withColumn("context", (F.col("part") > 0).cast("int"))
+               .filter(F.size("_s") > F.col("context")))
+    return _padded(grouped, [entity, *extra, "part", "context"], part_len)
+
+
+def _padded(grouped: DataFrame, keep: list[str], max_len: int) -> DataFrame:
+    """``seq, mask, len`` from sorted structs ``_s``."""
+    real = F.transform("_s", lambda s: s["_v"])
+    n = F.size("_s")
+    blank = F.transform(F.get(real, F.lit(0)), lambda v: F.lit(0.0))
+    return grouped.select(
+        *keep,
+        F.concat(real, F.array_repeat(blank, F.lit(max_len) - n)).alias("seq"),
+        F.concat(F.array_repeat(F.lit(True), n),
+                 F.array_repeat(F.lit(False), F.lit(max_len) - n)).alias("mask"),
+        n.alias("len"))
+
+
+def pack_sequences(df: DataFrame, entity: str, order: list[str], features: list[str] | str,
+                   max_len: int | None = None, label: str | None = None, keep: str = "first") -> DataFrame:
+    """One row per entity: ``entity, label, seq, mask, len``, ordered and zero-padded.
+
+    By default every visit stays and rows are as long as the longest entity, which is counted
+    first. ``max_len`` is a chosen cut: ``keep`` says which end stays, and ``dropped`` counts the
+    visits of the entity that were left out. The rank filter then runs in each map task up to
+    1,000 visits. A row holds a whole entity; for entities of unbounded length use ``pack_parts``.
+    A label that varies in an entity is its smallest.
     """
     if keep not in ("first", "last"):
         raise ValueError(f"unknown end {keep}")
-    if isinstance(features, str):
-        vector = F.col(features).cast("array<double>")
-    else:
-        vector = F.array(*[F.col(f).cast("double") for f in features])
+    cut = max_len is not None
+    max_len = max_len or longest(df, entity)
+    vector = _vector(features)
     by = [F.col(c).asc() if keep == "first" else F.col(c).desc() for c in order]
     extra = [label] if label else []
+    source = df
     visits = (df.select(entity, *extra, *[c for c in order if c not in (entity, *extra)],
                         vector.alias("_v"))
               .withColumn("_r", F.row_number().over(Window.partitionBy(entity).orderBy(*by)))
               .filter(F.col("_r") <= max_len))
     position = F.col("_r") if keep == "first" else -F.col("_r")
     grouped = (visits.groupBy(entity)
-               .agg(*[F.first(label).alias(label)] if label else [],
+               .agg(*[F.min(label).alias(label)] if label else [],
                     F.array_sort(F.collect_list(F.struct(position.alias("p"), "_v"))).alias("_s")))
-    real = F.transform("_s", lambda s: s["_v"])
-    n = F.size("_s")
-    blank = F.transform(F.get(real, F.lit(0)), lambda v: F.lit(0.0))
-    return grouped.select(
-        entity, *extra,
-        F.concat(real, F.array_repeat(blank, F.lit(max_len) - n)).alias("seq"),
-        F.concat(F.array_repeat(F.lit(True), n),
-                 F.array_repeat(F.lit(False), F.lit(max_len) - n)).alias("mask"),
-        n.alias("len"))
+    packed = _padded(grouped, [entity, *extra], max_len)
+    if not cut:
+        return packed
+    sizes = source.groupBy(entity).agg(F.count("*").alias("_all"))
+    return join_null_safe(packed, sizes, [entity]).withColumn("dropped", F.col("_all") - F.col("len")).drop("_all")
 
 
 def unpack_sequences(seqs: DataFrame, features: list[str] | None = None,
@@ -105,7 +157,6 @@ def sequence_features(seqs: DataFrame, out: str = "features") -> DataFrame:
 def visit_differences(visits: DataFrame, entity: str, step: str, features: list[str],
                       chunk: int | None = None) -> DataFrame:
     """Visit-level form: change of each feature since the visit before, as ``d_<feature>``."""
-    from longitab.functions.ranges import SLICE_ROWS, lagged
     prior = lagged(visits, [entity], step, {f"_b_{f}": (f, 1) for f in features},
                    chunk or SLICE_ROWS)
     return (prior.withColumns({f"d_{f}": F.col(f) - F.col(f"_b_{f}") for f in features})

@@ -25,7 +25,9 @@ from longitab.operators.prepare import ScaleModel
 from longitab.operators.projection import Projection, pca_inverse
 from longitab.operators.sequences import unpack_sequences
 
-RANGE_ROWS = 2_000_000
+#: Bytes of drawn sequences in one partition, and classes whose moments may reach the driver.
+RANGE_BYTES = 256 << 20
+MAX_CLASSES = 20_000
 DRAW_ROWS = 1_000
 
 
@@ -113,24 +115,31 @@ def lag_pairs(seqs: DataFrame, label: str, out: str = "pair") -> DataFrame:
 
 def fit_sequence_model(seqs: DataFrame, pooled: bool = True, ridge: float = 1e-3,
                        label: str = "label") -> SequenceModel:
-    """Fit from packed training sequences.
+    """Fit from packed training sequences, or from parts of sequences, which cover every visit of
+    entities of any length. Rows without a class teach nothing.
 
     One pass over the sequences gives the moments and one over the lengths their shares; what
     reaches the driver is p x p per class, whatever the number of rows. ``pooled`` shares one ridge transition between the classes
     and keeps the intercepts apart; otherwise each class has its own.
     """
-    visited = seqs.filter(F.col("len") > 0)
+    visited = seqs.filter((F.col("len") > 0) & F.col(label).isNotNull())
+    in_parts = "part" in seqs.columns
     # The first visit rides along as a pair with itself, so that the sequences are read once.
     starts = F.array(F.struct(F.lit(True).alias("start"), F.concat(
         F.get("seq", F.lit(0)), F.get("seq", F.lit(0))).alias("pair")))
     rest = F.transform(_pairs(), lambda v: F.struct(F.lit(False).alias("start"), v.alias("pair")))
+    none = F.slice(starts, 1, 0)
+    first_part = F.when(F.col("part") == 0, starts).otherwise(none) if in_parts else starts
     sums = small_rows(grouped_moments(
-        visited.select(label, F.inline(F.concat(starts, F.coalesce(rest, F.slice(starts, 1, 0))))),
-        "pair", [label, "start"]), 20_000)
+        visited.select(label, F.inline(F.concat(first_part, F.coalesce(rest, none)))),
+        "pair", [label, "start"]), MAX_CLASSES)
     first = {r[label]: _left(r) for r in sums if r["start"]}
     pair = {r[label]: r for r in sums if not r["start"]}
-    lengths = small_rows(visited.groupBy(label, "len", F.size("seq").alias("_m"))
-                         .agg(F.count("*").alias("n")))
+    sized = visited.select(label, "len")
+    if in_parts:
+        entity = next(c for c in seqs.columns if c not in (label, "part", "context", "seq", "mask", "len"))
+        sized = visited.groupBy(entity, label).agg(F.sum(F.col("len") - F.col("context")).cast("int").alias("len"))
+    lengths = small_rows(sized.groupBy(label, "len").agg(F.count("*").alias("n")))
     labels = sorted(first)
     if not labels:
         raise ValueError("no sequence to fit on")
@@ -176,14 +185,14 @@ def fit_sequence_model(seqs: DataFrame, pooled: bool = True, ridge: float = 1e-3
         share.append(np.cumsum(n / n.sum()).tolist())
     return SequenceModel(labels, count / count.sum(), np.array([first[c]["mean"] for c in labels]),
                          np.array(start_root), np.array(transition), np.array(intercept),
-                         np.array(noise), seen, share, max(r["_m"] for r in lengths),
+                         np.array(noise), seen, share, max(r["len"] for r in lengths),
                          seqs.schema[label].dataType.simpleString())
 
 
 def candidates(spark: SparkSession, model: SequenceModel, n: int, seed: int,
                start: int = 0) -> DataFrame:
     """``entity_id, label``: ids ``start .. start+n-1``, class drawn from the real shares."""
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / RANGE_ROWS))
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * max(1, model.max_len * model.width * 8) / RANGE_BYTES))
     running = F.array(*[F.lit(float(s)) for s in np.cumsum(model.share)])
     names = F.array(*[F.lit(c).cast(model.label_type) for c in model.labels])
     at = F.least(search(running, unit_hash("entity_id", f"{seed}|class"), len(model.labels)),
@@ -294,10 +303,9 @@ class Population:
     rounds: int
 
 
-def populate(spark: SparkSession, model: SequenceModel, plan: DataFrame, seed: int,
-             max_rounds: int = 10) -> Population:
+def populate(spark: SparkSession, model: SequenceModel, plan: DataFrame, seed: int) -> Population:
     """Draw candidates on fresh id ranges and reject to what is still missing, until the plan is
-    met or ``max_rounds`` is reached.
+    met for every class that the model knows. The targets of other classes are the ``shortfall``.
 
     A class is a function of the id, so candidates are rejected before their sequences are
     drawn: only accepted ids are simulated. Per round a few rows of counts reach the driver.
@@ -306,7 +314,7 @@ def populate(spark: SparkSession, model: SequenceModel, plan: DataFrame, seed: i
                if r["target"] > 0}
     share = dict(zip(model.labels, model.share))
     parts, start, rounds = [], 0, 0
-    while any(share.get(c, 0) > 0 and m > 0 for c, m in missing.items()) and rounds < max_rounds:
+    while any(share.get(c, 0) > 0 and m > 0 for c, m in missing.items()):
         need = max(m / share[c] for c, m in missing.items() if m > 0 and share.get(c, 0) > 0)
         n = math.ceil(1.1 * need + 4.0 * math.sqrt(need)) + 16
         cands = candidates(spark, model, n, seed, start)

@@ -23,7 +23,7 @@ PHASES = {"phase1": "proportional", "phase2": "near_balanced"}
 @dataclass(frozen=True)
 class Config:
     """Settings of one run. ``label`` is a dense class index, the same for every visit of an
-    entity. All models share seed, hidden layers and iterations, so that only rows and
+    entity. ``max_len`` cuts sequences; by default every visit stays. All models share seed, hidden layers and iterations, so that only rows and
     features differ. Give ``k`` or ``share`` for the number of components."""
 
     features: list[str]
@@ -33,7 +33,7 @@ class Config:
     entity: str = "entity_id"
     label: str = "label"
     order: list[str] = field(default_factory=lambda: ["step"])
-    max_len: int = 24
+    max_len: int | None = None
     frac: float = 0.7
     lam: float = 0.9
     pooled: bool = True
@@ -74,7 +74,10 @@ def generate(prepared: Prepared, cfg: Config) -> dict[str, DataFrame]:
     out = {}
     for i, (phase, mode) in enumerate(PHASES.items()):
         plan = class_plan(profile, cfg.n, mode, cfg.lam)
-        out[phase] = settle(populate(spark, model, plan, cfg.seed + i).rows)
+        population = populate(spark, model, plan, cfg.seed + i)
+        if population.shortfall:
+            raise ValueError(f"no model for classes of the plan: {population.shortfall}")
+        out[phase] = settle(population.rows)
         if cfg.path:
             write_phase(decode(out[phase], prepared.limits, prepared.projection), cfg.path, phase)
     return out

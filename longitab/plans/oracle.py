@@ -9,7 +9,7 @@ VISITS = f"""visits AS (
 STEPPED = f"""{VISITS}, stepped AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS step,
          count(*) OVER (PARTITION BY user_id) AS visits_n FROM visits)"""
-PACKED = f"{STEPPED}, packed AS (SELECT *, CAST(least(visits_n, 24) AS INTEGER) AS len FROM stepped WHERE step <= 24)"
+PACKED = f"{STEPPED}, packed AS (SELECT *, CAST(visits_n AS INTEGER) AS len FROM stepped)"
 NUMERICS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -136,24 +136,59 @@ def _sequence_features() -> str:
       f AS (SELECT user_id, step - 1 AS t, len, 0 AS j, value AS x FROM packed
             UNION ALL SELECT user_id, step - 1, len, 1, k FROM packed),
       users AS (SELECT DISTINCT user_id FROM packed),
-      grid AS (SELECT user_id, t, j FROM users, range(24) AS a(t), range(2) AS b(j)),
+      m AS (SELECT max(len) AS m FROM packed),
+      grid AS (SELECT user_id, t, j FROM users, range((SELECT m FROM m)) AS a(t), range(2) AS b(j)),
       lagged AS (SELECT *, lag(x) OVER (PARTITION BY user_id, j ORDER BY t) AS px FROM f),
       full_ AS (SELECT g.user_id, g.t, g.j, l.x, l.px FROM grid g LEFT JOIN lagged l USING (user_id, t, j)),
       agg AS (SELECT user_id, j, any_value(len) AS len,
                      sum((t - (len - 1) / 2.0::DOUBLE) * x) AS top, avg(x * px) AS lp FROM lagged GROUP BY 1, 2)
       SELECT user_id, CAST(t * 2 + j AS INTEGER) AS pos, round(coalesce(x, 0), 5) AS value FROM full_
-      UNION ALL SELECT user_id, CAST(48 + (t - 1) * 2 + j AS INTEGER), round(coalesce(x - px, 0), 5)
+      UNION ALL SELECT user_id, CAST(2 * (SELECT m FROM m) + (t - 1) * 2 + j AS INTEGER), round(coalesce(x - px, 0), 5)
                 FROM full_ WHERE t > 0
-      UNION ALL SELECT user_id, CAST(48 + 46 + j AS INTEGER),
+      UNION ALL SELECT user_id, CAST(4 * (SELECT m FROM m) - 2 + j AS INTEGER),
                 round(CASE WHEN len > 1 THEN top / (len * (len * len - 1.0::DOUBLE) / 12) ELSE 0 END, 5) FROM agg
-      UNION ALL SELECT user_id, CAST(48 + 46 + 2 + j AS INTEGER), round(coalesce(lp, 0), 5) FROM agg"""
+      UNION ALL SELECT user_id, CAST(4 * (SELECT m FROM m) + j AS INTEGER), round(coalesce(lp, 0), 5) FROM agg"""
 
 
 GAPPY = "CASE WHEN event_type <> 'error' THEN value END"
 
+ORDERED = """o AS (SELECT o_custkey, o_orderkey, c_mktsegment, quantity, n_lines, o_totalprice::DOUBLE AS o_totalprice,
+             row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS visit
+      FROM orders JOIN (SELECT l_orderkey, sum(l_quantity)::DOUBLE AS quantity, count(*)::DOUBLE AS n_lines FROM lineitem GROUP BY 1)
+        ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey)"""
+ORDER_FEATURES = ("quantity", "n_lines", "o_totalprice")
+
+
+def draws(source: str, entity: str, label: str) -> str:
+    """Class and length by hash of the id, two ids for each entity of ``source``."""
+    return f"""
+        u AS (SELECT {entity}, min({label}) AS label, count(*) AS len FROM {source} GROUP BY 1),
+        c AS (SELECT label, count(*) AS n FROM u GROUP BY 1),
+        cc AS (SELECT label, sum(n / (SELECT sum(n) FROM c)::DOUBLE) OVER (ORDER BY label) AS upto FROM c),
+        l AS (SELECT label, len, count(*) AS n FROM u GROUP BY 1, 2),
+        ll AS (SELECT label, len, sum(n) OVER (PARTITION BY label ORDER BY len)
+                      / sum(n) OVER (PARTITION BY label)::DOUBLE AS upto FROM l),
+        ids AS (SELECT range AS entity_id, {unit("range", "42|class")} AS uc,
+                       {unit("range", "42|len")} AS ul FROM range(2 * (SELECT count(*) FROM u))),
+        drawn AS (SELECT entity_id, ul, min(cc.label) FILTER (cc.upto > uc) AS label FROM ids, cc GROUP BY 1, 2)
+        SELECT d.entity_id, d.label, CAST(min(ll.len) FILTER (ll.upto > d.ul) AS INTEGER) AS len
+        FROM drawn d JOIN ll ON ll.label = d.label GROUP BY 1, 2"""
+
+
 ORACLE = {
-    "records_read": "SELECT event_id, user_id, event_type, value, epoch_us(ts) AS ts_us FROM events",
-    "phase_roundtrip": """SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS x,
+    "orders_pack": f"WITH {ORDERED} SELECT o_custkey, c_mktsegment, visit, quantity, n_lines, o_totalprice FROM o",
+    "orders_lags": f"WITH {ORDERED} SELECT o_orderkey, visit AS step, " + ", ".join(
+        f"round({f} - lag({f}) OVER (PARTITION BY o_custkey ORDER BY visit), 4) AS d_{f}" for f in ORDER_FEATURES) + " FROM o",
+    "orders_draws": f"WITH {ORDERED}, {draws('o', 'o_custkey', 'c_mktsegment')}",
+    "split_null_class": """WITH k AS (SELECT event_id, nullif(event_type, 'error') AS kind FROM events),
+        r AS (SELECT event_id, kind, count(*) OVER (PARTITION BY kind) AS n,
+              row_number() OVER (PARTITION BY kind ORDER BY md5(CAST(event_id AS VARCHAR) || '|42')) AS r FROM k)
+        SELECT kind, CASE WHEN r <= floor(0.7::DOUBLE * n) THEN 'train' ELSE 'test' END AS side, count(*) AS n,
+               CAST(sum(event_id) AS BIGINT) AS ids FROM r GROUP BY 1, 2""",
+    "csv_roundtrip": """SELECT event_id, epoch_us(ts) AS ts_us, user_id,
+        CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN props END AS props, value, CAST(user_id % 4 AS INTEGER) AS label FROM events""",
+    "records_read": "SELECT event_id, user_id, event_type, value, props, epoch_us(ts) AS ts_us FROM events",
+    "phase_roundtrip": """SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, round(unnest(embedding)::DOUBLE, 6) AS x,
         CASE WHEN vec_id % 2 = 0 THEN 'phase1' ELSE 'phase2' END AS phase FROM embeddings""",
     "numeric_select": f"SELECT event_id, value, {K} AS k FROM events",
     "numeric_failures": f"""
@@ -199,7 +234,7 @@ ORACLE = {
         users AS (SELECT user_id, any_value(label) AS label, any_value(len) AS len FROM packed GROUP BY 1)
         SELECT u.user_id, u.label, u.len, CAST(g.pos AS INTEGER) AS pos, p.step IS NOT NULL AS mask,
                coalesce(p.value, 0) AS value, coalesce(p.k, 0) AS k
-        FROM users u CROSS JOIN range(24) AS g(pos)
+        FROM users u CROSS JOIN range((SELECT max(len) FROM packed)) AS g(pos)
         LEFT JOIN packed p ON p.user_id = u.user_id AND p.step = g.pos + 1""",
     "unpack_events": f"WITH {PACKED} SELECT user_id, label, step, value, k FROM packed",
     "split_rows_70_30": f"WITH {split_side()} SELECT vec_id, label, side FROM sided",
@@ -229,8 +264,7 @@ ORACLE = {
         {plan('share', 0.9, 'label', 's', '10 * (SELECT count(*) FROM u)')}
         SELECT label, target AS n, target AS ids FROM plan""",
     "synth_draws": f"""WITH {STEPPED},
-        u AS (SELECT user_id, any_value(label) AS label, count(*) AS len FROM stepped
-              WHERE step <= 1 + user_id % 10 GROUP BY 1),
+        u AS (SELECT user_id, any_value(label) AS label, count(*) AS len FROM stepped GROUP BY 1),
         c AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) AS place FROM u GROUP BY 1),
         cc AS (SELECT label, place, sum(n / (SELECT sum(n) FROM c)::DOUBLE) OVER (ORDER BY label) AS upto FROM c),
         l AS (SELECT label, len, count(*) AS n FROM u GROUP BY 1, 2),
@@ -260,7 +294,8 @@ ORACLE = {
         c AS (SELECT floor(value / 10) AS cx, floor(k / 10) AS cy, count(*) FILTER (user_id % 2 = 0) AS c1,
               count(*) FILTER (user_id % 2 = 1) AS c0 FROM visits GROUP BY 1, 2)
         SELECT round(sum(least(c1::DOUBLE / (SELECT sum(c1) FROM c), c0::DOUBLE / (SELECT sum(c0) FROM c))), 9) AS overlap,
-            count(*) AS cells, count(*) FILTER (c1 > 0 AND c0 > 0) AS shared_cells FROM c""",
+            count(*) AS cells, count(*) FILTER (c1 > 0 AND c0 > 0) AS shared_cells,
+            0 AS nulls FROM c""",
     "neighbour_mix": mix("""SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'real' ELSE 'synth' END AS source,
         embedding::DOUBLE[] AS x FROM embeddings"""),
     "lag_fidelity": f"""WITH {STEPPED},

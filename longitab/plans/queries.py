@@ -27,7 +27,6 @@ from longitab.sources.records import read_phase, read_records, write_phase
 from longitab.sources.shared import settle, shared_folder
 
 SEED = 42
-MAX_LEN = 24
 POPULATION = 15_904
 
 EVENTS = T.StructType([
@@ -99,19 +98,19 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 # Sources and sinks
 
 def records_read(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", "user_id", "event_type", "value",
+    return events(spark, sf_dir).select("event_id", "user_id", "event_type", "value", "props",
                                         F.unix_micros("ts").alias("ts_us"))
 
 
 def phase_roundtrip(spark, sf_dir):
-    rows = embeddings(spark, sf_dir).select("vec_id", "label", F.get("embedding", F.lit(0)).alias("x"))
+    rows = embeddings(spark, sf_dir).select("vec_id", "label", "embedding")
     folder = f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}"
     first, second = halves(rows, "vec_id")
     write_phase(first, folder, "phase1")
     write_phase(second, folder, "phase2")
     back = [read_phase(spark, folder, p, rows.schema).select(
-        "vec_id", "label", F.round("x", 6).alias("x"), F.lit(p).alias("phase"))
-        for p in ("phase1", "phase2")]
+        "vec_id", "label", F.posexplode("embedding").alias("pos", "x"), F.lit(p).alias("phase"))
+        .withColumn("x", F.round("x", 6)) for p in ("phase1", "phase2")]
     return back[0].unionByName(back[1])
 
 
@@ -228,7 +227,7 @@ def pca_row_norms(spark, sf_dir):
 
 def _packed(spark, sf_dir):
     return sq.pack_sequences(visits(spark, sf_dir), "user_id", ["ts", "event_id"], ["value", "k"],
-                             MAX_LEN, "label")
+                             label="label")
 
 
 def pack_events(spark, sf_dir):
@@ -276,6 +275,59 @@ def visit_differences(spark, sf_dir):
     return rounded(out.select("event_id", "step", "d_value", "d_k"), 6, "d_value", "d_k")
 
 
+ORDERS = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
+                       T.StructField("o_orderdate", T.DateType()), T.StructField("o_totalprice", T.DoubleType())])
+
+
+def order_visits_of_customers(spark, sf_dir) -> DataFrame:
+    """Customers as patients, orders by date as their visits: natural lengths, the lines of an order
+    added up to its features, the market segment as class."""
+    orders = table(spark, sf_dir, "orders", ORDERS)
+    lines = lineitem(spark, sf_dir).groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").cast("double").alias("n_lines"))
+    who = table(spark, sf_dir, "customer", CUSTOMER)
+    return (orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey"))
+            .select("o_custkey", "o_orderkey", "o_orderdate", "quantity", "n_lines", "o_totalprice", "c_mktsegment"))
+
+
+ORDER_FEATURES = ["quantity", "n_lines", "o_totalprice"]
+
+
+def orders_pack(spark, sf_dir):
+    """All orders of all customers, packed in parts of eight and read back part by part."""
+    parts = sq.pack_parts(order_visits_of_customers(spark, sf_dir), "o_custkey", ["o_orderdate", "o_orderkey"], ORDER_FEATURES, 8, "c_mktsegment")
+    rows = sq.unpack_sequences(parts, ORDER_FEATURES, ["o_custkey", "c_mktsegment", "part", "context"]).filter("step > context")
+    return rows.select("o_custkey", "c_mktsegment", (F.col("part") * 7 + F.col("step")).alias("visit"), *ORDER_FEATURES)
+
+
+def orders_lags(spark, sf_dir):
+    rows = pr.order_visits(order_visits_of_customers(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderkey")
+    out = sq.visit_differences(rows, "o_custkey", "step", ORDER_FEATURES)
+    return rounded(out.select("o_orderkey", "step", *[f"d_{f}" for f in ORDER_FEATURES]), 4, *[f"d_{f}" for f in ORDER_FEATURES])
+
+
+def orders_draws(spark, sf_dir):
+    """Class and length of two synthetic customers for each real one."""
+    seqs = settle(sq.pack_sequences(order_visits_of_customers(spark, sf_dir), "o_custkey", ["o_orderdate", "o_orderkey"], ORDER_FEATURES, label="c_mktsegment")
+                  .withColumnRenamed("c_mktsegment", "label"))
+    return sy.synthesize(spark, sy.fit_sequence_model(seqs), 2 * seqs.count(), SEED).select("entity_id", "label", "len")
+
+
+def split_null_class(spark, sf_dir):
+    """One class of events is null and is split like the others."""
+    rows = events(spark, sf_dir).select("event_id", F.nullif("event_type", F.lit("error")).alias("kind"))
+    return sp.split_rows(rows, "event_id", "kind", 0.7, SEED).groupBy("kind", "side").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def csv_roundtrip(spark, sf_dir):
+    """Events with empty strings and nulls through CSV files, times to the microsecond."""
+    rows = events(spark, sf_dir).select("event_id", "ts", "user_id", F.expr("CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN props END").alias("props"),
+                                        "value", (F.col("user_id") % 4).cast("int").alias("label"))
+    folder = f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}"
+    write_phase(rows, folder, "phase1", "csv")
+    back = read_phase(spark, folder, "phase1", rows.schema, "csv")
+    return back.select("event_id", F.unix_micros("ts").alias("ts_us"), "user_id", "props", "value", "label")
+
+
 # Synthesis
 
 def _plan(spark, sf_dir, mode):
@@ -292,7 +344,8 @@ def plan_near_balanced(spark, sf_dir):
 
 
 def var1_moments(spark, sf_dir):
-    pairs = sy.lag_pairs(_packed(spark, sf_dir), "label")
+    parts = sq.pack_parts(visits(spark, sf_dir), "user_id", ["ts", "event_id"], ["value", "k"], 16, "label")
+    pairs = sy.lag_pairs(parts, "label")
     sums = mo.grouped_moments(pairs, "pair", "label")
     flat = sums.select("label", "n", "mean", F.posexplode("m2").alias("pos", "m2"))
     i, j = F.floor(F.col("pos") / 4).cast("int"), F.col("pos") % 4
@@ -306,7 +359,10 @@ def _population(spark, sf_dir, mode="near_balanced"):
     model = sy.fit_sequence_model(seqs)
     profile = pr.class_profile(seqs, "label")
     n = 10 * seqs.count()
-    return sy.populate(spark, model, sy.class_plan(profile, n, mode), SEED).rows
+    population = sy.populate(spark, model, sy.class_plan(profile, n, mode), SEED)
+    if population.shortfall:
+        raise ValueError(f"missing {population.shortfall}")
+    return population.rows
 
 
 def synth_counts(spark, sf_dir):
@@ -319,16 +375,15 @@ def synth_sequences(spark, sf_dir):
     rows = visits(spark, sf_dir)
     model = pj.pca_fit(rows, ["value", "k"], k=2)
     seqs = settle(sq.pack_sequences(pj.pca_transform(rows, model), "user_id", ["ts", "event_id"],
-                                    "components", MAX_LEN, "label"))
+                                    "components", label="label"))
     synth = sy.synthesize(spark, sy.fit_sequence_model(seqs), seqs.count(), SEED)
     return sy.decode(synth, pr.fit_scale(rows, ["value", "k"]), model)
 
 
 def synth_draws(spark, sf_dir):
     """Class and length drawn for each synthetic id, two ids per user; both follow the real
-    shares and depend on the id alone. Users keep 1 to 10 first visits, so that lengths vary."""
-    rows = stepped(visits(spark, sf_dir)).filter(F.col("step") <= 1 + F.col("user_id") % 10)
-    seqs = settle(sq.pack_sequences(rows, "user_id", ["step"], ["value", "k"], MAX_LEN, "label"))
+    shares and depend on the id alone."""
+    seqs = settle(_packed(spark, sf_dir))
     synth = sy.synthesize(spark, sy.fit_sequence_model(seqs), 2 * seqs.count(), SEED)
     real = F.size(F.filter("seq", lambda v: F.get(v, F.lit(0)) != 0.0))
     return synth.select("entity_id", "label", "len", (real <= F.col("len")).alias("padded"))
@@ -437,7 +492,7 @@ def _vectors(spark, sf_dir, width=64):
 
 
 def mlp_trtr(spark, sf_dir):
-    pred = ev.trtr(ev.mlp(layers=(16,), max_iter=30), _vectors(spark, sf_dir))
+    pred = ev.trtr(ev.mlp(layers=(16,)), _vectors(spark, sf_dir))
     return ev.confusion(pred)
 
 
@@ -445,7 +500,7 @@ def seq_mlp_tstr(spark, sf_dir):
     seqs = _packed(spark, sf_dir)
     test = sp.split_entities(seqs, "user_id").filter("side = 'test'")
     synth = _population(spark, sf_dir)
-    pred = ev.tstr(ev.sequence_mlp(layers=(8,), max_iter=20, classes=3),
+    pred = ev.tstr(ev.sequence_mlp(layers=(8,), classes=3),
                    sq.sequence_features(synth), sq.sequence_features(test))
     return ev.confusion(pred)
 
@@ -480,7 +535,7 @@ def experiment_m1_m4(spark, sf_dir):
     rows = visits(spark, sf_dir).withColumn("hour", F.hour("ts").cast("double"))
     users = rows.agg(F.countDistinct("user_id")).first()[0]
     cfg = Config(features=["value", "k", "hour"], n=4 * users, k=3, entity="user_id",
-                 order=["ts", "event_id"], max_len=8, max_iter=20, hidden=(8,))
+                 order=["ts", "event_id"], hidden=(8,))
     return run_experiment(rows, cfg)
 
 
@@ -495,4 +550,4 @@ QUERIES = {f.__name__: f for f in (
     ks_events_by_type, ks_synthetic, project_pair, projection_overlap, grid_overlap,
     neighbour_mix, neighbour_mix_events, lag_fidelity, moment_gap, quality_checks, mlp_trtr,
     seq_mlp_tstr, centroid_confusion, centroid_metrics, centroid_tstr, compare_models,
-    experiment_m1_m4)}
+    experiment_m1_m4, orders_pack, orders_lags, orders_draws, split_null_class, csv_roundtrip)}

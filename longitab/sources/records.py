@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BAD_ROW = "_corrupt_record"
+#: Both ends of the CSV hand-over: microseconds stay, and a null differs from an empty string.
+CSV = {"header": "true", "nullValue": "\\N", "escape": "\"", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+       "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def visit_schema(features: list[str]) -> T.StructType:
@@ -59,7 +62,7 @@ def write_phase(df: DataFrame, path: str, phase: str, fmt: str = "parquet",
     writer = (out.hint("rebalance", "label").write.mode(mode)
               .option("partitionOverwriteMode", "static").partitionBy("label"))
     if fmt == "csv":
-        writer = writer.option("header", "true")
+        writer = writer.options(**CSV, emptyValue='""')
     writer.format(fmt).save(f"{path}/phase={phase}")
 
 
@@ -69,5 +72,5 @@ def read_phase(spark: SparkSession, path: str, phase: str, schema: T.StructType,
     full = T.StructType(schema.fields + [T.StructField("phase", T.StringType())])
     reader = spark.read.schema(full)
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        reader = reader.options(**CSV, emptyValue="")
     return reader.format(fmt).load(path).filter(F.col("phase") == phase).drop("phase")
