@@ -27,12 +27,14 @@ SHINGLE, SHARE = 5, 80
 VALUES, DEPTH = 128, 4
 TREES = VALUES // DEPTH
 #: Of one bit for each of 128 values, linked documents differ in 12.8 on average with a deviation
-#: of 3.4; more than this, six and a half deviations, are not compared in full.
-MAX_BITS = 35
+#: of 3.4; more than this, five and a half deviations, are not compared in full.
+MAX_BITS = 32
 #: Documents of one block of a region; larger regions are cut deeper.
 REGION = 10_000
 #: At most so many regions are cut, by a broadcast of so many rows.
 HOT_REGIONS = 20_000
+#: Ids that are broadcast, 16 MB; more are joined by shuffle.
+SMALL = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,8 +118,8 @@ def forest(reps: DataFrame) -> DataFrame:
     adjacent document ``other`` with ``differ`` bits; documents alone in a region are left out.
 
     The regions that are cut deeper are found by counts that are added up before their shuffle."""
-    rows = reps.select("id", "bits0", "bits1", F.posexplode(F.arrays_zip("region", "next")).alias("tree", "at")).select(
-        "tree", F.col("at.region").alias("region"), F.col("at.next").alias("next"), "id", "bits0", "bits1")
+    rows = reps.select("id", "bits0", "bits1", F.posexplode(F.arrays_zip("region", "next")).alias("tree", "at"), "n").select(
+        "tree", F.col("at.region").alias("region"), F.col("at.next").alias("next"), "id", "bits0", "bits1", "n")
     total = reps.count() * TREES
     limit = max(REGION, total // HOT_REGIONS)
     hot = rows.groupBy("tree", "region").count().filter(F.col("count") > limit).collect()
@@ -132,7 +134,7 @@ def forest(reps: DataFrame) -> DataFrame:
     lead = F.lead(F.struct("id", "bits0", "bits1")).over(order)
     return (rows.withColumn("_lead", lead).withColumn("size", F.count(F.lit(1)).over(whole)).filter("size > 1 OR slices > 1")
             .withColumn("differ", F.bit_count(F.col("bits0").bitwiseXOR(F.col("_lead.bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("_lead.bits1"))))
-            .select("tree", "region", "slice", "id", "bits0", "bits1", "size", "slices", F.col("_lead.id").alias("other"), "differ"))
+            .select("tree", "region", "slice", "id", "bits0", "bits1", "n", "size", "slices", F.col("_lead.id").alias("other"), "differ"))
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -187,37 +189,54 @@ def across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def region_pairs(near: DataFrame, labels: DataFrame | None) -> DataFrame:
+def region_pairs(near: DataFrame, labels: DataFrame | None, share: int, k: int | None = None,
+                 among: DataFrame | None = None) -> DataFrame:
     """Pairs of different components within regions of three or more documents, since the two of a
-    smaller one were adjacent. At least one of a pair is outside the region's largest component.
+    smaller one were adjacent. At least one of a pair is outside the region's largest component;
+    with ``among``, one such is in that table of ids. Sizes and bits must allow a link.
 
     The documents outside the largest component are sent to every block of the region, the others
-    to one block each.
+    to one block each. With ``k``, each of the former gives its nearest ``k`` pairs of a block alone;
+    with ``k`` = 0 no pair but the ids that have any, as ``a``.
     """
     n = partitions_of(near.sparkSession)
-    rows = near.filter("size > 2 OR slices > 1").select("tree", "region", "id", "bits0", "bits1")
+    rows = near.filter("size > 2 OR slices > 1").select("tree", "region", "id", "bits0", "bits1", "n")
     rows = rows.join(labels, "id", "left") if labels is not None else rows.withColumn("component", F.lit(None).cast("long"))
     rows = rows.withColumn("component", F.coalesce("component", "id"))
     parts = rows.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("tree", "region").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("k"),
                                                 F.max_by("component", F.struct("c", "component")).alias("main")).filter("k > 1")
     rows = rows.join(mixed, ["tree", "region"]).withColumn("rest", F.col("component") != F.col("main"))
+    if among is not None:
+        chosen = among.select("id", F.lit(True).alias("_chosen"))
+        rows = rows.join(F.broadcast(chosen) if among.count() <= SMALL else chosen, "id", "left")
+        rows = rows.withColumn("rest", F.col("rest") & F.coalesce("_chosen", F.lit(False)))
     blocks = F.ceil(F.col("rows") / REGION)
     every = F.sequence(F.lit(0).cast("long"), blocks - 1)
     rows = rows.withColumn("block", F.explode(F.when(F.col("rest"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks)))))
     keys = ["tree", "region", "block"]
-    rows = rows.select(*keys, "rest", "component", "id", "bits0", "bits1").repartition(n, *keys).sortWithinPartitions(*keys)
+    rows = rows.select(*keys, "rest", "component", "id", "bits0", "bits1", "n").repartition(n, *keys).sortWithinPartitions(*keys)
 
     def compare(t: pa.Table):
-        rest, comp, ids, b0, b1 = (t.column(c).to_numpy() for c in ("rest", "component", "id", "bits0", "bits1"))
+        rest, comp, ids, b0, b1, n_set = (t.column(c).to_numpy() for c in ("rest", "component", "id", "bits0", "bits1", "n"))
         rest = rest.astype(bool)
         b0, b1 = b0.view(np.uint64), b1.view(np.uint64)
         first = t.column("block")[0].as_py() == 0
         for at in np.array_split(np.flatnonzero(rest), max(1, int(rest.sum()) // 256)):
             d = np.bitwise_count(b0[at, None] ^ b0) + np.bitwise_count(b1[at, None] ^ b1)
             ok = (d <= MAX_BITS) & (comp[at, None] != comp)
+            ok &= (100 * n_set[at, None] >= share * n_set) & (100 * n_set >= share * n_set[at, None])
+            if k == 0:
+                own = np.concatenate((ids[at[ok.any(axis=1)]], ids[ok.any(axis=0)]))
+                yield pa.record_batch({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()), "differ": pa.nulls(len(own), pa.int32())})
+                continue
             # two of the rest meet in every block; the first one has them
             ok &= ~rest | ((ids[at, None] < ids) & first)
+            if k is not None and ok.shape[1] > k:
+                near_k = np.argpartition(np.where(ok, d, 255), k - 1, axis=1)[:, :k]
+                chosen_k = np.zeros_like(ok)
+                np.put_along_axis(chosen_k, near_k, True, axis=1)
+                ok &= chosen_k
             i, j = np.nonzero(ok)
             a, b = ids[at[i]], ids[j]
             yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)),
@@ -241,11 +260,11 @@ def region_pairs(near: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, differ int").groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", small: int = 1_000_000,
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", small: int | None = None,
          id_col: str = "id") -> DataFrame:
     """Rows of ``docs`` with (or, ``left_anti``, without) an id of ``ids``. Up to ``small`` ids,
     16 MB, are broadcast after a count; more are joined by shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= small else ids, id_col, how)
+    return docs.join(F.broadcast(ids) if ids.count() <= (SMALL if small is None else small) else ids, id_col, how)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id",
@@ -275,6 +294,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, id
                                       names=["id", "shingles"])
         return written(only(source, ids).dropDuplicates(["id"]).mapInArrow(run, "id long, shingles binary"), "sets")
 
+    def linkable(ids: DataFrame) -> DataFrame:
+        """The ids of which ``share`` per cent of the shingles are in other documents of ``ids``; no
+        other document of them can have a link."""
+        own = written(only(source, ids).dropDuplicates(["id"]).mapInArrow(explode_sets, "id long, shingle long"), "shingles")
+        common = own.groupBy("shingle").count().filter("count > 1").select("shingle")
+        known = own.join(common, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("known"))
+        every = own.groupBy("id").agg(F.count(F.lit(1)).alias("every"))
+        return written(known.join(every, "id").filter(F.col("known") * 100 >= F.col("every") * share).select("id"), "linkable")
+
+    def explode_sets(batches):
+        for batch in pieces(batches, 1):
+            sets = shingle_sets(texts_of(batch.column(1)), size)
+            ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in sets])
+            yield pa.record_batch({"id": pa.array(ids), "shingle": pa.array(np.concatenate(sets).view(np.int64))})
+
     sets = sets_of(first)
     checked = written(confirmed(nearest(first, 2), sets, share), "links")
     labels = components(checked.filter("linked"))
@@ -283,11 +317,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, id
     if more.filter("linked").limit(1).count():
         labels = components(checked.unionByName(more).filter("linked"))
     checked = checked.unionByName(more)
-    left = written(region_pairs(near, labels).join(checked, ["a", "b"], "left_anti"), "pairs")
-    if left.limit(1).count():
-        last = written(confirmed(left, sets_of(left), share), "links")
-        if last.filter("linked").limit(1).count():
-            labels = components(checked.unionByName(last).filter("linked"))
+    # Nearest pairs first, then, of documents that can have a link at all, every pair.
+    for k, among in ((4, None), (None, linkable)):
+        chosen = among(written(region_pairs(near, labels, share, 0).select(F.col("a").alias("id")).distinct(), "ids")) if among else None
+        left = written(region_pairs(near, labels, share, k, chosen).join(checked, ["a", "b"], "left_anti"), "pairs")
+        if left.limit(1).count():
+            last = written(confirmed(left, sets_of(left), share), "links")
+            checked = checked.unionByName(last)
+            if last.filter("linked").limit(1).count():
+                labels = components(checked.filter("linked"))
     found = classes.join(labels, "id", "left").filter("copies > 1 OR component IS NOT NULL").select(
         "digest", F.coalesce("component", "id").alias("component"))
     out = s.select("id", "n", "digest").join(found, "digest", "left").select(
