@@ -10,7 +10,7 @@ import numpy as np
 from longitab.llm.common import worker_cache
 
 #: Parts kept with their ids before a worker starts its cache anew.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 #: A longer part is encoded without being kept.
 CACHE_CHARS = 40
 _PART = re.compile(r"\s*(?:[^\W\d_]+|(?:[\d_]|[^\w\s])+(?:(?<=')[^\W\d_]+)?)|\s+")
