@@ -9,8 +9,9 @@ import numpy as np
 
 from longitab.llm.common import worker_cache
 
-#: Parts kept with their ids before a worker starts its cache anew.
-CACHE_PARTS = 300_000
+#: Parts kept with their ids in each of two generations: when the newer is full, parts that were
+#: not met since the older one began are let go.
+CACHE_PARTS = 200_000
 #: A longer part is encoded without being kept.
 CACHE_CHARS = 40
 _PART = re.compile(r"\s*(?:[^\W\d_]+|(?:[\d_]|[^\w\s])+(?:(?<=')[^\W\d_]+)?)|\s+")
@@ -36,6 +37,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def parts(self, text: str) -> list[str]:
         beyond = "" if text.isascii() else _ASCII.sub("", text)
@@ -47,9 +49,12 @@ class Encoder:
         """Ids of each text and the end id, as unsigned 32-bit integers."""
         cut = [self.parts(t) for t in texts]
         distinct = set().union(*cut)
-        if len(self.known) + len(distinct) > CACHE_PARTS:
-            self.known.clear()
+        if len(self.known) > CACHE_PARTS:
+            self.known, self.older = {}, self.known
         new = [p for p in distinct if p not in self.known]
+        if self.older:
+            self.known.update((p, self.older[p]) for p in new if p in self.older)
+            new = [p for p in new if p not in self.known]
         apart = {}
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             (self.known if len(p) <= CACHE_CHARS else apart)[p] = np.array(e.ids, "<u4").tobytes()
