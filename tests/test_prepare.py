@@ -28,6 +28,9 @@ def test_bad_csv_rows_are_kept(spark, tmp_path):
     assert rows[3]["visit_ts"] is None and rows[3]["_corrupt_record"] is None
     assert rows[4]["_corrupt_record"] is not None
     assert bad_rows(df).count() == 2
+    fresh = read_records(spark, path, visit_schema(["f1"]))  # not cached
+    assert bad_rows(fresh).count() == 2
+    assert sorted(r[0] for r in bad_rows(fresh).select("entity_id").collect()) == [2, 4]
     with pytest.raises(ValueError):
         read_records(spark, path, visit_schema([]), "xml")
 
