@@ -45,12 +45,13 @@ def pca_fit(train: DataFrame, features: list[str] | str, k: int | None = None,
             share: float | None = None, standardise: bool = True) -> Projection:
     """Principal axes of the training rows, ``k`` of them or enough for a variance ``share``.
 
-    Rows with a null are refused by the assembling step of ``pyspark.ml``; impute first.
-    The covariance that ``PCA`` gathers is p x p whatever the number of rows.
+    Rows with a null teach nothing; ``pca_transform`` refuses them, so impute first. With ``share``
+    all axes are fitted once and the first ones used. The covariance that ``PCA`` gathers is p x p whatever the number of rows.
     """
     if (k is None) == (share is None):
         raise ValueError("give k or share")
-    data = train.select(array_to_vector(_vector(features)).alias("_raw"))
+    known = train.select(_vector(features).alias("_v")).filter("_v IS NOT NULL AND NOT exists(_v, v -> v IS NULL)")
+    data = known.select(array_to_vector("_v").alias("_raw"))
     scaler = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=standardise)
     scaling = scaler.fit(data)
     p = len(scaling.mean)
@@ -59,16 +60,15 @@ def pca_fit(train: DataFrame, features: list[str] | str, k: int | None = None,
     if share is not None:
         running = np.cumsum(model.explainedVariance.toArray())
         k = min(int(np.searchsorted(running, share - 1e-12)) + 1, p)
-        model = pca.setK(k).fit(scaling.transform(data))
     width = np.asarray(scaling.std.toArray()) if standardise else np.ones(p)
     return Projection(PipelineModel([scaling, model]), features, scaling.mean.toArray(), width,
-                      model.pc.toArray(), model.explainedVariance.toArray())
+                      model.pc.toArray()[:, :k], model.explainedVariance.toArray()[:k])
 
 
 def pca_transform(df: DataFrame, model: Projection, out: str = "components") -> DataFrame:
     """Add the component array. Runs in the JVM."""
     raw = df.withColumn("_raw", array_to_vector(_vector(model.features)))
-    return (model.pipeline.transform(raw).withColumn(out, vector_to_array("_pc"))
+    return (model.pipeline.transform(raw).withColumn(out, F.slice(vector_to_array("_pc"), 1, model.k))
             .drop("_raw", "_z", "_pc"))
 
 
