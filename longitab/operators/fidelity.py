@@ -198,6 +198,26 @@ def moment_gap(real: DataFrame, synth: DataFrame, features: list[str], by: list[
             .withColumn("sd_gap", F.col("sd_synth") - F.col("sd_real")))
 
 
+def fidelity_report(real: DataFrame, phases: dict[str, DataFrame], features: list[str], entity: str = "entity_id",
+                    step: str = "step", label: str = "label") -> DataFrame:
+    """Every generated phase against the real training visits: ``phase, check, feature, value``.
+
+    Per feature the two-sample distance ``ks``, the gaps of mean and deviation, nulls and the share
+    outside the real range; the gap of the lag-1 correlation, averaged over classes; over all
+    features the repeats and the rows copied from real ones.
+    """
+    def phase_of(name: str, synth: DataFrame) -> DataFrame:
+        gaps = moment_gap(real, synth, features).select("feature", F.inline(F.array(*[
+            F.struct(F.lit(c).alias("check"), F.abs(c).alias("value")) for c in ("mean_gap", "sd_gap")])))
+        lags = lag_fidelity(real, synth, entity, step, features, label).groupBy("feature").agg(F.avg("gap").alias("value"))
+        parts = [ks_statistic(real, synth, features).select(F.lit("ks").alias("check"), "feature", F.col("d").alias("value")),
+                 gaps.select("check", "feature", "value"),
+                 lags.select(F.lit("lag_gap").alias("check"), "feature", "value"), quality_checks(real, synth, features)]
+        return reduce(DataFrame.unionByName, parts).select(F.lit(name).alias("phase"), "check", "feature", "value")
+
+    return reduce(DataFrame.unionByName, [phase_of(n, s) for n, s in phases.items()])
+
+
 def _row_key(features: list[str], digits: int) -> Column:
     # Adding 0.0 turns a negative zero into zero.
     values = [F.coalesce((F.round(F.col(f).cast("double"), digits) + F.lit(0.0)).cast("string"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longitab.operators.evaluate import class_metrics, compare, confusion, mlp, sequence_mlp, tstr
+from longitab.operators.fidelity import fidelity_report
 from longitab.operators.prepare import class_profile, fit_scale
 from longitab.operators.projection import pca_fit, pca_transform
 from longitab.operators.sequences import pack_sequences, sequence_features, static_features
@@ -83,6 +84,15 @@ def generate(prepared: Prepared, cfg: Config) -> dict[str, DataFrame]:
     return out
 
 
+def phase_fidelity(visits: DataFrame, cfg: Config) -> DataFrame:
+    """``fidelity_report`` of both generated phases, decoded to real units, against the training side."""
+    prepared = prepare(visits, cfg)
+    keep = ["entity_id", "label"]
+    real = decode(prepared.train.select(*keep, "seq", "mask"), prepared.limits, prepared.projection)
+    phases = {p: decode(s, prepared.limits, prepared.projection) for p, s in generate(prepared, cfg).items()}
+    return fidelity_report(real, phases, cfg.features)
+
+
 def run_experiment(visits: DataFrame, cfg: Config) -> DataFrame:
     """``model, train_source, metric, label, value`` for M1 to M4 on one real test set.
 

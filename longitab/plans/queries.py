@@ -23,6 +23,7 @@ from longitab.operators import sequences as sq
 from longitab.operators import split as sp
 from longitab.operators import synthesis as sy
 from longitab.plans.experiment import Config, run_experiment
+from longitab.plans.experiment import phase_fidelity as phase_report
 from longitab.sources.records import read_phase, read_records, write_phase
 from longitab.sources.shared import settle, shared_folder
 
@@ -318,6 +319,13 @@ def split_null_class(spark, sf_dir):
     return sp.split_rows(rows, "event_id", "kind", 0.7, SEED).groupBy("kind", "side").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+def phase_fidelity(spark, sf_dir):
+    """Both phases generated for the customers, as many as there are, against their orders."""
+    rows = pr.encode_label(order_visits_of_customers(spark, sf_dir), "c_mktsegment")
+    n = rows.select("o_custkey").distinct().count()
+    return phase_report(rows, Config(features=ORDER_FEATURES, n=n, share=0.95, entity="o_custkey", order=["o_orderdate", "o_orderkey"]))
+
+
 def csv_roundtrip(spark, sf_dir):
     """Events with empty strings and nulls through CSV files, times to the microsecond."""
     rows = events(spark, sf_dir).select("event_id", "ts", "user_id", F.expr("CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN props END").alias("props"),
@@ -550,4 +558,4 @@ QUERIES = {f.__name__: f for f in (
     ks_events_by_type, ks_synthetic, project_pair, projection_overlap, grid_overlap,
     neighbour_mix, neighbour_mix_events, lag_fidelity, moment_gap, quality_checks, mlp_trtr,
     seq_mlp_tstr, centroid_confusion, centroid_metrics, centroid_tstr, compare_models,
-    experiment_m1_m4, orders_pack, orders_lags, orders_draws, split_null_class, csv_roundtrip)}
+    experiment_m1_m4, orders_pack, orders_lags, orders_draws, split_null_class, csv_roundtrip, phase_fidelity)}
