@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from longitab.sources.shared import shared_folder
 
 #: Text bytes that one Arrow batch of a Python stage may hold, so that very long texts stay apart.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -57,8 +57,9 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` text bytes each; a longer text is alone."""
+def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` text bytes each; a longer text is alone. Between
+    batches, memory that Arrow no longer uses goes back to the system."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
@@ -67,6 +68,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -
             end = max(begin + 1, int(np.searchsorted(sizes, before + limit, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+        pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
 
     def run(batches):
         m = Model(*sent.value)
-        for batch in pieces(batches, 1, 6 << 20):
+        for batch in pieces(batches, 1, 4 << 20):
             texts = texts_of(batch.column(1))
             cut = [words_of(t) if m.languages else [] for t in texts]
             lengths = np.array([len(c) for c in cut], np.int64)
