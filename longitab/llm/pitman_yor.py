@@ -1,41 +1,46 @@
 """Hierarchical Pitman-Yor language model over words.
 
-Each context, here the last byte of the word before, has a restaurant whose dishes are words. All
-context restaurants share one parent, the restaurant of all words, whose parent gives equal shares
-to every known word and one unknown word. A customer is a token; a table of a context restaurant is
-a customer of the parent. Seating is sampled by Gibbs sweeps: all customers of a dish leave and are
-seated again one after another, given the parent's probabilities and the totals of the last sweep.
-The predictive probabilities of the sweeps after the first ones are averaged.
-
-Words are dealt to shards by hash. A shard holds all restaurants' seats of its words, so sweeps need
-no shuffle: only the totals of the at most 257 contexts are added up between sweeps. Seating depends
-on the seed, the shard and those totals, so a lost task seats again in the same way.
+Each context, the word before, has a restaurant whose dishes are words. All context restaurants
+share one parent, the restaurant of all words, whose parent gives equal shares to every known word
+and one unknown word. A customer is a token; a table of a context restaurant is a customer of the
+parent. Seating is sampled by Gibbs sweeps: all customers of a dish leave and are seated again one
+after another, given the parent's probabilities and the totals of the last sweep. The predictive
+probabilities of the sweeps after the first ones are averaged.
+
+Words are dealt to shards by hash. A shard holds all restaurants' seats of its words. Between
+sweeps each shard sends its sums for its contexts, packed, to the contexts' owners, again by hash,
+and gets the totals back. Seating depends on the seed, the shard and those totals, so a lost task
+seats again in the same way.
 """
 
 from __future__ import annotations
 
-import zlib
+import gc
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longitab.llm.common import bounded_batches, partitions_of, pieces, texts_of, written
 
-CONTEXTS = 257
+#: The context at the start of a text. A word of one byte is the context of that number, a longer
+#: one that of its hash with bit 9 set, so that none of them is this.
 START = 256
+LONGER = np.uint64(512)
 #: Sweeps, and how many of them are left out of the average.
 SWEEPS, BURN = 3, 1
 STRENGTH = 1.0
-#: Words with more than 1 / HOT_WORDS of the tokens; there are fewer than HOT_WORDS. Their
-#: probabilities in all contexts, 8 MB at most, go to every task.
-HOT_WORDS = 4096
+#: Contexts with more than 1 / HOT_CONTEXTS of the tokens, and pairs of words with more than
+#: 1 / HOT_PAIRS; there are fewer than that of either. Those pairs' probabilities, 32 MB at most,
+#: go to every task.
+HOT_CONTEXTS, HOT_PAIRS = 4096, 1 << 20
 #: Customers of a dish seated one by one; then so many at once that the odds hardly change.
 ONE_BY_ONE = 64
-#: Tokens held by a task before it hands them on.
+#: Tokens, or pairs of words, held by a task before it hands them on.
 HELD = 4_000_000
 SEED = 7
 
@@ -45,45 +50,52 @@ def in_training(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 != 1, F.lit(True))
 
 
-def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, contexts and lengths of texts: A-Z in lower case, words ``[^\\x20\\x09-\\x0D]+``
-    and an end after the last."""
+def numbered(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Hashes and contexts of the distinct words of texts, START the last context; of each token the
+    number of its word and of its context; and lengths of texts. A-Z in lower case, words
+    ``[^\\x20\\x09-\\x0D]+`` and an end after the last."""
     import xxhash
 
     end = b"\n"
     cut = [t.encode("utf-8", "surrogatepass").lower().split() + [end] for t in texts]
     number = {w: i for i, w in enumerate(dict.fromkeys(w for c in cut for w in c))}
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-    last = np.fromiter((w[-1] for w in number), np.int64, len(number))
+    single = np.fromiter((w[0] if len(w) == 1 else START for w in number), np.uint64, len(number))
+    contexts = np.append(np.where(single < START, single, hashes | LONGER), np.uint64(START))
     lengths = np.fromiter(map(len, cut), np.int64, len(cut))
     at = np.fromiter((number[w] for c in cut for w in c), np.int64, lengths.sum())
-    context = np.empty(len(at), np.int64)
-    context[1:] = last[at[:-1]]
-    context[np.cumsum(lengths) - lengths] = START
-    return hashes[at], context, lengths
+    before = np.empty(len(at), np.int64)
+    before[1:] = at[:-1]
+    before[np.cumsum(lengths) - lengths] = len(hashes)
+    return hashes, contexts, at, before, lengths
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(c.tobytes() for c in columns), 1)
+    data = b"".join(c.tobytes() for c in columns)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def pack_keys(key: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Columns in the order of sorted keys; a repeated key is kept once."""
+def opened(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def pack_pairs(key: np.ndarray, contexts: np.ndarray, at: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns in the order of sorted keys; a repeated key is kept once. ``at`` are places in
+    ``contexts``."""
     first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    head = np.array([len(key), int(first.sum())], "<u4")
     run = np.diff(np.concatenate((np.flatnonzero(first), [len(key)]))).astype("<u4")
-    return packed(head, key[first].astype("<u8"), run, *columns)
-
-
-def unpack_keys(data: bytes, *types: str) -> list[np.ndarray]:
-    data = zlib.decompress(data)
-    n, m = np.frombuffer(data, "<u4", 2).tolist()
-    at = 8
-    out = [np.repeat(np.frombuffer(data, "<u8", m, at), np.frombuffer(data, "<u4", m, at + 8 * m))]
-    at += 12 * m
-    for t in types:
-        out.append(np.frombuffer(data, t, n, at))
-        at += n * np.dtype(t).itemsize
+    head = np.array([len(key), len(run), len(contexts)], "<u4")
+    return packed(head, key[first].astype("<u8"), run, contexts.astype("<u8"), at.astype("<u2" if len(contexts) <= 1 << 16 else "<u4"), *columns)
+
+
+def unpack_pairs(data: bytes, *types: str) -> list[np.ndarray]:
+    """Distinct keys, how often each is there, contexts, places in them, and columns."""
+    data = opened(data)
+    n, m, c = np.frombuffer(data, "<u4", 3).tolist()
+    out, begin = [], 12
+    for t, length in [("<u8", m), ("<u4", m), ("<u8", c), ("<u2" if c <= 1 << 16 else "<u4", n), *((t, n) for t in types)]:
+        out.append(np.frombuffer(data, t, length, begin))
+        begin += length * np.dtype(t).itemsize
     return out
 
 
@@ -105,23 +117,27 @@ def by_shard(key: np.ndarray, shards: int):
             yield s, order[edges[s]:edges[s + 1]]
 
 
-def count_words(docs: DataFrame, text_col: str, shards: int) -> DataFrame:
-    """``shard, data``: contexts and counts of all words of a shard. Each task adds up its own
-    tokens first, so a frequent word is a few hundred numbers per task."""
+def count_words(docs: DataFrame, text_col: str, shards: int, learned: Column) -> DataFrame:
+    """``shard, data``: pairs of words and contexts of a shard, with counts. Each task adds up its
+    own tokens first. Of rows that are not ``learned`` only the contexts are kept, so that their
+    totals are there when these rows are scored."""
     def count(batches):
         held, size = [], 0
 
         def close():
             key, context, n = summed(*(np.concatenate(c) for c in zip(*held)))
-            rows = [(s, pack_keys(key[i], context[i].astype("<u2"), n[i].astype("<u4"))) for s, i in by_shard(key, shards)]
+            rows = [(s, pack_pairs(key[i], *np.unique(context[i], return_inverse=True), n[i].astype("<u4"))) for s, i in by_shard(key, shards)]
             return pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
         for batch in pieces(batches, 0):
-            key, context, _ = tokens_of(texts_of(batch.column(0)))
-            if len(key):
-                held.append(summed(key, context, np.ones(len(key), np.int64)))
-                size += len(held[-1][0])
-            if size > HELD:
+            hashes, contexts, at, before, lengths = numbered(texts_of(batch.column(0)))
+            weight = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+            if len(at):
+                code, n = np.unique((before * len(hashes) + at) * 2 + weight, return_counts=True)
+                pair = code >> 1
+                held.append((hashes[pair % len(hashes)], contexts[pair // len(hashes)], n * (code & 1)))
+                size += len(pair)
+            if size > HELD // 2:
                 yield close()
                 held, size = [], 0
         if held:
@@ -129,18 +145,22 @@ def count_words(docs: DataFrame, text_col: str, shards: int) -> DataFrame:
 
     def merge(batches):
         for shard, blobs in runs(batches):
-            key, context, n = summed(*(np.concatenate(c) for c in zip(*(unpack_keys(b, "<u2", "<u4") for b in blobs))))
-            total = np.bincount(context, n, minlength=CONTEXTS).astype(np.int64)
-            first = np.concatenate(([True], key[1:] != key[:-1]))
+            held = []
+            for b in blobs:
+                words, run, contexts, at, n = unpack_pairs(b, "<u4")
+                held.append((np.repeat(words, run), contexts[at], n.astype(np.int64)))
+            key, context, n = summed(*(np.concatenate(c) for c in zip(*held)))
+            contexts, at = np.unique(context, return_inverse=True)
+            some = n > 0
+            key, at, n = key[some], at[some], n[some]
             yield pa.record_batch({
-                "shard": pa.array([shard], pa.int32()), "data": pa.array([pack_keys(key, context.astype("<u2"), n.astype("<i8"))], pa.binary()),
-                "words": pa.array([int(first.sum())], pa.int64()), "tokens": pa.array([total.tolist()], pa.list_(pa.int64())),
-                "dishes": pa.array([np.bincount(context, minlength=CONTEXTS).tolist()], pa.list_(pa.int64())),
-                "once": pa.array([int((n == 1).sum())], pa.int64()), "twice": pa.array([int((n == 2).sum())], pa.int64())})
+                "shard": pa.array([shard], pa.int32()), "data": pa.array([pack_pairs(key, contexts, at, n.astype("<i8"))], pa.binary()),
+                "words": pa.array([int((key[1:] != key[:-1]).sum()) + (len(key) > 0)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()),
+                "pairs": pa.array([len(n)], pa.int64()), "once": pa.array([int((n == 1).sum())], pa.int64()), "twice": pa.array([int((n == 2).sum())], pa.int64())})
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "shard int, data binary")
+    rows = docs.select(F.col(text_col).cast("string").alias("t"), learned.alias("l")).mapInArrow(count, "shard int, data binary")
     rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard")
-    return written(rows.mapInArrow(merge, "shard int, data binary, words long, tokens array<long>, dishes array<long>, once long, twice long"), "words")
+    return written(rows.mapInArrow(merge, "shard int, data binary, words long, tokens long, pairs long, once long, twice long"), "words")
 
 
 def runs(batches):
@@ -157,27 +177,23 @@ def runs(batches):
         yield shard, blobs
 
 
-def totals(df: DataFrame, arrays: list[str], numbers: list[str]) -> tuple[dict, dict]:
-    """Sums over all shards: of arrays by position, at most ``CONTEXTS`` rows, and of numbers."""
-    each = df.select(F.posexplode(F.arrays_zip(*arrays)).alias("i", "v")).groupBy("i").agg(*[F.sum(f"v.{a}").alias(a) for a in arrays])
-    out = {a: np.zeros(CONTEXTS) for a in arrays}
-    for r in each.collect():
-        for a in arrays:
-            out[a][r["i"]] = r[a]
-    one = df.agg(*[F.sum(c).alias(c) for c in numbers]).first()
-    return out, {c: one[c] or 0 for c in numbers}
+def numbers(df: DataFrame, names: list[str]) -> dict:
+    one = df.agg(*[F.sum(c).alias(c) for c in names]).first()
+    return {c: one[c] or 0 for c in names}
 
 
 @dataclass
 class Totals:
-    """What the shards share: counts, discounts, and of each sweep the tables of each context, the
-    customers and the tables of the parent."""
+    """What the shards share: numbers, discounts, of each sweep the customers and the tables of the
+    parent, and the totals of the hot contexts as in ``Shard.totals``."""
 
-    tokens: np.ndarray
+    tokens: int
     words: int
     discount: float
     parent_discount: float
-    sweeps: list[tuple[np.ndarray, float, float]] = field(default_factory=list)
+    sweeps: list[tuple[float, float]] = field(default_factory=list)
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    hot_totals: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
 
 def seat(count: np.ndarray, new: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -197,37 +213,62 @@ def seat(count: np.ndarray, new: np.ndarray, discount: float, rng) -> np.ndarray
     return tables
 
 
+class Backs:
+    """Weights of the parent by context; 1 in a context that no training token follows."""
+
+    def __init__(self, contexts: np.ndarray, back: np.ndarray):
+        self.contexts, self.back = contexts, np.append(back, 1.0)
+
+    def __getitem__(self, context) -> np.ndarray:
+        return self.back[found(self.contexts, np.asarray(context, np.uint64))]
+
+
+def found(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of ``values`` in ``ordered``, its length for those that are not there."""
+    at = np.searchsorted(ordered, values)
+    if not len(ordered):
+        return at
+    return np.where(ordered[np.minimum(at, len(ordered) - 1)] == values, at, len(ordered))
+
+
 class Shard:
-    """Seats of the words of one shard, replayed from the totals of the sweeps so far."""
+    """Seats of the words of one shard, replayed from the totals of the sweeps so far.
 
-    def __init__(self, number: int, data: bytes, shared: Totals):
+    ``totals`` has the tokens of the shard's contexts, then a row of their tables at the start and
+    one for each sweep. Without it, it is at the end of ``data``."""
+
+    def __init__(self, number: int, data: bytes, shared: Totals, totals: np.ndarray | None = None):
         self.number, self.shared = number, shared
-        self.key, self.context, self.count = unpack_keys(data, "<u2", "<i8")
-        first = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(self.key) else np.zeros(0, np.int64)
-        self.first = first
-        self.words = self.key[first]
-        self.word = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(self.key)]))))
-        self.tables = np.ones(len(self.key), np.int64)
-        self.customers = np.bincount(self.word, minlength=len(first))
-        self.parent_tables = np.ones(len(first), np.int64)
+        if totals is None:
+            split = int.from_bytes(data[:8], "little")
+            totals, data = opened(data[8 + split:]), data[8:8 + split]
+        self.words, run, self.contexts, self.at, self.count = unpack_pairs(data, "<i8")
+        self.totals = np.frombuffer(totals, "<i8").reshape(-1, len(self.contexts)) if isinstance(totals, bytes) else totals
+        self.word = np.repeat(np.arange(len(self.words)), run)
+        self.tables = np.ones(len(self.count), np.int64)
+        self.customers = np.bincount(self.word, minlength=len(self.words))
+        self.parent_tables = np.ones(len(self.words), np.int64)
+        self.many = np.flatnonzero(self.count > 1)
+
+    @property
+    def context(self) -> np.ndarray:
+        return self.contexts[self.at]
 
     def parent(self, customers, tables, sweep: int):
         """Probability of words in the parent restaurant."""
         d = self.shared.parent_discount
-        _, all_customers, all_tables = self.shared.sweeps[sweep]
+        all_customers, all_tables = self.shared.sweeps[sweep]
         equal = 1.0 / (self.shared.words + 1)
         return (np.maximum(customers - d * tables, 0) + (STRENGTH + d * all_tables) * equal) / (STRENGTH + all_customers)
 
     def sweep(self, number: int) -> None:
         """Sweep ``number`` (from 1), given the totals of the one before."""
-        s, rng = self.shared, np.random.default_rng((SEED, number, self.number))
-        context_tables, _, all_tables = s.sweeps[number - 1]
+        s, rng, many = self.shared, np.random.default_rng((SEED, number, self.number)), self.many
         p = self.parent(self.customers, self.parent_tables, number - 1)
-        weight = (STRENGTH + s.discount * context_tables[self.context]) * p[self.word]
-        many = np.flatnonzero(self.count > 1)
-        self.tables[many] = seat(self.count[many], weight[many], s.discount, rng)
+        weight = (STRENGTH + s.discount * self.totals[number][self.at[many]]) * p[self.word[many]]
+        self.tables[many] = seat(self.count[many], weight, s.discount, rng)
         self.customers = np.bincount(self.word, self.tables, minlength=len(self.words)).astype(np.int64)
-        weight = np.full(len(self.words), (STRENGTH + s.parent_discount * all_tables) / (s.words + 1))
+        weight = np.full(len(self.words), (STRENGTH + s.parent_discount * s.sweeps[number - 1][1]) / (s.words + 1))
         self.parent_tables = seat(self.customers, weight, s.parent_discount, rng)
 
     def predictive(self):
@@ -235,16 +276,19 @@ class Shard:
         an unknown one, the probability in each context where it has no seat, by sweep."""
         s = self.shared
         here, absent = 0.0, []
+        contexts = np.concatenate((self.contexts, s.hot))
+        contexts, first = np.unique(contexts, return_index=True)
         for number in range(1, SWEEPS + 1):
             self.sweep(number)
             if number <= BURN:
                 continue
-            context_tables = s.sweeps[number][0]
-            below = STRENGTH + s.tokens
-            back = (STRENGTH + s.discount * context_tables) / below
+            below, back = STRENGTH + self.totals[0], STRENGTH + s.discount * self.totals[number + 1]
+            back = back / below
             p = np.append(self.parent(self.customers, self.parent_tables, number), self.parent(0, 0, number))
-            here = here + np.maximum(self.count - s.discount * self.tables, 0) / below[self.context] + back[self.context] * p[self.word]
-            absent.append((p, back))
+            here = here + np.maximum(self.count - s.discount * self.tables, 0) / below[self.at] + back[self.at] * p[self.word]
+            if len(s.hot):
+                back = np.concatenate((back, (STRENGTH + s.discount * s.hot_totals[number + 1]) / (STRENGTH + s.hot_totals[0])))
+            absent.append((p, Backs(contexts, back[first])))
         return here / len(absent), absent
 
 
@@ -253,149 +297,282 @@ def away(absent, word, context):
     return sum(p[word] * back[context] for p, back in absent) / len(absent)
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Totals]:
-    """Counts of all rows of ``docs``, and the totals of all sweeps."""
+def seat_rows(counts: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """``counts`` and the answers of the rounds so far, in one table."""
+    rows = counts.select("shard", F.lit(-1).alias("round"), F.lit(-1).alias("owner"), "data")
+    for number, answer in enumerate(answers):
+        rows = rows.unionByName(answer.filter("shard >= 0").select("shard", F.lit(number).alias("round"), "owner", "data"))
+    return rows
+
+
+def with_totals(counts: DataFrame, answers: list[DataFrame], shards: int) -> DataFrame:
+    """The same, a shard's together."""
+    return seat_rows(counts, answers).repartitionById(shards, "shard").sortWithinPartitions("shard", "round")
+
+
+class Gathered:
+    """Counts of a shard and totals of its contexts, as the answers come in."""
+
+    def __init__(self, number: int, data: bytes, shards: int):
+        self.number, self.data, self.totals = number, data, []
+        contexts = unpack_pairs(data)[2]
+        self.size, self.places = len(contexts), dict(by_shard(contexts, shards))
+
+    def add(self, number: int, owner: int, blob: bytes) -> None:
+        while len(self.totals) <= number:
+            self.totals.append(np.zeros((1 if self.totals else 2, self.size), np.int64))
+        self.totals[number][:, self.places[owner]] = np.frombuffer(opened(blob), "<i8").reshape(len(self.totals[number]), -1)
+
+    def table(self) -> np.ndarray:
+        return np.concatenate(self.totals) if self.totals else np.zeros((0, 0), np.int64)
+
+
+def shard_totals(batches, shards: int):
+    """(shard, data, totals) of the rows of ``with_totals``."""
+    held = None
+    for batch in batches:
+        for s, number, owner, blob in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if number >= 0:
+                held.add(number, owner, blob)
+                continue
+            if held:
+                yield held.number, held.data, held.table()
+            held = Gathered(s, blob, shards)
+    if held:
+        yield held.number, held.data, held.table()
+
+
+def exchanged(counts: DataFrame, answers: list[DataFrame], shared: Totals, shards: int) -> DataFrame:
+    """One round: each shard's sums for its contexts (tokens and tables at the start, then tables
+    after a sweep) go to the contexts' owners, and the totals come back as ``shard, owner, data``,
+    those of hot contexts as shard -1. Adds to ``shared``."""
+    spark, number, columns = counts.sparkSession, len(answers), 1 if answers else 2
+    sent = spark.sparkContext.broadcast(shared)
+
+    def ask(batches):
+        for s, data, totals in shard_totals(batches, shards):
+            shard = Shard(s, data, sent.value, totals)
+            for i in range(1, number + 1):
+                shard.sweep(i)
+            sums = [np.bincount(shard.at, v, minlength=len(shard.contexts)).astype("<i8") for v in ([shard.tables] if number else [shard.count, shard.tables])]
+            own = [(o, packed(np.array([len(i)], "<u4"), shard.contexts[i], *(v[i] for v in sums))) for o, i in by_shard(shard.contexts, shards)]
+            yield pa.record_batch({"owner": pa.array([o for o, _ in own], pa.int32()), "shard": pa.array([s] * len(own), pa.int32()),
+                                   "data": pa.array([b for _, b in own], pa.binary()),
+                                   "customers": pa.array([int(shard.customers.sum())] + [0] * (len(own) - 1), pa.int64()),
+                                   "tables": pa.array([int(shard.parent_tables.sum())] + [0] * (len(own) - 1), pa.int64())})
+
+    def answer(batches):
+        def done():
+            ids, inverse = np.unique(np.concatenate([i for _, i, _ in held]), return_inverse=True)
+            sums = np.stack([np.bincount(inverse, np.concatenate([v[c] for _, _, v in held])) for c in range(columns)]).astype("<i8")
+            ends = np.cumsum([len(i) for _, i, _ in held])
+            rows = [(s, packed(sums[:, inverse[e - len(i):e]])) for (s, i, _), e in zip(held, ends)]
+            hot = np.flatnonzero(np.isin(ids, sent.value.hot) if number else sums[0] > sent.value.tokens / HOT_CONTEXTS)
+            if len(hot):
+                rows.append((-1, packed(np.array([len(hot)], "<u4"), ids[hot], sums[:, hot])))
+            return pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int32()), "owner": pa.array([owner] * len(rows), pa.int32()),
+                                    "data": pa.array([r[1] for r in rows], pa.binary()),
+                                    "customers": pa.array([customers] + [0] * (len(rows) - 1), pa.int64()),
+                                    "tables": pa.array([tables] + [0] * (len(rows) - 1), pa.int64())})
+
+        owner, held, customers, tables = None, [], 0, 0
+        for batch in batches:
+            for o, s, data, c, t in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if o != owner and held:
+                    yield done()
+                    held, customers, tables = [], 0, 0
+                data = opened(data)
+                n = int(np.frombuffer(data, "<u4", 1)[0])
+                held.append((s, np.frombuffer(data, "<u8", n, 4), np.frombuffer(data, "<i8", n * columns, 4 + 8 * n).reshape(columns, n)))
+                owner, customers, tables = o, customers + c, tables + t
+        if held:
+            yield done()
+
+    asked = with_totals(counts, answers, shards).mapInArrow(ask, "owner int, shard int, data binary, customers long, tables long")
+    asked = asked.repartitionById(shards, "owner").sortWithinPartitions("owner")
+    out = written(asked.mapInArrow(answer, "shard int, owner int, data binary, customers long, tables long"), "answers")
+    parent = numbers(out, ["customers", "tables"])
+    ids, sums = [np.zeros(0, np.uint64)], [np.zeros((columns, 0), np.int64)]
+    for r in out.filter("shard = -1").select("data").collect():
+        data = opened(r["data"])
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        ids.append(np.frombuffer(data, "<u8", n, 4))
+        sums.append(np.frombuffer(data, "<i8", n * columns, 4 + 8 * n).reshape(columns, n))
+    ids, sums = np.concatenate(ids), np.concatenate(sums, axis=1)
+    order = np.argsort(ids)
+    shared.hot_totals = np.concatenate((shared.hot_totals, sums[:, order])) if number else sums[:, order]
+    shared.hot = ids[order]
+    shared.sweeps.append((float(parent["customers"]), float(parent["tables"])))
+    return out
+
+
+def taught(docs: DataFrame, text_col: str, learned: Column) -> tuple[DataFrame, list[DataFrame], Totals]:
+    """Counts of the ``learned`` rows of ``docs``, answers of all rounds, and what shards share."""
     shards = partitions_of(docs.sparkSession)
-    counts = count_words(docs, text_col, shards)
-    arrays, n = totals(counts, ["tokens", "dishes"], ["words", "once", "twice"])
+    counts = count_words(docs, text_col, shards, learned)
+    n = numbers(counts, ["words", "tokens", "once", "twice"])
     discount = min(0.95, max(0.05, (n["once"] + 1) / (n["once"] + 2 * n["twice"] + 2)))
-    shared = Totals(arrays["tokens"], int(n["words"]), discount, discount)
-    shared.sweeps.append((arrays["dishes"], float(arrays["dishes"].sum()), float(n["words"])))
-    for number in range(1, SWEEPS + 1):
-        sent = docs.sparkSession.sparkContext.broadcast(shared)
-
-        def run(batches, number=number, sent=sent):
-            for batch in batches:
-                for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    shard = Shard(s, data, sent.value)
-                    for i in range(1, number + 1):
-                        shard.sweep(i)
-                    yield pa.record_batch({
-                        "tables": pa.array([np.bincount(shard.context, shard.tables, minlength=CONTEXTS).astype(np.int64).tolist()], pa.list_(pa.int64())),
-                        "customers": pa.array([int(shard.customers.sum())], pa.int64()), "parent": pa.array([int(shard.parent_tables.sum())], pa.int64())})
-
-        swept = written(counts.select("shard", "data").mapInArrow(run, "tables array<long>, customers long, parent long"), "sweep")
-        arrays, n = totals(swept, ["tables"], ["customers", "parent"])
-        shared.sweeps.append((arrays["tables"], float(n["customers"]), float(n["parent"])))
-    return counts, shared
+    shared = Totals(int(n["tokens"]), int(n["words"]), discount, discount)
+    answers = []
+    for _ in range(SWEEPS + 1):
+        answers.append(exchanged(counts, answers, shared, shards))
+    return counts, answers, shared
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Totals]:
+    """Seats of all rows of ``docs`` with the totals of all sweeps, ``shard, data``, and what the
+    shards share."""
+    counts, answers, shared = taught(docs, text_col, F.lit(True))
+    return joined(counts, answers), shared
+
+
+def joined(counts: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    shards = partitions_of(counts.sparkSession)
+
+    def join(batches):
+        for s, data, totals in shard_totals(batches, shards):
+            yield pa.record_batch({"shard": pa.array([s], pa.int32()),
+                                   "data": pa.array([len(data).to_bytes(8, "little") + data + packed(totals.astype("<i8"))], pa.binary())})
+
+    return with_totals(counts, answers, shards).mapInArrow(join, "shard int, data binary")
 
 
 def base(count, shared: Totals):
     """log10 of the add-half share of a token with that training count."""
-    n, v = shared.tokens.sum(), shared.words
+    n, v = shared.tokens, shared.words
     return np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
 
 
-def hot_words(counts: DataFrame, shared: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, counts and log10 probabilities by context of the words above 1 / HOT_WORDS."""
-    limit = shared.tokens.sum() / HOT_WORDS
-    sent = counts.sparkSession.sparkContext.broadcast(shared)
+def pair_code(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return key * np.uint64(0x9E3779B97F4A7C15) + context
+
+
+def hot_pairs(model: DataFrame, shared: Totals) -> tuple[np.ndarray, ...]:
+    """Codes, hashes, contexts, counts of the word and log10 probabilities of the pairs with more
+    than 1 / HOT_PAIRS of the tokens."""
+    limit = shared.tokens / HOT_PAIRS
+    sent = model.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
         for batch in batches:
             for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(s, data, sent.value)
-                total = np.bincount(shard.word, shard.count, minlength=len(shard.words)).astype(np.int64)
-                hot = np.flatnonzero(total > limit)
+                hot = np.flatnonzero(shard.count > max(limit, 1))
                 if not len(hot):
                     continue
-                here, absent = shard.predictive()
-                logs = np.log10(away(absent, hot[:, None], np.arange(CONTEXTS)[None, :]))
-                place = np.full(len(shard.words), -1)
-                place[hot] = np.arange(len(hot))
-                at = np.flatnonzero(place[shard.word] >= 0)
-                logs[place[shard.word[at]], shard.context[at]] = np.log10(here[at])
-                yield pa.record_batch({"key": pa.array(shard.words[hot].view(np.int64)), "n": pa.array(total[hot]),
-                                       "logs": pa.array(logs.tolist(), pa.list_(pa.float64()))})
-
-    rows = counts.select("shard", "data").mapInArrow(run, "key long, n long, logs array<double>").toArrow()
-    key = rows["key"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    logs = np.array(rows["logs"].to_pylist(), float).reshape(len(key), CONTEXTS)
-    return key[order], rows["n"].to_numpy()[order], logs[order]
-
-
-ROUTED = ("task int, place int, id long, held_out boolean, n_tokens long, base double, score double, known long, "
+                here, _ = shard.predictive()
+                total = np.bincount(shard.word, shard.count, minlength=len(shard.words)).astype(np.int64)
+                word = shard.word[hot]
+                yield pa.record_batch({"key": pa.array(shard.words[word].view(np.int64)), "context": pa.array(shard.context[hot].view(np.int64)),
+                                       "n": pa.array(total[word]), "log": pa.array(np.log10(here[hot]))})
+
+    rows = model.select("shard", "data").mapInArrow(run, "key long, context long, n long, log double").toArrow()
+    key, context = (rows[c].to_numpy().view(np.uint64) for c in ("key", "context"))
+    code = pair_code(key, context)
+    order = np.argsort(code)
+    return code[order], key[order], context[order], rows["n"].to_numpy()[order], rows["log"].to_numpy()[order]
+
+
+ROUTED = ("round int, task int, place int, id long, held_out boolean, n_tokens long, base double, score double, known long, "
           "shard int, data binary")
+#: Rounds of tokens and of document rows, which come after those of the seats.
+TOKENS, ROW = 1000, 1001
 
 
-def score(docs: DataFrame, counts: DataFrame, shared: Totals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, answers: list[DataFrame], shared: Totals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
-    ``base_score``, ``score`` and ``perplexity`` per token.
+    ``base_score``, ``score`` and ``perplexity`` per token. The contexts of ``docs`` are those that
+    ``taught`` has seen.
 
-    Frequent words are scored where the text is. The other tokens, doc by doc and packed, go to the
+    Frequent pairs are scored where the text is. The other tokens, doc by doc and packed, go to the
     shard of their word, and the sums of each document come back.
     """
     spark = docs.sparkSession
     shards = partitions_of(spark)
-    sent, hot = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(hot_words(counts, shared))
+    sent, hot = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(hot_pairs(joined(counts, answers), shared))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the shuffle of the seats is let go
 
     def route(batches):
         task, place, held, size = TaskContext.get().partitionId(), 0, [], 0
-        keys, n_hot, logs = hot.value
-        names = ["task", "place", "id", "held_out", "n_tokens", "base", "score", "known", "shard", "data"]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.binary()]
+        codes, keys, hot_contexts, n_hot, logs = hot.value
+        names = ["round", "task", "place", "id", "held_out", "n_tokens", "base", "score", "known", "shard", "data"]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.binary()]
 
         def batch_of(n, **columns):
             return pa.record_batch([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
 
         def close():
             key, context, doc = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((doc, context, key))
+            order = np.argsort(key)
             key, context, doc = key[order], context[order], doc[order]
-            rows = [(s, pack_keys(key[i], context[i].astype("<u2"), doc[i].astype("<u4"))) for s, i in by_shard(key, shards)]
-            return batch_of(len(rows), task=[task] * len(rows), shard=[r[0] for r in rows], data=[r[1] for r in rows])
+            rows = [(s, pack_pairs(key[i], *np.unique(context[i], return_inverse=True), doc[i].astype("<u4"))) for s, i in by_shard(key, shards)]
+            return batch_of(len(rows), round=[TOKENS] * len(rows), task=[task] * len(rows), shard=[r[0] for r in rows], data=[r[1] for r in rows])
 
         for batch in pieces(batches, 1):
-            key, context, lengths = tokens_of(texts_of(batch.column(1)))
+            hashes, contexts, at, before, lengths = numbered(texts_of(batch.column(1)))
             n = batch.num_rows
             doc = np.repeat(np.arange(n), lengths)
-            i = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            frequent = keys[i] == key if len(keys) else np.zeros(len(key), bool)
-            f, r = np.flatnonzero(frequent), np.flatnonzero(~frequent)
-            yield batch_of(n, task=[task] * n, place=np.arange(place, place + n), id=batch.column(0).to_pylist(),
+            pair, token = np.unique(before * max(1, len(hashes)) + at, return_inverse=True)
+            key, context = hashes[pair % len(hashes)], contexts[pair // len(hashes)]
+            i = found(codes, pair_code(key, context))
+            frequent = i < len(codes)
+            i = np.minimum(i, max(0, len(codes) - 1))
+            if len(codes):
+                frequent &= (keys[i] == key) & (hot_contexts[i] == context)
+            f, r = np.flatnonzero(frequent[token]), np.flatnonzero(~frequent[token])
+            i = i[token[f]]
+            yield batch_of(n, round=[ROW] * n, shard=[task % shards] * n, task=[task] * n, place=np.arange(place, place + n), id=batch.column(0).to_pylist(),
                            held_out=batch.column(2).to_pylist(), n_tokens=lengths,
-                           base=np.bincount(doc[f], base(n_hot[i[f]], sent.value), minlength=n) if len(f) else np.zeros(n),
-                           score=np.bincount(doc[f], logs[i[f], context[f]], minlength=n) if len(f) else np.zeros(n),
+                           base=np.bincount(doc[f], base(n_hot[i], sent.value), minlength=n) if len(f) else np.zeros(n),
+                           score=np.bincount(doc[f], logs[i], minlength=n) if len(f) else np.zeros(n),
                            known=np.bincount(doc[f], minlength=n))
-            held.append((key[r], context[r], doc[r] + place))
+            held.append((key[token[r]], context[token[r]], (doc[r] + place).astype(np.uint32)))
             size, place = size + len(r), place + n
-            if size > HELD:
+            if size > HELD // 2:
                 yield close()
                 held, size = [], 0
         if size:
             yield close()
 
     def look_up(batches):
-        shard = here = absent = None
+        held = shard = None
         for batch in batches:
-            for task, number, data, model in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if model is not None:
-                    shard = Shard(number, model, sent.value)
-                    here, absent = shard.predictive()
-                    total = np.bincount(shard.word, shard.count, minlength=len(shard.words)).astype(np.int64)
-                    code = shard.word * 512 + shard.context
+            row = batch.filter(pc.equal(batch.column("round"), ROW))
+            if len(row):
+                yield pa.record_batch([row.column(c) for c in own_columns] + [pa.nulls(len(row), pa.binary())], names=[*own_columns, "sums"])
+            rest = batch.filter(pc.not_equal(batch.column("round"), ROW))
+            for part, owner, task, number, data in zip(*(rest.column(c).to_pylist() for c in ("round", "owner", "task", "shard", "data"))):
+                if part < 0:
+                    held, shard = Gathered(number, data, shards), None
+                    continue
+                if part < TOKENS:
+                    held.add(part, owner, data)
                     continue
-                if shard is None or shard.number != number:  # no training token fell into this shard
-                    shard = Shard(number, pack_keys(np.zeros(0, np.uint64), np.zeros(0, "<u2"), np.zeros(0, "<i8")), sent.value)
+                if shard is None:
+                    shard = Shard(held.number, held.data, sent.value, held.table())
                     here, absent = shard.predictive()
-                    total, code = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                key, context, doc = unpack_keys(data, "<u2", "<u4")
-                word = np.searchsorted(shard.words, key)
-                known = np.zeros(len(key), bool)
-                ok = np.flatnonzero(word < len(shard.words))
-                known[ok] = shard.words[word[ok]] == key[ok]
-                word = np.where(known, word, len(shard.words))
-                p = away(absent, word, context)
-                at = np.searchsorted(code, word * 512 + context)
-                ok = np.flatnonzero(at < len(code))
-                ok = ok[code[at[ok]] == (word * 512 + context)[ok]]
-                p[ok] = here[at[ok]]
-                docs_here, doc = np.unique(doc, return_inverse=True)
-                n = len(docs_here)
-                yield pa.record_batch({"task": pa.array([task], pa.int32()), "sums": pa.array([packed(
-                    np.array([n], "<u4"), docs_here.astype("<u4"), np.bincount(doc, base(np.append(total, 0)[word], sent.value), minlength=n),
-                    np.bincount(doc, np.log10(p), minlength=n), np.bincount(doc, known, minlength=n))], pa.binary())})
+                    total = np.append(np.bincount(shard.word, shard.count, minlength=len(shard.words)).astype(np.int64), 0)
+                    stride = len(shard.contexts) + 1
+                    code = shard.word * stride + shard.at
+                    backs = [(p, back[shard.contexts]) for p, back in absent]
+                if shard.number != number:
+                    raise ValueError("the model has not seen these documents")
+                words, run, contexts, at, doc = unpack_pairs(data, "<u4")
+                place = found(shard.contexts, contexts)
+                if (place == len(shard.contexts)).any():
+                    raise ValueError("the model has not seen these documents")
+                word, context = np.repeat(found(shard.words, words), run), place[at]
+                known = word < len(shard.words)
+                seat_at = found(code, word * stride + context)
+                p = sum(p[word] * back[context] for p, back in backs) / len(backs)
+                ok = np.flatnonzero(seat_at < len(code))
+                p[ok] = here[seat_at[ok]]
+                here_docs = np.flatnonzero(np.bincount(doc))
+                sums = packed(np.array([len(here_docs)], "<u4"), here_docs.astype("<u4"),
+                              *(np.bincount(doc, v)[here_docs] for v in (base(total[word], sent.value), np.log10(p), known)))
+                yield pa.record_batch([pa.array([task], t) if c == "task" else pa.nulls(1, t) for c, t in zip(own_columns, own_types)]
+                                      + [pa.array([sums], pa.binary())], names=[*own_columns, "sums"])
 
     def collect(batches):
         """Rows of a task by place, then its sums."""
@@ -405,14 +582,14 @@ def score(docs: DataFrame, counts: DataFrame, shared: Totals, id_col: str = "doc
             place = t.column("place").to_numpy()
             order = np.argsort(place)
             for data in sums:
-                data = zlib.decompress(data)
+                data = opened(data)
                 n = int(np.frombuffer(data, "<u4", 1)[0])
                 at = order[np.frombuffer(data, "<u4", n, 4)]
                 for k, c in enumerate(cols):
                     c[at] += np.frombuffer(data, "<f8", n, 4 + 4 * n + 8 * n * k)
             n_tokens = t.column("n_tokens").to_numpy()
             return pa.record_batch([t.column("id").combine_chunks(), t.column("held_out").combine_chunks(), pa.array(n_tokens),
-                                    pa.array(cols[2].astype(np.int64)), pa.array(np.full(len(t), int(sent.value.tokens.sum()))),
+                                    pa.array(cols[2].astype(np.int64)), pa.array(np.full(len(t), sent.value.tokens)),
                                     pa.array(cols[0]), pa.array(cols[1]), pa.array(10.0 ** (-cols[1] / n_tokens))],
                                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
@@ -431,14 +608,12 @@ def score(docs: DataFrame, counts: DataFrame, shared: Totals, id_col: str = "doc
         if rows:
             yield done()
 
+    own_columns = ["task", "place", "id", "held_out", "n_tokens", "base", "score", "known"]
+    own_types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), (~in_training(id_col)).alias("h"))
-    routed = written(own.mapInArrow(route, ROUTED), "tokens")
-    models = counts.select(F.lit(None).cast("int").alias("task"), "shard", F.lit(None).cast("binary").alias("data"), F.col("data").alias("model"))
-    tokens = routed.filter("shard IS NOT NULL").select("task", "shard", "data", F.lit(None).cast("binary").alias("model"))
-    sums = (models.unionByName(tokens).repartitionById(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("task"))
-            .mapInArrow(look_up, "task int, sums binary"))
-    rows = routed.filter("shard IS NULL").drop("shard", "data").withColumn("sums", F.lit(None).cast("binary"))
-    back = rows.unionByName(sums, allowMissingColumns=True).select("task", "place", "id", "held_out", "n_tokens", "base", "score", "known", "sums")
+    back = (seat_rows(counts, answers).unionByName(own.mapInArrow(route, ROUTED), allowMissingColumns=True).repartitionById(shards, "shard")
+            .sortWithinPartitions("shard", "round").mapInArrow(look_up, "task int, place int, id long, held_out boolean, n_tokens long, base double, "
+                                                              "score double, known long, sums binary"))
     return (back.repartitionById(shards, F.col("task") % shards).sortWithinPartitions("task")
             .mapInArrow(collect, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                                  "score double, perplexity double").withColumnRenamed("id", id_col))
@@ -452,5 +627,4 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each; other columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    counts, shared = learn(docs.filter(in_training(id_col)), text_col)
-    return score(docs, counts, shared, id_col, text_col)
+    return score(docs, *taught(docs, text_col, in_training(id_col)), id_col, text_col)

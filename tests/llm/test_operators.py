@@ -132,6 +132,16 @@ def test_pitman_yor_probabilities_sum_to_one(spark, frame):
         assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
+def test_pitman_yor_contexts_are_words(frame):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    train = [(1000 + i, t) for i, t in enumerate(["xa b", "ya c", "xa b", "ya c"] * 20)]
+    got = {r["doc_id"]: r["score"] for r in rows(pitman_yor.score_corpus(frame(train + list(zip(held, ["xa b", "xa c", "unseen c"])))))}
+    assert got[held[0]] > got[held[1]] + 1  # both words end in a
+    model, shared = pitman_yor.learn(frame(train))
+    contexts = {c for r in model.collect() for c in pitman_yor.Shard(r["shard"], bytes(r["data"]), shared).contexts.tolist()}
+    assert len(contexts) == 5  # the start and each of four words
+
+
 def test_pitman_yor_odd_rows(frame):
     got = rows(pitman_yor.score_corpus(frame(ODD)))
     assert len(got) == len(ODD) and all(r["score"] <= 0 and r["n_tokens"] >= 1 for r in got)
