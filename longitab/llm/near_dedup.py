@@ -8,8 +8,8 @@ next values, and the cut is made good below.
 
 Links are confirmed on full sets. Candidates are at first the adjacent documents of every region,
 which joins each group of copies into few components. Then, in regions that still hold several
-components, every document outside the region's largest component is compared with all others of
-the region, in bounded blocks. Pairs inside one component cannot change it, so no link between
+components, every document outside the region's largest component that can have a link is compared
+with all others of the region that can, in blocks of two bounded parts. Pairs inside one component cannot change it, so no link between
 components is lost, and no group is ever written out as all its pairs.
 """
 
@@ -189,56 +189,78 @@ def across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def region_pairs(near: DataFrame, labels: DataFrame | None, share: int, k: int | None = None,
-                 among: DataFrame | None = None) -> DataFrame:
-    """Pairs of different components within regions of three or more documents, since the two of a
-    smaller one were adjacent. At least one of a pair is outside the region's largest component;
-    with ``among``, one such is in that table of ids. Sizes and bits must allow a link.
-
-    The documents outside the largest component are sent to every block of the region, the others
-    to one block each. With ``k``, each of the former gives its nearest ``k`` pairs of a block alone;
-    with ``k`` = 0 no pair but the ids that have any, as ``a``.
-    """
-    n = partitions_of(near.sparkSession)
+def mixed_rows(near: DataFrame, labels: DataFrame | None, among: DataFrame | None = None) -> DataFrame:
+    """Rows of regions of three or more documents that hold several components, since the two of a
+    smaller one were adjacent; ``rest`` are those outside the region's largest component. With
+    ``among``, of documents in that table of ids alone."""
     rows = near.filter("size > 2 OR slices > 1").select("tree", "region", "id", "bits0", "bits1", "n")
+    if among is not None:
+        rows = only(rows, among)
     rows = rows.join(labels, "id", "left") if labels is not None else rows.withColumn("component", F.lit(None).cast("long"))
     rows = rows.withColumn("component", F.coalesce("component", "id"))
     parts = rows.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("tree", "region").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("k"),
+    mixed = parts.groupBy("tree", "region").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("k"), F.max("c").alias("most"),
                                                 F.max_by("component", F.struct("c", "component")).alias("main")).filter("k > 1")
-    rows = rows.join(mixed, ["tree", "region"]).withColumn("rest", F.col("component") != F.col("main"))
-    if among is not None:
-        chosen = among.select("id", F.lit(True).alias("_chosen"))
-        rows = rows.join(F.broadcast(chosen) if among.count() <= SMALL else chosen, "id", "left")
-        rows = rows.withColumn("rest", F.col("rest") & F.coalesce("_chosen", F.lit(False)))
-    blocks = F.ceil(F.col("rows") / REGION)
-    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    rows = rows.withColumn("block", F.explode(F.when(F.col("rest"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks)))))
-    keys = ["tree", "region", "block"]
-    rows = rows.select(*keys, "rest", "component", "id", "bits0", "bits1", "n").repartition(n, *keys).sortWithinPartitions(*keys)
+    return rows.join(mixed, ["tree", "region"]).withColumn("rest", F.col("component") != F.col("main"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of ``mixed_rows`` by block: ``left`` ones are compared with ``right`` ones.
+
+    A region of up to ``REGION`` documents is one block. Of a larger one the rest and the largest
+    component are both cut by hash into parts of about ``REGION``, and each two parts of the rest,
+    and each part of the rest and of the largest component, are a block of about 2 * ``REGION``."""
+    rest, n_main = F.col("rest"), F.col("most")
+    parts_rest, parts_main = F.ceil((F.col("rows") - n_main) / REGION), F.ceil(n_main / REGION)
+    own = F.pmod(F.xxhash64("id"), F.when(rest, parts_rest).otherwise(parts_main)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("_rest", (parts_rest - 1).cast("int")).withColumn("_main", (parts_main - 1).cast("int"))
+
+    def block(kind, i, j, left, right):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+
+    zero, yes, no, own = F.lit(0), F.lit(True), F.lit(False), F.col("own")
+    of_rest = F.concat(F.transform(F.sequence(zero, "_rest"), lambda j: block(0, F.least(own, j), F.greatest(own, j), own <= j, own >= j)),
+                       F.transform(F.sequence(zero, "_main"), lambda j: block(1, own, j, yes, no)))
+    of_main = F.transform(F.sequence(zero, "_rest"), lambda i: block(1, i, own, no, yes))
+    blocks = F.when(F.col("rows") <= REGION, F.array(block(0, zero, zero, rest, yes))).when(rest, of_rest).otherwise(of_main)
+    return rows.withColumn("at", F.explode(blocks)).select("tree", "region", "at.*", "component", "id", "bits0", "bits1", "n")
+
+
+def region_pairs(near: DataFrame, labels: DataFrame | None, share: int, k: int | None = None,
+                 among: DataFrame | None = None) -> DataFrame:
+    """Pairs of different components within mixed regions. At least one of a pair is outside the
+    region's largest component; with ``among``, both are in that table of ids. Sizes and bits must
+    allow a link.
+
+    With ``k``, each document outside gives its nearest ``k`` pairs of a block alone; with ``k`` = 0
+    no pair but the ids that have any, as ``a``.
+    """
+    n = partitions_of(near.sparkSession)
+    keys = ["tree", "region", "kind", "i", "j"]
+    rows = dealt(mixed_rows(near, labels, among)).repartition(n, *keys).sortWithinPartitions(*keys)
 
     def compare(t: pa.Table):
-        rest, comp, ids, b0, b1, n_set = (t.column(c).to_numpy() for c in ("rest", "component", "id", "bits0", "bits1", "n"))
-        rest = rest.astype(bool)
+        left, right, comp, ids, b0, b1, n_set = (t.column(c).to_numpy() for c in ("left", "right", "component", "id", "bits0", "bits1", "n"))
+        left, right = left.astype(bool), right.astype(bool)
         b0, b1 = b0.view(np.uint64), b1.view(np.uint64)
-        first = t.column("block")[0].as_py() == 0
-        for at in np.array_split(np.flatnonzero(rest), max(1, int(rest.sum()) // 256)):
-            d = np.bitwise_count(b0[at, None] ^ b0) + np.bitwise_count(b1[at, None] ^ b1)
-            ok = (d <= MAX_BITS) & (comp[at, None] != comp)
-            ok &= (100 * n_set[at, None] >= share * n_set) & (100 * n_set >= share * n_set[at, None])
+        to = np.flatnonzero(right)
+        for at in np.array_split(np.flatnonzero(left), max(1, -(-int(left.sum()) // 128))):
+            d = np.bitwise_count(b0[at, None] ^ b0[to]) + np.bitwise_count(b1[at, None] ^ b1[to])
+            ok = (d <= MAX_BITS) & (comp[at, None] != comp[to])
+            ok &= (100 * n_set[at, None] >= share * n_set[to]) & (100 * n_set[to] >= share * n_set[at, None])
             if k == 0:
-                own = np.concatenate((ids[at[ok.any(axis=1)]], ids[ok.any(axis=0)]))
+                own = np.concatenate((ids[at[ok.any(axis=1)]], ids[to[ok.any(axis=0)]]))
                 yield pa.record_batch({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()), "differ": pa.nulls(len(own), pa.int32())})
                 continue
-            # two of the rest meet in every block; the first one has them
-            ok &= ~rest | ((ids[at, None] < ids) & first)
+            # two that are on both sides meet twice
+            ok &= ~(right[at, None] & left[to]) | (ids[at, None] < ids[to])
             if k is not None and ok.shape[1] > k:
                 near_k = np.argpartition(np.where(ok, d, 255), k - 1, axis=1)[:, :k]
                 chosen_k = np.zeros_like(ok)
                 np.put_along_axis(chosen_k, near_k, True, axis=1)
                 ok &= chosen_k
             i, j = np.nonzero(ok)
-            a, b = ids[at[i]], ids[j]
+            a, b = ids[at[i]], ids[to[j]]
             yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)),
                                    "differ": pa.array(d[i, j].astype(np.int32))})
 
@@ -317,9 +339,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, id
     if more.filter("linked").limit(1).count():
         labels = components(checked.unionByName(more).filter("linked"))
     checked = checked.unionByName(more)
-    # Nearest pairs first, then, of documents that can have a link at all, every pair.
-    for k, among in ((4, None), (None, linkable)):
-        chosen = among(written(region_pairs(near, labels, share, 0).select(F.col("a").alias("id")).distinct(), "ids")) if among else None
+    # Of documents that can have a link at all: nearest pairs first, then every pair.
+    chosen = linkable(written(mixed_rows(near, labels).select("id").distinct(), "ids"))
+    for k in (4, None):
+        if k is None:
+            chosen = linkable(written(region_pairs(near, labels, share, 0, chosen).select(F.col("a").alias("id")).distinct(), "ids"))
         left = written(region_pairs(near, labels, share, k, chosen).join(checked, ["a", "b"], "left_anti"), "pairs")
         if left.limit(1).count():
             last = written(confirmed(left, sets_of(left), share), "links")

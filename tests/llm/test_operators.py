@@ -83,6 +83,20 @@ def test_near_odd_rows(frame):
     assert rows(near_dedup.near_duplicates(frame([]))) == []
 
 
+def test_near_blocks_are_bounded_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 50)
+    near = spark.createDataFrame([(0, 5, i, i % 7, 0, 100, 620, None) for i in range(620)],
+                                 "tree int, region long, id long, bits0 long, bits1 long, n long, size long, slices int")
+    labels = spark.createDataFrame([(i, 500) for i in range(501, 620)], "id long, component long")
+    blocks = near_dedup.dealt(near_dedup.mixed_rows(near, labels))
+    assert blocks.groupBy("tree", "region", "kind", "i", "j").count().agg({"count": "max"}).first()[0] <= 3 * near_dedup.REGION
+    got = [(r["a"], r["b"]) for r in rows(near_dedup.region_pairs(near, labels, 80))]
+    assert sorted(got) == [(a, b) for a in range(500) for b in range(a + 1, 620)]
+    among = spark.range(0, 620, 10).toDF("id")
+    got = [(r["a"], r["b"]) for r in rows(near_dedup.region_pairs(near, labels, 80, None, among))]
+    assert sorted(got) == [(a, b) for a in range(0, 500, 10) for b in range(a + 10, 620, 10)]
+
+
 # -- 2 ------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("hot_rows", [exact_dedup.HOT_ROWS, 1])
 def test_exact_groups(frame, hot_rows):
