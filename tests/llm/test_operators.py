@@ -97,6 +97,11 @@ def test_near_blocks_are_bounded_and_whole(spark, monkeypatch):
     assert sorted(got) == [(a, b) for a in range(0, 500, 10) for b in range(a + 10, 620, 10)]
 
 
+def test_near_bit_filter_misses_less_than_the_forest():
+    tail = sum(math.comb(128, x) * .1 ** x * .9 ** (128 - x) for x in range(near_dedup.MAX_BITS + 1, 129))
+    assert tail < (1 - .8 ** near_dedup.DEPTH) ** near_dedup.TREES
+
+
 # -- 2 ------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("hot_rows", [exact_dedup.HOT_ROWS, 1])
 def test_exact_groups(frame, hot_rows):
