@@ -63,4 +63,59 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLE = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op9_url_rules": OP9, "op10_decontamination": OP10}
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A2Z}), {_TERM}) AS w FROM documents),
+stat AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_A2Z}), {_TERM})) AS t FROM benchmark),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, stat GROUP BY t, n_docs),
+part AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS s FROM tf JOIN w USING (t), stat),
+score AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM q JOIN part USING (t) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM score QUALIFY rank <= 10
+"""
+
+_BIT = "lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"  # fixed value: polynomial of CRC-32
+_CRC = ("list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), "
+        f"lambda h, b: list_reduce(list_prepend(xor(h, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {_BIT}))")
+
+
+def _fields(text: str) -> str:
+    def field(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', {c}) END"
+    return f"sha256(concat({', '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+
+
+#: Trees level by level, proofs and folds along the way of each row; ``way`` holds a source's levels, then the root's.
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT *, xor({_CRC}, 4294967295) % 2 = 0 AS changed, replace(text, chr(10), '') AS now FROM documents),
+leaf AS (SELECT doc_id, source, coalesce('=' || source, '-') AS key, {_fields('text')} AS leaf,
+                CASE WHEN changed THEN {_fields('now')} ELSE {_fields('text')} END AS now FROM d),
+place AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM leaf),
+low AS (SELECT key, 0 AS lvl, pos, n, leaf AS h FROM place
+        UNION ALL SELECT key, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY key, lvl, pos // 3, n),
+sub AS (SELECT key, h, row_number() OVER (ORDER BY encode(key)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS lvl, pos, n, h FROM sub
+         UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 3, n),
+root AS (SELECT h FROM high WHERE n = 1),
+lows AS (SELECT x.key, x.lvl, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l,
+                coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r
+         FROM low x JOIN low y ON x.key = y.key AND x.lvl = y.lvl AND x.pos // 3 = y.pos // 3 WHERE x.n > 1 GROUP BY ALL),
+highs AS (SELECT x.lvl, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l,
+                 coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r
+          FROM high x JOIN high y ON x.lvl = y.lvl AND x.pos // 3 = y.pos // 3 WHERE x.n > 1 GROUP BY ALL),
+up AS (SELECT key, pos AS own, 0 AS lvl, pos, now AS h, '' AS proof FROM place
+       UNION ALL SELECT u.key, u.own, u.lvl + 1, u.pos // 3, sha256(concat(l, h, r)), concat(proof, l, r)
+       FROM up u JOIN lows USING (key, lvl, pos)),
+ends AS (SELECT key, own, max_by(h, lvl) AS h, max_by(proof, lvl) AS proof FROM up GROUP BY ALL),
+on_ AS (SELECT e.key, own, 0 AS lvl, s.pos, e.h, proof FROM ends e JOIN sub s USING (key)
+        UNION ALL SELECT key, own, o.lvl + 1, o.pos // 3, sha256(concat(l, h, r)), concat(proof, l, r) FROM on_ o JOIN highs USING (lvl, pos)),
+done AS (SELECT key, own, max_by(h, lvl) AS h, max_by(proof, lvl) AS proof FROM on_ GROUP BY ALL)
+SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, done.h AS folded_root, done.h = root.h AS verified
+FROM place JOIN done ON done.key = place.key AND own = place.pos JOIN sub ON sub.key = place.key, root
+"""
+
+ORACLE = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op9_url_rules": OP9, "op10_decontamination": OP10, "op11_ball_tree": OP11,
+          "op12_merkle": OP12}

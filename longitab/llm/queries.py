@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longitab.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, pitman_yor, quality, token_files, url_rules
+from longitab.llm import ball_tree, chat, decontaminate, exact_dedup, language, learned_partitions, merkle, near_dedup, packing, pitman_yor
+from longitab.llm import quality, token_files, url_rules
 from longitab.llm.common import table, written
 from longitab.sources.shared import shared_folder
 
@@ -76,4 +77,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_pitman_yor, op4_language, op5_quality, op6_chat, op7_token_files, op8_packing, op9_url_rules, op10_decontamination)}
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id has an even checksum loses the line breaks of its text."""
+    out = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                          changed={"text": F.translate("text", "\n", "")}, when=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return learned_partitions.nearest(rows, rows.filter("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_near_dedup, op2_exact_dedup, op3_pitman_yor, op4_language, op5_quality, op6_chat, op7_token_files, op8_packing, op9_url_rules,
+    op10_decontamination, op11_ball_tree, op12_merkle, op13_learned_partitions)}
