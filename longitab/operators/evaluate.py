@@ -17,6 +17,10 @@ from longitab.functions.small import small_rows
 from longitab.operators.moments import vectors
 
 
+#: Bytes of training rows that one task takes in a step of the optimiser.
+STEP_BYTES = 8 << 20
+
+
 class Perceptron:
     """Scaled features into ``MultilayerPerceptronClassifier``.
 
@@ -40,13 +44,15 @@ class Perceptron:
                 layers=[width, *self.hidden, classes], seed=self.seed, maxIter=self.max_iter)])
 
     def fit(self, train: DataFrame):
-        """The optimiser rereads the rows on every step, so they are held while it runs."""
+        """The optimiser rereads the rows on every step, so they are held while it runs, in as many
+        partitions as their size is worth: a step of a few rows is one task."""
         rows = self._vectors(train.select(self.label, self.features)).select(self.label, "_raw")
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             width = len(rows.select("_raw").first()["_raw"])
-            classes = self.classes or rows.agg(F.max(self.label)).first()[0] + 1
-            model = self.pipeline(width, classes).fit(rows)
+            n, most = rows.agg(F.count("*"), F.max(self.label)).first()
+            parts = max(1, -(-n * width * 8 // STEP_BYTES))
+            model = self.pipeline(width, self.classes or most + 1).fit(rows.coalesce(parts))
         finally:
             rows.unpersist()
         return Fitted(lambda df: model.transform(self._vectors(df))

@@ -7,7 +7,10 @@ that. Two blocks meet in one task and pass on at most ``k + 1`` distances per po
 
 How many blocks are ruled out depends on the data: nearly all for the few components of
 ``project_pair``, few for many unrelated dimensions, where exact search stays quadratic. On
-very large tables run it on projected rows, widest component first.
+very large tables run it on projected rows, widest component first, or with ``tables``: then points
+are hashed several times by random projections, each time into slices of bounded size along the
+order of the hash, and a point is compared, exactly, with its slices. Rows shuffled are then
+``tables`` times the points, whatever the dimension; neighbours that share no slice are missed.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from longitab.functions.draws import normals
 from longitab.functions.ranges import add_slice, cut_points, search, slices_for
 from longitab.functions.small import join_small
 from longitab.operators.fidelity import pair
@@ -30,6 +34,8 @@ BLOCK_ROWS = 1_024
 BROADCAST_CUTS = 2_000_000
 DIGITS = 9
 SLACK = 1e-6
+#: Hashed search: projections of a table, bits of each in the hash, and rows that set its levels.
+DIRECTIONS, BITS, LEVEL_ROWS = 4, 15, 4096
 
 
 def distinct_points(real: DataFrame, synth: DataFrame, features: list[str] | str) -> DataFrame:
@@ -181,13 +187,87 @@ def nearest_rows(queries: DataFrame, blocked: DataFrame, k: int, partitions: int
             .groupBy("point", "d").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
 
 
+def hash_tables(points: DataFrame, tables: int, seed: int) -> DataFrame:
+    """``points`` once per table with ``key``: the interleaved bits of its random projections, each in
+    levels of about equal count. Points near each other in all projections have keys near each
+    other. Levels come from ``LEVEL_ROWS`` points, the first ones by name."""
+    drawn = points.orderBy("point").limit(LEVEL_ROWS).select("x").toArrow()
+    x = vectors(drawn.column(0))
+    d, m = x.shape[1], min(x.shape[1], DIRECTIONS)
+    turns = [np.linalg.qr(normals(seed + t, np.arange(d), m))[0] for t in range(tables)]
+    marks = np.linspace(0, len(x) - 1, min(len(x), 1 << 10)).astype(int)
+    levels = [np.sort(x @ q, axis=0)[marks] for q in turns]
+    top = float((1 << BITS) - 1)
+
+    def keys(x: np.ndarray, q: np.ndarray, level: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(x), np.int64), x @ q
+        grid = np.linspace(0.0, top, len(level))
+        code = np.stack([np.interp(at[:, j], level[:, j], grid) for j in range(m)], axis=1).astype(np.int64)
+        for bit in range(BITS - 1, -1, -1):
+            for j in range(m):
+                out = (out << 1) | ((code[:, j] >> bit) & 1)
+        return out
+
+    @F.arrow_udf("array<bigint>")
+    def hashed(column: pa.Array) -> pa.Array:
+        if not len(column):
+            return pa.array([], pa.list_(pa.int64()))
+        x = vectors(column)
+        made = np.stack([keys(x, q, level) for q, level in zip(turns, levels)], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, tables, dtype=np.int32)), pa.array(made.reshape(-1)))
+
+    return points.select("*", F.posexplode(hashed("x")).alias("table", "key"))
+
+
+def hashed_neighbours(points: DataFrame, size: int, k: int, tables: int, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+    """``point, other, d, n1, n0``: of each point the nearest other points found in any table's slice,
+    enough for ``k`` rows and all at the last distance; ``other`` is the point itself too, at 0.
+
+    A slice has about ``block_rows`` points: the keys of a table are cut into ranges by a sample, and
+    points with one key that fill more than a few slices are dealt by hash."""
+    rows = settle(hash_tables(points, tables, seed))
+    spark = points.sparkSession
+    sizes = spark.createDataFrame([(t, size) for t in range(tables)], "table int, _n bigint")
+    cuts = cut_points(rows, ["table"], F.col("key"), sizes, block_rows, F.col("point"))
+    placed = add_slice(join_small(rows, cuts, ["table"], "left"), "slice", F.col("_cuts"), F.col("key"), slices_for(size, block_rows)).drop("_cuts", "key")
+    over = (placed.groupBy("table", "slice").agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * block_rows)
+            .select("table", "slice", F.ceil(F.col("_n") / block_rows).alias("_parts")))
+    dealt = join_small(placed, over, ["table", "slice"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("point"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+
+    def compare(t: pa.Table) -> pa.Table:
+        x, weight = vectors(t.column("x")), t.column("n1").to_numpy() + t.column("n0").to_numpy()
+        d = squared(x, x)
+        take = min(len(d), k + 1)
+        edge = np.sqrt(np.partition(d, take - 1, axis=1)[:, take - 1]) + SLACK
+        row, column = np.nonzero(d <= (edge * edge)[:, None])
+        near = np.round(np.sqrt(d[row, column]), DIGITS)
+        # Fewer points do where they stand for many rows.
+        order = np.lexsort((near, row))
+        row, column, near = row[order], column[order], near[order]
+        sums = np.cumsum(weight[column])
+        begin = np.searchsorted(row, row, "left")
+        before = np.where(begin > 0, sums[begin - 1], 0)
+        inside = sums - weight[column] - before <= k
+        last = np.zeros(len(x))
+        np.maximum.at(last, row[inside], near[inside])
+        keep = near <= last[row]
+        names, at, to = t.column("point"), pa.array(row[keep]), pa.array(column[keep])
+        return pa.table({"point": names.take(at), "other": names.take(to), "d": pa.array(near[keep]),
+                         "n1": t.column("n1").take(to), "n0": t.column("n0").take(to)})
+
+    found = (dealt.groupBy("table", "slice", "part").applyInArrow(compare, "point string, other string, d double, n1 bigint, n0 bigint"))
+    return found.groupBy("point", "other").agg(F.min("d").alias("d"), F.first("n1").alias("n1"), F.first("n0").alias("n0"))
+
+
 def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str, k: int = 5,
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  block_rows: int = BLOCK_ROWS, tables: int | None = None) -> DataFrame:
     """``source, n, same_share, expected_share``: of the ``k`` nearest rows of a row, the share
     from its own source, and the share expected if both sources were one population.
 
     Distances are compared after rounding to nine digits. Rows tied at the ``k``-th distance
-    count in equal parts, so no order among ties is needed.
+    count in equal parts, so no order among ties is needed. With ``tables`` the search is the hashed
+    one, else exact.
     """
     spread = int(real.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = settle(distinct_points(real, synth, features).repartition(spread, "point"))
@@ -195,10 +275,14 @@ def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str,
                       F.sum("n0").alias("n0")).first()
     if not size["points"]:
         raise ValueError("no rows to compare")
-    blocks = Blocks(points, size["points"], block_rows)
-    blocked = blocks.assign()
-    queries = settle(blocks.reach(own_bounds(blocked, k, blocks.partitions)))
-    found = nearest_rows(queries, blocked, k, blocks.partitions)
+    if tables:
+        found = (hashed_neighbours(points, size["points"], k, tables, block_rows)
+                 .groupBy("point", "d").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
+    else:
+        blocks = Blocks(points, size["points"], block_rows)
+        blocked = blocks.assign()
+        queries = settle(blocks.reach(own_bounds(blocked, k, blocks.partitions)))
+        found = nearest_rows(queries, blocked, k, blocks.partitions)
 
     owners = points.select(F.col("point").alias("_p"), F.inline(F.array(
         F.struct(F.lit("real").alias("source"), F.col("n1").alias("rows")),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longitab.functions.draws import normals
+from longitab.functions.draws import step_normals
 from longitab.functions.hashing import unit_hash
 from longitab.functions.ranges import search
 from longitab.functions.selection import hash_cuts, within_cut
@@ -23,7 +23,7 @@ from longitab.functions.small import small_rows
 from longitab.operators.moments import grouped_moments
 from longitab.operators.prepare import ScaleModel
 from longitab.operators.projection import Projection, pca_inverse
-from longitab.operators.sequences import unpack_sequences
+from longitab.operators.sequences import PACKED, PART_LEN, unpack_sequences
 
 #: Bytes of drawn sequences in one partition, and classes whose moments may reach the driver.
 RANGE_BYTES = 256 << 20
@@ -73,6 +73,12 @@ class SequenceModel:
     def width(self) -> int:
         return self.start_mean.shape[1]
 
+    @property
+    def mean_len(self) -> float:
+        """Visits of a sequence, on average over the classes."""
+        means = [float(np.dot(k, np.diff([0.0, *s]))) for k, s in zip(self.lengths, self.length_share)]
+        return float(np.dot(self.share, means))
+
 
 def shrunk(cov: np.ndarray, n: int) -> np.ndarray:
     """Covariance pulled to a multiple of the identity.
@@ -137,7 +143,7 @@ def fit_sequence_model(seqs: DataFrame, pooled: bool = True, ridge: float = 1e-3
     pair = {r[label]: r for r in sums if not r["start"]}
     sized = visited.select(label, "len")
     if in_parts:
-        entity = next(c for c in seqs.columns if c not in (label, "part", "context", "seq", "mask", "len"))
+        entity = next(c for c in seqs.columns if c not in (label, *PACKED))
         sized = visited.groupBy(entity, label).agg(F.sum(F.col("len") - F.col("context")).cast("int").alias("len"))
     lengths = small_rows(sized.groupBy(label, "len").agg(F.count("*").alias("n")))
     labels = sorted(first)
@@ -192,7 +198,7 @@ def fit_sequence_model(seqs: DataFrame, pooled: bool = True, ridge: float = 1e-3
 def candidates(spark: SparkSession, model: SequenceModel, n: int, seed: int,
                start: int = 0) -> DataFrame:
     """``entity_id, label``: ids ``start .. start+n-1``, class drawn from the real shares."""
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * max(1, model.max_len * model.width * 8) / RANGE_BYTES))
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * max(1, model.mean_len * model.width * 8) / RANGE_BYTES))
     running = F.array(*[F.lit(float(s)) for s in np.cumsum(model.share)])
     names = F.array(*[F.lit(c).cast(model.label_type) for c in model.labels])
     at = F.least(search(running, unit_hash("entity_id", f"{seed}|class"), len(model.labels)),
@@ -201,61 +207,94 @@ def candidates(spark: SparkSession, model: SequenceModel, n: int, seed: int,
             .withColumn("label", F.get(names, at)))
 
 
-def draw_sequences(ids: DataFrame, model: SequenceModel, seed: int) -> DataFrame:
-    """A sequence for each ``entity_id, label``; each depends on ``(seed, entity_id, label)`` only."""
-    p, max_len = model.width, model.max_len
+def draw_parts(ids: DataFrame, model: SequenceModel, seed: int, part_len: int = PART_LEN) -> DataFrame:
+    """A sequence for each ``entity_id, label`` as parts: ``entity_id, label, part, context, first,
+    seq, len``, laid out as by ``pack_parts``.
+
+    Only the visits that a sequence has are drawn. A step's draw depends on ``(seed, entity_id,
+    label, step)`` alone and the last visit is handed from part to part, so the visits are the same
+    for any ``part_len`` and a task holds ``DRAW_ROWS`` parts, however long a sequence is.
+    """
+    if part_len < 2:
+        raise ValueError("a part holds two visits at least")
+    p, stride = model.width, part_len - 1
     place = F.array_position(F.array(*[F.lit(c).cast(model.label_type) for c in model.labels]),
                              F.col("label")).cast("int") - 1
     u = unit_hash("entity_id", f"{seed}|len")
     seen = F.array(*[F.array(*[F.lit(int(k)) for k in ks]) for ks in model.lengths])
     running = F.array(*[F.array(*[F.lit(float(s)) for s in ss]) for ss in model.length_share])
     own = F.get(running, F.col("_c"))
-    length = F.get(F.get(seen, F.col("_c")), F.least(search(own, u, max_len), F.size(own) - 1))
+    length = F.get(F.get(seen, F.col("_c")), F.least(search(own, u, max(map(len, model.lengths))), F.size(own) - 1))
     rows = (ids.select("entity_id", "label").withColumn("_c", place)
             .filter(F.col("_c") >= 0).withColumn("len", length))
     schema = T.StructType([
         T.StructField("entity_id", T.LongType()), T.StructField("label", ids.schema["label"].dataType),
-        T.StructField("seq", T.ArrayType(T.ArrayType(T.DoubleType()))),
-        T.StructField("mask", T.ArrayType(T.BooleanType())), T.StructField("len", T.IntegerType())])
+        T.StructField("part", T.LongType()), T.StructField("context", T.IntegerType()), T.StructField("first", T.LongType()),
+        T.StructField("seq", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("len", T.IntegerType())])
     start_mean, start_root = model.start_mean, model.start_root
     transition, intercept, noise_root = model.transition, model.intercept, model.noise_root
 
-    def simulate(entity, place, length):
-        shocks = normals(seed, entity, max_len * p).reshape(len(entity), max_len, p)
-        out = np.zeros((len(entity), max_len, p))
+    def advance(x, entity, place, begin, steps):
+        """The ``steps`` visits from number ``begin`` (from 0) on, after visit ``x``."""
+        shocks = step_normals(seed, entity, begin, steps, p)
+        out = np.empty((len(entity), steps, p))
         for c in np.unique(place):
             rows = np.flatnonzero(place == c)
-            x = start_mean[c] + shocks[rows, 0] @ start_root[c].T
-            out[rows, 0] = x
-            for t in range(1, max_len):
-                x = intercept[c] + x @ transition[c].T + shocks[rows, t] @ noise_root[c].T
-                out[rows, t] = x
-        real = np.arange(max_len)[None, :] < length[:, None]
-        out[~real] = 0.0
-        return out, real
+            now = x[rows] if begin else None
+            for t in range(steps):
+                if begin + t == 0:
+                    now = start_mean[c] + shocks[rows, 0] @ start_root[c].T
+                else:
+                    now = intercept[c] + now @ transition[c].T + shocks[rows, t] @ noise_root[c].T
+                out[rows, t] = now
+        return out
 
     def run(batches):
         for batch in batches:
-            for part in (batch.slice(i, DRAW_ROWS) for i in range(0, batch.num_rows, DRAW_ROWS)):
-                entity, place, length = (part.column(i).to_numpy(zero_copy_only=False)
-                                         for i in (0, 2, 3))
-                out, real = simulate(entity, place, length)
-                n = len(entity)
-                visits = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, (n * max_len + 1) * p, p, dtype=np.int32)), pa.array(out.reshape(-1)))
-                ends = pa.array(np.arange(0, (n + 1) * max_len, max_len, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.ListArray.from_arrays(ends, visits),
-                     pa.ListArray.from_arrays(ends, pa.array(real.reshape(-1))),
-                     pa.array(length, pa.int32())], names=schema.names)
+            for rows in (batch.slice(i, DRAW_ROWS) for i in range(0, batch.num_rows, DRAW_ROWS)):
+                # Longest first: those that go on are the first ones.
+                length = rows.column(3).to_numpy(zero_copy_only=False)
+                rows = rows.take(pa.array(np.argsort(-length, kind="stable")))
+                entity, place, length = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+                part, begin, x = 0, 0, None
+                while n := int((length > begin).sum()):
+                    context = int(part > 0)
+                    steps = min(part_len - context, int(length[0]) - begin)
+                    out = advance(x, entity[:n], place[:n], begin, steps)
+                    if context:
+                        out = np.concatenate([x[:n, None], out], axis=1)
+                    size = np.minimum(steps, length[:n] - begin) + context
+                    flat = out[np.arange(steps + context)[None, :] < size[:, None]]
+                    visits = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + p, p, dtype=np.int32)), pa.array(flat.reshape(-1)))
+                    ends = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0).slice(0, n), rows.column(1).slice(0, n), pa.array(np.full(n, part, np.int64)),
+                         pa.array(np.full(n, context, np.int32)), pa.array(np.full(n, part * stride + 1, np.int64)),
+                         pa.ListArray.from_arrays(ends, visits), pa.array(size.astype(np.int32))], names=schema.names)
+                    part, begin, x = part + 1, begin + steps, out[:, -1]
 
     return rows.select("entity_id", "label", "_c", "len").mapInArrow(run, schema)
 
 
+def draw_sequences(ids: DataFrame, model: SequenceModel, seed: int) -> DataFrame:
+    """A sequence for each ``entity_id, label`` in one row, filled with zeros to the longest length
+    of the model: ``entity_id, label, seq, mask, len``. The visits are those of ``draw_parts``."""
+    whole = draw_parts(ids, model, seed, max(2, model.max_len))
+    rest = F.lit(model.max_len) - F.col("len")
+    blank = F.array(*[F.lit(0.0)] * model.width)
+    return whole.select("entity_id", "label", F.concat("seq", F.array_repeat(blank, rest)).alias("seq"),
+                        F.concat(F.array_repeat(F.lit(True), F.col("len")), F.array_repeat(F.lit(False), rest)).alias("mask"), "len")
+
+
+def _draw(ids: DataFrame, model: SequenceModel, seed: int, part_len: int | None) -> DataFrame:
+    return draw_sequences(ids, model, seed) if part_len is None else draw_parts(ids, model, seed, part_len)
+
+
 def synthesize(spark: SparkSession, model: SequenceModel, n: int, seed: int,
-               start: int = 0) -> DataFrame:
-    """``n`` synthetic sequences with the real class shares: ``entity_id, label, seq, mask, len``."""
-    return draw_sequences(candidates(spark, model, n, seed, start), model, seed)
+               start: int = 0, part_len: int | None = None) -> DataFrame:
+    """``n`` synthetic sequences with the real class shares: ``entity_id, label, seq, mask, len``, or,
+    with ``part_len``, their parts."""
+    return _draw(candidates(spark, model, n, seed, start), model, seed, part_len)
 
 
 def decode(synth: DataFrame, limits: ScaleModel, projection: Projection | None = None,
@@ -303,9 +342,10 @@ class Population:
     rounds: int
 
 
-def populate(spark: SparkSession, model: SequenceModel, plan: DataFrame, seed: int) -> Population:
+def populate(spark: SparkSession, model: SequenceModel, plan: DataFrame, seed: int, part_len: int | None = None) -> Population:
     """Draw candidates on fresh id ranges and reject to what is still missing, until the plan is
     met for every class that the model knows. The targets of other classes are the ``shortfall``.
+    With ``part_len`` the sequences come in parts.
 
     A class is a function of the id, so candidates are rejected before their sequences are
     drawn: only accepted ids are simulated. Per round a few rows of counts reach the driver.
@@ -330,4 +370,4 @@ def populate(spark: SparkSession, model: SequenceModel, plan: DataFrame, seed: i
     ids = parts[0]
     for part in parts[1:]:
         ids = ids.unionByName(part)
-    return Population(draw_sequences(ids, model, seed), {c: m for c, m in missing.items() if m}, rounds)
+    return Population(_draw(ids, model, seed, part_len), {c: m for c, m in missing.items() if m}, rounds)

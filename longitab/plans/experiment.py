@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longitab.functions.ranges import number_rows
 from longitab.operators.evaluate import class_metrics, compare, confusion, mlp, sequence_mlp, tstr
 from longitab.operators.fidelity import fidelity_report
 from longitab.operators.prepare import class_profile, fit_scale
 from longitab.operators.projection import pca_fit, pca_transform
-from longitab.operators.sequences import pack_sequences, sequence_features, static_features
+from longitab.operators.sequences import PART_LEN, order_features, pack_parts, pack_sequences, starts, static_features
 from longitab.operators.split import split_entities
 from longitab.operators.synthesis import class_plan, decode, fit_sequence_model, populate
 from longitab.sources.records import write_phase
@@ -24,7 +25,8 @@ PHASES = {"phase1": "proportional", "phase2": "near_balanced"}
 @dataclass(frozen=True)
 class Config:
     """Settings of one run. ``label`` is a dense class index, the same for every visit of an
-    entity. ``max_len`` cuts sequences; by default every visit stays. All models share seed, hidden layers and iterations, so that only rows and
+    entity. Sequences are held in parts of ``part_len`` visits; ``max_len`` cuts them instead, and by
+    default every visit stays. ``pairs`` are those of ``order_features``. All models share seed, hidden layers and iterations, so that only rows and
     features differ. Give ``k`` or ``share`` for the number of components."""
 
     features: list[str]
@@ -35,6 +37,8 @@ class Config:
     label: str = "label"
     order: list[str] = field(default_factory=lambda: ["step"])
     max_len: int | None = None
+    part_len: int = PART_LEN
+    pairs: str = "all"
     frac: float = 0.7
     lam: float = 0.9
     pooled: bool = True
@@ -59,8 +63,11 @@ def prepare(visits: DataFrame, cfg: Config) -> Prepared:
     train = split_entities(visits, cfg.entity, cfg.frac, cfg.seed).filter("side = 'train'")
     projection = pca_fit(train, cfg.features, k=cfg.k, share=cfg.share)
     limits = fit_scale(train, cfg.features)
-    packed = pack_sequences(pca_transform(visits, projection), cfg.entity, cfg.order, "components",
-                            cfg.max_len, cfg.label)
+    rows = pca_transform(visits, projection)
+    if cfg.max_len is None:
+        packed = pack_parts(rows, cfg.entity, cfg.order, "components", cfg.part_len, cfg.label)
+    else:
+        packed = pack_sequences(rows, cfg.entity, cfg.order, "components", cfg.max_len, cfg.label).drop("dropped")
     packed = settle(packed.withColumnsRenamed({cfg.entity: "entity_id", cfg.label: "label"}))
     sided = split_entities(packed, "entity_id", cfg.frac, cfg.seed)
     return Prepared(sided.filter("side = 'train'").drop("side"),
@@ -71,11 +78,11 @@ def generate(prepared: Prepared, cfg: Config) -> dict[str, DataFrame]:
     """Synthetic sequences of both phases; each phase has its own seed."""
     spark = prepared.train.sparkSession
     model = fit_sequence_model(prepared.train, cfg.pooled)
-    profile = class_profile(prepared.train, "label")
+    profile = class_profile(starts(prepared.train), "label")
     out = {}
     for i, (phase, mode) in enumerate(PHASES.items()):
         plan = class_plan(profile, cfg.n, mode, cfg.lam)
-        population = populate(spark, model, plan, cfg.seed + i)
+        population = populate(spark, model, plan, cfg.seed + i, cfg.part_len if cfg.max_len is None else None)
         if population.shortfall:
             raise ValueError(f"no model for classes of the plan: {population.shortfall}")
         out[phase] = settle(population.rows)
@@ -84,19 +91,25 @@ def generate(prepared: Prepared, cfg: Config) -> dict[str, DataFrame]:
     return out
 
 
+def training_visits(visits: DataFrame, cfg: Config) -> DataFrame:
+    """The training side as it was given, in real units: ``entity_id, label, step`` and features."""
+    train = split_entities(visits, cfg.entity, cfg.frac, cfg.seed).filter("side = 'train'")
+    rows = number_rows(train, [cfg.entity], cfg.order, "step") if cfg.order != ["step"] else train
+    return rows.select(F.col(cfg.entity).alias("entity_id"), F.col(cfg.label).alias("label"), "step", *cfg.features)
+
+
 def phase_fidelity(visits: DataFrame, cfg: Config) -> DataFrame:
-    """``fidelity_report`` of both generated phases, decoded to real units, against the training side."""
+    """``fidelity_report`` of both generated phases, decoded to real units, against the training visits
+    as they were given: what the projection loses shows as a distance too."""
     prepared = prepare(visits, cfg)
-    keep = ["entity_id", "label"]
-    real = decode(prepared.train.select(*keep, "seq", "mask"), prepared.limits, prepared.projection)
     phases = {p: decode(s, prepared.limits, prepared.projection) for p, s in generate(prepared, cfg).items()}
-    return fidelity_report(real, phases, cfg.features)
+    return fidelity_report(training_visits(visits, cfg), phases, cfg.features)
 
 
 def run_experiment(visits: DataFrame, cfg: Config) -> DataFrame:
     """``model, train_source, metric, label, value`` for M1 to M4 on one real test set.
 
-    M1 static on real, M2 static on phase 1, M3 static on phase 2, M4 sequence features on
+    M1 static on real, M2 static on phase 1, M3 static on phase 2, M4 order features on
     phase 2. Overall metrics have a null label.
     """
     prepared = prepare(visits, cfg)
@@ -108,7 +121,7 @@ def run_experiment(visits: DataFrame, cfg: Config) -> DataFrame:
     runs = [("M1", "real", static, prepared.train, static_features),
             ("M2", "phase1", static, phases["phase1"], static_features),
             ("M3", "phase2", static, phases["phase2"], static_features),
-            ("M4", "phase2", order, phases["phase2"], sequence_features)]
+            ("M4", "phase2", order, phases["phase2"], lambda df: order_features(df, pairs=cfg.pairs))]
     results = []
     for name, source, est, train, features in runs:
         pred = tstr(est, features(train), features(prepared.test))

@@ -150,6 +150,22 @@ def _sequence_features() -> str:
       UNION ALL SELECT user_id, CAST(4 * (SELECT m FROM m) + j AS INTEGER), round(coalesce(lp, 0), 5) FROM agg"""
 
 
+def _order_features() -> str:
+    """Mean, last visit, mean step, iterated sums and products of steps, by position."""
+    now, was, d = ("value", "k"), ("pv", "pk"), ("value - pv", "k - pk")
+    columns = [f"avg({x})" for x in now] + [f"max_by({x}, step)" for x in now] + [f"(max_by({x}, step) - min_by({x}, step)) / s" for x in now]
+    columns += [f"(coalesce(sum({was[i]} * ({d[j]})), 0) - min_by({now[i]}, step) * (max_by({now[j]}, step) - min_by({now[j]}, step))) / s"
+                for i in range(2) for j in range(2)]
+    columns += [f"coalesce(sum(({d[i]}) * ({d[j]})), 0) / s" for i, j in ((0, 0), (0, 1), (1, 1))]
+    steps = "greatest(count(*) - 1, 1)"
+    listed = ", ".join(f"({c.replace('/ s', f'/ {steps}')}) * count(*) * {steps}" for c in columns)
+    return f"""WITH {STEPPED},
+      l AS (SELECT user_id, step, value, k, lag(value) OVER w AS pv, lag(k) OVER w AS pk FROM stepped
+            WINDOW w AS (PARTITION BY user_id ORDER BY step)),
+      f AS (SELECT user_id, [{listed}]::DOUBLE[] AS f FROM l GROUP BY 1)
+      SELECT user_id, CAST(unnest(range(len(f))) AS INTEGER) AS pos, round(unnest(f), 5) AS value FROM f"""
+
+
 GAPPY = "CASE WHEN event_type <> 'error' THEN value END"
 
 ORDERED = """o AS (SELECT o_custkey, o_orderkey, c_mktsegment, quantity, n_lines, o_totalprice::DOUBLE AS o_totalprice,
@@ -175,7 +191,36 @@ def draws(source: str, entity: str, label: str) -> str:
         FROM drawn d JOIN ll ON ll.label = d.label GROUP BY 1, 2"""
 
 
+def two_axes(where: str = "TRUE") -> str:
+    """Standardising step and correlation of two features. The axes of a 2 x 2 correlation matrix are
+    (1, 1) and (1, -1) over the root of two, with shares (1 + r) / 2 and (1 - r) / 2."""
+    return f"""s AS (SELECT avg(l_quantity) AS ma, stddev_samp(l_quantity) AS wa, avg(l_extendedprice) AS mb,
+                    stddev_samp(l_extendedprice) AS wb, corr(l_quantity, l_extendedprice) AS r FROM lineitem WHERE {where}),
+      z AS (SELECT l_orderkey, l_linenumber, l_linestatus, (l_quantity - ma) / wa AS a, (l_extendedprice - mb) / wb AS b, r FROM lineitem, s),
+      p AS (SELECT *, (a + sign(r) * b) / sqrt(2::DOUBLE) AS c1, (a - sign(r) * b) / sqrt(2::DOUBLE) AS c2 FROM z)"""
+
+
 ORACLE = {
+    "pca_two_axes": f"""WITH {two_axes()}
+        SELECT CAST(c AS INTEGER) AS component, f AS feature,
+               round(CASE WHEN f = 'l_quantity' THEN 1 WHEN c = 1 THEN sign(r) ELSE -sign(r) END / sqrt(2::DOUBLE), 9) AS weight,
+               round((CASE WHEN c = 1 THEN 1 + abs(r) ELSE 1 - abs(r) END) / 2, 9) AS share,
+               round(CASE WHEN c = 1 THEN (1 + abs(r)) / 2 ELSE 1 END, 9) AS running_share
+        FROM s, range(1, 3) AS t(c), (VALUES ('l_quantity'), ('l_extendedprice')) AS n(f)""",
+    "pca_two_scores": f"WITH {two_axes()} SELECT l_orderkey, l_linenumber, round(c1, 6) AS pc1, round(c2, 6) AS pc2 FROM p",
+    "pca_two_inverse": f"""WITH {two_axes()} SELECT l_orderkey, l_linenumber, round(c1 / sqrt(2::DOUBLE) * wa + ma, 4) AS l_quantity,
+        round(sign(p.r) * c1 / sqrt(2::DOUBLE) * wb + mb, 4) AS l_extendedprice FROM p, s""",
+    "project_pair_lines": f"""WITH {two_axes("l_linestatus = 'F'")} SELECT l_orderkey, l_linenumber,
+        CASE WHEN l_linestatus = 'F' THEN 'real' ELSE 'synth' END AS source, round(c1, 6) AS pc1, round(c2, 6) AS pc2 FROM p""",
+    "projection_overlap_lines": f"""WITH {two_axes("l_linestatus = 'F'")},
+        c AS (SELECT floor(c1 / 0.37::DOUBLE) AS cx, floor(c2 / 0.37::DOUBLE) AS cy, count(*) FILTER (l_linestatus = 'F') AS n1,
+              count(*) FILTER (l_linestatus <> 'F') AS n0 FROM p GROUP BY 1, 2)
+        SELECT round(sum(least(n1::DOUBLE / (SELECT sum(n1) FROM c), n0::DOUBLE / (SELECT sum(n0) FROM c))), 9) AS overlap,
+            count(*) AS cells, count(*) FILTER (n1 > 0 AND n0 > 0) AS shared_cells, 0 AS nulls FROM c""",
+    "median_impute": f"""WITH g AS (SELECT event_id, user_id, {GAPPY} AS value, CASE WHEN event_type <> 'view' THEN {K} END AS k FROM events),
+        m AS (SELECT median(value) AS mv, median(k) AS mk FROM g WHERE {unit("user_id")} < 0.7::DOUBLE)
+        SELECT event_id, round(coalesce(value, mv), 6) AS value, round(coalesce(k, mk), 6) AS k FROM g, m""",
+
     "orders_pack": f"WITH {ORDERED} SELECT o_custkey, c_mktsegment, visit, quantity, n_lines, o_totalprice FROM o",
     "orders_lags": f"WITH {ORDERED} SELECT o_orderkey, visit AS step, " + ", ".join(
         f"round({f} - lag({f}) OVER (PARTITION BY o_custkey ORDER BY visit), 4) AS d_{f}" for f in ORDER_FEATURES) + " FROM o",
@@ -245,6 +290,7 @@ ORACLE = {
         CASE WHEN {unit("user_id")} < 0.7::DOUBLE THEN 'train' ELSE 'test' END AS side FROM events""",
     "static_last_visit": f"WITH {PACKED} SELECT user_id, label, value, k FROM packed WHERE step = len",
     "sequence_features": _sequence_features(),
+    "order_features": _order_features(),
     "visit_differences": f"""WITH {STEPPED}
         SELECT event_id, step, round(value - lag(value) OVER w, 6) AS d_value, round(k - lag(k) OVER w, 6) AS d_k
         FROM stepped WINDOW w AS (PARTITION BY user_id ORDER BY step)""",

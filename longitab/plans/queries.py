@@ -147,6 +147,15 @@ def mean_impute(spark, sf_dir):
     return rounded(out.select("event_id", "value"), 6, "value")
 
 
+def median_impute(spark, sf_dir):
+    """Nulls of two features filled by the exact medians of the training side."""
+    rows = (_gappy(spark, sf_dir).withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("double"))
+            .withColumn("k", F.when(F.col("event_type") != "view", F.col("k"))))
+    train = sp.split_entities(rows, "user_id").filter("side = 'train'")
+    out = pr.impute(rows, ["value", "k"], "median", train=train)
+    return rounded(out.select("event_id", "value", "k"), 6, "value", "k")
+
+
 def label_index(spark, sf_dir):
     rows = table(spark, sf_dir, "customer", CUSTOMER)
     return pr.encode_label(rows, "c_mktsegment").select("c_custkey", "c_mktsegment", "label")
@@ -226,9 +235,54 @@ def pca_row_norms(spark, sf_dir):
     return scores.select("vec_id", F.round(squares, 5).alias("norm2"))
 
 
+TWO = ["l_quantity", "l_extendedprice"]
+
+
+def _two(spark, sf_dir):
+    rows = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_linestatus", *TWO)
+    return rows, pj.pca_fit(rows, TWO, k=2)
+
+
+def pca_two_axes(spark, sf_dir):
+    """Axes and variance shares of two features, which have a closed form."""
+    model = _two(spark, sf_dir)[1]
+    out = pj.axis_weights(model, spark).join(pj.explained_variance(model, spark), "component")
+    return rounded(out, 9, "weight", "share", "running_share")
+
+
+def pca_two_scores(spark, sf_dir):
+    rows, model = _two(spark, sf_dir)
+    out = pj.pca_transform(rows, model).select("l_orderkey", "l_linenumber", *[
+        F.get("components", F.lit(i)).alias(f"pc{i + 1}") for i in range(2)])
+    return rounded(out, 6, "pc1", "pc2")
+
+
+def pca_two_inverse(spark, sf_dir):
+    """Back from one component: what the projection keeps of two features."""
+    rows = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", *TWO)
+    model = pj.pca_fit(rows, TWO, k=1)
+    return rounded(pj.pca_inverse(pj.pca_transform(rows, model), model).drop("components"), 4, *TWO)
+
+
+def project_pair_lines(spark, sf_dir):
+    """Axes of the finished lines; finished and open lines projected."""
+    real, synth = statuses(_two(spark, sf_dir)[0])
+    out = fi.project_pair(real, synth, TWO, 2, ["l_orderkey", "l_linenumber"])
+    return rounded(out, 6, "pc1", "pc2")
+
+
+def projection_overlap_lines(spark, sf_dir):
+    real, synth = statuses(_two(spark, sf_dir)[0])
+    return rounded(fi.grid_overlap(fi.project_pair(real, synth, TWO, 2), 0.37), 9, "overlap")
+
+
 def _packed(spark, sf_dir):
     return sq.pack_sequences(visits(spark, sf_dir), "user_id", ["ts", "event_id"], ["value", "k"],
-                             label="label")
+                             label="label", pad=True)
+
+
+def _parts(spark, sf_dir):
+    return sq.pack_parts(visits(spark, sf_dir), "user_id", ["ts", "event_id"], ["value", "k"], sq.PART_LEN, "label")
 
 
 def pack_events(spark, sf_dir):
@@ -271,6 +325,16 @@ def sequence_features(spark, sf_dir):
             .withColumn("value", F.round("value", 5)))
 
 
+def order_features(spark, sf_dir):
+    """Iterated sums of the visits of each user, merged over parts of 16 visits; times visits and
+    steps, so that they are short decimals."""
+    rows = visits(spark, sf_dir)
+    out = sq.order_features(sq.pack_parts(rows, "user_id", ["ts", "event_id"], ["value", "k"], 16, "label"))
+    sizes = rows.groupBy("user_id").agg((F.count("*") * F.greatest(F.count("*") - 1, F.lit(1))).alias("n"))
+    return (out.join(sizes, "user_id").select("user_id", F.posexplode("features").alias("pos", "value"), "n")
+            .select("user_id", "pos", F.round(F.col("value") * F.col("n"), 5).alias("value")))
+
+
 def visit_differences(spark, sf_dir):
     out = sq.visit_differences(stepped(visits(spark, sf_dir)), "user_id", "step", ["value", "k"])
     return rounded(out.select("event_id", "step", "d_value", "d_k"), 6, "d_value", "d_k")
@@ -296,8 +360,8 @@ ORDER_FEATURES = ["quantity", "n_lines", "o_totalprice"]
 def orders_pack(spark, sf_dir):
     """All orders of all customers, packed in parts of eight and read back part by part."""
     parts = sq.pack_parts(order_visits_of_customers(spark, sf_dir), "o_custkey", ["o_orderdate", "o_orderkey"], ORDER_FEATURES, 8, "c_mktsegment")
-    rows = sq.unpack_sequences(parts, ORDER_FEATURES, ["o_custkey", "c_mktsegment", "part", "context"]).filter("step > context")
-    return rows.select("o_custkey", "c_mktsegment", (F.col("part") * 7 + F.col("step")).alias("visit"), *ORDER_FEATURES)
+    rows = sq.unpack_sequences(parts, ORDER_FEATURES, ["o_custkey", "c_mktsegment"])
+    return rows.select("o_custkey", "c_mktsegment", F.col("step").alias("visit"), *ORDER_FEATURES)
 
 
 def orders_lags(spark, sf_dir):
@@ -307,10 +371,11 @@ def orders_lags(spark, sf_dir):
 
 
 def orders_draws(spark, sf_dir):
-    """Class and length of two synthetic customers for each real one."""
-    seqs = settle(sq.pack_sequences(order_visits_of_customers(spark, sf_dir), "o_custkey", ["o_orderdate", "o_orderkey"], ORDER_FEATURES, label="c_mktsegment")
+    """Class and length of two synthetic customers for each real one, fitted and drawn in parts."""
+    seqs = settle(sq.pack_parts(order_visits_of_customers(spark, sf_dir), "o_custkey", ["o_orderdate", "o_orderkey"], ORDER_FEATURES, 8, "c_mktsegment")
                   .withColumnRenamed("c_mktsegment", "label"))
-    return sy.synthesize(spark, sy.fit_sequence_model(seqs), 2 * seqs.count(), SEED).select("entity_id", "label", "len")
+    drawn = sy.synthesize(spark, sy.fit_sequence_model(seqs), 2 * sq.starts(seqs).count(), SEED, part_len=8)
+    return drawn.groupBy("entity_id", "label").agg(F.sum(F.col("len") - F.col("context")).cast("int").alias("len"))
 
 
 def split_null_class(spark, sf_dir):
@@ -362,19 +427,19 @@ def var1_moments(spark, sf_dir):
 
 
 def _population(spark, sf_dir, mode="near_balanced"):
-    """Ten synthetic sequences per user, so the work follows the table."""
-    seqs = settle(_packed(spark, sf_dir))
+    """Ten synthetic sequences per user in parts, so the work follows the table."""
+    seqs = settle(_parts(spark, sf_dir))
     model = sy.fit_sequence_model(seqs)
-    profile = pr.class_profile(seqs, "label")
-    n = 10 * seqs.count()
-    population = sy.populate(spark, model, sy.class_plan(profile, n, mode), SEED)
+    profile = pr.class_profile(sq.starts(seqs), "label")
+    n = 10 * sq.starts(seqs).count()
+    population = sy.populate(spark, model, sy.class_plan(profile, n, mode), SEED, sq.PART_LEN)
     if population.shortfall:
         raise ValueError(f"missing {population.shortfall}")
     return population.rows
 
 
 def synth_counts(spark, sf_dir):
-    rows = _population(spark, sf_dir)
+    rows = sq.starts(_population(spark, sf_dir))
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("ids"))
 
 
@@ -382,9 +447,9 @@ def synth_sequences(spark, sf_dir):
     """Sequences drawn in component space and decoded to real units."""
     rows = visits(spark, sf_dir)
     model = pj.pca_fit(rows, ["value", "k"], k=2)
-    seqs = settle(sq.pack_sequences(pj.pca_transform(rows, model), "user_id", ["ts", "event_id"],
-                                    "components", label="label"))
-    synth = sy.synthesize(spark, sy.fit_sequence_model(seqs), seqs.count(), SEED)
+    seqs = settle(sq.pack_parts(pj.pca_transform(rows, model), "user_id", ["ts", "event_id"],
+                                "components", sq.PART_LEN, "label"))
+    synth = sy.synthesize(spark, sy.fit_sequence_model(seqs), sq.starts(seqs).count(), SEED, part_len=sq.PART_LEN)
     return sy.decode(synth, pr.fit_scale(rows, ["value", "k"]), model)
 
 
@@ -470,6 +535,14 @@ def neighbour_mix_events(spark, sf_dir):
     return rounded(nb.neighbour_mix(real, synth, ["value", "k"], 5), 6, "same_share", "expected_share")
 
 
+def neighbour_mix_hashed(spark, sf_dir):
+    """The hashed search on the three features of orders, even customers against odd ones."""
+    rows = order_visits_of_customers(spark, sf_dir)
+    scaled = pr.scale(rows, ORDER_FEATURES)
+    real, synth = halves(scaled, "o_custkey")
+    return rounded(nb.neighbour_mix(real, synth, ORDER_FEATURES, 5, tables=8), 6, "same_share", "expected_share")
+
+
 def lag_fidelity(spark, sf_dir):
     rows = stepped(visits(spark, sf_dir))
     real, synth = halves(rows, "user_id")
@@ -505,11 +578,10 @@ def mlp_trtr(spark, sf_dir):
 
 
 def seq_mlp_tstr(spark, sf_dir):
-    seqs = _packed(spark, sf_dir)
-    test = sp.split_entities(seqs, "user_id").filter("side = 'test'")
+    seqs = _parts(spark, sf_dir)
+    test = sp.split_entities(seqs, "user_id").filter("side = 'test'").drop("side")
     synth = _population(spark, sf_dir)
-    pred = ev.tstr(ev.sequence_mlp(layers=(8,), classes=3),
-                   sq.sequence_features(synth), sq.sequence_features(test))
+    pred = ev.tstr(ev.sequence_mlp(layers=(8,), classes=3), sq.order_features(synth), sq.order_features(test))
     return ev.confusion(pred)
 
 
@@ -549,13 +621,14 @@ def experiment_m1_m4(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     records_read, phase_roundtrip, numeric_select, numeric_failures, visit_order, locf_impute,
-    mean_impute, label_index, class_profile_events, class_profile_labels, zscore, minmax,
+    mean_impute, median_impute, label_index, class_profile_events, class_profile_labels, zscore, minmax,
     unscale_roundtrip, covariance_pairs, covariance_by_status, pca_39, pca_variance,
-    pca_roundtrip_error, pca_total_variance, pca_row_norms, pack_events, unpack_events, split_rows_70_30,
+    pca_roundtrip_error, pca_total_variance, pca_row_norms, pca_two_axes, pca_two_scores,
+    pca_two_inverse, project_pair_lines, projection_overlap_lines, pack_events, unpack_events, split_rows_70_30,
     split_rows_hash, split_entities_70_30, static_last_visit, sequence_features,
-    visit_differences, plan_proportional, plan_near_balanced, var1_moments, synth_counts,
+    order_features, visit_differences, plan_proportional, plan_near_balanced, var1_moments, synth_counts,
     synth_sequences, synth_draws, synth_range_check, reject_to_plan, reject_report, ks_lineitem_status,
     ks_events_by_type, ks_synthetic, project_pair, projection_overlap, grid_overlap,
-    neighbour_mix, neighbour_mix_events, lag_fidelity, moment_gap, quality_checks, mlp_trtr,
+    neighbour_mix, neighbour_mix_events, neighbour_mix_hashed, lag_fidelity, moment_gap, quality_checks, mlp_trtr,
     seq_mlp_tstr, centroid_confusion, centroid_metrics, centroid_tstr, compare_models,
     experiment_m1_m4, orders_pack, orders_lags, orders_draws, split_null_class, csv_roundtrip, phase_fidelity)}
