@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longitab.functions.small import head, join_small
+from longitab.sources.shared import settle
 
 SLICE_ROWS = 1_000_000
 MAX_SLICES = 1 << 16
@@ -116,6 +117,23 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str,
             .drop("_slice", "_row", "_offset"))
 
 
+def ordered_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add ``out``, the place of each row from 0 by ``order``, which must be unique and without null.
+
+    Rows are range-partitioned and kept; a partition's rows are numbered after those of the
+    partitions before it, whose counts are all that reaches the driver.
+    """
+    rows = settle(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    counts = dict(tuple(r) for r in rows.groupBy("_p").count().collect())
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(F.lit(total).cast("long"))
+        total += counts.get(p, 0)
+    start = F.get(F.array(*before), F.col("_p")) if before else F.lit(0).cast("long")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return rows.withColumn(out, start + inside - 1).drop("_p")
+
+
 def lagged(df: DataFrame, group: list[str], step: str, columns: dict[str, tuple[str, int]],
            chunk: int = SLICE_ROWS) -> DataFrame:
     """Add ``{new: (column, k)}``, the value ``k`` rows back, given a dense ``step`` from 1.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from longitab.functions.small import small_rows
-from longitab.operators.moments import vectors
+from longitab.operators.moments import grouped_moments, vectors
 
 
 #: Bytes of training rows that one task takes in a step of the optimiser.
@@ -56,14 +56,60 @@ class Perceptron:
         finally:
             rows.unpersist()
         return Fitted(lambda df: model.transform(self._vectors(df))
-                      .withColumn("prediction", F.col("_p").cast("int")))
+                      .withColumn("prediction", F.col("_p").cast("int")), self._layers(model))
+
+    @staticmethod
+    def _layers(model) -> list:
+        """Matrices and biases, with the scaling in the first layer."""
+        scaling, network = model.stages
+        sizes, flat = network.getLayers(), network.weights.toArray()
+        out, at = [], 0
+        for n_in, n_out in zip(sizes, sizes[1:]):
+            matrix = flat[at:at + n_in * n_out].reshape(n_in, n_out).T
+            at += n_in * n_out
+            out.append((matrix, flat[at:at + n_out]))
+            at += n_out
+        std = scaling.std.toArray()
+        scale = np.divide(1.0, std, out=np.zeros(len(std)), where=std > 0)
+        matrix, bias = out[0]
+        out[0] = matrix * scale, bias - matrix @ (scale * scaling.mean.toArray())
+        return out
 
 
 class Fitted:
-    """A fitted classifier: ``predict`` adds ``prediction``."""
-
-    def __init__(self, predict):
-        self.predict = predict
+    """A fitted classifier: ``predict`` adds ``prediction``; ``layers`` are its weights, if it has any:
+    for each layer the matrix (units, inputs) and the bias."""
+
+    def __init__(self, predict, layers: list | None = None):
+        self.predict, self.layers = predict, layers
+
+
+def weights_table(fitted: Fitted, spark) -> DataFrame:
+    """``layer, unit, input, weight`` of a network from its raw features on, all from 0; the bias has
+    ``input`` -1."""
+    rows = [(k, i, j, float(w)) for k, (m, b) in enumerate(fitted.layers)
+            for i in range(len(b)) for j, w in [*enumerate(m[i]), (-1, b[i])]]
+    return spark.createDataFrame(rows, "layer int, unit int, input int, weight double")
+
+
+def forward(df: DataFrame, weights: DataFrame, features: str = "features", out: str = "prediction") -> DataFrame:
+    """Predictions of a network from its ``weights_table``, as one expression per row: sigmoid units in
+    the inner layers, the largest output unit, ties to the lower one. The table is small."""
+    rows = small_rows(weights, 1_000_000)
+    x = F.col(features).cast("array<double>")
+    last = max(r["layer"] for r in rows)
+    for k in range(last + 1):
+        own = [r for r in rows if r["layer"] == k]
+        units = 1 + max(r["unit"] for r in own)
+        listed = [sorted((r["input"], r["weight"]) for r in own if r["unit"] == i) for i in range(units)]
+        table = F.array(*[F.struct(F.lit(w[0][1]).alias("b"), F.array(*[F.lit(v) for _, v in w[1:]]).alias("w")) for w in listed])
+        column = f"_layer{k}"
+        df = df.withColumn(column, F.transform(table, lambda u: F.aggregate(F.zip_with(u["w"], x, lambda a, b: a * b), u["b"], lambda acc, v: acc + v)))
+        if k < last:
+            df = df.withColumn(column, F.transform(column, lambda z: 1 / (1 + F.exp(-z))))
+        x = F.col(column)
+    best = F.array_position(x, F.array_max(x)).cast("int") - 1
+    return df.withColumn(out, best).drop(*[f"_layer{k}" for k in range(last + 1)])
 
 
 def mlp(features: str = "features", layers=(16,), seed: int = 42, **settings) -> Perceptron:
@@ -76,6 +122,68 @@ def sequence_mlp(features: str = "features", layers=(16,), seed: int = 42, **set
     return Perceptron(features, layers, seed, **settings)
 
 
+class Softmax:
+    """Softmax regression by full-gradient rounds, each a grouped sum over the training rows.
+
+    A task adds up the gradient of its rows; classes x features numbers a task are merged by an
+    aggregate and reach the driver. Starts at zero, so nothing is drawn. Labels are dense from 0.
+    """
+
+    def __init__(self, features: str = "features", rounds: int = 50, rate: float = 0.5, label: str = "label", classes: int | None = None):
+        self.features, self.rounds, self.rate, self.label, self.classes = features, rounds, rate, label, classes
+
+    def fit(self, train: DataFrame) -> Fitted:
+        rows = train.select(F.col(self.label).cast("int").alias("label"), F.col(self.features).cast("array<double>").alias("x"))
+        rows = rows.filter("label IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n, most = rows.agg(F.count("*"), F.max("label")).first()
+            sums = small_rows(grouped_moments(rows, "x"))[0]
+            p, classes = len(sums["mean"]), self.classes or most + 1
+            mean = np.array(sums["mean"])
+            std = np.sqrt(np.diag(np.array(sums["m2"]).reshape(p, p)) / max(n - 1, 1))
+            scale = np.divide(1.0, std, out=np.zeros(p), where=std > 0)
+            weight = np.zeros((classes, p + 1))
+            for _ in range(self.rounds):
+                weight = weight - self.rate * self._gradient(rows, mean, scale, weight) / n
+        finally:
+            rows.unpersist()
+        matrix, bias = weight[:, :p] * scale, weight[:, p] - weight[:, :p] @ (scale * mean)
+
+        @F.arrow_udf("int")
+        def best(x: pa.Array) -> pa.Array:
+            return pa.array((vectors(x) @ matrix.T + bias).argmax(axis=1).astype(np.int32)) if len(x) else pa.array([], pa.int32())
+
+        column = F.col(self.features).cast("array<double>")
+        return Fitted(lambda df: df.withColumn("prediction", best(column)), [(matrix, bias)])
+
+    @staticmethod
+    def _gradient(rows: DataFrame, mean, scale, weight) -> np.ndarray:
+        classes, width = weight.shape
+
+        def run(batches):
+            total = np.zeros(weight.shape)
+            for b in batches:
+                if b.num_rows:
+                    x = np.hstack([(vectors(b.column(1)) - mean) * scale, np.ones((b.num_rows, 1))])
+                    z = x @ weight.T
+                    z = np.exp(z - z.max(axis=1, keepdims=True))
+                    z /= z.sum(axis=1, keepdims=True)
+                    z[np.arange(b.num_rows), b.column(0).to_numpy()] -= 1.0
+                    total += z.T @ x
+            yield pa.record_batch({"at": pa.array(np.arange(total.size)), "g": pa.array(total.reshape(-1))})
+
+        sums = rows.mapInArrow(run, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).collect()
+        out = np.zeros(classes * width)
+        for at, g in sums:
+            out[at] = g
+        return out.reshape(weight.shape)
+
+
+def softmax(features: str = "features", rounds: int = 50, rate: float = 0.5, **settings) -> Softmax:
+    """Linear classifier whose every round SQL can check."""
+    return Softmax(features, rounds, rate, **settings)
+
+
 class Centroid:
     """Nearest class mean. Fit is one grouped average; ties go to the lower label."""
 

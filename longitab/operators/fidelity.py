@@ -15,6 +15,9 @@ from longitab.functions.small import join_small
 from longitab.operators.projection import Projection, pca_fit, pca_transform
 
 
+MAX_PHASES = 100
+
+
 def pair(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """Both tables on top of each other with ``source`` = ``real`` or ``synth``."""
     return (real.select(*columns, F.lit("real").alias("source"))
@@ -59,9 +62,14 @@ def running_extremes(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, schema)
 
 
-def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
+def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str] = (),
+                 levels: list[list[str]] | None = None) -> DataFrame:
     """Two-sample distance ``max |F_a - F_b|``: ``by..., feature, n1, n0, nulls, d``. Exact.
 
+    ``levels`` are subsets of ``by`` that are all compared from one scan: the counts of values are
+    added up by grouping sets. Then ``level`` names a row's subset (``all`` for none), and the other
+    columns of ``by`` are null.
+
     Values are counted before they are shuffled, so ties cost one row. The counts are then
     range-partitioned by feature and value, so a feature with most of the rows is spread over
     as many tasks as it needs. Each partition reports its extremes of the running difference
@@ -72,11 +80,24 @@ def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str]
     group = [*by, "feature"]
     values = long_values(pair(a, b, [*by, *features]), [*by, "source"], list(features))
     is_a = F.col("source") == "real"
-    there = F.col("value").isNotNull()
     # A group is known by a hash of its keys; null is a key of its own.
     key = F.xxhash64(*[k for c in group for k in (F.col(c).isNull(), F.col(c))])
-    counted = (values.groupBy(*group, "value")
-               .agg(F.count_if(is_a).alias("c1"), F.count_if(~is_a).alias("c0")).withColumn("g", key))
+    counted = values.groupBy(*group, "value").agg(F.count_if(is_a).alias("c1"), F.count_if(~is_a).alias("c0"))
+    if levels is not None:
+        columns = [*group, "value"]
+        sets = [[*level, "feature", "value"] for level in levels]
+        numbers = {int("".join("01"[c not in wanted] for c in columns), 2): "+".join(level) or "all" for level, wanted in zip(levels, sets)}
+        counted = (counted.groupingSets(sets, *columns).agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"), F.grouping_id().cast("int").alias("_id"))
+                   .withColumn("level", F.get(F.array(*[F.lit(numbers.get(i)) for i in range(max(numbers) + 1)]), F.col("_id"))).drop("_id"))
+        group = [*by, "level", "feature"]
+        key = F.xxhash64(*[k for c in group for k in (F.col(c).isNull(), F.col(c))])
+    counted = counted.withColumn("g", key)
+    return _distances(counted, group)
+
+
+def _distances(counted: DataFrame, group: list[str]) -> DataFrame:
+    """``group..., n1, n0, nulls, d`` from counts ``group..., value, c1, c0`` of groups known by ``g``."""
+    there = F.col("value").isNotNull()
     sizes = counted.groupBy(*group, "g").agg(
         F.coalesce(F.sum(F.when(there, F.col("c1"))), F.lit(0)).alias("n1"),
         F.coalesce(F.sum(F.when(there, F.col("c0"))), F.lit(0)).alias("n0"),
@@ -122,6 +143,35 @@ def ks_report(real: DataFrame, synth: DataFrame, features: list[str], by: list[s
             .withColumn("share_passed", F.avg(F.col("passed").cast("double")).over(same)))
 
 
+def phase_ks_report(real: DataFrame, phases: DataFrame, features: list[str], label: str = "label", phase: str = "phase",
+                    alpha: float = 0.05) -> DataFrame:
+    """Two-sample distance of every generated phase to the real rows, per class and over all its
+    classes: ``phase, label, level, feature, n1, n0, nulls, d, p_value,
+    passed``.
+
+    ``phases`` holds the rows of all phases. Both tables are scanned once: real rows stand against
+    each phase, which is done on the counts of their values.
+    """
+    names = [r[0] for r in phases.select(phase).distinct().limit(MAX_PHASES + 1).collect()]
+    if len(names) > MAX_PHASES:
+        raise ValueError(f"more than {MAX_PHASES} phases")
+    kind = phases.schema[phase].dataType.simpleString()
+    # The real side is a phase of its own, then dealt to all of them after counting.
+    both = long_values(pair(real.withColumn(phase, F.lit(None).cast(kind)), phases, [phase, label, *features]), [phase, label, "source"], list(features))
+    is_real = F.col("source") == "real"
+    counted = both.groupBy("source", phase, label, "feature", "value").agg(F.count("*").alias("n"))
+    targets = F.when(is_real, F.array(*[F.lit(n).cast(kind) for n in names])).otherwise(F.array(F.col(phase)))
+    dealt = counted.withColumn(phase, F.explode(targets))
+    key = F.xxhash64("level", F.col(phase).isNull(), phase, F.col(label).isNull(), label, "feature")
+    sides = dealt.groupBy(phase, label, "feature", "value").agg(
+        F.coalesce(F.sum(F.when(is_real, F.col("n"))), F.lit(0)).alias("c1"), F.coalesce(F.sum(F.when(~is_real, F.col("n"))), F.lit(0)).alias("c0"))
+    sets = [[phase, label, "feature", "value"], [phase, "feature", "value"]]
+    leveled = (sides.groupingSets(sets, phase, label, "feature", "value")
+               .agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"), F.when(F.grouping(label) == 1, "phase").otherwise("class").alias("level")))
+    return _distances(leveled.withColumn("g", key), [phase, label, "level", "feature"]).withColumn("p_value", ks_pvalue("d", "n1", "n0")).withColumn(
+        "passed", F.col("p_value") > alpha)
+
+
 def project_pair(real: DataFrame, synth: DataFrame, features: list[str] | str, k: int = 2,
                  keep: list[str] = (), model: Projection | None = None) -> DataFrame:
     """Axes fitted on the real rows, both tables projected: ``keep..., source, pc1..pck``."""

@@ -85,6 +85,11 @@ def grouped_moments(df: DataFrame, column: str, by: str | list[str] = ()) -> Dat
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
+    return pooled_moments(data.mapInArrow(partial, schema), by)
+
+
+def pooled_moments(partials: DataFrame, by: list[str]) -> DataFrame:
+    """Partial results ``by..., _salt, n, mean, m2`` merged over salts, then over all: ``by..., n, mean, m2``."""
     def pool(table: pa.Table) -> pa.Table:
         total = None
         for n, mean, m2 in zip(table.column("n").to_pylist(), vectors(table.column("mean")),
@@ -93,11 +98,11 @@ def grouped_moments(df: DataFrame, column: str, by: str | list[str] = ()) -> Dat
         pooled = [pa.array([total[0]], pa.int64()), lists(total[1][None, :]),
                   lists(total[2].reshape(1, -1))]
         kept = table.select([*by, "_salt"]).slice(0, 1)
-        return pa.table([*kept.columns, *pooled], names=schema.names)
+        return pa.table([*kept.columns, *pooled], names=[*by, "_salt", "n", "mean", "m2"])
 
-    return (data.mapInArrow(partial, schema)
-            .groupBy(*by, "_salt").applyInArrow(pool, schema)
-            .groupBy(*by).applyInArrow(pool, schema).drop("_salt"))
+    rows = partials.select(*by, "_salt", "n", "mean", "m2")
+    return (rows.groupBy(*by, "_salt").applyInArrow(pool, rows.schema)
+            .groupBy(*by).applyInArrow(pool, rows.schema).drop("_salt"))
 
 
 def covariance(df: DataFrame, features: list[str] | str, by: str | None = None) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longitab.functions.quantiles import medians
-from longitab.functions.ranges import SLICE_ROWS, number_rows, with_slices
+from longitab.functions.ranges import SLICE_ROWS, number_rows, ordered_numbers, with_slices
 from longitab.functions.small import join_small
 
 
@@ -95,28 +94,48 @@ def impute(df: DataFrame, features: list[str], strategy: str, train: DataFrame |
     return fit_imputer(df if train is None else train, features, strategy).transform(df)
 
 
-def fit_labels(df: DataFrame, col: str):
-    """Class names in alphabetical order; later rows with another name raise an error."""
-    return StringIndexer(inputCol=col, outputCol="_label", stringOrderType="alphabetAsc",
-                         handleInvalid="error").fit(df)
+@dataclass(frozen=True)
+class LabelModel:
+    """Class names with their index, as a table: there may be as many as rows."""
 
+    col: str
+    names: DataFrame
+    unseen: str = "error"
 
-def encode_label(df: DataFrame, col: str, model=None, out: str = "label") -> DataFrame:
-    """Class name to a dense index from 0."""
-    model = model or fit_labels(df, col)
-    return (model.transform(df).withColumn(out, F.col("_label").cast("int"))
-            .drop(*({"_label"} - {out})))
+    def transform(self, df: DataFrame, out: str = "label") -> DataFrame:
+        """Add the index. A null name has a null index; a name that was not fitted is an error, or null."""
+        known = self.names.select(F.col("name").alias(self.col), F.col("nr").alias("_nr"))
+        joined = join_small(df, known, [self.col], "left")
+        found = F.col("_nr").cast("int")
+        if self.unseen == "error":
+            found = F.when(F.col(self.col).isNotNull() & found.isNull(),
+                           F.raise_error(F.concat(F.lit("unknown class "), F.col(self.col).cast("string"))).cast("int")).otherwise(found)
+        return joined.withColumn(out, found).drop(*({"_nr"} - {out}))
 
 
-def class_profile(df: DataFrame, label: str) -> DataFrame:
-    """Rows per class, share of all rows, and ratio to the largest class.
+def fit_labels(df: DataFrame, col: str, unseen: str = "error") -> LabelModel:
+    """Class names in ascending order, numbered from 0 without gaps.
 
-    The windows run over the class counts, not the rows.
+    Names are range-partitioned and numbered inside their partition, after those of the partitions
+    before: nothing but a count per partition reaches the driver, however many classes there are.
     """
-    everything = Window.partitionBy(F.lit(1))
-    return (df.groupBy(label).agg(F.count("*").alias("n"))
-            .withColumn("share", F.col("n") / F.sum("n").over(everything))
-            .withColumn("ratio", F.col("n") / F.max("n").over(everything)))
+    if unseen not in ("error", "null"):
+        raise ValueError(f"unknown rule {unseen}")
+    names = df.select(F.col(col).alias("name")).filter("name IS NOT NULL").distinct()
+    return LabelModel(col, ordered_numbers(names, ["name"], "nr"), unseen)
+
+
+def encode_label(df: DataFrame, col: str, model: LabelModel | None = None, out: str = "label") -> DataFrame:
+    """Class name to a dense index from 0; null stays null."""
+    return (model or fit_labels(df, col)).transform(df, out)
+
+
+def class_profile(df: DataFrame, label: str) -> DataFrame:
+    """Rows per class, share of all rows, and ratio to the largest class. Totals come from an
+    aggregate over the class counts, so that no task holds all classes."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    every = counts.agg(F.struct(F.sum("n").alias("sum"), F.max("n").alias("max")).alias("t")).select("t").scalar()
+    return counts.withColumn("share", F.col("n") / every["sum"]).withColumn("ratio", F.col("n") / every["max"])
 
 
 @dataclass(frozen=True)

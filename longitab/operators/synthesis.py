@@ -11,16 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from longitab.functions.draws import step_normals
 from longitab.functions.hashing import unit_hash
-from longitab.functions.ranges import search
+from longitab.functions.ranges import ordered_numbers, search
 from longitab.functions.selection import hash_cuts, within_cut
 from longitab.functions.small import small_rows
-from longitab.operators.moments import grouped_moments
+from longitab.operators.moments import SALTS, grouped_moments, merge, pooled_moments
 from longitab.operators.prepare import ScaleModel
 from longitab.operators.projection import Projection, pca_inverse
 from longitab.operators.sequences import PACKED, PART_LEN, unpack_sequences
@@ -29,28 +31,40 @@ from longitab.operators.sequences import PACKED, PART_LEN, unpack_sequences
 RANGE_BYTES = 256 << 20
 MAX_CLASSES = 20_000
 DRAW_ROWS = 1_000
+#: Steps in which remainders of a class plan are counted.
+REMAINDERS = 4_096
 
 
 def class_plan(profile: DataFrame, n: int, mode: str = "proportional", lam: float = 0.9,
                label: str = "label") -> DataFrame:
     """``label, target`` summing to ``n``: by class share, or shares mixed with an even split.
 
-    Rows left after rounding down go to the largest remainders, ties by label. The windows run
-    over classes, not rows.
+    Rows left after rounding down go to the largest remainders, ties by label. Remainders are
+    counted in ``REMAINDERS`` steps, which tell where the rows left run out; only classes of that
+    step are put in order. So there may be as many classes as rows.
     """
     if mode not in ("proportional", "near_balanced"):
         raise ValueError(f"unknown mode {mode}")
     lam = lam if mode == "near_balanced" else 0.0
-    everything = Window.partitionBy(F.lit(1))
-    weight = F.lit(1.0 - lam) * F.col("share") + F.lit(float(lam)) / F.count("*").over(everything)
-    return (profile.select(label, "share")
-            .withColumn("_want", F.round(F.lit(float(n)) * weight, 6))
-            .withColumn("_floor", F.floor("_want"))
-            .withColumn("_left", F.lit(n) - F.sum("_floor").over(everything))
-            .withColumn("_rank", F.row_number().over(everything.orderBy(
-                (F.col("_want") - F.col("_floor")).desc(), F.col(label))))
-            .select(label, (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long"))
-                    .cast("long").alias("target")))
+    classes = profile.count()
+    weight = F.lit(1.0 - lam) * F.col("share") + F.lit(float(lam) / max(classes, 1))
+    wanted = (profile.select(label, "share").withColumn("_want", F.round(F.lit(float(n)) * weight, 6))
+              .withColumn("_floor", F.floor("_want").cast("long"))
+              .withColumn("_step", F.floor((1 - (F.col("_want") - F.col("_floor"))) * REMAINDERS).cast("int")))
+    steps = sorted(tuple(r) for r in wanted.groupBy("_step").agg(F.count("*"), F.sum("_floor")).collect())
+    left = n - sum(s for _, _, s in steps)
+    edge, need = -1, 0
+    for step, count, _ in steps:
+        if left <= 0:
+            break
+        edge, need, left = step, left, left - count
+    more = (F.col("_step") < edge).cast("long")
+    out = wanted.filter(F.col("_step") != edge).select(label, (F.col("_floor") + more).alias("target"))
+    if edge < 0:
+        return out
+    inside = wanted.filter(F.col("_step") == edge).withColumn("_rest", F.round(F.col("_floor") - F.col("_want"), 9))
+    ranked = ordered_numbers(inside.select("_rest", F.col(label), "_floor"), ["_rest", label], "_rank")
+    return out.unionByName(ranked.select(label, (F.col("_floor") + (F.col("_rank") < need).cast("long")).alias("target")))
 
 
 @dataclass(frozen=True)
@@ -119,33 +133,38 @@ def lag_pairs(seqs: DataFrame, label: str, out: str = "pair") -> DataFrame:
     return seqs.select(label, F.explode(_pairs()).alias(out))
 
 
-def fit_sequence_model(seqs: DataFrame, pooled: bool = True, ridge: float = 1e-3,
-                       label: str = "label") -> SequenceModel:
-    """Fit from packed training sequences, or from parts of sequences, which cover every visit of
-    entities of any length. Rows without a class teach nothing.
-
-    One pass over the sequences gives the moments and one over the lengths their shares; what
-    reaches the driver is p x p per class, whatever the number of rows. ``pooled`` shares one ridge transition between the classes
-    and keeps the intercepts apart; otherwise each class has its own.
-    """
-    visited = seqs.filter((F.col("len") > 0) & F.col(label).isNotNull())
-    in_parts = "part" in seqs.columns
+def _complete_moments(visited: DataFrame, label: str) -> list[dict]:
+    """Moments of first visits and of neighbouring pairs without a null: ``label, start, n, mean, m2``."""
     # The first visit rides along as a pair with itself, so that the sequences are read once.
     starts = F.array(F.struct(F.lit(True).alias("start"), F.concat(
         F.get("seq", F.lit(0)), F.get("seq", F.lit(0))).alias("pair")))
     rest = F.transform(_pairs(), lambda v: F.struct(F.lit(False).alias("start"), v.alias("pair")))
     none = F.slice(starts, 1, 0)
-    first_part = F.when(F.col("part") == 0, starts).otherwise(none) if in_parts else starts
-    sums = small_rows(grouped_moments(
+    first_part = F.when(F.col("part") == 0, starts).otherwise(none) if "part" in visited.columns else starts
+    return small_rows(grouped_moments(
         visited.select(label, F.inline(F.concat(first_part, F.coalesce(rest, none)))),
-        "pair", [label, "start"]), MAX_CLASSES)
+        "pair", [label, "start"]), 2 * MAX_CLASSES)
+
+
+@dataclass(frozen=True)
+class Dynamics:
+    """First visit, a visit at any time, and the step from one to the next, by class position."""
+
+    labels: list
+    count: np.ndarray
+    start_mean: np.ndarray
+    start_cov: np.ndarray
+    mean: np.ndarray
+    cov: np.ndarray
+    transition: np.ndarray
+    intercept: np.ndarray
+    noise_cov: np.ndarray
+
+
+def _solve(sums: list[dict], label: str, pooled: bool, ridge: float) -> Dynamics:
+    """The dynamics that moments of first visits and pairs give."""
     first = {r[label]: _left(r) for r in sums if r["start"]}
     pair = {r[label]: r for r in sums if not r["start"]}
-    sized = visited.select(label, "len")
-    if in_parts:
-        entity = next(c for c in seqs.columns if c not in (label, *PACKED))
-        sized = visited.groupBy(entity, label).agg(F.sum(F.col("len") - F.col("context")).cast("int").alias("len"))
-    lengths = small_rows(sized.groupBy(label, "len").agg(F.count("*").alias("n")))
     labels = sorted(first)
     if not labels:
         raise ValueError("no sequence to fit on")
@@ -174,25 +193,153 @@ def fit_sequence_model(seqs: DataFrame, pooled: bool = True, ridge: float = 1e-3
     shared = dynamics(total)
     shared_noise = shrunk(residual(shared, total, total_n), max(total_n, 1))
     pooled_start = sum(np.array(first[c]["m2"]).reshape(p, p) for c in labels) / max(count.sum() - len(labels), 1)
-    start_root, transition, intercept, noise = [], [], [], []
+    starts, means, covs, transition, intercept, noise = [], [], [], [], [], []
     for c, (n, mean, m2) in zip(labels, blocks):
         own = first[c]
         cov = np.array(own["m2"]).reshape(p, p) / (own["n"] - 1) if own["n"] > 1 else pooled_start
-        start_root.append(root(shrunk(cov, own["n"])))
+        starts.append(shrunk(cov, own["n"]))
         a = shared if pooled or n < 2 else dynamics(m2)
         transition.append(a)
         intercept.append(mean[p:] - a @ mean[:p])
-        noise.append(root(shrunk(residual(a, m2, n), n) if n > 1 else shared_noise))
+        noise.append(shrunk(residual(a, m2, n), n) if n > 1 else shared_noise)
+        means.append(mean[:p] if n else np.array(own["mean"]))
+        covs.append(m2[:p, :p] / (n - 1) if n > 1 else starts[-1])
+    return Dynamics(labels, count, np.array([first[c]["mean"] for c in labels]), np.array(starts), np.array(means), np.array(covs),
+                    np.array(transition), np.array(intercept), np.array(noise))
+
+
+def _given(mean: np.ndarray, cov: np.ndarray, x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of rows of normal vectors, of which the entries from ``at`` on are ``x``
+    where that is not NaN. Rows with one pattern of known entries are taken together."""
+    mean, cov = mean.copy(), cov.copy()
+    known = ~np.isnan(x)
+    patterns, member = np.unique(known, axis=0, return_inverse=True)
+    for k, pattern in enumerate(patterns):
+        if not pattern.any():
+            continue
+        rows, o = np.flatnonzero(member.reshape(-1) == k), at + np.flatnonzero(pattern)
+        inner = cov[np.ix_(rows, o, o)]
+        inner += np.eye(len(o)) * (1e-12 * np.trace(inner, axis1=1, axis2=2) + 1e-30)[:, None, None]
+        gain = np.linalg.solve(inner, cov[rows][:, o, :]).transpose(0, 2, 1)
+        mean[rows] += (gain @ (x[rows][:, pattern] - mean[np.ix_(rows, o)])[:, :, None])[:, :, 0]
+        cov[rows] -= gain @ cov[rows][:, o, :]
+        mean[np.ix_(rows, o)] = x[rows][:, pattern]
+        cov[np.ix_(rows, o)] = 0.0
+        cov[np.ix_(rows, np.arange(cov.shape[1]), o)] = 0.0
+    return mean, cov
+
+
+def _expect(x: np.ndarray, size: np.ndarray, later: np.ndarray, d: Dynamics, c: int):
+    """Yields ``(start, n, mean, m2)`` of the pairs (first visits with themselves) of sequences of class
+    ``c``, NaN for missing, each expected from the visits up to the second one of the pair.
+
+    A sequence that begins ``later`` than its entity starts from a visit at any time."""
+    n, steps, p = x.shape
+    mean = np.where(later[:, None], d.mean[c], d.start_mean[c])
+    cov = np.where(later[:, None, None], d.cov[c], d.start_cov[c])
+    mean, cov = _given(mean, cov, x[:, 0], 0)
+    if (~later).any():
+        m = np.hstack([mean[~later]] * 2)
+        v = np.tile(cov[~later].sum(axis=0), (2, 2))
+        yield True, len(m), m.mean(axis=0), (m - m.mean(axis=0)).T @ (m - m.mean(axis=0)) + v
+    a, q = d.transition[c], d.noise_cov[c]
+    for t in range(1, steps):
+        go = size > t
+        if not go.any():
+            return
+        before, v = mean[go], cov[go]
+        both = np.hstack([before, before @ a.T + d.intercept[c]])
+        wide = np.zeros((len(both), 2 * p, 2 * p))
+        whole = ~np.isnan(x[go, t]).any(axis=1) & ~v.any(axis=(1, 2))
+        both[whole, p:] = x[go, t][whole]
+        some = np.flatnonzero(~whole)
+        if len(some):
+            va = v[some] @ a.T
+            joint = np.block([[v[some], va], [va.transpose(0, 2, 1), a @ va + q]])
+            both[some], wide[some] = _given(both[some], joint, x[go, t][some], p)
+        m = both.mean(axis=0)
+        yield False, len(both), m, (both - m).T @ (both - m) + wide.sum(axis=0)
+        mean[go], cov[go] = both[:, p:], wide[:, p:, p:]
+
+
+def _expected_moments(visited: DataFrame, d: Dynamics, label: str) -> list[dict]:
+    """As ``_complete_moments``, with the entries that are missing replaced by what ``d`` expects."""
+    place = F.array_position(F.array(*[F.lit(c).cast(visited.schema[label].dataType) for c in d.labels]), F.col(label)).cast("int") - 1
+    later = (F.col("context") > 0) if "part" in visited.columns else F.lit(False)
+    rows = visited.select(place.alias("c"), later.alias("later"), F.slice("seq", F.lit(1), F.col("len")).alias("x")).filter("c >= 0")
+
+    def partial(batches):
+        held = {}
+        for batch in batches:
+            for part in (batch.slice(i, DRAW_ROWS) for i in range(0, batch.num_rows, DRAW_ROWS)):
+                c, later = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                size = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+                flat = part.column(2).flatten()
+                values = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(flat), -1)
+                x = np.full((len(size), int(size.max()), values.shape[1]), np.nan)
+                x[np.arange(x.shape[1])[None, :] < size[:, None]] = values
+                for k in np.unique(c).tolist():
+                    own = c == k
+                    for start, n, mean, m2 in _expect(x[own], size[own], later[own], d, k):
+                        held[k, start] = merge(held.get((k, start)), (n, mean, m2))
+        salt = TaskContext.get().partitionId() % SALTS
+        out = [(k, start, salt, n, mean.tolist(), m2.reshape(-1).tolist()) for (k, start), (n, mean, m2) in held.items()]
+        kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out) if out else [[]] * 6, kinds)],
+                                         names=["c", "start", "_salt", "n", "mean", "m2"])
+
+    sums = rows.mapInArrow(partial, "c int, start boolean, _salt int, n bigint, mean array<double>, m2 array<double>")
+    merged = small_rows(pooled_moments(sums, ["c", "start"]), 2 * MAX_CLASSES)
+    return [{label: d.labels[r["c"]], **r} for r in merged]
+
+
+def fit_sequence_model(seqs: DataFrame, pooled: bool = True, ridge: float = 1e-3,
+                       label: str = "label", rounds: int = 0, tolerance: float = 1e-4) -> SequenceModel:
+    """Fit from packed training sequences, or from parts of sequences, which cover every visit of
+    entities of any length. Rows without a class teach nothing.
+
+    One pass over the sequences gives the moments and one over the lengths their shares; what
+    reaches the driver is p x p per class, whatever the number of rows. ``pooled`` shares one ridge transition between the classes
+    and keeps the intercepts apart; otherwise each class has its own.
+
+    A null entry leaves out the pairs it is in. With ``rounds`` these are used as well, by expectation
+    and maximisation: a forward filter replaces missing entries by their expected values and
+    products given the visits so far, and the dynamics are solved anew, until they move less than
+    ``tolerance`` or for so many rounds, of one pass each. A part whose repeated visit is incomplete
+    takes the rest of it from the class's visits at any time. At least one pair of some class must be
+    complete to start from.
+    """
+    visited = seqs.filter((F.col("len") > 0) & F.col(label).isNotNull())
+    d = _solve(_complete_moments(visited, label), label, pooled, ridge)
+    for _ in range(rounds):
+        new = _solve(_expected_moments(visited, d, label), label, pooled, ridge)
+        moved = max(np.abs(new.transition - d.transition).max(), np.abs(new.intercept - d.intercept).max())
+        d = new
+        if moved < tolerance:
+            break
+    sized = visited.select(label, "len")
+    if "part" in seqs.columns:
+        entity = next(c for c in seqs.columns if c not in (label, *PACKED))
+        sized = visited.groupBy(entity, label).agg(F.sum(F.col("len") - F.col("context")).cast("int").alias("len"))
+    lengths = small_rows(sized.groupBy(label, "len").agg(F.count("*").alias("n")))
     seen, share = [], []
-    for c in labels:
+    for c in d.labels:
         own = sorted((r["len"], r["n"]) for r in lengths if r[label] == c)
         seen.append([k for k, _ in own])
         n = np.array([v for _, v in own], dtype=float)
         share.append(np.cumsum(n / n.sum()).tolist())
-    return SequenceModel(labels, count / count.sum(), np.array([first[c]["mean"] for c in labels]),
-                         np.array(start_root), np.array(transition), np.array(intercept),
-                         np.array(noise), seen, share, max(r["len"] for r in lengths),
-                         seqs.schema[label].dataType.simpleString())
+    return SequenceModel(d.labels, d.count / d.count.sum(), d.start_mean, np.array([root(v) for v in d.start_cov]),
+                         d.transition, d.intercept, np.array([root(v) for v in d.noise_cov]), seen, share,
+                         max(r["len"] for r in lengths), seqs.schema[label].dataType.simpleString())
+
+
+def dynamics_table(model: SequenceModel, spark: SparkSession) -> DataFrame:
+    """``label, i, j, transition, intercept, noise_cov``: entry (i, j) of a class's matrices; the
+    intercept is that of feature i."""
+    noise = model.noise_root @ model.noise_root.transpose(0, 2, 1)
+    rows = [(c, i, j, float(model.transition[k, i, j]), float(model.intercept[k, i]), float(noise[k, i, j]))
+            for k, c in enumerate(model.labels) for i in range(model.width) for j in range(model.width)]
+    return spark.createDataFrame(rows, f"label {model.label_type}, i int, j int, transition double, intercept double, noise_cov double")
 
 
 def candidates(spark: SparkSession, model: SequenceModel, n: int, seed: int,

@@ -191,6 +191,23 @@ def draws(source: str, entity: str, label: str) -> str:
         FROM drawn d JOIN ll ON ll.label = d.label GROUP BY 1, 2"""
 
 
+def softmax(rounds: int, rate: float, width: int = 8) -> str:
+    """Full-gradient rounds from zero on standardised features; feature 0 is the bias."""
+    steps = []
+    for r in range(1, rounds + 1):
+        steps.append(f"""s{r} AS (SELECT vec_id, label, c, sum(x * w) AS s FROM tr JOIN w{r - 1} USING (j) GROUP BY ALL),
+      e{r} AS (SELECT vec_id, label, c, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM s{r}),
+      g{r} AS (SELECT vec_id, c, e / sum(e) OVER (PARTITION BY vec_id) - CASE WHEN label = c THEN 1 ELSE 0 END AS g FROM e{r}),
+      w{r} AS (SELECT w{r - 1}.c, w{r - 1}.j, any_value(w) - {rate}::DOUBLE * avg(g * x) AS w FROM w{r - 1} JOIN tr USING (j)
+               JOIN g{r} ON g{r}.vec_id = tr.vec_id AND g{r}.c = w{r - 1}.c GROUP BY 1, 2)""")
+    return f"""{split_side(width)}, st AS (SELECT j, avg(x) AS m, stddev_samp(x) AS d FROM dims WHERE side = 'train' GROUP BY 1),
+      z AS (SELECT vec_id, label, side, j, (x - m) / d AS x FROM dims JOIN st USING (j)
+            UNION ALL SELECT vec_id, label, side, 0, 1 FROM sided),
+      tr AS (SELECT * FROM z WHERE side = 'train'),
+      w0 AS (SELECT c, j, 0::DOUBLE AS w FROM range(10) AS a(c), range({width + 1}) AS b(j)),
+      {", ".join(steps)}"""
+
+
 def two_axes(where: str = "TRUE") -> str:
     """Standardising step and correlation of two features. The axes of a 2 x 2 correlation matrix are
     (1, 1) and (1, -1) over the root of two, with shares (1 + r) / 2 and (1 - r) / 2."""
@@ -201,6 +218,38 @@ def two_axes(where: str = "TRUE") -> str:
 
 
 ORACLE = {
+    "staged_m1": f"""WITH raw AS (SELECT user_id, ts, event_id, {GAPPY} AS value, {K} AS k, {CLASS} AS label, {unit("user_id")} < 0.7::DOUBLE AS train FROM events),
+        med AS (SELECT median(value) AS mv, median(k) AS mk FROM raw WHERE train),
+        full_ AS (SELECT user_id, ts, event_id, train, coalesce(value, mv) AS value, coalesce(k, mk) AS k,
+                         CASE label WHEN 0 THEN 'common' WHEN 1 THEN 'seldom' ELSE 'rare' END AS kind FROM raw, med),
+        names AS (SELECT kind, CAST(row_number() OVER (ORDER BY kind) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT kind FROM full_ WHERE train)),
+        st AS (SELECT avg(value) AS av, stddev_samp(value) AS dv, avg(k) AS ak, stddev_samp(k) AS dk FROM full_ JOIN names USING (kind) WHERE train),
+        last AS (SELECT user_id, label, train, (value - av) / dv AS v, (k - ak) / dk AS w FROM full_ JOIN names USING (kind), st
+                 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+        means AS (SELECT label AS c, avg(v) AS mv, avg(w) AS mw FROM last WHERE train GROUP BY 1),
+        pred AS (SELECT user_id, label, c AS prediction FROM last, means WHERE NOT train
+                 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (v - mv) * (v - mv) + (w - mw) * (w - mw), c) = 1),
+        cells AS (SELECT label, prediction, count(*) AS n FROM pred GROUP BY 1, 2), {METRICS},
+        said AS (SELECT 'precision' AS metric, c AS label, precision_ AS value FROM rates UNION ALL SELECT 'recall', c, recall_ FROM rates
+                 UNION ALL SELECT 'f1', c, f1_ FROM rates UNION ALL SELECT 'accuracy', NULL, accuracy FROM overall
+                 UNION ALL SELECT 'balanced_accuracy', NULL, balanced_accuracy FROM overall UNION ALL SELECT 'macro_f1', NULL, macro_f1 FROM overall)
+        SELECT 'M1' AS model, 'real' AS train_source, metric, label, round(value, 9) AS value FROM said""",
+    "csv_bad_rows": """SELECT 'value' AS "column", 'bad_value' AS kind, count(*) AS n FROM events WHERE event_id % 50 = 0
+        UNION ALL SELECT 'day', 'missing', count(*) FROM events WHERE event_id % 50 = 1
+        UNION ALL SELECT '*', 'field_count', count(*) FROM events WHERE event_id % 70 = 2""",
+    "csv_good_rows": """SELECT event_id, user_id, round(value, 6) AS value, strftime(ts, '%Y-%m-%d') AS day FROM events
+        WHERE event_id % 50 > 1 AND event_id % 70 <> 2""",
+    "label_index_many": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS name FROM orders)
+        SELECT o_orderkey, name, CASE WHEN name IS NOT NULL THEN CAST(dense_rank() OVER (ORDER BY name NULLS LAST) - 1 AS INTEGER) END AS label
+        FROM r""",
+    "plan_many": f"""WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+        s AS (SELECT o_custkey, n / sum(n) OVER ()::DOUBLE AS share FROM c),
+        {plan('share', 0.9, 'o_custkey', 's', '10 * (SELECT count(*) FROM c)')} SELECT o_custkey, target FROM plan""",
+    "ks_phases": " UNION ALL ".join(f"""SELECT phase, {label}, '{level}' AS level, feature, n1, n0, nulls, d, p_value, passed FROM ({ks(f'''
+        SELECT p.phase, event_type AS label, 'value' AS feature, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS a, value
+        FROM events JOIN (VALUES ('phase1'), ('phase2')) AS p(phase)
+          ON user_id % 2 = 0 OR (p.phase = 'phase1') = (event_id % 3 = 0)''', by)})""" for label, level, by in (
+            ("label", "class", "phase, label"), ("NULL AS label", "phase", "phase"))),
     "pca_two_axes": f"""WITH {two_axes()}
         SELECT CAST(c AS INTEGER) AS component, f AS feature,
                round(CASE WHEN f = 'l_quantity' THEN 1 WHEN c = 1 THEN sign(r) ELSE -sign(r) END / sqrt(2::DOUBLE), 9) AS weight,
@@ -270,7 +319,9 @@ ORACLE = {
         for i, a in enumerate(NUMERICS) for b in NUMERICS[i:]),
     "pca_roundtrip_error": """SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos,
         round(unnest(embedding)::DOUBLE, 5) AS value FROM embeddings""",
-    "pca_total_variance": """SELECT max(len(embedding))::DOUBLE AS total, 0.0::DOUBLE AS centre FROM embeddings""",
+    "pca_total_variance": """WITH d AS (SELECT unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        s AS (SELECT i, avg(x) AS m FROM d GROUP BY 1), v AS (SELECT i, var_samp(x) AS v, avg(x - m) AS c FROM d JOIN s USING (i) GROUP BY 1)
+        SELECT round(sum(v), 6) AS total, round(max(abs(c)), 6) AS centre FROM v""",
     "pca_row_norms": """WITH d AS (SELECT vec_id, unnest(range(len(embedding))) AS i,
             unnest(embedding)::DOUBLE AS x FROM embeddings),
         s AS (SELECT i, avg(x) AS m, stddev_samp(x) AS w FROM d GROUP BY 1)
@@ -304,6 +355,13 @@ ORACLE = {
             f"""SELECT label, count(*) AS n, {i} AS i, {j} AS j, round(avg(x{i}), 6) AS mean_i,
                 round(covar_samp(x{i}, x{j}), 5) AS cov FROM kept GROUP BY label"""
             for i in range(4) for j in range(4)),
+    "var1_fit": f"""WITH {STEPPED},
+        pairs AS (SELECT label, lag(value) OVER (PARTITION BY user_id ORDER BY step) AS x, value AS y, step FROM stepped),
+        m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS xx, var_pop(y) * count(*) AS yy,
+                     covar_pop(x, y) * count(*) AS xy FROM pairs WHERE step > 1 GROUP BY 1),
+        a AS (SELECT *, xy / (xx + 0.001::DOUBLE * xx) AS a FROM m)
+        SELECT label, CAST(0 AS INTEGER) AS i, CAST(0 AS INTEGER) AS j, round(a, 6) AS transition, round(my - a * mx, 6) AS intercept,
+               round((yy - 2 * a * xy + a * a * xx) / (n - 1), 6) AS noise_cov FROM a""",
     "synth_counts": f"""WITH u AS (SELECT DISTINCT user_id FROM events),
         c AS (SELECT CAST({CLASS} AS INTEGER) AS label, count(*) AS n FROM u GROUP BY 1),
         s AS (SELECT label, n / sum(n) OVER ()::DOUBLE AS share FROM c),
@@ -321,7 +379,19 @@ ORACLE = {
         drawn AS (SELECT entity_id, ul, min(cc.label) FILTER (cc.upto > uc) AS label FROM ids, cc GROUP BY 1, 2)
         SELECT d.entity_id, d.label, CAST(min(ll.len) FILTER (ll.upto > d.ul) AS INTEGER) AS len, TRUE AS padded
         FROM drawn d JOIN ll ON ll.label = d.label GROUP BY 1, 2""",
-    "synth_range_check": "SELECT 0::BIGINT AS nulls, 0::BIGINT AS outside",
+    "synth_range_check": f"""WITH {VISITS}, r AS (SELECT min(value) AS lo, max(value) AS hi FROM visits)
+        SELECT count(*) FILTER (value IS NULL OR k IS NULL) AS nulls, count(*) FILTER (value < lo OR value > hi) AS outside FROM visits, r""",
+    "decode_clip": f"""WITH {STEPPED},
+        m AS (SELECT avg(value) AS mv, min(value) AS lv, max(value) AS hv, avg(k) AS mk, min(k) AS lk, max(k) AS hk FROM stepped)
+        SELECT user_id, label, step, round(least(greatest(mv + 1.5::DOUBLE * (value - mv), lv), hv), 4) AS value,
+               round(least(greatest(mk + 1.5::DOUBLE * (k - mk), lk), hk), 4) AS k FROM stepped, m""",
+    "softmax_trtr": f"""WITH {softmax(8, 0.5)},
+        o AS (SELECT vec_id, label, c, sum(x * w) AS s FROM z JOIN w8 USING (j) WHERE side = 'test' GROUP BY ALL)
+        SELECT vec_id, label, CAST(c AS INTEGER) AS prediction FROM o QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) = 1""",
+    "softmax_weights": f"""WITH {softmax(8, 0.5)}
+        SELECT CAST(c AS INTEGER) AS unit, CAST(j - 1 AS INTEGER) AS input, round(w / d, 6) AS weight FROM w8 JOIN st USING (j)
+        UNION ALL SELECT c, -1, round(any_value(b.w) - sum(a.w * m / d), 6)
+                  FROM w8 a JOIN st USING (j) JOIN (SELECT c, w FROM w8 WHERE j = 0) b USING (c) GROUP BY c""",
     "reject_to_plan": """WITH r AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type) AS n,
             row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR) || '|42')) AS r FROM events)
         SELECT event_id, event_type FROM r WHERE r <= CASE WHEN event_type = 'error' THEN n + 100

@@ -24,7 +24,8 @@ from longitab.operators import split as sp
 from longitab.operators import synthesis as sy
 from longitab.plans.experiment import Config, run_experiment
 from longitab.plans.experiment import phase_fidelity as phase_report
-from longitab.sources.records import read_phase, read_records, write_phase
+from longitab.plans.staged import Raw, staged_experiment
+from longitab.sources.records import read_phase, read_records, split_records, write_phase
 from longitab.sources.shared import settle, shared_folder
 
 SEED = 42
@@ -219,9 +220,9 @@ def pca_roundtrip_error(spark, sf_dir):
 
 
 def pca_total_variance(spark, sf_dir):
-    """At full rank the component variances sum to the number of standardised features."""
+    """At full rank the component variances sum to those of the features, around the features' mean."""
     rows = embeddings(spark, sf_dir)
-    scores = pj.pca_transform(rows, pj.pca_fit(rows, "embedding", k=64))
+    scores = pj.pca_transform(rows, pj.pca_fit(rows, "embedding", k=64, standardise=False))
     parts = scores.select(F.posexplode("components").alias("pos", "c")).groupBy("pos").agg(
         F.var_samp("c").alias("v"), F.avg("c").alias("m"))
     return parts.agg(F.round(F.sum("v"), 6).alias("total"), F.round(F.max(F.abs("m")), 6).alias("centre"))
@@ -401,6 +402,56 @@ def csv_roundtrip(spark, sf_dir):
     return back.select("event_id", F.unix_micros("ts").alias("ts_us"), "user_id", "props", "value", "label")
 
 
+FAULTY = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType()),
+                       T.StructField("day", T.DateType())])
+
+
+def _faulty(spark, sf_dir):
+    """Events as CSV lines with planted faults by id, split into good and bad rows."""
+    value = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("x"), F.col("value"))).otherwise(F.col("value").cast("string"))
+    day = F.when(~(F.col("event_id") % 50).isin(1, 51), F.date_format("ts", "yyyy-MM-dd")).otherwise("")
+    more = F.when(F.col("event_id") % 70 == 2, F.lit(",extra")).otherwise("")
+    lines = events(spark, sf_dir).select(F.concat(F.concat_ws(",", F.col("event_id"), F.col("user_id"), value, day), more).alias("line"))
+    folder = f"{shared_folder(spark)}/faulty-{uuid.uuid4().hex}"
+    lines.write.text(f"{folder}/lines")
+    return split_records(spark, f"{folder}/lines", FAULTY, f"{folder}/split", ["day"], header="false")
+
+
+def csv_bad_rows(spark, sf_dir):
+    """Faults of CSV rows by column and kind."""
+    bad = _faulty(spark, sf_dir)[1]
+    return (bad.select(F.explode("reasons").alias("r")).groupBy(F.col("r.column").alias("column"), F.col("r.kind").alias("kind"))
+            .agg(F.count("*").alias("n")))
+
+
+def csv_good_rows(spark, sf_dir):
+    return rounded(_faulty(spark, sf_dir)[0], 6, "value").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def label_index_many(spark, sf_dir):
+    """Every customer with an order is a class; a tenth of the orders has none."""
+    rows = table(spark, sf_dir, "orders", ORDERS).select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("name"))
+    return pr.encode_label(rows, "name").select("o_orderkey", "name", "label")
+
+
+def plan_many(spark, sf_dir):
+    """A plan over as many classes as customers have orders, ten rows for each class on average."""
+    rows = table(spark, sf_dir, "orders", ORDERS)
+    n = 10 * rows.select("o_custkey").distinct().count()
+    return sy.class_plan(pr.class_profile(rows, "o_custkey"), n, "near_balanced", label="o_custkey")
+
+
+def ks_phases(spark, sf_dir):
+    """Odd users' events as two written phases against even users', per class and over all of them."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", F.col("event_type").alias("label"), "value")
+    real, synth = halves(rows, "user_id")
+    folder = f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}"
+    for phase, part in (("phase1", synth.filter("event_id % 3 = 0")), ("phase2", synth.filter("event_id % 3 > 0"))):
+        write_phase(part, folder, phase)
+    phases = [read_phase(spark, folder, p, rows.schema).withColumn("phase", F.lit(p)) for p in ("phase1", "phase2")]
+    return rounded(fi.phase_ks_report(real, phases[0].unionByName(phases[1]), ["value"]), 9, "d", "p_value")
+
+
 # Synthesis
 
 def _plan(spark, sf_dir, mode):
@@ -426,6 +477,21 @@ def var1_moments(spark, sf_dir):
                        F.round(F.col("m2") / (F.col("n") - 1), 5).alias("cov"))
 
 
+def var1_fit(spark, sf_dir):
+    """Transition, intercept and noise of one feature, a model for each class."""
+    parts = sq.pack_parts(visits(spark, sf_dir), "user_id", ["ts", "event_id"], ["value"], 16, "label")
+    out = sy.dynamics_table(sy.fit_sequence_model(parts, pooled=False), spark)
+    return rounded(out, 6, "transition", "intercept", "noise_cov")
+
+
+def var1_fit_gappy(spark, sf_dir):
+    """The same with a fifth of one feature missing, by expectation and maximisation."""
+    rows = visits(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    parts = settle(sq.pack_parts(rows, "user_id", ["ts", "event_id"], ["value", "k"], 16, "label"))
+    out = sy.dynamics_table(sy.fit_sequence_model(parts, pooled=False, rounds=20), spark)
+    return rounded(out, 6, "transition", "intercept", "noise_cov")
+
+
 def _population(spark, sf_dir, mode="near_balanced"):
     """Ten synthetic sequences per user in parts, so the work follows the table."""
     seqs = settle(_parts(spark, sf_dir))
@@ -471,6 +537,15 @@ def synth_range_check(spark, sf_dir):
         F.count_if(outside).alias("outside"))
 
 
+def decode_clip(spark, sf_dir):
+    """Scaled visits, half as far again from the mean, decoded to real units inside the real range."""
+    rows = visits(spark, sf_dir)
+    limits = pr.fit_scale(rows, ["value", "k"])
+    wide = limits.transform(rows).withColumns({f: F.col(f) * 1.5 for f in ("value", "k")})
+    parts = sq.pack_parts(wide, "user_id", ["ts", "event_id"], ["value", "k"], 16, "label")
+    return rounded(sy.decode(parts, limits, keep=["user_id", "label"]), 4, "value", "k")
+
+
 def _rejection(spark, sf_dir):
     cands = events(spark, sf_dir).select("event_id", "event_type")
     profile = pr.class_profile(events(spark, sf_dir), "event_type")
@@ -577,6 +652,19 @@ def mlp_trtr(spark, sf_dir):
     return ev.confusion(pred)
 
 
+def softmax_trtr(spark, sf_dir):
+    """Predictions of softmax regression after eight rounds, row by row."""
+    pred = ev.trtr(ev.softmax(rounds=8, classes=10), _vectors(spark, sf_dir, 8))
+    return pred.select("vec_id", "label", "prediction")
+
+
+def softmax_weights(spark, sf_dir):
+    """Its weights on the raw features; input -1 is the bias."""
+    train = _vectors(spark, sf_dir, 8).filter("side = 'train'")
+    weights = ev.weights_table(ev.softmax(rounds=8, classes=10).fit(train), spark)
+    return rounded(weights.select("unit", "input", "weight"), 6, "weight")
+
+
 def seq_mlp_tstr(spark, sf_dir):
     seqs = _parts(spark, sf_dir)
     test = sp.split_entities(seqs, "user_id").filter("side = 'test'").drop("side")
@@ -619,6 +707,31 @@ def experiment_m1_m4(spark, sf_dir):
     return run_experiment(rows, cfg)
 
 
+def _raw_visits(spark, sf_dir):
+    """Events as raw records: the date and a number as text, nulls, and the class by name."""
+    name = F.element_at(F.array(*map(F.lit, ("common", "seldom", "rare"))), user_class() + 1)
+    return _gappy(spark, sf_dir).select(
+        "user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("day"), name.alias("kind"), "value",
+        F.regexp_extract("props", r"(\d+)", 1).alias("k"))
+
+
+def _staged(spark, sf_dir, models, estimator, **more):
+    cfg = Config(features=["value", "k"], k=2, entity="user_id", part_len=16, **more)
+    folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    how = Raw("day", "event_id", "kind", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return staged_experiment(_raw_visits(spark, sf_dir), cfg, how, folder, models, estimator)[0]
+
+
+def staged_m1(spark, sf_dir):
+    """Raw records to scores of a classifier that SQL can check, in written steps."""
+    return rounded(_staged(spark, sf_dir, ("M1",), "centroid", n=0), 9, "value")
+
+
+def staged_m1_m4(spark, sf_dir):
+    users = events(spark, sf_dir).agg(F.countDistinct("user_id")).first()[0]
+    return _staged(spark, sf_dir, ("M1", "M2", "M3", "M4"), "softmax", n=2 * users, max_iter=30)
+
+
 QUERIES = {f.__name__: f for f in (
     records_read, phase_roundtrip, numeric_select, numeric_failures, visit_order, locf_impute,
     mean_impute, median_impute, label_index, class_profile_events, class_profile_labels, zscore, minmax,
@@ -626,9 +739,10 @@ QUERIES = {f.__name__: f for f in (
     pca_roundtrip_error, pca_total_variance, pca_row_norms, pca_two_axes, pca_two_scores,
     pca_two_inverse, project_pair_lines, projection_overlap_lines, pack_events, unpack_events, split_rows_70_30,
     split_rows_hash, split_entities_70_30, static_last_visit, sequence_features,
-    order_features, visit_differences, plan_proportional, plan_near_balanced, var1_moments, synth_counts,
-    synth_sequences, synth_draws, synth_range_check, reject_to_plan, reject_report, ks_lineitem_status,
+    order_features, visit_differences, plan_proportional, plan_near_balanced, var1_moments, var1_fit, var1_fit_gappy, synth_counts,
+    synth_sequences, synth_draws, synth_range_check, decode_clip, reject_to_plan, reject_report, ks_lineitem_status,
     ks_events_by_type, ks_synthetic, project_pair, projection_overlap, grid_overlap,
     neighbour_mix, neighbour_mix_events, neighbour_mix_hashed, lag_fidelity, moment_gap, quality_checks, mlp_trtr,
-    seq_mlp_tstr, centroid_confusion, centroid_metrics, centroid_tstr, compare_models,
-    experiment_m1_m4, orders_pack, orders_lags, orders_draws, split_null_class, csv_roundtrip, phase_fidelity)}
+    softmax_trtr, softmax_weights, seq_mlp_tstr, centroid_confusion, centroid_metrics, centroid_tstr, compare_models,
+    experiment_m1_m4, orders_pack, orders_lags, orders_draws, split_null_class, csv_roundtrip, phase_fidelity, csv_bad_rows, csv_good_rows, label_index_many,
+    plan_many, ks_phases, staged_m1, staged_m1_m4)}

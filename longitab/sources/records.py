@@ -41,6 +41,42 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     return stored.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def split_records(spark: SparkSession, path: str, schema: T.StructType, folder: str, required: list[str] = (),
+                  **options) -> tuple[DataFrame, DataFrame]:
+    """CSV records and their faults, written in one pass: good rows under ``schema``, and bad ones as
+    ``line, reasons``, the raw line and an array of ``column, kind``.
+
+    Every field is read as text and cast here, so each fault is found, whichever columns are used
+    later. Kinds: ``bad_value`` (text that is not of the column's type), ``missing`` (null in a column of
+    ``required``) and ``field_count`` (column ``*``: more or fewer fields than the schema). A row is good
+    or bad as a whole. ``folder`` must be reachable by all executors and is overwritten.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(BAD_ROW, T.StringType())])
+    settings = {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW, **options}
+    raw = spark.read.schema(text).options(**settings).csv(path)
+
+    def typed(f: T.StructField):
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) and "timestampFormat" in options:
+            return F.try_to_timestamp(F.col(f"`{f.name}`"), F.lit(options["timestampFormat"])).cast(f.dataType)
+        return F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
+
+    def reason(column: str, kind: str, fault):
+        return F.when(fault, F.struct(F.lit(column).alias("column"), F.lit(kind).alias("kind")))
+
+    found = [reason("*", "field_count", F.col(BAD_ROW).isNotNull())]
+    found += [reason(f.name, "bad_value", F.col(f"`{f.name}`").isNotNull() & typed(f).isNull()) for f in schema.fields]
+    found += [reason(c, "missing", F.col(f"`{c}`").isNull()) for c in required]
+    reasons = F.filter(F.array(*found), lambda r: r.isNotNull())
+    line = F.coalesce(F.col(BAD_ROW), F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields])))
+    told = raw.withColumn("_reasons", reasons).withColumn("_bad", F.size("_reasons") > 0)
+    rows = told.select("_bad", F.when(F.col("_bad"), line).alias("_line"), F.when(F.col("_bad"), F.col("_reasons")).alias("_reasons"),
+                       *[F.when(~F.col("_bad"), typed(f)).alias(f.name) for f in schema.fields])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_bad").parquet(folder)
+    stored = spark.read.schema(rows.schema).parquet(folder)
+    good = stored.filter("NOT _bad").select(*[f"`{f.name}`" for f in schema.fields])
+    return good, stored.filter("_bad").select(F.col("_line").alias("line"), F.col("_reasons").alias("reasons"))
+
+
 def bad_rows(df: DataFrame) -> DataFrame:
     """Rows of ``read_records`` that did not fit the schema.
 

@@ -151,3 +151,124 @@ def test_hashed_neighbours_of_copies_and_few_points(spark):
     real, synth = df.filter("id < 30"), df.filter("id >= 30")
     exact = sorted(tuple(r) for r in nb.neighbour_mix(real, synth, "x", 5).collect())
     assert sorted(tuple(r) for r in nb.neighbour_mix(real, synth, "x", 5, tables=3).collect()) == exact
+
+
+def gappy(spark, n=1500, steps=6, share=0.2):
+    """Planted sequences of two features, the second half the first one's last value, with missing entries."""
+    rng = np.random.default_rng(5)
+    a = np.array([[0.6, 0.0], [0.5, 0.2]])
+    rows = []
+    for e in range(n):
+        x, seq = rng.normal(size=2), []
+        for _ in range(steps + e % 5):
+            x = np.array([1.0, -0.5]) + a @ x + rng.normal(size=2) * [0.5, 0.3]
+            seq.append([None if rng.random() < share else float(v) for v in x])
+        rows += [(e, t, e % 2, *v) for t, v in enumerate(seq)]
+    return a, spark.createDataFrame(rows, "e int, t int, label int, a double, b double")
+
+
+@pytest.mark.parametrize("part_len", [4, 64])
+def test_dynamics_come_back_with_missing_entries(spark, part_len):
+    a, rows = gappy(spark)
+    parts = sq.pack_parts(rows, "e", ["t"], ["a", "b"], part_len, "label").cache()
+    model = sy.fit_sequence_model(parts, rounds=15)
+    assert np.allclose(model.transition[0], a, atol=0.05)
+    noise = model.noise_root @ model.noise_root.transpose(0, 2, 1)
+    assert np.allclose(noise[0], np.diag([0.25, 0.09]), atol=0.03) and np.allclose(model.intercept, [1.0, -0.5], atol=0.12)
+    again = sy.fit_sequence_model(parts.repartition(3), rounds=15)
+    assert np.allclose(again.transition, model.transition, atol=1e-8)
+
+
+def test_rounds_change_nothing_without_missing_entries(spark):
+    seqs = ar_order(spark, 400)
+    one, two = sy.fit_sequence_model(seqs, pooled=False), sy.fit_sequence_model(seqs, pooled=False, rounds=3)
+    assert np.allclose(one.transition, two.transition) and np.allclose(one.noise_root, two.noise_root) and np.allclose(one.start_mean, two.start_mean)
+
+
+def test_conditional_normal():
+    cov = np.array([[2.0, 0.6, 0.2], [0.6, 1.0, 0.3], [0.2, 0.3, 1.5]])
+    mean, x = np.array([1.0, 2.0, 3.0]), np.array([[np.nan, 2.5], [1.0, np.nan], [np.nan, np.nan], [0.0, 1.0]])
+    m, v = sy._given(np.tile(mean, (4, 1)), np.tile(cov, (4, 1, 1)), x, 1)
+    assert np.allclose(m[0, 0], 1 + 0.2 / 1.5 * (2.5 - 3)) and np.allclose(v[0, 0, 0], 2 - 0.04 / 1.5) and np.allclose(m[2], mean)
+    gain = cov[0, 1:] @ np.linalg.inv(cov[1:, 1:])
+    assert np.allclose(m[3], [1 + gain @ (x[3] - mean[1:]), 0, 1]) and np.allclose(v[3, 0, 0], 2 - gain @ cov[1:, 0]) and not v[3, 1:].any()
+
+
+def test_split_records(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from longitab.sources.records import split_records
+    (tmp_path / "in.csv").write_text('id,x,d,s\n1,2.5,2024-01-02,a\n2,abc,2024-01-02,b\n3,,,"q, ""r"""\n4,1,2024-13-40,c,extra\n5,7\n6,,2024-01-02,\n')
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("d", T.DateType()), T.StructField("s", T.StringType())])
+    good, bad = split_records(spark, str(tmp_path / "in.csv"), schema, str(tmp_path / "out"), ["d"], escape='"')
+    assert [r["id"] for r in good.orderBy("id").collect()] == [1, 6] and good.schema.names == schema.names
+    got = {r["line"].split(",")[0]: sorted((x["column"], x["kind"]) for x in r["reasons"]) for r in bad.collect()}
+    assert got == {"2": [("x", "bad_value")], "3": [("d", "missing")], "4": [("*", "field_count"), ("d", "bad_value")],
+                   "5": [("*", "field_count"), ("d", "missing")]}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_labels_of_many_classes(spark):
+    from longitab.operators import prepare as pr
+    df = spark.createDataFrame([(f"n{i % 700:04d}" if i % 9 else None,) for i in range(5000)], "name string")
+    names = sorted({r["name"] for r in df.collect() if r["name"]})
+    got = {(r["name"], r["label"]) for r in pr.encode_label(df, "name").collect()}
+    assert got == {(n, i) for i, n in enumerate(names)} | {(None, None)}
+    other = spark.createDataFrame([("n0001",), ("zz",), (None,)], "name string")
+    assert [r["label"] for r in pr.fit_labels(df, "name", "null").transform(other).orderBy("name").collect()] == [None, 1, None]
+    with pytest.raises(Exception, match="unknown class zz"):
+        pr.fit_labels(df, "name").transform(other).collect()
+    assert pr.encode_label(df.limit(0), "name").collect() == []
+
+
+def test_plan_over_many_classes(spark):
+    from test_synthesis import plan_by_hand
+    counts = {i: 1 + i % 7 for i in range(900)}
+    df = spark.createDataFrame([(c, v / sum(counts.values())) for c, v in counts.items()], "label int, share double")
+    for n, mode, lam in ((1000, "proportional", 0.0), (4321, "near_balanced", 0.9), (450, "near_balanced", 1.0), (0, "proportional", 0.0)):
+        got = {r["label"]: r["target"] for r in sy.class_plan(df, n, mode, lam).collect()}
+        assert got == plan_by_hand(counts, n, lam) and sum(got.values()) == n
+
+
+def test_phase_report_equals_single_reports(spark):
+    from longitab.operators import fidelity as fi
+    rng = random.Random(8)
+    rows = [(p, rng.choice(["a", "b", None]), rng.choice([None, rng.gauss(0, 1), 1.0])) for p in ("real", "p1", "p2") for _ in range(300)]
+    df = spark.createDataFrame(rows, "phase string, label string, x double")
+    real, synth = df.filter("phase = 'real'").drop("phase"), df.filter("phase <> 'real'")
+    got = {(r["phase"], r["level"], r["label"]): (r["n1"], r["n0"], r["nulls"], round(r["d"], 12)) for r in fi.phase_ks_report(real, synth, ["x"]).collect()}
+    want = {}
+    for p in ("p1", "p2"):
+        own = synth.filter(F.col("phase") == p)
+        one = fi.ks_statistic(real, own, ["x"]).collect() + fi.ks_statistic(real, own, ["x"], ["label"]).collect()
+        want |= {(p, "class" if i else "phase", r["label"] if i else None): (r["n1"], r["n0"], r["nulls"], round(r["d"], 12)) for i, r in enumerate(one)}
+    assert got == want
+    levels = fi.ks_statistic(synth.withColumn("y", F.col("x")), synth.filter("x > 0").withColumn("y", F.col("x")), ["x", "y"], ["phase", "label"], [["phase"], []])
+    assert {(r["level"], r["phase"], r["feature"]) for r in levels.collect()} == {(l, p, f) for f in "xy" for l, p in (("phase", "p1"), ("phase", "p2"), ("all", None))}
+
+
+def test_forward_pass_from_weights(spark):
+    import duckdb
+    data = spark.createDataFrame([(i, int(abs(v[0]) + v[1] > 1), [float(x) for x in v]) for i, v in enumerate(normals(5, np.arange(300), 4))],
+                                 "id int, label int, features array<double>")
+    for est in (ev.mlp(layers=(5, 3), max_iter=30), ev.softmax(rounds=20)):
+        fitted = est.fit(data)
+        weights = ev.weights_table(fitted, spark)
+        again = ev.forward(fitted.predict(data), weights, out="again")
+        assert again.filter("prediction <> again").count() == 0 and again.columns[-2:] == ["prediction", "again"]
+        w, x = weights.toPandas(), fitted.predict(data).toPandas()
+        level = "SELECT id, unnest(range(4)) AS input, unnest(features) AS v FROM x"
+        for k in range(len(fitted.layers)):
+            z = f"SELECT id, unit AS input, sum(v * weight) + (SELECT weight FROM w b WHERE b.layer = {k} AND b.unit = a.unit AND b.input = -1) AS v " \
+                f"FROM ({level}) JOIN w a USING (input) WHERE a.layer = {k} GROUP BY id, unit"
+            level = z if k == len(fitted.layers) - 1 else f"SELECT id, input, 1 / (1 + exp(-v)) AS v FROM ({z})"
+        found = duckdb.sql(f"SELECT count(*) FROM (SELECT id, arg_max(input, v) AS p FROM ({level}) GROUP BY 1) JOIN x USING (id) WHERE p = prediction").fetchone()
+        assert found[0] == 300 and w is not None and x is not None
+
+
+def test_softmax_learns(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(c), (rng.normal(size=2) + 3 * np.array([c == 1, c == 2])).tolist(), "train" if i % 3 else "test") for i, c in enumerate(rng.integers(0, 3, 600))]
+    df = spark.createDataFrame(rows, "label int, features array<double>, side string")
+    cells = ev.class_metrics(ev.confusion(ev.trtr(ev.softmax(rounds=60), df))).filter("label IS NULL").collect()
+    assert {r["metric"]: r["value"] for r in cells}["accuracy"] > 0.85
