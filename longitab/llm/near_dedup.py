@@ -9,8 +9,13 @@ next values, and the cut is made good below.
 Links are confirmed on full sets. Candidates are at first the adjacent documents of every region,
 which joins each group of copies into few components. Then, in regions that still hold several
 components, every document outside the region's largest component that can have a link is compared
-with all others of the region that can, in blocks of two bounded parts. Pairs inside one component cannot change it, so no link between
-components is lost, and no group is ever written out as all its pairs.
+with all others of the region that can, in blocks of two bounded parts. The sets come along, so a
+block confirms its links itself and hands on only those that join two components: fewer than it has
+documents, whatever the size of a group. Pairs inside one component cannot change it, so no link
+between components is lost.
+
+Texts with one shingle set are one class and enter the forest once. A class goes by its smallest
+id, or by a number of its own, above all ids, where it has none or another class has that id too.
 """
 
 from __future__ import annotations
@@ -19,7 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from longitab.functions.ranges import number_rows
+from longitab.functions.small import join_small
 from longitab.llm.common import bounded_batches, partitions_of, pieces, texts_of, written
 
 #: Words of a shingle, and the share of common shingles that links two documents, in per cent.
@@ -227,60 +235,101 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.explode(blocks)).select("tree", "region", "at.*", "component", "id", "bits0", "bits1", "n")
 
 
-def region_pairs(near: DataFrame, labels: DataFrame | None, share: int, k: int | None = None,
-                 among: DataFrame | None = None) -> DataFrame:
-    """Pairs of different components within mixed regions. At least one of a pair is outside the
-    region's largest component; with ``among``, both are in that table of ids. Sizes and bits must
-    allow a link.
+def _by_block(batches, keys: list[str]):
+    """The rows of each block, from batches that are sorted by block."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        key = np.stack([t.column(c).to_numpy() for c in keys])
+        ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        begin = 0
+        for end in ends.tolist():
+            yield t.slice(begin, end - begin)
+            begin = end
+        held = t.slice(begin) if len(t) > begin else None
+    if held is not None:
+        yield held
+
+
+_KEYS = ["tree", "region", "kind", "i", "j"]
+
+
+def _candidates(t: pa.Table, share: int):
+    """Slices ``at, to, ok`` of a block: whether places ``at`` and ``to`` are of different components
+    and sizes and bits allow a link."""
+    left, right, comp, b0, b1, n_set = (t.column(c).to_numpy() for c in ("left", "right", "component", "bits0", "bits1", "n"))
+    left, right = left.astype(bool), right.astype(bool)
+    b0, b1 = b0.view(np.uint64), b1.view(np.uint64)
+    to = np.flatnonzero(right)
+    for at in np.array_split(np.flatnonzero(left), max(1, -(-int(left.sum()) // 128))):
+        d = np.bitwise_count(b0[at, None] ^ b0[to]) + np.bitwise_count(b1[at, None] ^ b1[to])
+        ok = (d <= MAX_BITS) & (comp[at, None] != comp[to])
+        ok &= (100 * n_set[at, None] >= share * n_set[to]) & (100 * n_set[to] >= share * n_set[at, None])
+        yield at, to, ok
+
+
+def block_members(near: DataFrame, labels: DataFrame | None, share: int, among: DataFrame | None = None) -> DataFrame:
+    """``id`` of the documents that sizes and bits allow a link with another component in a mixed region."""
+    n = partitions_of(near.sparkSession)
+    rows = dealt(mixed_rows(near, labels, among)).repartition(n, *_KEYS).sortWithinPartitions(*_KEYS)
 
-    With ``k``, each document outside gives its nearest ``k`` pairs of a block alone; with ``k`` = 0
-    no pair but the ids that have any, as ``a``.
-    """
+    def run(batches):
+        for t in _by_block(batches, _KEYS):
+            ids = t.column("id").to_numpy()
+            some = np.zeros(len(ids), bool)
+            for at, to, ok in _candidates(t, share):
+                some[at[ok.any(axis=1)]] = True
+                some[to[ok.any(axis=0)]] = True
+            yield pa.record_batch({"id": pa.array(np.unique(ids[some]))})
+
+    return rows.mapInArrow(run, "id long").distinct()
+
+
+def block_links(near: DataFrame, labels: DataFrame | None, share: int, sets: DataFrame) -> DataFrame:
+    """``a, b``: links between components, confirmed on the full ``sets`` (``id, shingles``, of the
+    documents to compare), of every block those that join what its links did not join before."""
     n = partitions_of(near.sparkSession)
-    keys = ["tree", "region", "kind", "i", "j"]
-    rows = dealt(mixed_rows(near, labels, among)).repartition(n, *keys).sortWithinPartitions(*keys)
-
-    def compare(t: pa.Table):
-        left, right, comp, ids, b0, b1, n_set = (t.column(c).to_numpy() for c in ("left", "right", "component", "id", "bits0", "bits1", "n"))
-        left, right = left.astype(bool), right.astype(bool)
-        b0, b1 = b0.view(np.uint64), b1.view(np.uint64)
-        to = np.flatnonzero(right)
-        for at in np.array_split(np.flatnonzero(left), max(1, -(-int(left.sum()) // 128))):
-            d = np.bitwise_count(b0[at, None] ^ b0[to]) + np.bitwise_count(b1[at, None] ^ b1[to])
-            ok = (d <= MAX_BITS) & (comp[at, None] != comp[to])
-            ok &= (100 * n_set[at, None] >= share * n_set[to]) & (100 * n_set[to] >= share * n_set[at, None])
-            if k == 0:
-                own = np.concatenate((ids[at[ok.any(axis=1)]], ids[to[ok.any(axis=0)]]))
-                yield pa.record_batch({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()), "differ": pa.nulls(len(own), pa.int32())})
-                continue
-            # two that are on both sides meet twice
-            ok &= ~(right[at, None] & left[to]) | (ids[at, None] < ids[to])
-            if k is not None and ok.shape[1] > k:
-                near_k = np.argpartition(np.where(ok, d, 255), k - 1, axis=1)[:, :k]
-                chosen_k = np.zeros_like(ok)
-                np.put_along_axis(chosen_k, near_k, True, axis=1)
-                ok &= chosen_k
-            i, j = np.nonzero(ok)
-            a, b = ids[at[i]], ids[to[j]]
-            yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)),
-                                   "differ": pa.array(d[i, j].astype(np.int32))})
+    rows = dealt(mixed_rows(near, labels, sets.select("id"))).join(sets, "id").select(*_KEYS, "left", "right", "component", "id", "bits0", "bits1", "n", "shingles")
+    rows = rows.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS)
+
+    def links(t: pa.Table):
+        ids, comp, size = (t.column(c).to_numpy() for c in ("id", "component", "n"))
+        flat = np.frombuffer(b"".join(t.column("shingles").to_pylist()), np.uint64)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        number, flat = np.unique(flat, return_inverse=True)
+        parent = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        mark = np.zeros(len(number), bool)
+        for at, to, ok in _candidates(t, share):
+            for row, i in enumerate(at.tolist()):
+                other = to[ok[row]]
+                if not len(other):
+                    continue
+                mark[flat[ends[i]:ends[i + 1]]] = True
+                for part in np.array_split(other, -(-int(size[other].sum()) // (1 << 20))):
+                    sizes = size[part]
+                    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                    entries = np.repeat(ends[part] - begin, sizes) + np.arange(int(sizes.sum()))
+                    common = np.add.reduceat(mark[flat[entries]].astype(np.int64), begin)
+                    for j in part[100 * common >= share * (size[i] + sizes - common)].tolist():
+                        x, y = root(int(comp[i])), root(int(comp[j]))
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
+                            yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+                mark[flat[ends[i]:ends[i + 1]]] = False
 
     def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            key = np.stack([t.column(c).to_numpy() for c in keys])
-            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            begin = 0
-            for end in ends.tolist():
-                yield from compare(t.slice(begin, end - begin))
-                begin = end
-            held = t.slice(begin) if len(t) > begin else None
-        if held is not None:
-            yield from compare(held)
+        for t in _by_block(batches, _KEYS):
+            found = list(links(t))
+            yield pa.record_batch({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.mapInArrow(run, "a long, b long, differ int").groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", small: int | None = None,
@@ -290,69 +339,126 @@ def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", small: int | N
     return docs.join(F.broadcast(ids) if ids.count() <= (SMALL if small is None else small) else ids, id_col, how)
 
 
+def keyed(s: DataFrame) -> tuple[DataFrame, int | None]:
+    """``digest, id, copies, key`` of each class of a sketch. ``key`` is the class's smallest id; where
+    that is null, or another class has it too, a number above the largest id, which is returned
+    then."""
+    classes = s.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    odd = classes.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("d")).filter("id IS NULL OR c > 1")
+    if not odd.limit(1).count():
+        return classes.withColumn("key", F.col("id")), None
+    top = s.agg(F.max("id")).first()[0] or 0
+    more = join_small(classes, odd, ["id"]).filter("id IS NULL OR digest != d").select("digest", F.lit(0).alias("all"))
+    more = number_rows(more, ["all"], ["digest"], "nr", 100_000).select("digest", (F.col("nr") + top).alias("own"))
+    return written(classes.join(more, "digest", "left").withColumn("key", F.coalesce("own", "id")).drop("own"), "classes"), top
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the smallest id that links
-    lead to, itself included) and ``kept`` (the id is the component's).
+    lead to, itself included), ``kept`` (the id is the component's) and ``digest`` of the set.
 
     Null, empty and blank texts have no shingles and no links. Documents with equal sets are one
-    class and enter the forest once, however many there are. Rows with a null id take their class's
-    component, null if it has no other id, and are kept only then. Rows that repeat an id with equal
-    text are kept or dropped together. Other columns are ignored; an empty table gives an empty
-    result.
+    class and enter the forest once, however many there are. A row with a null id takes its
+    component's id, null if that has none, and is kept only then, in the component's first class.
+    Rows that repeat an id with equal text are kept or dropped together; different texts under one id
+    are apart, and of two that are linked the first class's is kept. Other columns are ignored; an
+    empty table gives an empty result.
     """
     s = written(sketch(docs, size, id_col, text_col), "sketch")
-    classes = s.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    near = written(forest(s.join(classes, ["digest", "id"])), "forest")
+    classes, top = keyed(s)
+    keys = classes.select("digest", F.col("id").alias("_id"), "key")
+    owners = keys.withColumnRenamed("digest", "_digest")
+    reps = s.join(owners, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id"))).select(
+        F.col("key").alias("id"), *[c for c in s.columns if c != "id"])
+    near = written(forest(reps), "forest")
     first = near.filter(F.col("differ") <= MAX_BITS).filter("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "differ")
     first = written(first.groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def sets_of(chosen: DataFrame) -> DataFrame:
+        """``id, shingles`` of the classes named by ``id``."""
+        import xxhash
 
         def run(batches):
             for batch in pieces(batches, 1):
-                yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(texts_of(batch.column(1)), size)], pa.binary())],
-                                      names=["id", "shingles"])
-        return written(only(source, ids).dropDuplicates(["id"]).mapInArrow(run, "id long, shingles binary"), "sets")
+                sets = [x.tobytes() for x in shingle_sets(texts_of(batch.column(1)), size)]
+                yield pa.record_batch([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())],
+                                      names=["id", "digest", "shingles"])
+
+        if top is None:
+            made = only(source, chosen).dropDuplicates(["id"]).mapInArrow(run, "id long, digest binary, shingles binary")
+            return written(made.select("id", "shingles"), "sets")
+        wanted = only(keys.withColumnRenamed("key", "id"), chosen)
+        texts = join_small(source, wanted.select(F.col("_id").alias("id")).distinct(), ["id"], max_rows=SMALL // 10)
+        made = texts.mapInArrow(run, "id long, digest binary, shingles binary").drop("id").dropDuplicates(["digest"])
+        return written(made.join(wanted.select("digest", "id"), "digest").select("id", "shingles"), "sets")
 
     def linkable(ids: DataFrame) -> DataFrame:
-        """The ids of which ``share`` per cent of the shingles are in other documents of ``ids``; no
-        other document of them can have a link."""
-        own = written(only(source, ids).dropDuplicates(["id"]).mapInArrow(explode_sets, "id long, shingle long"), "shingles")
+        """``id, shingles`` of those of which ``share`` per cent of the shingles are in other documents
+        of ``ids``; no other document of them can have a link."""
+        sets = sets_of(ids)
+        own = sets.mapInArrow(explode_sets, "id long, shingle long")
         common = own.groupBy("shingle").count().filter("count > 1").select("shingle")
         known = own.join(common, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("known"))
-        every = own.groupBy("id").agg(F.count(F.lit(1)).alias("every"))
-        return written(known.join(every, "id").filter(F.col("known") * 100 >= F.col("every") * share).select("id"), "linkable")
+        some = known.join(sets, "id").filter(F.col("known") * 100 >= F.octet_length("shingles") / 8 * share)
+        return written(some.select("id", "shingles"), "linkable")
 
     def explode_sets(batches):
-        for batch in pieces(batches, 1):
-            sets = shingle_sets(texts_of(batch.column(1)), size)
-            ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in sets])
-            yield pa.record_batch({"id": pa.array(ids), "shingle": pa.array(np.concatenate(sets).view(np.int64))})
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.record_batch({"id": pa.array(ids), "shingle": pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))})
 
-    sets = sets_of(first)
+    sets = sets_of(first.select(F.col("a").alias("id")).union(first.select("b")).distinct())
     checked = written(confirmed(nearest(first, 2), sets, share), "links")
     labels = components(checked.filter("linked"))
     more = across(first.join(checked, ["a", "b"], "left_anti"), labels)
     more = written(confirmed(more, sets, share), "links")
+    links = checked.unionByName(more).filter("linked").select("a", "b")
     if more.filter("linked").limit(1).count():
-        labels = components(checked.unionByName(more).filter("linked"))
-    checked = checked.unionByName(more)
-    # Of documents that can have a link at all: nearest pairs first, then every pair.
+        labels = components(links)
+    # Of documents that can have a link at all, every pair of the regions that are still mixed.
     chosen = linkable(written(mixed_rows(near, labels).select("id").distinct(), "ids"))
-    for k in (4, None):
-        if k is None:
-            chosen = linkable(written(region_pairs(near, labels, share, 0, chosen).select(F.col("a").alias("id")).distinct(), "ids"))
-        left = written(region_pairs(near, labels, share, k, chosen).join(checked, ["a", "b"], "left_anti"), "pairs")
-        if left.limit(1).count():
-            last = written(confirmed(left, sets_of(left), share), "links")
-            checked = checked.unionByName(last)
-            if last.filter("linked").limit(1).count():
-                labels = components(checked.filter("linked"))
-    found = classes.join(labels, "id", "left").filter("copies > 1 OR component IS NOT NULL").select(
-        "digest", F.coalesce("component", "id").alias("component"))
-    out = s.select("id", "n", "digest").join(found, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    chosen = linkable(written(block_members(near, labels, share, chosen.select("id")), "ids"))
+    last = written(block_links(near, labels, share, chosen), "links")
+    if last.limit(1).count():
+        labels = components(links.unionByName(last))
+    found = classes.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    if top is not None:
+        least = found.groupBy("component").agg(F.min("id").alias("least"))
+        found = found.join(least, "component").withColumn("first", F.col("component") == F.col("key"))
+    else:
+        found = found.filter("copies > 1 OR component != key").withColumns({"least": F.col("component"), "first": F.lit(True)})
+    out = s.select("id", "n", "digest").join(found.select("digest", "least", "first"), "digest", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("_first"), "digest")
+    return out.select(id_col, "n_shingles", "component_id", (F.col("_first") & F.col(id_col).eqNullSafe(F.col("component_id"))).alias("kept"), "digest")
+
+
+def without_copies(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Rows go by their id;
+    those whose id is null, or is kept with one text and dropped with another, by id and set."""
+    import xxhash
+
+    groups = written(near_duplicates(docs, size, share, id_col, text_col).select(F.col(id_col).alias("_id"), "kept", "digest"), "groups")
+    by_id = groups.filter("NOT kept").select("_id").distinct()
+    both = written(groups.groupBy("_id").agg(F.count_if("kept").alias("k"), F.count_if(~F.col("kept")).alias("d"))
+                   .filter("d > 0 AND (_id IS NULL OR k > 0)").select("_id"), "both")
+    if not both.limit(1).count():
+        return only(docs, by_id.withColumnRenamed("_id", id_col), "left_anti", id_col=id_col)
+    plain = only(docs, by_id.withColumnRenamed("_id", id_col), "left_anti", id_col=id_col)
+    apart = docs.join(both, docs[id_col].eqNullSafe(both["_id"]), "left_semi")
+
+    def digests(batches):
+        for batch in pieces(batches, 0):
+            sets = shingle_sets(texts_of(batch.column(0)), size)
+            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), batch.column(1)], names=["_digest", "_row"])
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    told = apart.select(F.col(f"`{text_col}`").cast("string"), row).mapInArrow(digests, T.StructType(
+        [T.StructField("_digest", T.BinaryType()), T.StructField("_row", apart.select(row).schema["_row"].dataType)]))
+    gone = groups.filter("NOT kept").select("_id", "digest").distinct()
+    kept = told.join(gone, told["_row"][id_col].eqNullSafe(gone["_id"]) & (told["_digest"] == gone["digest"]), "left_anti")
+    plain = plain.join(both, plain[id_col].eqNullSafe(both["_id"]), "left_anti")
+    return plain.unionByName(kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns]))

@@ -20,7 +20,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, share=80)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, share=80).drop("digest")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,11 +90,53 @@ def test_near_blocks_are_bounded_and_whole(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 500) for i in range(501, 620)], "id long, component long")
     blocks = near_dedup.dealt(near_dedup.mixed_rows(near, labels))
     assert blocks.groupBy("tree", "region", "kind", "i", "j").count().agg({"count": "max"}).first()[0] <= 3 * near_dedup.REGION
-    got = [(r["a"], r["b"]) for r in rows(near_dedup.region_pairs(near, labels, 80))]
-    assert sorted(got) == [(a, b) for a in range(500) for b in range(a + 1, 620)]
+    assert near_dedup.block_members(near, labels, 80).count() == 620
     among = spark.range(0, 620, 10).toDF("id")
-    got = [(r["a"], r["b"]) for r in rows(near_dedup.region_pairs(near, labels, 80, None, among))]
-    assert sorted(got) == [(a, b) for a in range(0, 500, 10) for b in range(a + 10, 620, 10)]
+    assert near_dedup.block_members(near, labels, 80, among).count() == 62
+    # One set for all: every component is joined, by fewer links than a block has documents.
+    every = spark.createDataFrame([(i, np.arange(100, dtype=np.uint64).tobytes()) for i in range(620)], "id long, shingles binary")
+    links = [(r["a"], r["b"]) for r in rows(near_dedup.block_links(near, labels, 80, every))]
+    parent = {}
+
+    def root(i):
+        while parent.get(i, i) != i:
+            i = parent[i]
+        return i
+    for a, b in links:
+        x, y = sorted((root(500 if a > 500 else a), root(500 if b > 500 else b)))
+        if x != y:
+            parent[y] = x
+    assert {root(i) for i in range(501)} == {0} and len(links) < blocks.count()
+    # Seven sets that share 60 of 100 shingles: no link between them.
+    apart = spark.createDataFrame([(i, np.r_[np.arange(60), 1000 * (i % 7 + 1) + np.arange(40)].astype(np.uint64).tobytes()) for i in range(620)], "id long, shingles binary")
+    assert {a % 7 == b % 7 for a, b in ((r["a"], r["b"]) for r in rows(near_dedup.block_links(near, labels, 80, apart)))} == {True}
+
+
+def test_near_null_and_repeated_ids(spark, frame):
+    a = " ".join(f"w{i}" for i in range(60))
+    b, c = a.replace("w59", "x"), " ".join(f"v{i}" for i in range(60))
+    docs = [(None, a), (None, b), (3, c), (3, "other words " + " ".join(f"u{i}" for i in range(60))), (5, c + " end"), (7, "q r s"), (7, "q r s")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in rows(near_dedup.near_duplicates(frame(docs)))), key=repr)
+    assert sorted(r[2] for r in got if r[0] is None) == [False, True]            # null ids are compared too
+    assert [r for r in got if r[0] == 3] == [(3, 3, True)] * 2 and [r for r in got if r[0] == 5] == [(5, 3, False)]
+    kept = [(r["doc_id"], r["text"]) for r in rows(near_dedup.without_copies(frame(docs)))]
+    assert len(kept) == 5 and sum(i is None for i, _ in kept) == 1 and sum(i == 3 for i, _ in kept) == 2 and sum(i == 7 for i, _ in kept) == 2
+    twice = [(3, a), (3, b), (9, c)]                                            # one id, two linked texts
+    kept = rows(near_dedup.without_copies(frame(twice)))
+    assert len(kept) == 2 and {r["doc_id"] for r in kept} == {3, 9} and kept[0].keys() == set(frame(twice).columns)
+
+
+def test_near_template_below_the_limit(frame):
+    rng = random.Random(9)
+    text = [f"w{i}" for i in range(100)]
+    docs = []
+    for i in range(600):                                                        # about 0.7 to each other, from a small pool of edits
+        t = list(text)
+        for p in rng.sample(range(50), 5):
+            t[2 * p] = f"e{rng.randrange(4)}"
+        docs.append((i, " ".join(t)))
+    want = closure({i: shingles(t, 2) for i, t in docs})
+    assert {r["doc_id"]: r["component_id"] for r in rows(near_dedup.near_duplicates(frame(docs), size=2))} == want
 
 
 def test_near_bit_filter_misses_less_than_the_forest():
@@ -350,7 +392,8 @@ def check_packed(got, texts):
 
 def test_packing(spark, frame, documents):
     texts = list(zip(documents.doc_id.tolist(), documents.text.tolist()))
-    assert check_packed(rows(packing.pack(frame(texts).coalesce(1), queries.vocabulary(BYTE))), texts) < 0.03
+    for partitions in (1, 211):
+        assert check_packed(rows(packing.pack(frame(texts).repartition(partitions), queries.vocabulary(BYTE))), texts) < 0.03
     got = rows(packing.pack(frame(ODD), queries.vocabulary(BYTE)))
     check_packed(got, ODD)
     assert {r["doc_id"] for r in got} == {i for i, _ in ODD}
