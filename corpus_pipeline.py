@@ -33,9 +33,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    groups = near_dedup.near_duplicates(docs)
-    dropped = groups.filter(~F.col("kept")).select("doc_id")
-    return near_dedup.only(docs, dropped, "left_anti", id_col="doc_id")
+    return near_dedup.without_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +44,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    """Pieces of the packed sequences. Workers of the stages before still hold memory, so few parts are kept."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), kept_parts=200_000)
 
 
 STAGES = [("language", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage),
