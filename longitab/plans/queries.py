@@ -22,7 +22,7 @@ from longitab.operators import projection as pj
 from longitab.operators import sequences as sq
 from longitab.operators import split as sp
 from longitab.operators import synthesis as sy
-from longitab.plans.experiment import Config, run_experiment
+from longitab.plans.experiment import Config, run_experiment, sequence_gain
 from longitab.plans.experiment import phase_fidelity as phase_report
 from longitab.plans.staged import Raw, staged_experiment
 from longitab.sources.records import read_phase, read_records, split_records, write_phase
@@ -732,6 +732,12 @@ def staged_m1_m4(spark, sf_dir):
     return _staged(spark, sf_dir, ("M1", "M2", "M3", "M4"), "softmax", n=2 * users, max_iter=30)
 
 
+def staged_gain(spark, sf_dir):
+    """M4 over M3 on both phases' worth of users, in points and relative."""
+    users = events(spark, sf_dir).agg(F.countDistinct("user_id")).first()[0]
+    return sequence_gain(_staged(spark, sf_dir, ("M3", "M4"), "softmax", n=2 * users, max_iter=30))
+
+
 QUERIES = {f.__name__: f for f in (
     records_read, phase_roundtrip, numeric_select, numeric_failures, visit_order, locf_impute,
     mean_impute, median_impute, label_index, class_profile_events, class_profile_labels, zscore, minmax,
@@ -745,4 +751,4 @@ QUERIES = {f.__name__: f for f in (
     neighbour_mix, neighbour_mix_events, neighbour_mix_hashed, lag_fidelity, moment_gap, quality_checks, mlp_trtr,
     softmax_trtr, softmax_weights, seq_mlp_tstr, centroid_confusion, centroid_metrics, centroid_tstr, compare_models,
     experiment_m1_m4, orders_pack, orders_lags, orders_draws, split_null_class, csv_roundtrip, phase_fidelity, csv_bad_rows, csv_good_rows, label_index_many,
-    plan_many, ks_phases, staged_m1, staged_m1_m4)}
+    plan_many, ks_phases, staged_m1, staged_m1_m4, staged_gain)}

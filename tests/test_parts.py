@@ -262,7 +262,7 @@ def test_forward_pass_from_weights(spark):
             z = f"SELECT id, unit AS input, sum(v * weight) + (SELECT weight FROM w b WHERE b.layer = {k} AND b.unit = a.unit AND b.input = -1) AS v " \
                 f"FROM ({level}) JOIN w a USING (input) WHERE a.layer = {k} GROUP BY id, unit"
             level = z if k == len(fitted.layers) - 1 else f"SELECT id, input, 1 / (1 + exp(-v)) AS v FROM ({z})"
-        found = duckdb.sql(f"SELECT count(*) FROM (SELECT id, arg_max(input, v) AS p FROM ({level}) GROUP BY 1) JOIN x USING (id) WHERE p = prediction").fetchone()
+        found = duckdb.sql(f"SELECT count(*) FROM (SELECT id, arg_max(input, v) AS p FROM ({level}) GROUP BY 1) JOIN x USING (id) WHERE p = prediction").fetchall()[0]
         assert found[0] == 300 and w is not None and x is not None
 
 
