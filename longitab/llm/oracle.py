@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from longitab.llm.url_rules import UNWANTED
+#: Words of a host that the url query's pattern rules block (fixed values).
+UNWANTED = ("spam", "casino", "pills", "viagra", "porn", "phishing", "malware", "warez")
 
 _A2Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from longitab.llm.common import bounded_batches, pieces, texts_of
 
 DIMENSIONS = 1 << 12
-#: Documents that the scorer is trained on, chosen by a hash of text; votes are counted over all.
+#: Distinct texts that the scorer is trained on, those with the smallest hashes; votes are counted over all.
 TRAIN_ROWS = 5_000
 GOOD, NONE, BAD = 2, 1, 0
 _LETTER = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57
@@ -134,9 +134,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     ``weak_label`` (posterior), ``score`` (of the linear scorer, 0 to 1) and ``good`` (0.5 or more).
 
     Null text is empty; an empty text gets the score of the intercept. Vote patterns of all rows are
-    counted; there are at most 3 to the number of labellers. The scorer alone is fitted on about
-    ``train_rows`` rows, chosen by a hash of their text. Repeated rows each count and each give a
-    row; other columns are ignored; an empty table gives an empty result.
+    counted; there are at most 3 to the number of labellers. The scorer alone is fitted on a sample:
+    the ``train_rows`` distinct texts with the smallest hashes, each once, in the order of their
+    hashes, so the order of rows changes nothing. Repeated rows each count as votes and each give a
+    row. Texts of any length are read as a whole; other columns are ignored; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -153,9 +155,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     if not len(codes):
         codes, counts = np.array([(3 ** k - 1) // 2]), np.array([1])
     prior, p = expectation_maximisation(digits(codes, k), counts)
-    total = int(counts.sum())
-    share = min(1.0, train_rows / total)
-    sample = d.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).limit(2 * train_rows)
+    # Hashes are counted before their shuffle, so a frequent text is one row a task.
+    hashes = d.select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(train_rows)
+    last = hashes.agg(F.max("h")).first()[0]
+    under = d.select("t", F.xxhash64("t").alias("h")).filter(F.col("h") <= F.lit(last).cast("long"))
+    sample = under.groupBy("h", "t").agg(F.count("*").alias("n")).orderBy("h", "t")
 
     def describe(batches):
         for batch in pieces(batches, 0):

@@ -269,6 +269,16 @@ def test_expectation_maximisation_finds_accuracies():
     assert abs(prior - 0.7) < 0.05 and all(abs(p[j, 1, 2] - a) < 0.05 for j, a in enumerate(right))
 
 
+def test_quality_ignores_the_order_of_rows(spark, frame, documents, monkeypatch):
+    texts = list(zip(documents.doc_id.tolist(), documents.text.tolist()))
+    texts += [(10_000 + i, texts[3][1]) for i in range(2000)]                   # one text with most of the rows
+    runs = []
+    for order in (texts, texts[::-1]):
+        got = rows(quality.classify(frame(order).repartition(3), train_rows=100))
+        runs.append({r["doc_id"]: (r["score"], r["good"]) for r in got})
+    assert all(abs(runs[0][i][0] - runs[1][i][0]) < 1e-6 and runs[0][i][1] == runs[1][i][1] for i in runs[0])
+
+
 def test_quality_odd_rows(frame):
     got = rows(quality.classify(frame(ODD)))
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
