@@ -31,11 +31,12 @@ class Encoder:
     cut before spaces only.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_parts: int = CACHE_PARTS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kept_parts = kept_parts
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -49,7 +50,7 @@ class Encoder:
         """Ids of each text and the end id, as unsigned 32-bit integers."""
         cut = [self.parts(t) for t in texts]
         distinct = set().union(*cut)
-        if len(self.known) > CACHE_PARTS:
+        if len(self.known) > self.kept_parts:
             self.known, self.older = {}, self.known
         new = [p for p in distinct if p not in self.known]
         if self.older:
@@ -63,9 +64,10 @@ class Encoder:
         return [np.frombuffer(b"".join(map(find, p)) + end, "<u4") for p in cut]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept_parts: int = CACHE_PARTS) -> Encoder:
     """One encoder for each vocabulary and worker, kept from task to task."""
     kept = worker_cache()
     if path not in kept:
         kept[path] = Encoder(path)
+    kept[path].kept_parts = kept_parts
     return kept[path]
