@@ -130,6 +130,30 @@ def mix(points: str, k: int = 5) -> str:
       FROM shares JOIN sizes USING (source) GROUP BY source"""
 
 
+def collapsed_mix(k: int = 5) -> str:
+    """As ``mix`` on two coordinates, with copies counted first: only points as near as the k-th other
+    one are kept."""
+    return f"""WITH {VISITS},
+      pts AS (SELECT row_number() OVER (ORDER BY value, k) AS id, value AS x, k AS y, count(*) FILTER (user_id % 2 = 0) AS n1,
+                     count(*) FILTER (user_id % 2 = 1) AS n0 FROM visits WHERE value IS NOT NULL AND k IS NOT NULL GROUP BY value, k),
+      edge AS (SELECT p.id, list_max(min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y), {k})) + 0.000001::DOUBLE AS e
+               FROM pts p JOIN pts q ON p.id <> q.id GROUP BY 1),
+      near AS (SELECT p.id, p.n1 AS own1, p.n0 AS own0, round(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), 9) AS d, q.n1, q.n0
+               FROM pts p JOIN edge USING (id) JOIN pts q ON (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= e),
+      byd AS (SELECT id, own1, own0, d, sum(n1) AS n1, sum(n0) AS n0 FROM near GROUP BY ALL),
+      own AS (SELECT id, d, s.source, CASE s.source WHEN 'real' THEN own1 ELSE own0 END AS rows_, n1 + n0 - CASE WHEN d = 0 THEN 1 ELSE 0 END AS everyone,
+                     CASE s.source WHEN 'real' THEN n1 ELSE n0 END - CASE WHEN d = 0 THEN 1 ELSE 0 END AS same
+              FROM byd, (VALUES ('real'), ('synth')) AS s(source)),
+      run AS (SELECT *, coalesce(sum(everyone) OVER (PARTITION BY id, source ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+              FROM own WHERE rows_ > 0),
+      used AS (SELECT *, least(everyone, {k} - before)::DOUBLE AS used FROM run WHERE before < {k} AND everyone > 0),
+      shares AS (SELECT id, source, rows_, sum(same * used / everyone) / sum(used) AS share FROM used GROUP BY ALL),
+      total AS (SELECT sum(n1) AS t1, sum(n0) AS t0 FROM pts)
+      SELECT source, CAST(sum(rows_) AS BIGINT) AS n, round(sum(share * rows_) / sum(rows_), 6) AS same_share,
+             round(any_value((CASE source WHEN 'real' THEN t1 ELSE t0 END - 1)::DOUBLE / (t1 + t0 - 1)), 6) AS expected_share
+      FROM shares, total GROUP BY source"""
+
+
 def _sequence_features() -> str:
     """Flat visits, differences, slopes, lag products, by position."""
     return f"""WITH {PACKED},
@@ -383,8 +407,8 @@ ORACLE = {
         SELECT count(*) FILTER (value IS NULL OR k IS NULL) AS nulls, count(*) FILTER (value < lo OR value > hi) AS outside FROM visits, r""",
     "decode_clip": f"""WITH {STEPPED},
         m AS (SELECT avg(value) AS mv, min(value) AS lv, max(value) AS hv, avg(k) AS mk, min(k) AS lk, max(k) AS hk FROM stepped)
-        SELECT user_id, label, step, round(least(greatest(mv + 1.5::DOUBLE * (value - mv), lv), hv), 4) AS value,
-               round(least(greatest(mk + 1.5::DOUBLE * (k - mk), lk), hk), 4) AS k FROM stepped, m""",
+        SELECT user_id, label, step, round(least(greatest(mv + 1.37::DOUBLE * (value - mv), lv), hv), 3) AS value,
+               round(least(greatest(mk + 1.37::DOUBLE * (k - mk), lk), hk), 3) AS k FROM stepped, m""",
     "softmax_trtr": f"""WITH {softmax(8, 0.5)},
         o AS (SELECT vec_id, label, c, sum(x * w) AS s FROM z JOIN w8 USING (j) WHERE side = 'test' GROUP BY ALL)
         SELECT vec_id, label, CAST(c AS INTEGER) AS prediction FROM o QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) = 1""",
@@ -414,6 +438,7 @@ ORACLE = {
             0 AS nulls FROM c""",
     "neighbour_mix": mix("""SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'real' ELSE 'synth' END AS source,
         embedding::DOUBLE[] AS x FROM embeddings"""),
+    "neighbour_mix_events": collapsed_mix(),
     "lag_fidelity": f"""WITH {STEPPED},
         f AS (SELECT user_id, label, step, 'value' AS feature, value AS x FROM stepped
               UNION ALL SELECT user_id, label, step, 'k', k FROM stepped),

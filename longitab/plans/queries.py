@@ -538,12 +538,12 @@ def synth_range_check(spark, sf_dir):
 
 
 def decode_clip(spark, sf_dir):
-    """Scaled visits, half as far again from the mean, decoded to real units inside the real range."""
+    """Scaled visits, moved away from the mean, decoded to real units inside the real range."""
     rows = visits(spark, sf_dir)
     limits = pr.fit_scale(rows, ["value", "k"])
-    wide = limits.transform(rows).withColumns({f: F.col(f) * 1.5 for f in ("value", "k")})
+    wide = limits.transform(rows).withColumns({f: F.col(f) * 1.37 for f in ("value", "k")})
     parts = sq.pack_parts(wide, "user_id", ["ts", "event_id"], ["value", "k"], 16, "label")
-    return rounded(sy.decode(parts, limits, keep=["user_id", "label"]), 4, "value", "k")
+    return rounded(sy.decode(parts, limits, keep=["user_id", "label"]), 3, "value", "k")
 
 
 def _rejection(spark, sf_dir):
