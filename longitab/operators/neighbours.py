@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longitab.functions.draws import normals
-from longitab.functions.ranges import add_slice, cut_points, search, slices_for
+from longitab.functions.ranges import OVERSAMPLE, add_slice, cut_points, search, slices_for
 from longitab.functions.small import join_small
 from longitab.operators.fidelity import pair
 from longitab.operators.moments import vectors
@@ -187,77 +187,224 @@ def nearest_rows(queries: DataFrame, blocked: DataFrame, k: int, partitions: int
             .groupBy("point", "d").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
 
 
-def hash_tables(points: DataFrame, tables: int, seed: int) -> DataFrame:
-    """``points`` once per table with ``key``: the interleaved bits of its random projections, each in
-    levels of about equal count. Points near each other in all projections have keys near each
-    other. Levels come from ``LEVEL_ROWS`` points, the first ones by name."""
-    drawn = points.orderBy("point").limit(LEVEL_ROWS).select("x").toArrow()
-    x = vectors(drawn.column(0))
-    d, m = x.shape[1], min(x.shape[1], DIRECTIONS)
-    turns = [np.linalg.qr(normals(seed + t, np.arange(d), m))[0] for t in range(tables)]
-    marks = np.linspace(0, len(x) - 1, min(len(x), 1 << 10)).astype(int)
-    levels = [np.sort(x @ q, axis=0)[marks] for q in turns]
-    top = float((1 << BITS) - 1)
-
-    def keys(x: np.ndarray, q: np.ndarray, level: np.ndarray) -> np.ndarray:
-        out, at = np.zeros(len(x), np.int64), x @ q
-        grid = np.linspace(0.0, top, len(level))
-        code = np.stack([np.interp(at[:, j], level[:, j], grid) for j in range(m)], axis=1).astype(np.int64)
+def closest(row: np.ndarray, column: np.ndarray, near: np.ndarray, weight: np.ndarray, k: int):
+    """Of found pairs, sorted by row and distance, those that ``k`` rows need: fewer points do where they
+    stand for many rows, and all at the last distance stay. The row's own point is one of its pairs."""
+    order = np.lexsort((near, row))
+    row, column, near = row[order], column[order], near[order]
+    sums = np.cumsum(weight[column])
+    begin = np.searchsorted(row, row, "left")
+    before = np.where(begin > 0, sums[begin - 1], 0)
+    inside = sums - weight[column] - before <= k
+    last = np.zeros(row.max() + 1 if len(row) else 0)
+    np.maximum.at(last, row[inside], near[inside])
+    keep = near <= last[row]
+    return row[keep], column[keep], near[keep]
+
+
+def lists_of(ids: np.ndarray, row: np.ndarray, near: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> pa.Table:
+    """``id, found``: the pairs of each row, sorted by ``row``, as one binary value. Its first byte is
+    the width of a count; a pair is its distance and both counts."""
+    width = next(w for w in (1, 2, 4, 8) if not len(row) or max(n1.max(), n0.max()) < 1 << (8 * w - 1))
+    record = np.empty(len(row), dtype=[("d", "<f8"), ("n1", f"<i{width}"), ("n0", f"<i{width}")])
+    record["d"], record["n1"], record["n0"] = near, n1, n0
+    rows, counts = np.unique(row, return_counts=True)
+    ends = np.concatenate(([0], np.cumsum(counts * record.itemsize + 1)))
+    flat = np.full(ends[-1], width, np.uint8)
+    body = np.ones(len(flat), bool)
+    body[ends[:-1]] = False
+    flat[body] = record.view(np.uint8)
+    found = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+    return pa.table({"id": pa.array(ids[rows], pa.int64()), "found": found})
+
+
+LISTS = "id bigint, found binary"
+
+
+def unlisted(column: pa.Array):
+    """``value, d, n1, n0`` of the pairs in binary values, ``value`` the number of the value."""
+    data = [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
+    widths = np.array([v[0] for v in data], dtype=np.int64)
+    out = []
+    for width in np.unique(widths):
+        kind = np.dtype([("d", "<f8"), ("n1", f"<i{width}"), ("n0", f"<i{width}")])
+        at = np.flatnonzero(widths == width)
+        record = np.frombuffer(b"".join(data[i][1:] for i in at), kind)
+        sizes = [(len(data[i]) - 1) // kind.itemsize for i in at]
+        out.append((np.repeat(at, sizes), record["d"], record["n1"].astype(np.int64), record["n0"].astype(np.int64)))
+    return [np.concatenate(v) for v in zip(*out)]
+
+
+def list_shares(found: DataFrame, k: int) -> DataFrame:
+    """``source, rows, share``: partial sums of the shares of points whose pairs are in ``found``, in one
+    or several binary values. The pair at distance -1 holds the point's own rows."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0)
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            value, d, n1, n0 = unlisted(lists.flatten())
+            point = owner[value]
+            order = np.lexsort((d, point))
+            point, d, n1, n0 = point[order], d[order], n1[order], n0[order]
+            new = np.concatenate(([True], (np.diff(point) != 0) | (np.diff(d) != 0)))
+            at = np.flatnonzero(new)
+            point, d = point[at], d[at]
+            n1, n0 = np.add.reduceat(n1, at), np.add.reduceat(n0, at)
+            own = d < 0
+            rows = {"real": n1[own], "synth": n0[own]}
+            point, n1, n0 = point[~own], n1[~own], n0[~own]
+            every = n1 + n0 - (d[~own] == 0)
+            begin = np.searchsorted(point, point, "left")
+            sums = np.cumsum(every)
+            before = sums - every - np.where(begin > 0, sums[begin - 1], 0)
+            use = (before < k) & (every > 0)
+            used = np.minimum(every, k - before)[use]
+            below = np.bincount(point[use], used, len(lists))
+            for source, n in (("real", n1), ("synth", n0)):
+                same = (n - (d[~own] == 0))[use]
+                top = np.bincount(point[use], same * used / every[use], len(lists))
+                there = (rows[source] > 0) & (below > 0)
+                share = (top[there] / below[there] * rows[source][there]).sum()
+                yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([int(rows[source][there].sum())]), pa.array([float(share)])],
+                                                 names=["source", "rows", "share"])
+
+    return (found.groupBy("id").agg(F.collect_list("found").alias("found")).select("found")
+            .mapInArrow(run, "source string, rows bigint, share double"))
+
+
+class Tables:
+    """Hash tables of points. A point's key in a table is the interleaved bits of its random
+    projections, each in levels of about equal count, so points near each other in all projections
+    have keys near each other. Levels come from ``LEVEL_ROWS`` points, the first ones by name.
+
+    A table's keys are cut into slices of about ``block_rows`` points by a sample, and points with one
+    key that fill more than a few slices are dealt by hash. ``slots`` numbers the parts of all tables."""
+
+    def __init__(self, points: DataFrame, size: int, tables: int, block_rows: int, seed: int):
+        drawn = points.orderBy("point").limit(LEVEL_ROWS).select("x").toArrow()
+        x = vectors(drawn.column(0))
+        d, self.m = x.shape[1], min(x.shape[1], DIRECTIONS)
+        self.turns = [np.linalg.qr(normals(seed + t, np.arange(d), self.m))[0] for t in range(tables)]
+        marks = np.linspace(0, len(x) - 1, min(len(x), 1 << 10)).astype(int)
+        self.levels = [np.sort(x @ q, axis=0)[marks] for q in self.turns]
+        self.cuts = [np.zeros(0, np.int64)] * tables
+        spark = points.sparkSession
+        # Only sampled points are hashed for the cuts.
+        rate = max(1, size // (OVERSAMPLE * slices_for(size, block_rows)))
+        sample = self.keyed(points.filter(F.pmod(F.xxhash64("point"), F.lit(rate)) == 0))
+        sizes = spark.createDataFrame([(t, size) for t in range(tables)], "table int, _n bigint")
+        for t, cuts in cut_points(sample, ["table"], F.col("key"), sizes, block_rows, F.col("point")).toArrow().to_pandas().itertuples(index=False):
+            self.cuts[t] = np.asarray(cuts, dtype=np.int64)
+        parts = [np.ones(len(c) + 1, np.int64) for c in self.cuts]
+        self.first = self.numbered(parts)
+        self.parts = parts
+        counts = self.placed(points.select("point", "x")).select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+        for slot, n in counts.filter(F.col("n") > 4 * block_rows).collect():
+            t = next(t for t in range(tables) if self.first[t][0] <= slot <= self.first[t][-1])
+            parts[t][slot - self.first[t][0]] = -(-n // block_rows)
+        self.first = self.numbered(parts)
+        self.slots = int(sum(p.sum() for p in parts))
+
+    @staticmethod
+    def numbered(parts: list) -> list:
+        flat = np.concatenate(parts)
+        return np.split(np.cumsum(flat) - flat, np.cumsum([len(p) for p in parts])[:-1])
+
+    def keys(self, x: np.ndarray, t: int) -> np.ndarray:
+        out, at, level = np.zeros(len(x), np.int64), x @ self.turns[t], self.levels[t]
+        grid = np.linspace(0.0, float((1 << BITS) - 1), len(level))
+        code = np.stack([np.interp(at[:, j], level[:, j], grid) for j in range(self.m)], axis=1).astype(np.int64)
         for bit in range(BITS - 1, -1, -1):
-            for j in range(m):
+            for j in range(self.m):
                 out = (out << 1) | ((code[:, j] >> bit) & 1)
         return out
 
-    @F.arrow_udf("array<bigint>")
-    def hashed(column: pa.Array) -> pa.Array:
-        if not len(column):
-            return pa.array([], pa.list_(pa.int64()))
-        x = vectors(column)
-        made = np.stack([keys(x, q, level) for q, level in zip(turns, levels)], axis=1)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, tables, dtype=np.int32)), pa.array(made.reshape(-1)))
-
-    return points.select("*", F.posexplode(hashed("x")).alias("table", "key"))
-
-
-def hashed_neighbours(points: DataFrame, size: int, k: int, tables: int, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
-    """``point, other, d, n1, n0``: of each point the nearest other points found in any table's slice,
-    enough for ``k`` rows and all at the last distance; ``other`` is the point itself too, at 0.
-
-    A slice has about ``block_rows`` points: the keys of a table are cut into ranges by a sample, and
-    points with one key that fill more than a few slices are dealt by hash."""
-    rows = settle(hash_tables(points, tables, seed))
+    def keyed(self, points: DataFrame) -> DataFrame:
+        """``points`` once per table with ``table`` and ``key``."""
+        keys, tables = self.keys, len(self.turns)
+
+        @F.arrow_udf("array<bigint>")
+        def hashed(column: pa.Array) -> pa.Array:
+            if not len(column):
+                return pa.array([], pa.list_(pa.int64()))
+            x = vectors(column)
+            made = np.stack([keys(x, t) for t in range(tables)], axis=1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, tables, dtype=np.int32)), pa.array(made.reshape(-1)))
+
+        return points.select("*", F.posexplode(hashed("x")).alias("table", "key"))
+
+    def placed(self, points: DataFrame) -> DataFrame:
+        """``points`` with ``slots``, the part that a point is in, for each table."""
+        keys, cuts, first, parts = self.keys, self.cuts, self.first, [p.copy() for p in self.parts]
+        tables = len(cuts)
+
+        @F.arrow_udf("array<int>")
+        def place(column: pa.Array, code: pa.Array) -> pa.Array:
+            if not len(column):
+                return pa.array([], pa.list_(pa.int32()))
+            x, code, made = vectors(column), code.to_numpy(zero_copy_only=False), []
+            for t in range(tables):
+                at = np.searchsorted(cuts[t], keys(x, t), "right")
+                made.append(first[t][at] + code % parts[t][at])
+            made = np.stack(made, axis=1).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, tables, dtype=np.int32)), pa.array(made.reshape(-1)))
+
+        return points.select("*", place("x", F.xxhash64("point")).alias("slots"))
+
+
+def met_lists(points: DataFrame, size: int, k: int, tables: int, block_rows: int, seed: int, named: bool = False) -> DataFrame:
+    """``id, found``: of each point the nearest points met in the parts of each table, as by ``lists_of``,
+    or with ``named`` a row ``id, other, d, n1, n0`` each.
+
+    A row carries its slots in the tables before, so a pair that met there is left out: it was found
+    there, or enough nearer ones were. So no pair has to be shuffled to find it twice."""
+    held = Tables(points, size, tables, block_rows, seed)
+    rows = (held.placed(points).select("id", "x", "n1", "n0", "slots", F.posexplode("slots").alias("table", "slot"))
+            .select("slot", "id", "x", "n1", "n0", F.slice("slots", F.lit(1), F.col("table")).alias("before")))
     spark = points.sparkSession
-    sizes = spark.createDataFrame([(t, size) for t in range(tables)], "table int, _n bigint")
-    cuts = cut_points(rows, ["table"], F.col("key"), sizes, block_rows, F.col("point"))
-    placed = add_slice(join_small(rows, cuts, ["table"], "left"), "slice", F.col("_cuts"), F.col("key"), slices_for(size, block_rows)).drop("_cuts", "key")
-    over = (placed.groupBy("table", "slice").agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * block_rows)
-            .select("table", "slice", F.ceil(F.col("_n") / block_rows).alias("_parts")))
-    dealt = join_small(placed, over, ["table", "slice"], "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("point"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), held.slots // 32)
 
     def compare(t: pa.Table) -> pa.Table:
-        x, weight = vectors(t.column("x")), t.column("n1").to_numpy() + t.column("n0").to_numpy()
+        x, n1, n0 = vectors(t.column("x")), t.column("n1").to_numpy(), t.column("n0").to_numpy()
+        ids = t.column("id").to_numpy()
+        earlier = t.column("before").combine_chunks()
+        earlier = earlier.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(earlier.flatten()) else np.zeros((len(x), 0), np.int32)
         d = squared(x, x)
         take = min(len(d), k + 1)
         edge = np.sqrt(np.partition(d, take - 1, axis=1)[:, take - 1]) + SLACK
         row, column = np.nonzero(d <= (edge * edge)[:, None])
-        near = np.round(np.sqrt(d[row, column]), DIGITS)
-        # Fewer points do where they stand for many rows.
-        order = np.lexsort((near, row))
-        row, column, near = row[order], column[order], near[order]
-        sums = np.cumsum(weight[column])
-        begin = np.searchsorted(row, row, "left")
-        before = np.where(begin > 0, sums[begin - 1], 0)
-        inside = sums - weight[column] - before <= k
-        last = np.zeros(len(x))
-        np.maximum.at(last, row[inside], near[inside])
-        keep = near <= last[row]
-        names, at, to = t.column("point"), pa.array(row[keep]), pa.array(column[keep])
-        return pa.table({"point": names.take(at), "other": names.take(to), "d": pa.array(near[keep]),
-                         "n1": t.column("n1").take(to), "n0": t.column("n0").take(to)})
-
-    found = (dealt.groupBy("table", "slice", "part").applyInArrow(compare, "point string, other string, d double, n1 bigint, n0 bigint"))
-    return found.groupBy("point", "other").agg(F.min("d").alias("d"), F.first("n1").alias("n1"), F.first("n0").alias("n0"))
+        row, column, near = closest(row, column, np.round(np.sqrt(d[row, column]), DIGITS), n1 + n0, k)
+        fresh = ~(earlier[row] == earlier[column]).any(axis=1)
+        row, column, near = row[fresh], column[fresh], near[fresh]
+        if named:
+            return pa.table({"id": ids[row], "other": ids[column], "d": near, "n1": n1[column], "n0": n0[column]})
+        if not earlier.shape[1]:
+            row, column, near = with_own(row, column, near)
+        return lists_of(ids, row, near, n1[column], n0[column])
+
+    return rows.repartition(spread, "slot").groupBy("slot").applyInArrow(
+        compare, "id bigint, other bigint, d double, n1 bigint, n0 bigint" if named else LISTS)
+
+
+def with_own(row: np.ndarray, column: np.ndarray, near: np.ndarray):
+    """Pairs with one more for each row there is: the point itself at distance -1."""
+    own = np.unique(row)
+    row, column, near = np.concatenate([row, own]), np.concatenate([column, own]), np.concatenate([near, np.full(len(own), -1.0)])
+    order = np.argsort(row, kind="stable")
+    return row[order], column[order], near[order]
+
+
+def hashed_neighbours(points: DataFrame, size: int, k: int, tables: int, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+    """``point, other, d, n1, n0``: of each point the nearest other points found in any table's part,
+    enough for ``k`` rows and all at the last distance; ``other`` is the point itself too, at 0. Each
+    pair is there once. ``points`` must give the same rows in the same order each time, as settled ones do."""
+    points = points.withColumn("id", F.monotonically_increasing_id())
+    names = points.select("id", "point")
+    return (met_lists(points, size, k, tables, block_rows, seed, True).join(names, "id")
+            .join(names.select(F.col("id").alias("other"), F.col("point").alias("_o")), "other")
+            .select("point", F.col("_o").alias("other"), "d", "n1", "n0"))
 
 
 def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str, k: int = 5,
@@ -276,13 +423,13 @@ def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str,
     if not size["points"]:
         raise ValueError("no rows to compare")
     if tables:
-        found = (hashed_neighbours(points, size["points"], k, tables, block_rows)
-                 .groupBy("point", "d").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
-    else:
-        blocks = Blocks(points, size["points"], block_rows)
-        blocked = blocks.assign()
-        queries = settle(blocks.reach(own_bounds(blocked, k, blocks.partitions)))
-        found = nearest_rows(queries, blocked, k, blocks.partitions)
+        numbered = points.withColumn("id", F.monotonically_increasing_id())
+        sums = list_shares(met_lists(numbered, size["points"], k, tables, block_rows, 7), k)
+        return mixed(sums, size["n1"], size["n0"])
+    blocks = Blocks(points, size["points"], block_rows)
+    blocked = blocks.assign()
+    queries = settle(blocks.reach(own_bounds(blocked, k, blocks.partitions)))
+    found = nearest_rows(queries, blocked, k, blocks.partitions)
 
     owners = points.select(F.col("point").alias("_p"), F.inline(F.array(
         F.struct(F.lit("real").alias("source"), F.col("n1").alias("rows")),
@@ -300,9 +447,13 @@ def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str,
               .groupBy("point", "source", "rows")
               .agg((F.sum(F.col("same") * F.col("used") / F.col("all"))
                     / F.sum("used")).alias("share")))
-    total = size["n1"] + size["n0"]
-    own = F.when(is_real, F.lit(size["n1"])).otherwise(F.lit(size["n0"]))
-    return (shares.groupBy("source")
-            .agg(F.sum("rows").alias("n"),
-                 (F.sum(F.col("share") * F.col("rows")) / F.sum("rows")).alias("same_share"))
-            .withColumn("expected_share", (own - 1) / F.lit(float(max(total - 1, 1)))))
+    return mixed(shares.select("source", "rows", (F.col("share") * F.col("rows")).alias("share")), size["n1"], size["n0"])
+
+
+def mixed(sums: DataFrame, n1: int, n0: int) -> DataFrame:
+    """The result from ``source, rows, share``, shares summed over rows."""
+    own = F.when(F.col("source") == "real", F.lit(n1)).otherwise(F.lit(n0))
+    return (sums.groupBy("source").agg(F.sum("rows").alias("n"), F.sum("share").alias("_share"))
+            .filter("n > 0")
+            .select("source", "n", (F.col("_share") / F.col("n")).alias("same_share"),
+                    ((own - 1) / F.lit(float(max(n1 + n0 - 1, 1)))).alias("expected_share")))

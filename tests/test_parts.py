@@ -272,3 +272,19 @@ def test_softmax_learns(spark):
     df = spark.createDataFrame(rows, "label int, features array<double>, side string")
     cells = ev.class_metrics(ev.confusion(ev.trtr(ev.softmax(rounds=60), df))).filter("label IS NULL").collect()
     assert {r["metric"]: r["value"] for r in cells}["accuracy"] > 0.85
+
+
+def test_hashed_pairs_are_sent_once(spark):
+    """A pair that meets in several tables leaves one of them only: what is shuffled to join the tables
+    is a list a point and table, not its pairs in all of them."""
+    x = clustered(3000, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
+    points = nb.settle(nb.distinct_points(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), "x"))
+    numbered = points.withColumn("id", F.monotonically_increasing_id())
+    pairs = nb.met_lists(numbered, 3000, 5, 8, 256, 7, True)
+    assert pairs.count() == pairs.select("id", "other").distinct().count()
+    lists = nb.met_lists(numbered, 3000, 5, 8, 256, 7)
+    assert lists.agg(F.sum(F.length("found"))).first()[0] < 3000 * 8 * 40
+    exact = {r["source"]: r["same_share"] for r in nb.neighbour_mix(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), "x", 5, 256).collect()}
+    hashed = {r["source"]: r["same_share"] for r in nb.neighbour_mix(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), "x", 5, 256, tables=8).collect()}
+    assert all(abs(exact[s] - hashed[s]) < 0.01 for s in exact)
