@@ -36,6 +36,9 @@ DIGITS = 9
 SLACK = 1e-6
 #: Hashed search: projections of a table, bits of each in the hash, and rows that set its levels.
 DIRECTIONS, BITS, LEVEL_ROWS = 4, 15, 4096
+#: Search of all pairs: bytes of a block, rows that give a first bound, and the share of the blocks that
+#: a point has to meet for it.
+PAIR_BYTES, BOUND_ROWS, MET_SHARE = 16 << 20, 2048, 8
 
 
 def distinct_points(real: DataFrame, synth: DataFrame, features: list[str] | str) -> DataFrame:
@@ -274,6 +277,103 @@ def list_shares(found: DataFrame, k: int) -> DataFrame:
             .mapInArrow(run, "source string, rows bigint, share double"))
 
 
+def pairwise(a: np.ndarray, b: np.ndarray, k: int, skip: bool):
+    """Pairs ``row, column, near`` of rows of ``a`` and of ``b`` that may be among the ``k + 1`` nearest of
+    either: of ``a`` in ``b``, then, unless ``skip``, of ``b`` in ``a``.
+
+    Products of matrices with a margin above their rounding say which pairs can be, against a bound
+    from ``BOUND_ROWS`` rows; only those are compared by differences."""
+    middle = a.mean(axis=0)
+    u, v = a - middle, b - middle
+    uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+    margin = 4 * (a.shape[1] + 8) * np.finfo(float).eps * (uu.max() + vv.max())
+
+    def distances(i, j, x=u, y=v, xx=uu, yy=vv):
+        d = x[i] @ y[j].T
+        d *= -2.0
+        d += xx[i][:, None]
+        d += yy[j]
+        return d
+
+    def limits(x, y, xx, yy):
+        take, out = min(len(y), k + 1), []
+        spread = np.linspace(0, len(y) - 1, min(len(y), BOUND_ROWS)).astype(int)
+        for at in range(0, len(x), 512):
+            d = distances(slice(at, at + 512), spread, x, y, xx, yy)
+            near = np.partition(d, min(take, d.shape[1]) - 1, axis=1)[:, min(take, d.shape[1]) - 1]
+            out.append(np.square(np.sqrt(np.maximum(near + margin, 0.0)) + SLACK) + margin)
+        return np.concatenate(out)
+
+    of_a = limits(u, v, uu, vv)
+    of_b = None if skip else limits(v, u, vv, uu)
+    rows, columns, nears = [], [], []
+    for i in range(0, len(u), 512):
+        for j in range(0, len(v), 2048):
+            d = distances(slice(i, i + 512), slice(j, j + 2048))
+            mask = d <= of_a[i:i + 512, None]
+            if not skip:
+                mask |= d <= of_b[None, j:j + 2048]
+            row, column = np.divmod(np.flatnonzero(mask), mask.shape[1])
+            gap = a[row + i] - b[column + j]
+            rows.append((row + i).astype(np.int32))
+            columns.append((column + j).astype(np.int32))
+            nears.append(np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), DIGITS))
+    row, column, near = np.concatenate(rows), np.concatenate(columns), np.concatenate(nears)
+    # A bound holds for differences too, so what is beyond it is of the other direction.
+    wide = np.sqrt(of_a + 2 * margin) + SLACK
+    here = near <= wide[row]
+    first = row[here], column[here], near[here]
+    if skip:
+        return first, None
+    here = near <= (np.sqrt(of_b + 2 * margin) + SLACK)[column]
+    return first, (column[here], row[here], near[here])
+
+
+def all_pairs(points: DataFrame, size: int, width: int, k: int, narrow: bool) -> DataFrame:
+    """``id, found``: of each point its nearest points of every block, as by ``lists_of``, where bounds rule
+    out few blocks. Points are dealt into blocks by hash; each two blocks meet in one task, for the
+    neighbours of both. A block has at most ``PAIR_BYTES`` and there are enough blocks to keep all
+    cores busy, so what is shuffled grows with points times blocks, and the work with their square."""
+    spark = points.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(math.ceil(math.sqrt(6 * cores)), math.ceil(size * width * 8 / PAIR_BYTES))
+    x = F.col("x").cast("array<float>") if narrow else F.col("x")
+    own, other = F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"), F.col("_other")
+    rows = (points.select("id", x.alias("x"), "n1", "n0", own.alias("_own"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .select((F.least("_own", other) * F.lit(blocks).cast("long") + F.greatest("_own", other)).alias("pair"),
+                    (F.col("_own") <= other).alias("left"), "id", "x", "n1", "n0"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        pair, left = t.column("pair")[0].as_py(), t.column("left").to_numpy()
+        x, ids = vectors(t.column("x")).astype(np.float64), t.column("id").to_numpy()
+        n1, n0 = t.column("n1").to_numpy(), t.column("n0").to_numpy()
+        same = pair // blocks == pair % blocks
+        a = np.flatnonzero(left)
+        b = a if same else np.flatnonzero(~left)
+        if not len(a) or not len(b):
+            return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], pa.binary())})
+        one, two = pairwise(x[a], x[b], k, same)
+        out = []
+        for found, mine, theirs in ((one, a, b), (two, b, a)):
+            if found is not None:
+                row, column, near = closest(*found, (n1 + n0)[theirs], k)
+                if same:
+                    row, column, near = with_own(row, column, near)
+                out.append(lists_of(ids[mine], row, near, n1[theirs][column], n0[theirs][column]))
+        return pa.concat_tables(out)
+
+    return (rows.repartition(max(cores, blocks * (blocks + 1) // 2), "pair").groupBy("pair").applyInArrow(compare, LISTS))
+
+
+def blocks_met(blocks: Blocks, blocked: DataFrame, wanted: int, k: int) -> float:
+    """About how many blocks a point has to be compared with, from the points of some eight blocks."""
+    some = blocked.filter(F.pmod(F.xxhash64("block"), F.lit(max(1, wanted // 8))) == 0)
+    met = blocks.reach(own_bounds(some, k, min(8, blocks.partitions)))
+    n, pairs = met.agg(F.countDistinct("point"), F.count("*")).first()
+    return pairs / n if n else float(wanted)
+
+
 class Tables:
     """Hash tables of points. A point's key in a table is the interleaved bits of its random
     projections, each in levels of about equal count, so points near each other in all projections
@@ -418,16 +518,22 @@ def neighbour_mix(real: DataFrame, synth: DataFrame, features: list[str] | str,
     """
     spread = int(real.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = settle(distinct_points(real, synth, features).repartition(spread, "point"))
-    size = points.agg(F.count("*").alias("points"), F.sum("n1").alias("n1"),
-                      F.sum("n0").alias("n0")).first()
+    whole = F.forall("x", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    size = points.agg(F.count("*").alias("points"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"),
+                      F.every(whole).alias("whole"), F.max(F.size("x")).alias("width"),
+                      F.every(F.forall("x", lambda v: v.cast("float").cast("double") == v)).alias("narrow")).first()
     if not size["points"]:
         raise ValueError("no rows to compare")
+    numbered = points.withColumn("id", F.monotonically_increasing_id())
     if tables:
-        numbered = points.withColumn("id", F.monotonically_increasing_id())
         sums = list_shares(met_lists(numbered, size["points"], k, tables, block_rows, 7), k)
         return mixed(sums, size["n1"], size["n0"])
     blocks = Blocks(points, size["points"], block_rows)
     blocked = blocks.assign()
+    wanted = math.ceil(size["points"] / block_rows)
+    if wanted > MET_SHARE and size["whole"] and blocks_met(blocks, blocked, wanted, k) * MET_SHARE > wanted:
+        found = all_pairs(numbered, size["points"], size["width"], k, size["narrow"])
+        return mixed(list_shares(found, k), size["n1"], size["n0"])
     queries = settle(blocks.reach(own_bounds(blocked, k, blocks.partitions)))
     found = nearest_rows(queries, blocked, k, blocks.partitions)
 

@@ -288,3 +288,23 @@ def test_hashed_pairs_are_sent_once(spark):
     exact = {r["source"]: r["same_share"] for r in nb.neighbour_mix(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), "x", 5, 256).collect()}
     hashed = {r["source"]: r["same_share"] for r in nb.neighbour_mix(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), "x", 5, 256, tables=8).collect()}
     assert all(abs(exact[s] - hashed[s]) < 0.01 for s in exact)
+
+
+@pytest.mark.parametrize("narrow", [True, False])
+def test_neighbours_of_unrelated_dimensions_by_all_pairs(spark, monkeypatch, narrow):
+    """Where no block can be ruled out, points are not handed to every block one by one; the result is
+    that of the blocks, copies and ties included."""
+    rng = np.random.default_rng(4)
+    x = 1000.0 + np.vstack([rng.normal(size=(1500, 20)), np.round(rng.normal(size=(500, 20)))])
+    x = x.astype(np.float32).astype(float) if narrow else x
+    x = np.vstack([x, x[:300], x[:100]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
+    real, synth = df.filter("id % 3 = 0"), df.filter("id % 3 > 0")
+    used, plain = [], nb.all_pairs
+    monkeypatch.setattr(nb, "all_pairs", lambda *a: used.append(a[-1]) or plain(*a))
+    got = sorted(tuple(r) for r in nb.neighbour_mix(real, synth, "x", 5, 64).collect())
+    assert used == [narrow]
+    monkeypatch.setattr(nb, "MET_SHARE", 1_000)
+    blocks = sorted(tuple(r) for r in nb.neighbour_mix(real, synth, "x", 5, 64).collect())
+    assert len(used) == 1 and [r[:2] for r in got] == [r[:2] for r in blocks]
+    assert all(abs(a[2] - b[2]) < 1e-12 and a[3] == b[3] for a, b in zip(got, blocks))
