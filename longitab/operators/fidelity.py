@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from longitab.functions.ranges import SLICE_ROWS, lagged
 from longitab.functions.small import join_small
 from longitab.operators.projection import Projection, pca_fit, pca_transform
+from longitab.sources.shared import settle
 
 
 MAX_PHASES = 100
@@ -255,17 +256,43 @@ def fidelity_report(real: DataFrame, phases: dict[str, DataFrame], features: lis
     Per feature the two-sample distance ``ks``, the gaps of mean and deviation, nulls and the share
     outside the real range; the gap of the lag-1 correlation, averaged over classes; over all
     features the repeats and the rows copied from real ones.
+
+    The real side is read once for all phases, and every table is written out before: a phase that is
+    decoded from drawn components would else be decoded for each check anew.
     """
-    def phase_of(name: str, synth: DataFrame) -> DataFrame:
-        gaps = moment_gap(real, synth, features).select("feature", F.inline(F.array(*[
-            F.struct(F.lit(c).alias("check"), F.abs(c).alias("value")) for c in ("mean_gap", "sd_gap")])))
-        lags = lag_fidelity(real, synth, entity, step, features, label).groupBy("feature").agg(F.avg("gap").alias("value"))
-        parts = [ks_statistic(real, synth, features).select(F.lit("ks").alias("check"), "feature", F.col("d").alias("value")),
-                 gaps.select("check", "feature", "value"),
-                 lags.select(F.lit("lag_gap").alias("check"), "feature", "value"), quality_checks(real, synth, features)]
-        return reduce(DataFrame.unionByName, parts).select(F.lit(name).alias("phase"), "check", "feature", "value")
+    columns = list(dict.fromkeys([entity, step, label, *features]))
+    real = settle(real.select(*columns))
+    phases = {n: settle(s.select(*columns)) for n, s in phases.items()}
+    names = list(phases)
+    both = stacked([real, *phases.values()], columns)
+    gap = lambda f, i: F.abs(f(i) - f(0))
+
+    def every(rows: DataFrame, checks, *there: Column) -> DataFrame:
+        """Rows of checks, each an expression of the phase's number, of those phases that are ``there``."""
+        found = F.array(*[F.struct(F.lit(n).alias("phase"), F.lit(c).alias("check"), v(i).cast("double").alias("value"),
+                                   (there[i - 1] if there else F.lit(True)).alias("there")) for c, v in checks for i, n in enumerate(names, 1)])
+        return rows.select("feature", F.inline(found)).filter("there").select("phase", "check", "feature", "value")
+
+    values = long_values(both, ["source"], list(features)).groupBy("feature").agg(*[
+        f(F.when(F.col("source") == i, F.col("value"))).alias(f"{c}{i}") for i in range(len(names) + 1) for c, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    gaps = every(values, [(f"{c}_gap", lambda i, c=c: gap(lambda k: F.col(f"{c}{k}"), i)) for c in ("mean", "sd")])
+
+    r = lag_correlations(both, entity, step, features, ["source", label], 1)
+    wide = r.groupBy(label, "feature", "lag").agg(*[f(F.when(F.col("source") == i, F.col("r" if c == "r" else "n"))).alias(f"{c}{i}")
+                                                  for i in range(len(names) + 1) for c, f in (("r", F.max), ("n", F.count))])
+    lags = wide.groupBy("feature").agg(*[F.avg(gap(lambda k: F.col(f"r{k}"), i)).alias(f"g{i}") for i in range(1, len(names) + 1)],
+                                       *[(F.max(F.col("n0") + F.col(f"n{i}")) > 0).alias(f"t{i}") for i in range(1, len(names) + 1)])
+    lags = every(lags, [("lag_gap", lambda i: F.col(f"g{i}"))], *[F.col(f"t{i}") for i in range(1, len(names) + 1)])
+
+    def ks(name: str) -> DataFrame:
+        return ks_statistic(real, phases[name], features).select(F.lit(name).alias("phase"), F.lit("ks").alias("check"), "feature", F.col("d").alias("value"))
 
-    return reduce(DataFrame.unionByName, [phase_of(n, s) for n, s in phases.items()])
+    return reduce(DataFrame.unionByName, [*[ks(n) for n in names], gaps, lags, _quality(real, phases, features)])
+
+
+def stacked(tables: list[DataFrame], columns: list[str]) -> DataFrame:
+    """The tables on top of each other with ``source``, their number from 0."""
+    return reduce(DataFrame.unionByName, [t.select(*columns, F.lit(i).alias("source")) for i, t in enumerate(tables)])
 
 
 def _row_key(features: list[str], digits: int) -> Column:
@@ -283,6 +310,12 @@ def quality_checks(real: DataFrame, synth: DataFrame, features: list[str],
     Repeats count every row beyond the first of its kind. Copies and repeats come from one
     grouping of row hashes, counted before the shuffle, so a frequent row is one row there.
     """
+    return _quality(real, {"synth": synth}, features, digits).drop("phase")
+
+
+def _quality(real: DataFrame, phases: dict[str, DataFrame], features: list[str], digits: int = 6) -> DataFrame:
+    """``phase, check, feature, value`` as by ``quality_checks`` for every phase; the rows of all are
+    grouped once."""
     def per_feature(name: str, value) -> list[Column]:
         return [F.struct(F.lit(name).alias("check"), F.lit(f).alias("feature"),
                          value(f).cast("double").alias("value")) for f in features]
@@ -299,14 +332,15 @@ def quality_checks(real: DataFrame, synth: DataFrame, features: list[str],
 
     checks = per_feature("nulls", lambda f: F.count_if(F.col(f).isNull()))
     checks += per_feature("out_of_range_share", outside)
-    features_part = synth.agg(F.explode(F.array(*checks)).alias("c")).select("c.*")
-
-    rows = pair(real, synth, features).select("source", _row_key(features, digits).alias("_key"))
-    kinds = rows.groupBy("_key").agg(F.count_if(F.col("source") == "real").alias("_r"),
-                                     F.count_if(F.col("source") == "synth").alias("_s"))
-    copied = F.when(F.col("_r") > 0, F.col("_s")).otherwise(0)
-    table = F.array(*[F.struct(F.lit(n).alias("check"), F.lit("*").alias("feature"),
-                               F.coalesce(F.sum(v), F.lit(0)).cast("double").alias("value"))
-                      for n, v in (("repeats", F.greatest(F.col("_s") - 1, F.lit(0))),
-                                   ("copied_from_real", copied))])
-    return features_part.unionByName(kinds.agg(F.explode(table).alias("c")).select("c.*"))
+    parts = [synth.agg(F.explode(F.array(*checks)).alias("c")).select(F.lit(n).alias("phase"), "c.*") for n, synth in phases.items()]
+
+    rows = stacked([real, *phases.values()], features).select("source", _row_key(features, digits).alias("_key"))
+    kinds = rows.groupBy("_key").agg(*[F.count_if(F.col("source") == i).alias(f"_n{i}") for i in range(len(phases) + 1)])
+    table = []
+    for i, name in enumerate(phases, 1):
+        n = F.col(f"_n{i}")
+        table += [F.struct(F.lit(name).alias("phase"), F.lit(c).alias("check"), F.lit("*").alias("feature"),
+                           F.coalesce(F.sum(v), F.lit(0)).cast("double").alias("value"))
+                  for c, v in (("repeats", F.greatest(n - 1, F.lit(0))), ("copied_from_real", F.when(F.col("_n0") > 0, n).otherwise(0)))]
+    parts.append(kinds.agg(F.explode(F.array(*table)).alias("c")).select("c.*"))
+    return reduce(DataFrame.unionByName, parts)

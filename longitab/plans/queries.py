@@ -387,7 +387,7 @@ def split_null_class(spark, sf_dir):
 
 def phase_fidelity(spark, sf_dir):
     """Both phases generated for the customers, as many as there are, against their orders."""
-    rows = pr.encode_label(order_visits_of_customers(spark, sf_dir), "c_mktsegment")
+    rows = pr.encode_label(settle(order_visits_of_customers(spark, sf_dir)), "c_mktsegment")
     n = rows.select("o_custkey").distinct().count()
     return phase_report(rows, Config(features=ORDER_FEATURES, n=n, share=0.95, entity="o_custkey", order=["o_orderdate", "o_orderkey"]))
 

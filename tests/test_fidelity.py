@@ -188,3 +188,31 @@ def test_projected_pair(spark):
     assert fi.grid_overlap(out, 0.5).first()["overlap"] == pytest.approx(1.0)
     assert abs(out.agg(F.avg("pc1")).first()[0]) < 1e-9
     assert pr.class_profile(out, "source").filter("n = 200").count() == 2
+
+
+def test_fidelity_report_reads_each_table_once(spark):
+    """Tables that are costly to make are made once, and several phases give what each gives alone."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(8)
+    rows = [(t, e, e % 3, s + 1, float(v), float(w)) for t in range(3) for e in range(40)
+            for s, (v, w) in enumerate(rng.normal(size=(5, 2)) * (1 + t))]
+    df = spark.createDataFrame(rows, "t int, entity_id int, label int, step int, a double, b double")
+    real, one, two = (df.filter(f"t = {t}").mapInArrow(made, df.schema) for t in range(3))
+    got = {tuple(r)[:3]: r["value"] for r in fi.fidelity_report(real, {"one": one, "two": two}, ["a", "b"]).collect()}
+    assert seen.value == 600
+    assert len(got) == 2 * (6 * 2 + 2)
+    for name, synth in (("one", one), ("two", two)):
+        want = {(name, "ks", r["feature"]): r["d"] for r in fi.ks_statistic(real, synth, ["a", "b"]).collect()}
+        for r in fi.moment_gap(real, synth, ["a", "b"]).collect():
+            want |= {(name, "mean_gap", r["feature"]): abs(r["mean_gap"]), (name, "sd_gap", r["feature"]): abs(r["sd_gap"])}
+        gaps = fi.lag_fidelity(real, synth, "entity_id", "step", ["a", "b"], "label").groupBy("feature").agg(F.avg("gap")).collect()
+        want |= {(name, "lag_gap", f): v for f, v in gaps}
+        want |= {(name, r["check"], r["feature"]): r["value"] for r in fi.quality_checks(real, synth, ["a", "b"]).collect()}
+        assert {k for k in got if k[0] == name} == set(want)
+        assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
