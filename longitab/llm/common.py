@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 import types
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps that nothing in the caller refers to. The Java
+    sides of collected Python objects are dropped by a thread that looks once a second."""
+    gc.collect()
+    time.sleep(1.5)
+    spark.sparkContext._jvm.System.gc()
+
+
 def worker_cache() -> dict:
     """What a Python worker keeps from task to task. The functions of this library travel by value,
     so their modules' own globals are new in every task."""

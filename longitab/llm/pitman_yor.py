@@ -15,7 +15,6 @@ seats again in the same way.
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longitab.llm.common import bounded_batches, partitions_of, pieces, texts_of, written
+from longitab.llm.common import bounded_batches, let_go, partitions_of, pieces, written
 
 #: The context at the start of a text. A word of one byte is the context of that number, a longer
 #: one that of its hash with bit 9 set, so that none of them is this.
@@ -50,61 +49,103 @@ def in_training(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 != 1, F.lit(True))
 
 
-def numbered(texts: list[str]) -> tuple[np.ndarray, ...]:
+def numbered(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Hashes and contexts of the distinct words of texts, START the last context; of each token the
     number of its word and of its context; and lengths of texts. A-Z in lower case, words
-    ``[^\\x20\\x09-\\x0D]+`` and an end after the last."""
+    ``[^\\x20\\x09-\\x0D]+`` and an end after the last; null is empty."""
     import xxhash
 
-    end = b"\n"
-    cut = [t.encode("utf-8", "surrogatepass").lower().split() + [end] for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for c in cut for w in c))}
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-    single = np.fromiter((w[0] if len(w) == 1 else START for w in number), np.uint64, len(number))
-    contexts = np.append(np.where(single < START, single, hashes | LONGER), np.uint64(START))
-    lengths = np.fromiter(map(len, cut), np.int64, len(cut))
-    at = np.fromiter((number[w] for c in cut for w in c), np.int64, lengths.sum())
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    parts, text = cut.flatten(), pc.list_parent_indices(cut).to_numpy().astype(np.int64)
+    there = pc.not_equal(pc.binary_length(parts), 0)  # white space at either end leaves an empty part
+    coded = parts.filter(there).dictionary_encode()
+    text = text[there.to_numpy(zero_copy_only=False)]
+    words = np.append(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), [b"\n"])
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    contexts = np.append(hashes | LONGER, np.uint64(START))
+    short = np.flatnonzero(np.append(pc.binary_length(coded.dictionary).to_numpy() == 1, True))
+    contexts[short] = [w[0] for w in words[short]]
+    lengths = np.bincount(text, minlength=len(texts)) + 1
+    ends = np.cumsum(lengths) - 1
+    at = np.full(lengths.sum(), len(words) - 1, np.int64)
+    at[np.arange(len(text)) + text] = coded.indices.to_numpy()
     before = np.empty(len(at), np.int64)
     before[1:] = at[:-1]
-    before[np.cumsum(lengths) - lengths] = len(hashes)
+    before[ends - lengths + 1] = len(hashes)
     return hashes, contexts, at, before, lengths
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    data = b"".join(c.tobytes() for c in columns)
+    """Columns of numbers, compressed. Bytes of equal weight lie together, so that high ones that are
+    all alike take no room."""
+    head = [np.array([len(columns)], "<u4").tobytes()]
+    head += [c.dtype.str.encode().ljust(4) + len(c).to_bytes(8, "little") for c in columns]
+    data = b"".join(head + [np.ascontiguousarray(c).view("u1").reshape(len(c), c.itemsize).T.tobytes() for c in columns])
     return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def opened(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+def opened(data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    out, begin = [], 4 + 12 * n
+    for i in range(4, begin, 12):
+        kind, length = np.dtype(data[i:i + 4].decode().strip()), int.from_bytes(data[i + 4:i + 12], "little")
+        size = kind.itemsize * length
+        out.append(np.frombuffer(data, "u1", size, begin).reshape(kind.itemsize, length).T.copy().view(kind).reshape(length))
+        begin += size
+    return out
+
+
+def steps(ordered: np.ndarray) -> np.ndarray:
+    """Differences of ordered numbers, the first one as it is; ``np.cumsum`` takes them back."""
+    out = ordered.copy()
+    out[1:] -= ordered[:-1]
+    return out
 
 
 def pack_pairs(key: np.ndarray, contexts: np.ndarray, at: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Columns in the order of sorted keys; a repeated key is kept once. ``at`` are places in
-    ``contexts``."""
+    """Columns in the order of sorted keys; a repeated key is kept once. ``at`` are places in the
+    sorted ``contexts``; those of a key are kept as differences, which are small if they ascend."""
     first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     run = np.diff(np.concatenate((np.flatnonzero(first), [len(key)]))).astype("<u4")
-    head = np.array([len(key), len(run), len(contexts)], "<u4")
-    return packed(head, key[first].astype("<u8"), run, contexts.astype("<u8"), at.astype("<u2" if len(contexts) <= 1 << 16 else "<u4"), *columns)
+    at = at.astype("<u4")
+    return packed(steps(key[first].astype("<u8")), run, steps(contexts.astype("<u8")), np.where(first, at, steps(at)), *columns)
 
 
-def unpack_pairs(data: bytes, *types: str) -> list[np.ndarray]:
+def unpack_pairs(data: bytes) -> list[np.ndarray]:
     """Distinct keys, how often each is there, contexts, places in them, and columns."""
-    data = opened(data)
-    n, m, c = np.frombuffer(data, "<u4", 3).tolist()
-    out, begin = [], 12
-    for t, length in [("<u8", m), ("<u4", m), ("<u8", c), ("<u2" if c <= 1 << 16 else "<u4", n), *((t, n) for t in types)]:
-        out.append(np.frombuffer(data, t, length, begin))
-        begin += length * np.dtype(t).itemsize
-    return out
+    words, run, contexts, at, *columns = opened(data)
+    total = np.cumsum(at, dtype="<u4")
+    begin = np.cumsum(run, dtype=np.int64) - run
+    at = total - np.repeat(total[begin] - at[begin], run)
+    return [np.cumsum(words, dtype="<u8"), run, np.cumsum(contexts, dtype="<u8"), at, *columns]
+
+
+def ranked(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct values of all arrays, and the place of each value of each array."""
+    values, place = np.unique(np.concatenate(parts), return_inverse=True)
+    return values, np.split(place.astype(np.int64), np.cumsum([len(p) for p in parts])[:-1])
+
+
+def summed(held: list[tuple]):
+    """Words, contexts, and of each pair of them, sorted, the places in both and the count. ``held`` has
+    words, contexts, and of pairs the places in both and counts."""
+    words, word = ranked([h[0] for h in held])
+    contexts, context = ranked([h[1] for h in held])
+    code = np.concatenate([w[h[2]] * len(contexts) + c[h[3]] for h, w, c in zip(held, word, context)])
+    count = np.concatenate([h[4] for h in held])
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    code = code[first]
+    return words, contexts, code // len(contexts), code % len(contexts), np.add.reduceat(count[order], first)
 
 
-def summed(key: np.ndarray, context: np.ndarray, count: np.ndarray):
-    """Counts of equal (key, context), sorted."""
-    order = np.lexsort((context, key))
-    key, context, count = key[order], context[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))))
-    return key[first], context[first], np.add.reduceat(count, first)
+def narrowed(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of sorted ``values`` that ``places`` use, and the places in them."""
+    used = np.zeros(len(values), bool)
+    used[places] = True
+    return values[used], (np.cumsum(used) - 1)[places]
 
 
 def by_shard(key: np.ndarray, shards: int):
@@ -125,17 +166,18 @@ def count_words(docs: DataFrame, text_col: str, shards: int, learned: Column) ->
         held, size = [], 0
 
         def close():
-            key, context, n = summed(*(np.concatenate(c) for c in zip(*held)))
-            rows = [(s, pack_pairs(key[i], *np.unique(context[i], return_inverse=True), n[i].astype("<u4"))) for s, i in by_shard(key, shards)]
+            words, contexts, word, context, n = summed(held)
+            key = words[word]
+            rows = [(s, pack_pairs(key[i], *narrowed(context[i], contexts), n[i].astype("<u4"))) for s, i in by_shard(key, shards)]
             return pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
         for batch in pieces(batches, 0):
-            hashes, contexts, at, before, lengths = numbered(texts_of(batch.column(0)))
+            hashes, contexts, at, before, lengths = numbered(batch.column(0))
             weight = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
             if len(at):
                 code, n = np.unique((before * len(hashes) + at) * 2 + weight, return_counts=True)
                 pair = code >> 1
-                held.append((hashes[pair % len(hashes)], contexts[pair // len(hashes)], n * (code & 1)))
+                held.append((hashes, contexts, pair % len(hashes), pair // len(hashes), n * (code & 1)))
                 size += len(pair)
             if size > HELD // 2:
                 yield close()
@@ -147,12 +189,11 @@ def count_words(docs: DataFrame, text_col: str, shards: int, learned: Column) ->
         for shard, blobs in runs(batches):
             held = []
             for b in blobs:
-                words, run, contexts, at, n = unpack_pairs(b, "<u4")
-                held.append((np.repeat(words, run), contexts[at], n.astype(np.int64)))
-            key, context, n = summed(*(np.concatenate(c) for c in zip(*held)))
-            contexts, at = np.unique(context, return_inverse=True)
+                words, run, contexts, at, n = unpack_pairs(b)
+                held.append((words, contexts, np.repeat(np.arange(len(words)), run), at, n.astype(np.int64)))
+            words, contexts, word, at, n = summed(held)
             some = n > 0
-            key, at, n = key[some], at[some], n[some]
+            key, at, n = words[word[some]], at[some], n[some]
             yield pa.record_batch({
                 "shard": pa.array([shard], pa.int32()), "data": pa.array([pack_pairs(key, contexts, at, n.astype("<i8"))], pa.binary()),
                 "words": pa.array([int((key[1:] != key[:-1]).sum()) + (len(key) > 0)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()),
@@ -241,9 +282,9 @@ class Shard:
         self.number, self.shared = number, shared
         if totals is None:
             split = int.from_bytes(data[:8], "little")
-            totals, data = opened(data[8 + split:]), data[8:8 + split]
-        self.words, run, self.contexts, self.at, self.count = unpack_pairs(data, "<i8")
-        self.totals = np.frombuffer(totals, "<i8").reshape(-1, len(self.contexts)) if isinstance(totals, bytes) else totals
+            totals, data = opened(data[8 + split:])[0], data[8:8 + split]
+        self.words, run, self.contexts, self.at, self.count = unpack_pairs(data)
+        self.totals = totals.reshape(-1, len(self.contexts)) if len(self.contexts) else totals.reshape(0, 0)
         self.word = np.repeat(np.arange(len(self.words)), run)
         self.tables = np.ones(len(self.count), np.int64)
         self.customers = np.bincount(self.word, minlength=len(self.words))
@@ -321,7 +362,7 @@ class Gathered:
     def add(self, number: int, owner: int, blob: bytes) -> None:
         while len(self.totals) <= number:
             self.totals.append(np.zeros((1 if self.totals else 2, self.size), np.int64))
-        self.totals[number][:, self.places[owner]] = np.frombuffer(opened(blob), "<i8").reshape(len(self.totals[number]), -1)
+        self.totals[number][:, self.places[owner]] = opened(blob)
 
     def table(self) -> np.ndarray:
         return np.concatenate(self.totals) if self.totals else np.zeros((0, 0), np.int64)
@@ -355,7 +396,7 @@ def exchanged(counts: DataFrame, answers: list[DataFrame], shared: Totals, shard
             for i in range(1, number + 1):
                 shard.sweep(i)
             sums = [np.bincount(shard.at, v, minlength=len(shard.contexts)).astype("<i8") for v in ([shard.tables] if number else [shard.count, shard.tables])]
-            own = [(o, packed(np.array([len(i)], "<u4"), shard.contexts[i], *(v[i] for v in sums))) for o, i in by_shard(shard.contexts, shards)]
+            own = [(o, packed(steps(shard.contexts[i]), *(v[i] for v in sums))) for o, i in by_shard(shard.contexts, shards)]
             yield pa.record_batch({"owner": pa.array([o for o, _ in own], pa.int32()), "shard": pa.array([s] * len(own), pa.int32()),
                                    "data": pa.array([b for _, b in own], pa.binary()),
                                    "customers": pa.array([int(shard.customers.sum())] + [0] * (len(own) - 1), pa.int64()),
@@ -366,10 +407,10 @@ def exchanged(counts: DataFrame, answers: list[DataFrame], shared: Totals, shard
             ids, inverse = np.unique(np.concatenate([i for _, i, _ in held]), return_inverse=True)
             sums = np.stack([np.bincount(inverse, np.concatenate([v[c] for _, _, v in held])) for c in range(columns)]).astype("<i8")
             ends = np.cumsum([len(i) for _, i, _ in held])
-            rows = [(s, packed(sums[:, inverse[e - len(i):e]])) for (s, i, _), e in zip(held, ends)]
+            rows = [(s, packed(*sums[:, inverse[e - len(i):e]])) for (s, i, _), e in zip(held, ends)]
             hot = np.flatnonzero(np.isin(ids, sent.value.hot) if number else sums[0] > sent.value.tokens / HOT_CONTEXTS)
             if len(hot):
-                rows.append((-1, packed(np.array([len(hot)], "<u4"), ids[hot], sums[:, hot])))
+                rows.append((-1, packed(ids[hot], *sums[:, hot])))
             return pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int32()), "owner": pa.array([owner] * len(rows), pa.int32()),
                                     "data": pa.array([r[1] for r in rows], pa.binary()),
                                     "customers": pa.array([customers] + [0] * (len(rows) - 1), pa.int64()),
@@ -381,9 +422,8 @@ def exchanged(counts: DataFrame, answers: list[DataFrame], shared: Totals, shard
                 if o != owner and held:
                     yield done()
                     held, customers, tables = [], 0, 0
-                data = opened(data)
-                n = int(np.frombuffer(data, "<u4", 1)[0])
-                held.append((s, np.frombuffer(data, "<u8", n, 4), np.frombuffer(data, "<i8", n * columns, 4 + 8 * n).reshape(columns, n)))
+                ids, *sums = opened(data)
+                held.append((s, np.cumsum(ids, dtype="<u8"), sums))
                 owner, customers, tables = o, customers + c, tables + t
         if held:
             yield done()
@@ -394,10 +434,9 @@ def exchanged(counts: DataFrame, answers: list[DataFrame], shared: Totals, shard
     parent = numbers(out, ["customers", "tables"])
     ids, sums = [np.zeros(0, np.uint64)], [np.zeros((columns, 0), np.int64)]
     for r in out.filter("shard = -1").select("data").collect():
-        data = opened(r["data"])
-        n = int(np.frombuffer(data, "<u4", 1)[0])
-        ids.append(np.frombuffer(data, "<u8", n, 4))
-        sums.append(np.frombuffer(data, "<i8", n * columns, 4 + 8 * n).reshape(columns, n))
+        hot, *found_sums = opened(r["data"])
+        ids.append(hot)
+        sums.append(np.stack(found_sums))
     ids, sums = np.concatenate(ids), np.concatenate(sums, axis=1)
     order = np.argsort(ids)
     shared.hot_totals = np.concatenate((shared.hot_totals, sums[:, order])) if number else sums[:, order]
@@ -432,7 +471,7 @@ def joined(counts: DataFrame, answers: list[DataFrame]) -> DataFrame:
     def join(batches):
         for s, data, totals in shard_totals(batches, shards):
             yield pa.record_batch({"shard": pa.array([s], pa.int32()),
-                                   "data": pa.array([len(data).to_bytes(8, "little") + data + packed(totals.astype("<i8"))], pa.binary())})
+                                   "data": pa.array([len(data).to_bytes(8, "little") + data + packed(totals.astype("<i8").ravel())], pa.binary())})
 
     return with_totals(counts, answers, shards).mapInArrow(join, "shard int, data binary")
 
@@ -490,8 +529,7 @@ def score(docs: DataFrame, counts: DataFrame, answers: list[DataFrame], shared:
     spark = docs.sparkSession
     shards = partitions_of(spark)
     sent, hot = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(hot_pairs(joined(counts, answers), shared))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the shuffle of the seats is let go
+    let_go(spark)  # the shuffles of the last round and of the seats
 
     def route(batches):
         task, place, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -503,14 +541,17 @@ def score(docs: DataFrame, counts: DataFrame, answers: list[DataFrame], shared:
             return pa.record_batch([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
 
         def close():
-            key, context, doc = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(key)
-            key, context, doc = key[order], context[order], doc[order]
-            rows = [(s, pack_pairs(key[i], *np.unique(context[i], return_inverse=True), doc[i].astype("<u4"))) for s, i in by_shard(key, shards)]
+            words, word = ranked([h[0] for h in held])
+            contexts, context = ranked([h[1] for h in held])
+            word = np.concatenate([w[h[2]] for h, w in zip(held, word)])
+            context, doc = np.concatenate([c[h[3]] for h, c in zip(held, context)]), np.concatenate([h[4] for h in held])
+            order = np.argsort(word * len(contexts) + context)
+            key, context, doc = words[word[order]], context[order], doc[order]
+            rows = [(s, pack_pairs(key[i], *narrowed(context[i], contexts), doc[i].astype("<u4"))) for s, i in by_shard(key, shards)]
             return batch_of(len(rows), round=[TOKENS] * len(rows), task=[task] * len(rows), shard=[r[0] for r in rows], data=[r[1] for r in rows])
 
         for batch in pieces(batches, 1):
-            hashes, contexts, at, before, lengths = numbered(texts_of(batch.column(1)))
+            hashes, contexts, at, before, lengths = numbered(batch.column(1))
             n = batch.num_rows
             doc = np.repeat(np.arange(n), lengths)
             pair, token = np.unique(before * max(1, len(hashes)) + at, return_inverse=True)
@@ -527,7 +568,8 @@ def score(docs: DataFrame, counts: DataFrame, answers: list[DataFrame], shared:
                            base=np.bincount(doc[f], base(n_hot[i], sent.value), minlength=n) if len(f) else np.zeros(n),
                            score=np.bincount(doc[f], logs[i], minlength=n) if len(f) else np.zeros(n),
                            known=np.bincount(doc[f], minlength=n))
-            held.append((key[token[r]], context[token[r]], (doc[r] + place).astype(np.uint32)))
+            pair = pair[token[r]]
+            held.append((hashes, contexts, pair % len(hashes), pair // len(hashes), doc[r] + place))
             size, place = size + len(r), place + n
             if size > HELD // 2:
                 yield close()
@@ -558,7 +600,7 @@ def score(docs: DataFrame, counts: DataFrame, answers: list[DataFrame], shared:
                     backs = [(p, back[shard.contexts]) for p, back in absent]
                 if shard.number != number:
                     raise ValueError("the model has not seen these documents")
-                words, run, contexts, at, doc = unpack_pairs(data, "<u4")
+                words, run, contexts, at, doc = unpack_pairs(data)
                 place = found(shard.contexts, contexts)
                 if (place == len(shard.contexts)).any():
                     raise ValueError("the model has not seen these documents")
@@ -569,8 +611,8 @@ def score(docs: DataFrame, counts: DataFrame, answers: list[DataFrame], shared:
                 ok = np.flatnonzero(seat_at < len(code))
                 p[ok] = here[seat_at[ok]]
                 here_docs = np.flatnonzero(np.bincount(doc))
-                sums = packed(np.array([len(here_docs)], "<u4"), here_docs.astype("<u4"),
-                              *(np.bincount(doc, v)[here_docs] for v in (base(total[word], sent.value), np.log10(p), known)))
+                sums = packed(steps(here_docs.astype("<u4")), *(np.bincount(doc, v)[here_docs] for v in (base(total[word], sent.value), np.log10(p))),
+                              np.bincount(doc, known)[here_docs].astype("<u4"))
                 yield pa.record_batch([pa.array([task], t) if c == "task" else pa.nulls(1, t) for c, t in zip(own_columns, own_types)]
                                       + [pa.array([sums], pa.binary())], names=[*own_columns, "sums"])
 
@@ -582,11 +624,10 @@ def score(docs: DataFrame, counts: DataFrame, answers: list[DataFrame], shared:
             place = t.column("place").to_numpy()
             order = np.argsort(place)
             for data in sums:
-                data = opened(data)
-                n = int(np.frombuffer(data, "<u4", 1)[0])
-                at = order[np.frombuffer(data, "<u4", n, 4)]
-                for k, c in enumerate(cols):
-                    c[at] += np.frombuffer(data, "<f8", n, 4 + 4 * n + 8 * n * k)
+                places, *found_sums = opened(data)
+                at = order[np.cumsum(places, dtype=np.int64)]
+                for c, v in zip(cols, found_sums):
+                    c[at] += v
             n_tokens = t.column("n_tokens").to_numpy()
             return pa.record_batch([t.column("id").combine_chunks(), t.column("held_out").combine_chunks(), pa.array(n_tokens),
                                     pa.array(cols[2].astype(np.int64)), pa.array(np.full(len(t), sent.value.tokens)),

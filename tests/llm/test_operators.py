@@ -203,6 +203,31 @@ def test_pitman_yor_contexts_are_words(frame):
     assert len(contexts) == 5  # the start and each of four words
 
 
+def test_pitman_yor_pairs_take_little_room():
+    rng = np.random.default_rng(3)
+    contexts = np.sort(rng.integers(0, 1 << 63, 40_000, dtype=np.uint64))
+    key = np.repeat(np.sort(rng.integers(0, 1 << 63, 500, dtype=np.uint64)), 200)
+    at = np.concatenate([np.sort(rng.choice(40_000, 200, replace=False)) for _ in range(500)])
+    count = rng.integers(1, 3, len(key)).astype("<i8")
+    data = pitman_yor.pack_pairs(key, contexts, at, count)
+    assert len(data) < 10 * 40_000 + 100  # hashes of contexts alone are 8 bytes each
+    words_, run, contexts_, at_, count_ = pitman_yor.unpack_pairs(data)
+    assert (np.repeat(words_, run) == key).all() and (contexts_ == contexts).all() and (at_ == at).all() and (count_ == count).all()
+
+
+def test_pitman_yor_words_of_odd_texts():
+    import pyarrow as pa
+    texts = ["", None, "  ", " A b\t\u00c4 \u00c9 \x0b\x0cz\r\n", "x", "a  b ab", "\x1c a \x85 b \u00a0 c", "e"]
+    hashes, contexts, at, before, lengths = pitman_yor.numbered(pa.array(texts))
+    hash_of = {}
+    for t, ids in zip(texts, np.split(at, np.cumsum(lengths)[:-1]), strict=True):
+        for w, h in zip(words(t) + ["\n"], hashes[ids].tolist(), strict=True):
+            assert hash_of.setdefault(w, h) == h
+    assert len(set(hash_of.values())) == len(hash_of)
+    assert (contexts[before[np.cumsum(lengths) - lengths]] == pitman_yor.START).all()
+    assert contexts[before[5 + lengths[:3].sum()]] == ord("z")  # the word before the end of the fourth text
+
+
 def test_pitman_yor_odd_rows(frame):
     got = rows(pitman_yor.score_corpus(frame(ODD)))
     assert len(got) == len(ODD) and all(r["score"] <= 0 and r["n_tokens"] >= 1 for r in got)
