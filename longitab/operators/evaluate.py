@@ -125,8 +125,8 @@ def sequence_mlp(features: str = "features", layers=(16,), seed: int = 42, **set
 class Softmax:
     """Softmax regression by full-gradient rounds, each a grouped sum over the training rows.
 
-    A task adds up the gradient of its rows; classes x features numbers a task are merged by an
-    aggregate and reach the driver. Starts at zero, so nothing is drawn. Labels are dense from 0.
+    The rows are held while it runs, in as many partitions as their size is worth. A task adds up the
+    gradient of its rows; classes x features numbers a task are merged by an aggregate and reach the driver. Starts at zero, so nothing is drawn. Labels are dense from 0.
     """
 
     def __init__(self, features: str = "features", rounds: int = 50, rate: float = 0.5, label: str = "label", classes: int | None = None):
@@ -143,8 +143,9 @@ class Softmax:
             std = np.sqrt(np.diag(np.array(sums["m2"]).reshape(p, p)) / max(n - 1, 1))
             scale = np.divide(1.0, std, out=np.zeros(p), where=std > 0)
             weight = np.zeros((classes, p + 1))
+            held = rows.coalesce(max(1, -(-n * p * 8 // STEP_BYTES)))
             for _ in range(self.rounds):
-                weight = weight - self.rate * self._gradient(rows, mean, scale, weight) / n
+                weight = weight - self.rate * self._gradient(held, mean, scale, weight) / n
         finally:
             rows.unpersist()
         matrix, bias = weight[:, :p] * scale, weight[:, p] - weight[:, :p] @ (scale * mean)

@@ -80,3 +80,14 @@ def test_experiment(spark, tmp_path):
     assert {r["phase"] for r in stored.select("phase").distinct().collect()} == {"phase1", "phase2"}
     assert stored.filter("phase = 'phase2'").select("entity_id").distinct().count() == 400
     assert visit_schema(["a"]).names[0] == "entity_id" and read_phase
+
+
+def test_softmax_rounds_run_on_few_partitions(spark, monkeypatch):
+    """A round over a few rows is one task, however many partitions they came in, with the same weights."""
+    df = spark.range(400).select((F.col("id") % 3).cast("int").alias("label"),
+                                 F.array((F.col("id") % 3 + F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double")).alias("features"))
+    plain, parts = ev.Softmax._gradient, []
+    monkeypatch.setattr(ev.Softmax, "_gradient", staticmethod(lambda rows, *a: (parts.append(rows.rdd.getNumPartitions()), plain(rows, *a))[1]))
+    many, one = (ev.softmax(rounds=3).fit(df.repartition(k)).layers[0] for k in (24, 1))
+    assert parts == [1] * 6
+    assert all(abs(a - b).max() < 1e-12 for a, b in zip(many, one))
