@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longitab.llm.common import bounded_batches, pieces, texts_of, written
+from longitab.llm.common import bounded_batches, pieces, written
 from longitab.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
         bins = Bins(TaskContext.get().partitionId() * SEQUENCES, capacity)
         for batch in pieces(batches, 1):
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(texts_of(batch.column(1)), end_id)):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1), end_id)):
                 n = len(ids)
                 for start, length, k in cut(n, capacity):
                     part = ids[start:start + length].tobytes()

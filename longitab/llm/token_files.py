@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from longitab.llm.common import bounded_batches, partitions_of, pieces, texts_of
+from longitab.llm.common import bounded_batches, partitions_of, pieces
 from longitab.llm.range_coder import decode_block, encode_block
 from longitab.llm.tokens import encoder
 
@@ -48,7 +48,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
                                     "data": pa.array([data], pa.binary())})
 
         for batch in pieces(batches, 1):
-            for doc, x in zip(batch.column(0).to_pylist(), enc.encode(texts_of(batch.column(1)), end_id)):
+            for doc, x in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1), end_id)):
                 if rows and size + len(x) > block_ids:
                     yield close()
                     rows, ids, size, block = [], [], 0, block + 1

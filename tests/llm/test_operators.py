@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import LONG, ODD
 
@@ -358,6 +359,34 @@ def test_chat_odd_rows(spark):
 
 
 # -- 7 and 8 ------------------------------------------------------------------------------------
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_encoder_cuts_beside_letters_that_fall_apart(name):
+    enc = Encoder(queries.vocabulary(name))
+    texts = ["A\u0130. b", "\u0130'\u0130!", "\ufb1d, \u0958.", "plain text.", " \u0130", None]
+    want = [e.ids + [9] for e in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in enc.encode(pa.array(texts), 9)] == want
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_encoder_takes_unknown_words_together(name):
+    enc, given = Encoder(queries.vocabulary(name)), []
+
+    class Counted:
+        def __getattr__(self, x):
+            return getattr(library, x)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    library, enc.tokenizer = enc.tokenizer, Counted()
+    rng = np.random.default_rng(1)
+    text = " ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (3000, 9)))
+    for _ in range(2):
+        assert enc.encode([text, text], 9)[1].tolist() == library.encode(text, add_special_tokens=False).ids + [9]
+    assert len(given) < 20
+
+
 @pytest.mark.parametrize("name", [BYTE, WORD])
 def test_encoder_equals_library(name):
     e, rng = Encoder(queries.vocabulary(name)), random.Random(1)
