@@ -15,153 +15,187 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMRB"
+MAGIC = b"CMR2"
 LANES = 2048
 #: Ids of a lane at least, so that short blocks have few lanes.
 LANE_IDS = 64
 _HEAD = "<4sIIIIII"  # magic, ids, lanes, steps, vocabulary, rows, crc32 of the ids
 _U = np.uint64
 _TOP, _LOW, _WORD, _MASK = _U(1 << 48), _U(1 << 32), _U(48), _U((1 << 32) - 1)
+#: A range below this is brought up to strength between the two parts of an id.
+_SHORT = _U(1 << 34)
 _ORDERS = 4  # order 2, 1, 0, and equal shares
 
 
-class Predictions:
-    """Counts at order 0 to 2 of the ids seen so far; ``v`` stands for what is before a lane."""
-
-    def __init__(self, seen: np.ndarray, v: int):
-        self.v, self.w = v, v + 1
-        one, two = before(seen, v)
-        cur, one, two = seen.ravel(), one.ravel(), two.ravel()
-        self.cum0 = np.concatenate(([0], np.cumsum(np.bincount(cur, minlength=v))))
-        self.key1, n = np.unique(one * self.w + cur, return_counts=True)
-        self.cum1 = np.concatenate(([0], np.cumsum(n)))
-        self.row1 = np.searchsorted(self.key1, np.arange(v + 2) * self.w)
-        self.key2, n = np.unique((two * self.w + one) * self.w + cur, return_counts=True)
-        self.cum2 = np.concatenate(([0], np.cumsum(n)))
-        self.ctx2, first = np.unique(self.key2 // self.w, return_index=True)
-        self.row2 = np.concatenate((first, [len(self.key2)]))
-
-    def rows(self, two, one):
-        """Begin and total of the rows of both contexts in the cumulative counts."""
-        i = np.searchsorted(self.ctx2, two * self.w + one)
-        i[i == len(self.ctx2)] = 0
-        there = self.ctx2[i] == two * self.w + one if len(self.ctx2) else np.zeros(len(two), bool)
-        begin2 = self.cum2[self.row2[i]] if len(self.ctx2) else np.zeros(len(two), np.int64)
-        total2 = np.where(there, self.cum2[self.row2[i + 1]] - begin2, 0) if len(self.ctx2) else begin2
-        begin1 = self.cum1[self.row1[one]]
-        return begin2, total2, begin1, self.cum1[self.row1[one + 1]] - begin1
-
-    def state(self, total2, total1):
-        """Mixing context: confidence of order 2 and of order 1, 0 to 3 each."""
-        return np.minimum(np.ceil(np.log2(total2 + 1)), 3).astype(np.int64) * 4 + \
-            np.minimum(np.ceil(np.log2(total1 + 1)), 3).astype(np.int64)
-
-    def find(self, two, one, cur):
-        """State, order that predicts ``cur``, and its cumulative count, count and total."""
-        begin2, total2, begin1, total1 = self.rows(two, one)
-        n, w = len(cur), self.w
-        order = np.full(n, 3)
-        cum, count, total = cur.astype(np.int64), np.ones(n, np.int64), np.full(n, self.v)
-        f0 = self.cum0[cur + 1] - self.cum0[cur]
-        m = f0 > 0
-        order[m], cum[m], count[m], total[m] = 2, self.cum0[cur[m]], f0[m], self.cum0[-1]
-        for k, key, cums, begin, tot, want in ((1, self.key1, self.cum1, begin1, total1, one * w + cur),
-                                               (0, self.key2, self.cum2, begin2, total2, (two * w + one) * w + cur)):
-            if not len(key):
-                continue
-            at = np.flatnonzero(tot > 0)
-            i = np.searchsorted(key, want[at])
-            i[i == len(key)] = 0
-            hit = key[i] == want[at]
-            at, i = at[hit], i[hit]
-            order[at], cum[at], count[at], total[at] = k, cums[i] - begin[at], cums[i + 1] - cums[i], tot[at]
-        return self.state(total2, total1), order, cum, count, total
-
-
-def before(x: np.ndarray, v: int):
-    """The ids one and two steps before each id of the lanes."""
-    pad = np.full((len(x), 2), v, np.int64)
-    wide = np.concatenate((pad, x), axis=1)
-    return wide[:, 1:-1], wide[:, :-2]
-
-
-class Weights:
-    """Mixing weights of the four orders, for each state."""
+def ranks(key: np.ndarray, top: int):
+    """Distinct keys in order, their counts and first places, and the rank of each key, all below ``top``."""
+    n, bits = len(key), max(1, len(key)).bit_length()
+    if top.bit_length() + bits < 64:
+        both = np.sort(key << bits | np.arange(n))
+        at, key = both & ((1 << bits) - 1), both >> bits
+    else:
+        at = np.argsort(key, kind="stable")
+        key = key[at]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    rank = np.empty(n, np.int64)
+    rank[at] = np.cumsum(new) - 1
+    return key[first], np.diff(np.append(first, n)), at[first], rank
+
+
+class Pairs:
+    """Numbers of the pairs and triples that end at each id of ``x``, which holds one step of all lanes
+    after the other; ``v`` stands for what is before a lane. Rows begin where the context changes."""
+
+    def __init__(self, x: np.ndarray, lanes: int, v: int):
+        w = v + 1
+        self.one = np.concatenate((np.full(lanes, v), x[:-lanes]))
+        key, self.count1, _, self.rank1 = ranks(self.one * w + x, w * w)
+        self.sym1, self.row1 = key % w, np.searchsorted(key // w, np.arange(w + 1))
+        none = len(key)
+        self.pair = np.concatenate((np.full(lanes, none), self.rank1[:-lanes]))
+        key, self.count2, at, self.rank2 = ranks(self.pair * w + x, (none + 1) * w)
+        self.sym2, self.row2 = key % w, np.searchsorted(key // w, np.arange(none + 2))
+        self.last2 = self.rank1[at]
+
+
+def rows(count: np.ndarray, row: np.ndarray):
+    """Begin of each symbol in its row, and total of each row."""
+    cum = np.concatenate(([0], np.cumsum(count)))
+    return cum[:-1] - np.repeat(cum[row[:-1]], np.diff(row)), cum[row[1:]] - cum[row[:-1]]
+
+
+def confidence(total: np.ndarray) -> np.ndarray:
+    """0 to 3; that of order 2, times 4, and that of order 1 are the state, the mixing context."""
+    return np.minimum(np.ceil(np.log2(total + 1)), 3).astype(np.int64)
+
+
+def predicted(x: np.ndarray, pairs: Pairs, seen: int, end: int, v: int):
+    """State of the ids from ``seen`` to ``end``, the order that predicts each, and its cumulative count,
+    count and total, from the ids before ``seen``."""
+    part = np.s_[seen:end]
+    cur, one, pair, rank1, rank2 = x[part], pairs.one[part], pairs.pair[part], pairs.rank1[part], pairs.rank2[part]
+    if not seen:
+        return np.zeros_like(cur), np.full_like(cur, 3), cur, np.ones_like(cur), np.full_like(cur, v)
+    count0 = np.bincount(x[:seen], minlength=v)
+    count1 = np.bincount(pairs.rank1[:seen], minlength=len(pairs.count1))
+    count2 = np.bincount(pairs.rank2[:seen], minlength=len(pairs.count2))
+    begin1, total1 = rows(count1, pairs.row1)
+    begin2, total2 = rows(count2, pairs.row2)
+    state1, state2 = confidence(total1).take(one), confidence(total2).take(pair)
+    n0, n1, n2 = count0.take(cur), count1.take(rank1), count2.take(rank2)
+    order = np.where(n2 > 0, 0, np.where(n1 > 0, 1, np.where(n0 > 0, 2, 3)))
+    cum, count, total = (np.cumsum(count0) - count0).take(cur), n0, np.full(len(cur), seen)
+    for k, n, begin, at, tot, row in ((1, n1, begin1, rank1, total1, one), (0, n2, begin2, rank2, total2, pair), (3, None, None, cur, None, None)):
+        i = np.flatnonzero(order == k)
+        cum[i] = begin.take(at.take(i)) if n is not None else at.take(i)
+        count[i] = n.take(i) if n is not None else 1
+        total[i] = tot.take(row.take(i)) if n is not None else v
+    return 4 * state2 + state1, order, cum, count, total
 
-    def __init__(self):
-        self.n = np.ones((16, _ORDERS), np.int64)
-        self.set()
 
-    def set(self):
-        self.cum = np.zeros((16, _ORDERS + 1), np.int64)
-        np.cumsum(self.n, axis=1, out=self.cum[:, 1:])
-
-    def learn(self, state, order):
-        self.n += 8 * np.bincount(state * _ORDERS + order, minlength=16 * _ORDERS).reshape(16, _ORDERS)
-        self.set()
-
-
-class Writer:
-    def __init__(self, lanes: int, words: int):
+class Predictions:
+    """What is needed to read on after the ids ``x``. The symbols of all orders, with their counts, stand
+    in one line (order 2, 1, 0, equal shares): ``at`` finds the symbol of a place in it."""
+
+    def __init__(self, x: np.ndarray, lanes: int, v: int):
+        p, n = Pairs(x, lanes, v), len(x)
+        kinds1, kinds2 = len(p.count1), len(p.count2)
+        count = np.concatenate((p.count2, p.count1, np.bincount(x, minlength=v), np.ones(v, np.int64)))
+        line = np.append(0, np.cumsum(count))
+        self.at = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        # begin, count, symbol, and the pair that it ends; one of a lower order ends a pair that was not met
+        self.symbols = np.stack((line[:-1], count, np.concatenate((p.sym2, p.sym1, np.arange(v), np.arange(v))),
+                                 np.concatenate((p.last2, np.arange(kinds1), np.full(2 * v, kinds1 + 1)))), axis=1)
+        # begin, total and share of the state, of each context
+        self.order1, self.order2 = (np.stack((line[r], np.append(np.diff(line[r]), 0), k * confidence(np.append(np.diff(line[r]), 0))), axis=1)
+                                    for k, r in ((1, p.row1 + kinds2), (4, p.row2)))
+        self.base, self.total = np.array([0, 0, 2 * n, 3 * n]), np.array([0, 0, n, v])
+        self.pair = p.rank1[-lanes:]
+
+
+def weights(n: np.ndarray):
+    """Cumulative weights and totals of the states, flat."""
+    cum = np.cumsum(n, axis=-1)
+    return (cum - n).ravel(), cum[..., -1].ravel()
+
+
+class Lanes:
+    """Ranges of all lanes. ``settle`` calls ``move`` with the lanes that a word leaves: its bits are
+    settled, or the range is too small to go on, and then ends where the word does."""
+
+    def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-        self.out, self.at = np.zeros((lanes, words), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(self, cum, count, total):
-        r = self.range // total
-        self.low += cum * r
-        self.range = count * r
+    def narrow(self, cum, count, last: bool):
+        """To one part of an id. Words leave after the last one; before it only where a range is short."""
+        self.low += cum * self.r
+        self.range = count * self.r
+        if last or self.range.min() < _SHORT:
+            self.settle()
+
+    def settle(self):
         while True:
-            same = (self.low ^ (self.low + self.range)) < _TOP
-            short = ~same & (self.range < _LOW)
-            i = np.flatnonzero(same | short)
+            same, small = (self.low ^ (self.low + self.range)) < _TOP, self.range < _LOW
+            go = same | small
+            i = np.flatnonzero(go)
             if not len(i):
                 return
-            j = np.flatnonzero(short)
-            self.range[j] = (_U(0) - self.low[j]) & _MASK
-            self.out[i, self.at[i]] = self.low[i] >> _WORD
-            self.at[i] += 1
-            self.low[i] <<= _U(16)
-            self.range[i] <<= _U(16)
+            if small.any():
+                j = np.flatnonzero(small & ~same)
+                self.range[j] = (_U(0) - self.low[j]) & _MASK
+            bits = go.astype(_U) << _U(4)
+            self.move(i, bits)
+            self.low <<= bits
+            self.range <<= bits
 
-    def end(self) -> bytes:
-        lanes = np.arange(len(self.at))
-        for _ in range(4):
-            self.out[lanes, self.at] = self.low >> _WORD
-            self.at += 1
-            self.low <<= _U(16)
-        used = np.arange(self.out.shape[1]) < self.at[:, None]
-        return self.at.astype("<u4").tobytes() + self.out[used].astype("<u2").tobytes()
 
+class Writer(Lanes):
+    def __init__(self, lanes: int):
+        super().__init__(lanes)
+        self.moved, self.words = [], []
+
+    def put(self, cum, count, total, last: bool):
+        self.r = self.range // total
+        self.narrow(cum, count, last)
+
+    def move(self, i, bits):
+        self.moved.append(i)
+        self.words.append(self.low[i] >> _WORD)
 
-class Reader:
+    def end(self) -> bytes:
+        """Four words of each lane, then the others as a reader that is four words ahead moves on."""
+        every = np.arange(len(self.low))
+        moved = np.concatenate([*self.moved, *[every] * 4])
+        words = np.concatenate([*self.words, *[self.low << _U(16 * k) >> _WORD for k in range(4)]]).astype("<u2")
+        order = np.argsort(moved, kind="stable")
+        words, lane = words[order], moved[order]
+        nth = np.arange(len(lane)) - np.searchsorted(lane, every)[lane]
+        # the fifth word of a lane is read when its first one leaves
+        ahead = nth >= 4
+        out = np.empty(len(words) - 4 * len(every), "<u2")
+        out[order[:-4][ahead[4:]]] = words[ahead]
+        return words[~ahead].tobytes() + out.tobytes()
+
+
+class Reader(Lanes):
     def __init__(self, data: bytes, lanes: int):
-        sizes = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-        self.words = np.concatenate((np.frombuffer(data, "<u2", offset=4 * lanes), np.zeros(8, np.uint16))).astype(_U)
-        self.at = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-        self.low, self.range, self.code = np.zeros(lanes, _U), np.full(lanes, ~_U(0)), np.zeros(lanes, _U)
-        for _ in range(4):
-            self.code = (self.code << _U(16)) | self.words[self.at]
-            self.at += 1
+        super().__init__(lanes)
+        self.words = np.frombuffer(data, "<u2").astype(_U)
+        first = self.words[:4 * lanes].reshape(lanes, 4)
+        self.code, self.at = np.zeros(lanes, _U), 4 * lanes
+        for k in range(4):
+            self.code = (self.code << _U(16)) | first[:, k]
 
     def look(self, total):
         self.r = self.range // total
-        return np.minimum((self.code - self.low) // self.r, total - _U(1)).astype(np.int64)
+        return np.minimum((self.code - self.low) // self.r, total - _U(1)).view(np.int64)
 
-    def take(self, cum, count):
-        self.low += cum * self.r
-        self.range = count * self.r
-        while True:
-            same = (self.low ^ (self.low + self.range)) < _TOP
-            short = ~same & (self.range < _LOW)
-            i = np.flatnonzero(same | short)
-            if not len(i):
-                return
-            j = np.flatnonzero(short)
-            self.range[j] = (_U(0) - self.low[j]) & _MASK
-            self.code[i] = (self.code[i] << _U(16)) | self.words[self.at[i]]
-            self.at[i] += 1
-            self.low[i] <<= _U(16)
-            self.range[i] <<= _U(16)
+    def move(self, i, bits):
+        self.code <<= bits
+        self.code[i] |= self.words[self.at:self.at + len(i)]
+        self.at += len(i)
 
 
 def segments(steps: int):
@@ -182,20 +216,23 @@ def encode_block(ids: np.ndarray, rows: bytes, n_rows: int, lanes: int = LANES)
     head = struct.pack(_HEAD, MAGIC, n, lanes, steps, v, n_rows, zlib.crc32(ids.astype("<u4").tobytes()))
     x = np.zeros(lanes * steps, np.int64)
     x[:n] = ids
-    x = x.reshape(lanes, steps)
-    one, two = before(x, v)
-    out, mix = Writer(lanes, 3 * steps + 16), Weights()
+    x = x.reshape(lanes, steps).T.ravel()
+    out, mix = Writer(lanes), np.ones((16, _ORDERS), np.int64)
+    pairs = Pairs(x, lanes, v) if n else None
     for begin, end in segments(steps):
-        model = Predictions(x[:, :begin], v)
-        part = np.s_[:, begin:end]
-        found = [np.ascontiguousarray(f.reshape(lanes, -1).T) for f in
-                 model.find(two[part].ravel(), one[part].ravel(), x[part].ravel())]
-        coded = [f.astype(_U) for f in found[2:]]
+        state, order, *coded = predicted(x, pairs, begin * lanes, end * lanes, v)
+        # the weights before each step, from the orders of the steps before it
+        step = np.repeat(np.arange(end - begin), lanes) * 16 + state
+        choice = step * _ORDERS + order
+        met = np.bincount(choice, minlength=(end - begin) * 16 * _ORDERS).reshape(-1, 16, _ORDERS)
+        met = mix + 8 * np.concatenate((np.zeros_like(met[:1]), np.cumsum(met, axis=0)))
+        mix, met = met[-1], met[:-1]
+        cum, total = weights(met)
+        mixed = [f.view(_U).reshape(-1, lanes) for f in (cum.take(choice), met.take(choice), total.take(step))]
+        coded = [f.view(_U).reshape(-1, lanes) for f in coded]
         for t in range(end - begin):
-            state, order = found[0][t], found[1][t]
-            out.put(mix.cum[state, order].astype(_U), mix.n[state, order].astype(_U), mix.cum[state, -1].astype(_U))
-            out.put(coded[0][t], coded[1][t], coded[2][t])
-            mix.learn(state, order)
+            out.put(*(f[t] for f in mixed), last=False)
+            out.put(*(f[t] for f in coded), last=True)
     return head + struct.pack("<I", len(table)) + table + out.end()
 
 
@@ -207,33 +244,37 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes, int]:
     size, = struct.unpack_from("<I", block, struct.calcsize(_HEAD))
     at = struct.calcsize(_HEAD) + 4
     rows = zlib.decompress(block[at:at + size])
-    x = np.zeros((lanes, steps), np.int64)
-    src, mix = Reader(block[at + size:], lanes), Weights()
-    one, two = np.full(lanes, v, np.int64), np.full(lanes, v, np.int64)
+    x = np.zeros((steps, lanes), np.int64)
+    src, mix = Reader(block[at + size:], lanes), np.ones((16, _ORDERS), np.int64)
     for begin, end in segments(steps):
-        model = Predictions(x[:, :begin], v)
+        if begin:
+            model = Predictions(x[:begin].ravel(), lanes, v)
+            one, pair = x[begin - 1], model.pair
         for t in range(begin, end):
-            begin2, total2, begin1, total1 = model.rows(two, one)
-            state = model.state(total2, total1)
-            seen = src.look(mix.cum[state, -1].astype(_U))
-            order = (seen[:, None] >= mix.cum[state, 1:-1]).sum(axis=1)
-            src.take(mix.cum[state, order].astype(_U), mix.n[state, order].astype(_U))
-            mix.learn(state, order)
-            total = np.choose(order, (total2, total1, model.cum0[-1], v))
-            seen = src.look(np.maximum(total, 1).astype(_U))
-            cur, cum, count = seen.copy(), seen.copy(), np.ones(lanes, np.int64)
-            for k, cums, key, base in ((0, model.cum2, model.key2, begin2), (1, model.cum1, model.key1, begin1),
-                                       (2, model.cum0, None, None)):
-                m = np.flatnonzero(order == k)
-                if len(m):
-                    first = base[m] if key is not None else 0
-                    i = np.searchsorted(cums, first + seen[m], "right") - 1
-                    cur[m] = key[i] % model.w if key is not None else i
-                    cum[m], count[m] = cums[i] - first, cums[i + 1] - cums[i]
-            src.take(cum.astype(_U), count.astype(_U))
-            x[:, t] = cur
-            one, two = cur, one
-    ids = x.ravel()[:n].astype("<u4")
+            if begin:
+                base2, total2, state = model.order2.take(pair, axis=0).T
+                base1, total1, more = model.order1.take(one, axis=0).T
+                state = state + more
+            else:
+                state = np.zeros(lanes, np.int64)
+            cum, total = weights(mix)
+            seen = src.look(total.take(state).astype(_U))
+            order = sum((seen >= cum[k::_ORDERS].take(state)).view(np.int8) for k in range(1, _ORDERS))
+            choice = state * _ORDERS + order
+            src.narrow(cum.take(choice).view(_U), mix.ravel().take(choice).view(_U), last=False)
+            mix += 8 * np.bincount(choice, minlength=16 * _ORDERS).reshape(16, _ORDERS)
+            if not begin:
+                x[t] = src.look(np.full(lanes, v, _U))
+                src.narrow(x[t].view(_U), np.ones(lanes, _U), last=True)
+                continue
+            is2, is1 = order == 0, order == 1
+            base = np.where(is2, base2, np.where(is1, base1, model.base.take(order)))
+            total = np.where(is2, total2, np.where(is1, total1, model.total.take(order)))
+            seen = src.look(np.maximum(total, 1).view(_U))
+            first, count, one, pair = model.symbols.take(model.at.take(base + seen), axis=0).T
+            src.narrow((first - base).view(_U), count.view(_U), last=True)
+            x[t] = one
+    ids = x.T.ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("the checksum of a block of ids does not fit")
     return ids, rows, n_rows

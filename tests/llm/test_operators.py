@@ -409,6 +409,14 @@ def test_block_round_trip(n, top):
             range_coder.decode_block(block[:-400] + bytes(400))
 
 
+def test_block_does_not_search_for_each_id(monkeypatch):
+    ids = (np.random.default_rng(5).random(60_000) ** 4 * 900).astype("<u4")
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(range_coder.np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    back = range_coder.decode_block(range_coder.encode_block(ids, b"", 0, lanes=100))[0]
+    assert (back == ids).all() and len(calls) < 60  # 600 steps
+
+
 def test_token_files(spark, frame, tmp_path):
     path = str(tmp_path / "ids")
     token_files.write_ids(frame(ODD), path, queries.vocabulary(WORD), partitions=3, block_ids=500)
