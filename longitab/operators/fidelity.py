@@ -97,7 +97,12 @@ def ks_statistic(a: DataFrame, b: DataFrame, features: list[str], by: list[str]
 
 
 def _distances(counted: DataFrame, group: list[str]) -> DataFrame:
-    """``group..., n1, n0, nulls, d`` from counts ``group..., value, c1, c0`` of groups known by ``g``."""
+    """``group..., n1, n0, nulls, d`` from counts ``group..., value, c1, c0`` of groups known by ``g``.
+
+    The counts are written out: the sizes of the groups, the sample of the ranges and the distances each
+    read them, and would else count all values anew.
+    """
+    counted = settle(counted)
     there = F.col("value").isNotNull()
     sizes = counted.groupBy(*group, "g").agg(
         F.coalesce(F.sum(F.when(there, F.col("c1"))), F.lit(0)).alias("n1"),

@@ -216,3 +216,11 @@ def test_fidelity_report_reads_each_table_once(spark):
         want |= {(name, r["check"], r["feature"]): r["value"] for r in fi.quality_checks(real, synth, ["a", "b"]).collect()}
         assert {k for k in got if k[0] == name} == set(want)
         assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_ks_counts_values_once(spark):
+    a = spark.range(60).selectExpr("cast(id % 7 as double) AS x", "cast(id as double) AS y")
+    b = spark.range(60).selectExpr("cast(id % 5 as double) AS x", "cast(id as double) AS y")
+    found = fi.ks_statistic(a, b, ["x", "y"])
+    assert "Range (0, 60" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["feature"]: round(r["d"], 9) for r in found.collect()} == {"x": 0.266666667, "y": 0.0}
