@@ -80,5 +80,19 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = 2 << 20) -
         pa.default_memory_pool().release_unused()
 
 
+def together(batches: Iterator[pa.RecordBatch], text: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about ``limit`` text bytes, eight of them at most, and cut where they hold more."""
+    kept, size = [], 0
+    for batch in pieces(batches, text, limit):
+        more = batch.column(text).nbytes
+        if kept and (size + more > limit or len(kept) == 8):
+            yield pa.concat_batches(kept)
+            kept, size = [], 0
+        kept.append(batch)
+        size += more
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,7 +4,7 @@ The ids of a block are cut into lanes of equal length, which are coded in step s
 operation serves all lanes. A symbol is predicted from the ids before it in its lane at order 2,
 1 and 0, and at last by equal shares. The weights with which these predictions are mixed adapt
 after every step, for each confidence of the order-2 and order-1 predictions; the predictions
-adapt at steps 1, 4, 16, 64 and so on, from all ids of the block so far. Every block starts from
+adapt at steps 1, 5, 25, 125 and so on, from all ids of the block so far. Every block starts from
 nothing and carries checksums of its ids.
 """
 
@@ -15,33 +15,45 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR2"
-LANES = 2048
+MAGIC = b"CMR3"
+LANES = 4096
 #: Ids of a lane at least, so that short blocks have few lanes.
-LANE_IDS = 64
+LANE_IDS = 512
+#: Ids that are predicted at once, about, so that they and what is computed of them stay in the cache.
+CHUNK = 1 << 15
 _HEAD = "<4sIIIIII"  # magic, ids, lanes, steps, vocabulary, rows, crc32 of the ids
 _U = np.uint64
-_TOP, _LOW, _WORD, _MASK = _U(1 << 48), _U(1 << 32), _U(48), _U((1 << 32) - 1)
-#: A range below this is brought up to strength between the two parts of an id.
-_SHORT = _U(1 << 34)
+_WORD, _MASK, _LOW = _U(32), _U((1 << 32) - 1), _U(1 << 32)
 _ORDERS = 4  # order 2, 1, 0, and equal shares
 
 
 def ranks(key: np.ndarray, top: int):
-    """Distinct keys in order, their counts and first places, and the rank of each key, all below ``top``."""
+    """Distinct keys in order, and the rank of each key; all below ``top``. Changes ``key``."""
     n, bits = len(key), max(1, len(key)).bit_length()
     if top.bit_length() + bits < 64:
-        both = np.sort(key << bits | np.arange(n))
-        at, key = both & ((1 << bits) - 1), both >> bits
+        key <<= bits
+        key |= np.arange(n)
+        key.sort()
+        at = key & ((1 << bits) - 1)
+        key >>= bits
     else:
         at = np.argsort(key, kind="stable")
         key = key[at]
     new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     rank = np.empty(n, np.int64)
-    rank[at] = np.cumsum(new) - 1
-    return key[first], np.diff(np.append(first, n)), at[first], rank
+    number = np.cumsum(new)
+    number -= 1
+    rank[at] = number
+    return key.take(np.flatnonzero(new)), rank
+
+
+def turned(rows: np.ndarray, tile: int = 64) -> np.ndarray:
+    """The transpose, a few rows at a time, which stay in the cache."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for k in range(0, len(rows), tile):
+        out[:, k:k + tile] = rows[k:k + tile].T
+    return out
 
 
 class Pairs:
@@ -49,50 +61,82 @@ class Pairs:
     after the other; ``v`` stands for what is before a lane. Rows begin where the context changes."""
 
     def __init__(self, x: np.ndarray, lanes: int, v: int):
-        w = v + 1
+        bits = v.bit_length()
         self.one = np.concatenate((np.full(lanes, v), x[:-lanes]))
-        key, self.count1, _, self.rank1 = ranks(self.one * w + x, w * w)
-        self.sym1, self.row1 = key % w, np.searchsorted(key // w, np.arange(w + 1))
-        none = len(key)
+        key, self.rank1 = ranks(self.one << bits | x, v + 1 << bits)
+        self.sym1, self.row1 = key & ((1 << bits) - 1), begins(key >> bits, v + 1)
+        none, bits = len(key), len(key).bit_length()
+        # the last pair of a triple stands for its symbol
         self.pair = np.concatenate((np.full(lanes, none), self.rank1[:-lanes]))
-        key, self.count2, at, self.rank2 = ranks(self.pair * w + x, (none + 1) * w)
-        self.sym2, self.row2 = key % w, np.searchsorted(key // w, np.arange(none + 2))
-        self.last2 = self.rank1[at]
+        key, self.rank2 = ranks(self.pair << bits | self.rank1, none + 1 << bits)
+        self.last2, self.row2 = key & ((1 << bits) - 1), begins(key >> bits, none + 1)
+
+
+def begins(context: np.ndarray, kinds: int) -> np.ndarray:
+    """Where the rows of contexts begin, and the end; contexts are in order."""
+    return np.append(0, np.cumsum(np.bincount(context, minlength=kinds)))
+
 
+def two(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two numbers below 2^31 in one, so that they are found together."""
+    return high << 32 | low
 
-def rows(count: np.ndarray, row: np.ndarray):
-    """Begin of each symbol in its row, and total of each row."""
-    cum = np.concatenate(([0], np.cumsum(count)))
-    return cum[:-1] - np.repeat(cum[row[:-1]], np.diff(row)), cum[row[1:]] - cum[row[:-1]]
+
+def symbols(numbers: np.ndarray, kinds: int, row: np.ndarray | None = None):
+    """Begin and count of each symbol, and begin and total of each row, in one line."""
+    line = np.append(0, np.cumsum(count := np.bincount(numbers, minlength=kinds)))
+    if row is None:
+        return two(line[:-1], count)
+    line_row = line.take(row)
+    return two(line[:-1], count), two(line_row[:-1], np.diff(line_row))
 
 
 def confidence(total: np.ndarray) -> np.ndarray:
     """0 to 3; that of order 2, times 4, and that of order 1 are the state, the mixing context."""
-    return np.minimum(np.ceil(np.log2(total + 1)), 3).astype(np.int64)
-
-
-def predicted(x: np.ndarray, pairs: Pairs, seen: int, end: int, v: int):
-    """State of the ids from ``seen`` to ``end``, the order that predicts each, and its cumulative count,
-    count and total, from the ids before ``seen``."""
-    part = np.s_[seen:end]
-    cur, one, pair, rank1, rank2 = x[part], pairs.one[part], pairs.pair[part], pairs.rank1[part], pairs.rank2[part]
-    if not seen:
-        return np.zeros_like(cur), np.full_like(cur, 3), cur, np.ones_like(cur), np.full_like(cur, v)
-    count0 = np.bincount(x[:seen], minlength=v)
-    count1 = np.bincount(pairs.rank1[:seen], minlength=len(pairs.count1))
-    count2 = np.bincount(pairs.rank2[:seen], minlength=len(pairs.count2))
-    begin1, total1 = rows(count1, pairs.row1)
-    begin2, total2 = rows(count2, pairs.row2)
-    state1, state2 = confidence(total1).take(one), confidence(total2).take(pair)
-    n0, n1, n2 = count0.take(cur), count1.take(rank1), count2.take(rank2)
-    order = np.where(n2 > 0, 0, np.where(n1 > 0, 1, np.where(n0 > 0, 2, 3)))
-    cum, count, total = (np.cumsum(count0) - count0).take(cur), n0, np.full(len(cur), seen)
-    for k, n, begin, at, tot, row in ((1, n1, begin1, rank1, total1, one), (0, n2, begin2, rank2, total2, pair), (3, None, None, cur, None, None)):
-        i = np.flatnonzero(order == k)
-        cum[i] = begin.take(at.take(i)) if n is not None else at.take(i)
-        count[i] = n.take(i) if n is not None else 1
-        total[i] = tot.take(row.take(i)) if n is not None else v
-    return 4 * state2 + state1, order, cum, count, total
+    return (total > 0).view(np.int8) + (total > 1).view(np.int8) + (total > 3).view(np.int8)
+
+
+class Predicted:
+    """What the ids before ``seen`` predict."""
+
+    def __init__(self, x: np.ndarray, pairs: Pairs, seen: int, v: int):
+        self.x, self.pairs, self.seen, self.v = x, pairs, seen, v
+        if seen:
+            self.zero = symbols(x[:seen], v)
+            self.one, self.row1 = symbols(pairs.rank1[:seen], len(pairs.sym1), pairs.row1)
+            self.two, self.row2 = symbols(pairs.rank2[:seen], len(pairs.last2), pairs.row2)
+
+    def of(self, part: slice):
+        """State of the ids of a part, the order that predicts each, and its cumulative count, count and total."""
+        cur, p, low = self.x[part], self.pairs, (1 << 32) - 1
+        if not self.seen:
+            return np.zeros(len(cur), np.int8), np.full(len(cur), 3, np.int8), cur, np.ones_like(cur), np.full_like(cur, self.v)
+        sym1, sym2 = self.one.take(p.rank1[part]), self.two.take(p.rank2[part])
+        row1, row2 = self.row1.take(p.one[part]), self.row2.take(p.pair[part])
+        total, total2 = row1 & low, row2 & low
+        state = 4 * confidence(total2) + confidence(total)
+        # places in the row; order 2 where it is met, by bits, so that nothing branches
+        row1 ^= total
+        row2 ^= total2
+        sym = sym1 - row1
+        sym2 -= row2
+        in2 = (sym2 & low) != 0
+        order = (~in2).view(np.int8)
+        in2 = -in2.astype(np.int64)
+        sym ^= (sym ^ sym2) & in2
+        total ^= (total ^ total2) & in2
+        count = sym & low
+        sym >>= 32
+        # the few others
+        i = np.flatnonzero(count == 0)
+        few = cur.take(i)
+        zero = self.zero.take(few)
+        no0 = (zero & low) == 0
+        sym[i] = np.where(no0, few, zero >> 32)
+        count[i] = np.where(no0, 1, zero & low)
+        total[i] = np.where(no0, self.v, self.seen)
+        order[i] = no0.view(np.int8) + np.int8(2)
+        return state, order, sym, count, total
 
 
 class Predictions:
@@ -101,19 +145,37 @@ class Predictions:
 
     def __init__(self, x: np.ndarray, lanes: int, v: int):
         p, n = Pairs(x, lanes, v), len(x)
-        kinds1, kinds2 = len(p.count1), len(p.count2)
-        count = np.concatenate((p.count2, p.count1, np.bincount(x, minlength=v), np.ones(v, np.int64)))
+        kinds1, kinds2 = len(p.sym1), len(p.last2)
+        count = np.concatenate((np.bincount(p.rank2), np.bincount(p.rank1), np.bincount(x, minlength=v), np.ones(v, np.int64)))
         line = np.append(0, np.cumsum(count))
         self.at = np.repeat(np.arange(len(count), dtype=np.int32), count)
         # begin, count, symbol, and the pair that it ends; one of a lower order ends a pair that was not met
-        self.symbols = np.stack((line[:-1], count, np.concatenate((p.sym2, p.sym1, np.arange(v), np.arange(v))),
-                                 np.concatenate((p.last2, np.arange(kinds1), np.full(2 * v, kinds1 + 1)))), axis=1)
-        # begin, total and share of the state, of each context
-        self.order1, self.order2 = (np.stack((line[r], np.append(np.diff(line[r]), 0), k * confidence(np.append(np.diff(line[r]), 0))), axis=1)
-                                    for k, r in ((1, p.row1 + kinds2), (4, p.row2)))
-        self.base, self.total = np.array([0, 0, 2 * n, 3 * n]), np.array([0, 0, n, v])
+        self.symbols = quads(line[:-1], count, np.concatenate((p.sym1.take(p.last2), p.sym1, np.arange(v), np.arange(v))),
+                             np.concatenate((p.last2, np.arange(kinds1), np.full(2 * v, kinds1 + 1))))
+        # begin, total (at least 1, as divisor) and share of the state, of each context
+        self.order1, self.order2 = (self.contexts(line.take(r), r[-1], k, more) for r, k, more in ((p.row1 + kinds2, 1, 0), (p.row2, 4, 1)))
+        self.base, self.total = np.array([0, 0, 2 * n, 3 * n]), np.array([1, 1, n, v])
         self.pair = p.rank1[-lanes:]
 
+    @staticmethod
+    def contexts(line, end, k, more):
+        """``more`` contexts that were not met follow."""
+        total = np.append(np.diff(line), np.zeros(more, np.int64))
+        return quads(np.append(line[:-1], np.zeros(more, np.int64)), np.maximum(total, 1), k * confidence(total).astype(np.int64), 0)
+
+
+def quads(*columns) -> np.ndarray:
+    """Rows of four numbers of 32 bits, each found as one item of 16 bytes."""
+    out = np.empty((len(columns[0]), 4), np.int32)
+    for k, c in enumerate(columns):
+        out[:, k] = c
+    return out.view(np.complex128).ravel()
+
+
+def found(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The columns of some rows."""
+    return table.take(at).view(np.int32).reshape(-1, 4).T
+
 
 def weights(n: np.ndarray):
     """Cumulative weights and totals of the states, flat."""
@@ -121,81 +183,74 @@ def weights(n: np.ndarray):
     return (cum - n).ravel(), cum[..., -1].ravel()
 
 
-class Lanes:
-    """Ranges of all lanes. ``settle`` calls ``move`` with the lanes that a word leaves: its bits are
-    settled, or the range is too small to go on, and then ends where the word does."""
+class Writer:
+    """Ranges of all lanes. A range below 2^32 lets a word of its lane go. What is added to a lane after that
+    may carry over into the word, which is made good at the end."""
 
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-
-    def narrow(self, cum, count, last: bool):
-        """To one part of an id. Words leave after the last one; before it only where a range is short."""
-        self.low += cum * self.r
-        self.range = count * self.r
-        if last or self.range.min() < _SHORT:
-            self.settle()
-
-    def settle(self):
-        while True:
-            same, small = (self.low ^ (self.low + self.range)) < _TOP, self.range < _LOW
-            go = same | small
-            i = np.flatnonzero(go)
-            if not len(i):
-                return
-            if small.any():
-                j = np.flatnonzero(small & ~same)
-                self.range[j] = (_U(0) - self.low[j]) & _MASK
-            bits = go.astype(_U) << _U(4)
-            self.move(i, bits)
-            self.low <<= bits
-            self.range <<= bits
-
-
-class Writer(Lanes):
-    def __init__(self, lanes: int):
-        super().__init__(lanes)
-        self.moved, self.words = [], []
+        self.gone, self.moved, self.words, self.carried = np.zeros(lanes, np.int64), [], [], []
 
     def put(self, cum, count, total, last: bool):
-        self.r = self.range // total
-        self.narrow(cum, count, last)
-
-    def move(self, i, bits):
-        self.moved.append(i)
-        self.words.append(self.low[i] >> _WORD)
+        """One part of an id. Words leave after the last one; before it only where a range is short."""
+        r = self.range // total
+        cum = cum * r
+        self.low += cum
+        np.multiply(count, r, out=self.range)
+        over = np.flatnonzero(self.low < cum)
+        if len(over):
+            self.carried.append((over, self.gone[over]))
+        if last or self.range.min() < _LOW:
+            i = np.flatnonzero(self.range < _LOW)
+            self.moved.append(i)
+            self.words.append(self.low[i] >> _WORD)
+            self.gone[i] += 1
+            self.low[i] <<= _WORD
+            self.range[i] <<= _WORD
 
     def end(self) -> bytes:
-        """Four words of each lane, then the others as a reader that is four words ahead moves on."""
+        """Two words of each lane, then the others as a reader that is two words ahead moves on."""
         every = np.arange(len(self.low))
-        moved = np.concatenate([*self.moved, *[every] * 4])
-        words = np.concatenate([*self.words, *[self.low << _U(16 * k) >> _WORD for k in range(4)]]).astype("<u2")
-        order = np.argsort(moved, kind="stable")
+        moved = np.concatenate([*self.moved, every, every])
+        words = np.concatenate([*self.words, self.low >> _WORD, self.low & _MASK])
+        # 16 bits are sorted faster
+        order = np.argsort(moved.astype(np.uint16) if len(every) < 1 << 16 else moved, kind="stable")
         words, lane = words[order], moved[order]
-        nth = np.arange(len(lane)) - np.searchsorted(lane, every)[lane]
-        # the fifth word of a lane is read when its first one leaves
-        ahead = nth >= 4
-        out = np.empty(len(words) - 4 * len(every), "<u2")
-        out[order[:-4][ahead[4:]]] = words[ahead]
+        begin = np.append(0, np.cumsum(self.gone + 2))
+        if self.carried:
+            lanes, gone = (np.concatenate(a) for a in zip(*self.carried))
+            words += np.bincount(begin[lanes] + gone - 1, minlength=len(words)).view(_U)
+        while len(over := np.flatnonzero(words > _MASK)):
+            words[over] -= _LOW
+            words[over - 1] += _U(1)
+        words = words.astype("<u4")
+        # the third word of a lane is read when its first one leaves
+        ahead = np.arange(len(lane)) - begin.take(lane) >= 2
+        out = np.empty(len(words) - 2 * len(every), "<u4")
+        out[order[:-2][ahead[2:]]] = words[ahead]
         return words[~ahead].tobytes() + out.tobytes()
 
 
-class Reader(Lanes):
+class Reader:
+    """Ranges of all lanes, and where the code lies in them."""
+
     def __init__(self, data: bytes, lanes: int):
-        super().__init__(lanes)
-        self.words = np.frombuffer(data, "<u2").astype(_U)
-        first = self.words[:4 * lanes].reshape(lanes, 4)
-        self.code, self.at = np.zeros(lanes, _U), 4 * lanes
-        for k in range(4):
-            self.code = (self.code << _U(16)) | first[:, k]
+        self.words = np.frombuffer(data, "<u4")
+        first = self.words[:2 * lanes].reshape(lanes, 2).astype(_U)
+        self.range, self.code, self.at = np.full(lanes, ~_U(0)), first[:, 0] << _WORD | first[:, 1], 2 * lanes
 
     def look(self, total):
         self.r = self.range // total
-        return np.minimum((self.code - self.low) // self.r, total - _U(1)).view(np.int64)
+        return (self.code // self.r).view(np.int64)
 
-    def move(self, i, bits):
-        self.code <<= bits
-        self.code[i] |= self.words[self.at:self.at + len(i)]
-        self.at += len(i)
+    def narrow(self, cum, count, last: bool):
+        self.code -= cum * self.r
+        np.multiply(count, self.r, out=self.range)
+        if last or self.range.min() < _LOW:
+            i = np.flatnonzero(self.range < _LOW)
+            self.range[i] <<= _WORD
+            self.code[i] = self.code[i] << _WORD | self.words[self.at:self.at + len(i)]
+            self.at += len(i)
 
 
 def segments(steps: int):
@@ -203,7 +258,7 @@ def segments(steps: int):
     begin, end = 0, 1
     while begin < steps:
         yield begin, min(end, steps)
-        begin, end = end, end * 4
+        begin, end = end, end * 5
 
 
 def encode_block(ids: np.ndarray, rows: bytes, n_rows: int, lanes: int = LANES) -> bytes:
@@ -214,25 +269,29 @@ def encode_block(ids: np.ndarray, rows: bytes, n_rows: int, lanes: int = LANES)
     v = int(ids.max()) + 1 if n else 1
     table = zlib.compress(rows)
     head = struct.pack(_HEAD, MAGIC, n, lanes, steps, v, n_rows, zlib.crc32(ids.astype("<u4").tobytes()))
-    x = np.zeros(lanes * steps, np.int64)
+    x = np.zeros(lanes * steps, np.uint32)
     x[:n] = ids
-    x = x.reshape(lanes, steps).T.ravel()
+    x = turned(x.reshape(lanes, steps)).ravel().astype(np.int64)
     out, mix = Writer(lanes), np.ones((16, _ORDERS), np.int64)
     pairs = Pairs(x, lanes, v) if n else None
-    for begin, end in segments(steps):
-        state, order, *coded = predicted(x, pairs, begin * lanes, end * lanes, v)
-        # the weights before each step, from the orders of the steps before it
-        step = np.repeat(np.arange(end - begin), lanes) * 16 + state
-        choice = step * _ORDERS + order
-        met = np.bincount(choice, minlength=(end - begin) * 16 * _ORDERS).reshape(-1, 16, _ORDERS)
-        met = mix + 8 * np.concatenate((np.zeros_like(met[:1]), np.cumsum(met, axis=0)))
-        mix, met = met[-1], met[:-1]
-        cum, total = weights(met)
-        mixed = [f.view(_U).reshape(-1, lanes) for f in (cum.take(choice), met.take(choice), total.take(step))]
-        coded = [f.view(_U).reshape(-1, lanes) for f in coded]
-        for t in range(end - begin):
-            out.put(*(f[t] for f in mixed), last=False)
-            out.put(*(f[t] for f in coded), last=True)
+    for first, last in segments(steps):
+        model = Predicted(x, pairs, first * lanes, v)
+        more = max(1, CHUNK // lanes)
+        for begin in range(first, last, more):
+            end = min(begin + more, last)
+            state, order, *coded = model.of(np.s_[begin * lanes:end * lanes])
+            # the weights before each step, from the orders of the steps before it
+            state = (state.reshape(-1, lanes) + np.arange(0, 16 * (end - begin), 16)[:, None]).ravel()
+            choice = state * _ORDERS + order
+            met = np.bincount(choice, minlength=(end - begin) * 16 * _ORDERS).reshape(-1, 16, _ORDERS)
+            met = mix + 8 * np.concatenate((np.zeros_like(met[:1]), np.cumsum(met, axis=0)))
+            mix, met = met[-1], met[:-1]
+            cum, total = weights(met)
+            share = two(cum, met.ravel()).take(choice)
+            parts = [f.view(_U).reshape(-1, lanes) for f in (share >> 32, share & ((1 << 32) - 1), total.take(state), *coded)]
+            for cum1, count1, total1, cum2, count2, total2 in zip(*parts):
+                out.put(cum1, count1, total1, last=False)
+                out.put(cum2, count2, total2, last=True)
     return head + struct.pack("<I", len(table)) + table + out.end()
 
 
@@ -246,20 +305,23 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes, int]:
     rows = zlib.decompress(block[at:at + size])
     x = np.zeros((steps, lanes), np.int64)
     src, mix = Reader(block[at + size:], lanes), np.ones((16, _ORDERS), np.int64)
+    base, total = np.empty((_ORDERS, lanes), np.int64), np.empty((_ORDERS, lanes), np.int64)
+    every = np.arange(lanes)
     for begin, end in segments(steps):
         if begin:
             model = Predictions(x[:begin].ravel(), lanes, v)
             one, pair = x[begin - 1], model.pair
+            base[:], total[:] = model.base[:, None], model.total[:, None]
         for t in range(begin, end):
             if begin:
-                base2, total2, state = model.order2.take(pair, axis=0).T
-                base1, total1, more = model.order1.take(one, axis=0).T
-                state = state + more
+                base[0], total[0], state2, _ = found(model.order2, pair)
+                base[1], total[1], state1, _ = found(model.order1, one)
+                state = (state2 + state1).astype(np.int64)
             else:
                 state = np.zeros(lanes, np.int64)
-            cum, total = weights(mix)
-            seen = src.look(total.take(state).astype(_U))
-            order = sum((seen >= cum[k::_ORDERS].take(state)).view(np.int8) for k in range(1, _ORDERS))
+            cum, both = weights(mix)
+            seen = src.look(both.take(state).view(_U))
+            order = (seen >= cum[1::_ORDERS].take(state)).view(np.int8) + (seen >= cum[2::_ORDERS].take(state)) + (seen >= cum[3::_ORDERS].take(state))
             choice = state * _ORDERS + order
             src.narrow(cum.take(choice).view(_U), mix.ravel().take(choice).view(_U), last=False)
             mix += 8 * np.bincount(choice, minlength=16 * _ORDERS).reshape(16, _ORDERS)
@@ -267,14 +329,13 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes, int]:
                 x[t] = src.look(np.full(lanes, v, _U))
                 src.narrow(x[t].view(_U), np.ones(lanes, _U), last=True)
                 continue
-            is2, is1 = order == 0, order == 1
-            base = np.where(is2, base2, np.where(is1, base1, model.base.take(order)))
-            total = np.where(is2, total2, np.where(is1, total1, model.total.take(order)))
-            seen = src.look(np.maximum(total, 1).view(_U))
-            first, count, one, pair = model.symbols.take(model.at.take(base + seen), axis=0).T
-            src.narrow((first - base).view(_U), count.view(_U), last=True)
+            which = order * np.int64(lanes) + every
+            start = base.take(which)
+            seen = src.look(total.take(which).view(_U))
+            first, count, one, pair = found(model.symbols, model.at.take(start + seen)).astype(np.int64)
+            src.narrow((first - start).view(_U), count.view(_U), last=True)
             x[t] = one
-    ids = x.T.ravel()[:n].astype("<u4")
+    ids = turned(x.astype("<u4")).ravel()[:n]
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("the checksum of a block of ids does not fit")
     return ids, rows, n_rows

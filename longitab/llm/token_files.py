@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from longitab.llm.common import bounded_batches, partitions_of, pieces
+from longitab.llm.common import bounded_batches, partitions_of, together
 from longitab.llm.range_coder import decode_block, encode_block
 from longitab.llm.tokens import encoder
 
-#: A block is closed at so many ids; whole documents only.
-BLOCK_IDS = 1 << 20
+#: A block is closed at so many ids or documents; whole documents only.
+BLOCK_IDS, BLOCK_DOCS = 1 << 21, 1 << 16
 BLOCKS = "part int, block int, n_ids long, n_docs long, data binary"
 _ROW = np.dtype([("id", "<i8"), ("n", "<u4"), ("null", "u1")])
 
@@ -47,9 +47,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
                                     "n_ids": pa.array([size]), "n_docs": pa.array([len(rows)]),
                                     "data": pa.array([data], pa.binary())})
 
-        for batch in pieces(batches, 1):
+        for batch in together(batches, 1):
             for doc, x in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1), end_id)):
-                if rows and size + len(x) > block_ids:
+                if rows and (size + len(x) > block_ids or len(rows) == BLOCK_DOCS):
                     yield close()
                     rows, ids, size, block = [], [], 0, block + 1
                 rows.append((doc or 0, len(x), doc is None))

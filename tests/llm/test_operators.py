@@ -387,6 +387,39 @@ def test_encoder_takes_unknown_words_together(name):
     assert len(given) < 20
 
 
+def test_words_pass_by_the_expressions_of_the_vocabulary():
+    enc, given = Encoder(queries.vocabulary(WORD)), []
+
+    class Counted:
+        def __getattr__(self, x):
+            return getattr(library, x)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    library, enc.tokenizer = enc.tokenizer, Counted()
+    texts = ["Nonesuch w\u00f6rter\n\u03a3\u0391\u03a3 \u01c5ep \u0416\u0443\u043a \u4e2d\u6587 \u00c5ngstr\u00f6m", "First,second\x0bthird\x0cfourth"]
+    want = [library.encode(t, add_special_tokens=False).ids + [9] for t in texts]
+    assert [x.tolist() for x in enc.encode(texts, 9)] == want
+    assert not any(c.isalpha() for t in given for c in t)
+    # words that are no letters, or do not stay letters, do not hold up the others
+    given.clear()
+    texts = ["gr\u00fc\u00df \u0130zmir na\u00efvet\u00e9 \u0939\u093f\u0928\u094d\u0926\u0940 \u00fcber x\u00b2 c\u00f4t\u00e9"]
+    want = [library.encode(t, add_special_tokens=False).ids + [9] for t in texts]
+    assert [x.tolist() for x in enc.encode(texts, 9)] == want and len(given) == 3
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_encoder_lets_go_of_parts(name):
+    enc, rng = Encoder(queries.vocabulary(name), kept_parts=50), random.Random(2)
+    for _ in range(30):
+        texts = ["".join(rng.choice(["ab", " c", "d ", "\u00e9", ".", " ", "w" * 50]) for _ in range(30)) for _ in range(9)]
+        want = [enc.tokenizer.encode(t, add_special_tokens=False).ids + [5] for t in texts]
+        assert [x.tolist() for x in enc.encode(texts, 5)] == want
+        assert not any(len(x) > 40 for x in enc.known.number) and len(enc.older.number) < 500
+
+
 @pytest.mark.parametrize("name", [BYTE, WORD])
 def test_encoder_equals_library(name):
     e, rng = Encoder(queries.vocabulary(name)), random.Random(1)
@@ -409,6 +442,35 @@ def test_block_round_trip(n, top):
             range_coder.decode_block(block[:-400] + bytes(400))
 
 
+def test_ranges_carry_over():
+    rng, lanes = np.random.default_rng(3), 40
+    total = rng.integers(2, 9, (1000, lanes)).astype(np.uint64)
+    cum = (rng.random(total.shape) * total).astype(np.uint64)
+    count = np.ones_like(total)
+    out = range_coder.Writer(lanes)
+    for row in zip(cum, count, total):
+        out.put(*row, last=True)
+    assert len(out.carried) > 100
+    src = range_coder.Reader(out.end(), lanes)
+    for c, n, t in zip(cum, count, total):
+        assert (src.look(t) == c.astype(np.int64)).all()
+        src.narrow(c, n, last=True)
+    # through words without a zero bit
+    out, full = range_coder.Writer(2), (1 << 32) - 1
+    out.moved, out.words = [np.array([0, 1])] * 3, [np.array(w, np.uint64) for w in ([7, 1], [full, 2], [full, 3])]
+    out.gone[:], out.carried = 3, [(np.array([0]), np.array([3]))]
+    assert np.frombuffer(out.end(), "<u4").tolist() == [8, 0, 1, 2, 0, 3, 0, 0, 0, 0]
+
+
+def test_block_is_the_same_however_many_ids_are_predicted_at_once(monkeypatch):
+    ids = (np.random.default_rng(6).random(40_000) ** 3 * 500).astype("<u4")
+    blocks = []
+    for chunk in (1, 999, 1 << 15):
+        monkeypatch.setattr(range_coder, "CHUNK", chunk)
+        blocks.append(range_coder.encode_block(ids, b"", 0, lanes=64))
+    assert blocks[0] == blocks[1] == blocks[2] and (range_coder.decode_block(blocks[0])[0] == ids).all()
+
+
 def test_block_does_not_search_for_each_id(monkeypatch):
     ids = (np.random.default_rng(5).random(60_000) ** 4 * 900).astype("<u4")
     calls, search = [], np.searchsorted
@@ -433,6 +495,16 @@ def test_token_files(spark, frame, tmp_path):
     assert rows(token_files.read_ids(spark, str(tmp_path / "none"))) == []
 
 
+def test_token_files_of_many_short_texts(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_DOCS", 30)
+    path = str(tmp_path / "ids")
+    token_files.write_ids(frame([(i, "a" if i % 3 else None) for i in range(100)]), path, queries.vocabulary(WORD), partitions=1)
+    assert sorted(r["n_docs"] for r in rows(spark.read.parquet(path))) == [10, 30, 30, 30]
+    got = sorted(rows(token_files.read_ids(spark, path)), key=lambda r: r["doc_id"])
+    assert [r["n_tokens"] for r in got] == [2 if i % 3 else 1 for i in range(100)]
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+
+
 def test_cut_covers_every_length():
     for n in range(1, 4200):
         parts = packing.cut(n)
