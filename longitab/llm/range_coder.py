@@ -20,7 +20,7 @@ LANES = 4096
 #: Ids of a lane at least, so that short blocks have few lanes.
 LANE_IDS = 512
 #: Ids that are predicted at once, about, so that they and what is computed of them stay in the cache.
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 _HEAD = "<4sIIIIII"  # magic, ids, lanes, steps, vocabulary, rows, crc32 of the ids
 _U = np.uint64
 _WORD, _MASK, _LOW = _U(32), _U((1 << 32) - 1), _U(1 << 32)
@@ -39,12 +39,11 @@ def ranks(key: np.ndarray, top: int):
     else:
         at = np.argsort(key, kind="stable")
         key = key[at]
-    new = np.ones(n, bool)
+    new = np.zeros(n, bool)
     np.not_equal(key[1:], key[:-1], out=new[1:])
-    rank = np.empty(n, np.int64)
-    number = np.cumsum(new)
-    number -= 1
-    rank[at] = number
+    rank = np.empty(n, np.int32)
+    rank[at] = np.cumsum(new, dtype=np.int32)
+    new[:1] = True
     return key.take(np.flatnonzero(new)), rank
 
 
@@ -62,13 +61,13 @@ class Pairs:
 
     def __init__(self, x: np.ndarray, lanes: int, v: int):
         bits = v.bit_length()
-        self.one = np.concatenate((np.full(lanes, v), x[:-lanes]))
-        key, self.rank1 = ranks(self.one << bits | x, v + 1 << bits)
+        self.one = np.concatenate((np.full(lanes, v, np.int32), x[:-lanes]))
+        key, self.rank1 = ranks(joined(self.one, bits, x), v + 1 << bits)
         self.sym1, self.row1 = key & ((1 << bits) - 1), begins(key >> bits, v + 1)
         none, bits = len(key), len(key).bit_length()
         # the last pair of a triple stands for its symbol
-        self.pair = np.concatenate((np.full(lanes, none), self.rank1[:-lanes]))
-        key, self.rank2 = ranks(self.pair << bits | self.rank1, none + 1 << bits)
+        self.pair = np.concatenate((np.full(lanes, none, np.int32), self.rank1[:-lanes]))
+        key, self.rank2 = ranks(joined(self.pair, bits, self.rank1), none + 1 << bits)
         self.last2, self.row2 = key & ((1 << bits) - 1), begins(key >> bits, none + 1)
 
 
@@ -77,6 +76,13 @@ def begins(context: np.ndarray, kinds: int) -> np.ndarray:
     return np.append(0, np.cumsum(np.bincount(context, minlength=kinds)))
 
 
+def joined(context: np.ndarray, bits: int, number: np.ndarray) -> np.ndarray:
+    out = context.astype(np.int64)
+    out <<= bits
+    out |= number
+    return out
+
+
 def two(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Two numbers below 2^31 in one, so that they are found together."""
     return high << 32 | low
@@ -84,11 +90,13 @@ def two(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 def symbols(numbers: np.ndarray, kinds: int, row: np.ndarray | None = None):
     """Begin and count of each symbol, and begin and total of each row, in one line."""
-    line = np.append(0, np.cumsum(count := np.bincount(numbers, minlength=kinds)))
-    if row is None:
-        return two(line[:-1], count)
-    line_row = line.take(row)
-    return two(line[:-1], count), two(line_row[:-1], np.diff(line_row))
+    count = np.bincount(numbers, minlength=kinds)
+    line = np.zeros(kinds + 1, np.int64)
+    np.cumsum(count, out=line[1:])
+    line_row = line.take(row) if row is not None else None
+    line <<= 32
+    count |= line[:-1]
+    return count if row is None else (count, two(line_row[:-1], np.diff(line_row)))
 
 
 def confidence(total: np.ndarray) -> np.ndarray:
@@ -110,7 +118,8 @@ class Predicted:
         """State of the ids of a part, the order that predicts each, and its cumulative count, count and total."""
         cur, p, low = self.x[part], self.pairs, (1 << 32) - 1
         if not self.seen:
-            return np.zeros(len(cur), np.int8), np.full(len(cur), 3, np.int8), cur, np.ones_like(cur), np.full_like(cur, self.v)
+            one = np.ones(len(cur), np.int64)
+            return np.zeros(len(cur), np.int8), np.full(len(cur), 3, np.int8), cur.astype(np.int64), one, self.v * one
         sym1, sym2 = self.one.take(p.rank1[part]), self.two.take(p.rank2[part])
         row1, row2 = self.row1.take(p.one[part]), self.row2.take(p.pair[part])
         total, total2 = row1 & low, row2 & low
@@ -271,7 +280,7 @@ def encode_block(ids: np.ndarray, rows: bytes, n_rows: int, lanes: int = LANES)
     head = struct.pack(_HEAD, MAGIC, n, lanes, steps, v, n_rows, zlib.crc32(ids.astype("<u4").tobytes()))
     x = np.zeros(lanes * steps, np.uint32)
     x[:n] = ids
-    x = turned(x.reshape(lanes, steps)).ravel().astype(np.int64)
+    x = turned(x.reshape(lanes, steps)).ravel().view(np.int32)
     out, mix = Writer(lanes), np.ones((16, _ORDERS), np.int64)
     pairs = Pairs(x, lanes, v) if n else None
     for first, last in segments(steps):
@@ -303,7 +312,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes, int]:
     size, = struct.unpack_from("<I", block, struct.calcsize(_HEAD))
     at = struct.calcsize(_HEAD) + 4
     rows = zlib.decompress(block[at:at + size])
-    x = np.zeros((steps, lanes), np.int64)
+    x = np.zeros((steps, lanes), np.int32)
     src, mix = Reader(block[at + size:], lanes), np.ones((16, _ORDERS), np.int64)
     base, total = np.empty((_ORDERS, lanes), np.int64), np.empty((_ORDERS, lanes), np.int64)
     every = np.arange(lanes)
@@ -326,8 +335,8 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes, int]:
             src.narrow(cum.take(choice).view(_U), mix.ravel().take(choice).view(_U), last=False)
             mix += 8 * np.bincount(choice, minlength=16 * _ORDERS).reshape(16, _ORDERS)
             if not begin:
-                x[t] = src.look(np.full(lanes, v, _U))
-                src.narrow(x[t].view(_U), np.ones(lanes, _U), last=True)
+                x[t] = one = src.look(np.full(lanes, v, _U))
+                src.narrow(one.view(_U), np.ones(lanes, _U), last=True)
                 continue
             which = order * np.int64(lanes) + every
             start = base.take(which)
@@ -335,7 +344,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, bytes, int]:
             first, count, one, pair = found(model.symbols, model.at.take(start + seen)).astype(np.int64)
             src.narrow((first - start).view(_U), count.view(_U), last=True)
             x[t] = one
-    ids = turned(x.astype("<u4")).ravel()[:n]
+    ids = turned(x.view(np.uint32)).ravel()[:n].astype("<u4", copy=False)
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("the checksum of a block of ids does not fit")
     return ids, rows, n_rows

@@ -48,33 +48,44 @@ def letters(chars: str) -> bool:
 
 
 class Kept:
-    """Parts and their ids, which stand in one line: part k has those from ``begin[k]`` to ``begin[k + 1]``."""
+    """Parts and their ids, as bytes in one line: part k has those from ``begin[k]`` to ``begin[k + 1]``."""
 
     def __init__(self):
         self.number: dict[bytes | tuple[int], int] = {}
-        self.n, self.begin, self.ids = 0, np.zeros(1 << 12, np.int64), np.empty(1 << 14, "<u4")
+        self.n, self.begin, self.ids = 0, np.zeros(1 << 12, np.int64), np.empty(1 << 16, np.uint8)
 
     def find(self, names: list) -> np.ndarray:
         """Numbers of parts, -1 where one is not kept."""
         return np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
 
-    def add(self, names: list, lists: pa.LargeListArray) -> np.ndarray:
+    def add(self, names: list, ids: pa.LargeBinaryArray) -> np.ndarray:
         """Numbers of new parts with these ids."""
-        offsets = lists.offsets.to_numpy()
-        new, end, m = np.arange(self.n, self.n + len(names)), self.begin[self.n], len(names)
-        more = offsets[-1] - offsets[0]
+        new, m = np.arange(self.n, self.n + len(names)), len(names)
+        offsets, data = contents(ids)
+        begin, end = self.begin[self.n], self.begin[self.n] + offsets[-1]
         if self.n + m >= len(self.begin):
             self.begin = np.append(self.begin, np.zeros(self.n + m, np.int64))
-        if end + more > len(self.ids):
-            self.ids = np.append(self.ids, np.empty(end + more, "<u4"))
-        self.begin[self.n + 1:self.n + m + 1] = end + offsets[1:] - offsets[0]
-        self.ids[end:end + more] = lists.values.to_numpy()[offsets[0]:offsets[-1]]
+        if end > len(self.ids):
+            self.ids = np.append(self.ids, np.empty(end, np.uint8))
+        self.begin[self.n + 1:self.n + m + 1] = begin + offsets[1:]
+        self.ids[begin:end] = data
         self.n += m
         self.number.update(zip(names, new.tolist()))
         return new
 
-    def lists(self) -> pa.LargeListArray:
-        return pa.LargeListArray.from_arrays(self.begin[:self.n + 1], self.ids[:self.begin[self.n]])
+    def take(self, numbers: np.ndarray) -> pa.LargeBinaryArray:
+        return binary(self.begin[:self.n + 1], self.ids).take(pa.array(numbers))
+
+
+def binary(offsets: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def contents(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from 0, and bytes of a column of large strings without nulls."""
+    begin = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[begin[0]:begin[-1]]
+    return begin - begin[0], data
 
 
 class Encoder:
@@ -134,7 +145,7 @@ class Encoder:
 
     def numbers(self, parts: pa.LargeBinaryArray) -> np.ndarray:
         """Numbers of distinct parts in ``known``."""
-        if len(self.known.number) > self.kept_parts or self.known.begin[self.known.n] > 32 * self.kept_parts:
+        if len(self.known.number) > self.kept_parts or self.known.begin[self.known.n] > 128 * self.kept_parts:
             self.known, self.older = Kept(), self.known
         names = parts.to_numpy(zero_copy_only=False)
         long = pc.binary_length(parts).to_numpy() > CACHE_BYTES
@@ -143,7 +154,7 @@ class Encoder:
         if len(missing) and self.older.n:
             old = self.older.find(names[missing].tolist())
             again, missing = missing[old >= 0], missing[old < 0]
-            out[again] = self.known.add(names[again].tolist(), self.older.lists().take(pa.array(old[old >= 0])))
+            out[again] = self.known.add(names[again].tolist(), self.older.take(old[old >= 0]))
         if len(missing):
             new = self.ids_of(parts.take(pa.array(missing)))
             # a long part has its number for this call only
@@ -152,11 +163,9 @@ class Encoder:
                 del self.known.number[x]
         return out
 
-    def ids_of(self, parts: pa.LargeBinaryArray) -> pa.LargeListArray:
+    def ids_of(self, parts: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
         """Ids of parts, none of which is empty, by the library. Words are encoded together."""
-        begin = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset:parts.offset + len(parts) + 1]
-        data = np.frombuffer(parts.buffers()[2], np.uint8)[begin[0]:begin[-1]]
-        begin = begin - begin[0]
+        begin, data = contents(parts)
         size = np.diff(begin)
         # a word follows one space; the word vocabulary has the same ids for it after other white space, or none
         white = _KIND[data[begin[:-1]]] == _SPACE if self.ending else data[begin[:-1]] == 32
@@ -190,7 +199,7 @@ class Encoder:
             sizes.append([len(e.ids)])
         place = np.empty(len(parts), np.int64)
         place[np.concatenate([*order, rest])] = np.arange(len(parts))
-        return pa.LargeListArray.from_arrays(np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(ids)).take(pa.array(place))
+        return binary(np.append(0, 4 * np.cumsum(np.concatenate(sizes))), np.concatenate(ids)).take(pa.array(place))
 
     def ids_of_words(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids, and ids, of words that stand in one text with a space before each; nothing if they have
@@ -213,26 +222,23 @@ class Encoder:
         column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
         if not len(column):
             return []
-        begin = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[begin[0]:begin[-1]]
-        begin = begin - begin[0]
+        begin, data = contents(column)
         first = self.parts(data, begin)
-        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [
-            None, pa.py_buffer(np.append(first, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        cut = binary(np.append(first, len(data)), data).dictionary_encode()
         numbers = self.numbers(cut.dictionary)
         # the end id is one more part, after the parts of each text; no part has its name
         name = (end_id,)
         end = self.known.find([name])
         if end[0] < 0:
-            end = self.known.add([name], pa.array([[end_id]], pa.large_list(pa.uint32())))
+            end = self.known.add([name], pa.array([np.array([end_id], "<u4").tobytes()], pa.large_binary()))
         after = np.searchsorted(first, begin[1:]) + np.arange(len(column))
         number = np.empty(len(first) + len(column), np.int64)
         number[after] = end[0]
         is_part = np.ones(len(number), bool)
         is_part[after] = False
         number[is_part] = numbers[cut.indices.to_numpy()]
-        found = self.known.lists().take(pa.array(number))
-        return np.split(found.values.to_numpy(), found.offsets.to_numpy()[after[:-1] + 1])
+        offsets, ids = contents(self.known.take(number))
+        return np.split(ids.view("<u4"), offsets[after[:-1] + 1] // 4)
 
 
 def encoder(path: str, kept_parts: int = CACHE_PARTS) -> Encoder:
