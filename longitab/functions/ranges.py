@@ -104,7 +104,7 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str,
     inner = Window.partitionBy(*group, "_slice").orderBy(*order)
     if not any_cut:
         inner = Window.partitionBy(*group).orderBy(*order)
-        return sliced.withColumn(out, F.row_number().over(inner).cast("long")).drop("_slice")
+        return sliced.drop("_slice").withColumn(out, F.row_number().over(inner).cast("long"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_rows"))
@@ -114,7 +114,7 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str,
     numbered = sliced.withColumn("_row", F.row_number().over(inner))
     return (join_small(numbered, offsets, [*group, "_slice"], "left")
             .withColumn(out, F.col("_row") + F.coalesce("_offset", F.lit(0)))
-            .drop("_slice", "_row", "_offset"))
+            .drop(*{"_slice", "_row", "_offset"} - {out}))
 
 
 def ordered_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:

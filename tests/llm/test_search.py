@@ -158,6 +158,19 @@ def test_manifest_equals_brute_force(spark, monkeypatch, depth):
     assert merkle.fold(bytes.fromhex(one["leaf"]), one["group_rows"], one["position"], one["proof"])[0].hex() == one["subroot"]
 
 
+@pytest.mark.parametrize("slice_rows", [4, 40])
+def test_manifest_of_sources_numbered_by_slices(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(merkle, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(merkle, "BLOCK", 9)
+    monkeypatch.setattr(merkle, "DEPTH", 2)
+    docs = [(i, f"s{i % 50}" if i % 3 else "hot", f"line {i}\n" * (i % 4)) for i in range(300)]
+    docs += [(None, "hot", t) for t in ("a\nb", "a", None)] + [(5, "hot", "a\nb")] * 2 + [(i, None, "a") for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    out = merkle.manifest(df, ["doc_id", "source", "text"], changed={"text": F.translate("text", "\n", "")},
+                          when=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    assert sorted([tuple(r[c] for c in COLUMNS) for r in rows(out)], key=repr) == sorted(manifest_by_hand(docs), key=repr)
+
+
 def test_manifest_of_one_row_and_none(spark):
     one = rows(merkle.manifest(spark.createDataFrame([(1, "s", "t")], "doc_id long, source string, text string"), ["text"]))
     assert one[0]["leaf"] == one[0]["subroot"] == one[0]["root"] == one[0]["folded_root"] and one[0]["verified"]

@@ -47,6 +47,15 @@ def test_numbering(visits, slice_rows):
     assert as_set(got.select("id", "step")) == as_set(want.select("id", "step"))
 
 
+@pytest.mark.parametrize("out", ["step", "_row", "_offset", "_slice"])
+@pytest.mark.parametrize("slice_rows", [300, 10**6])
+def test_numbering_under_any_name(visits, slice_rows, out):
+    got = ranges.number_rows(visits, ["entity"], ["ts", "id"], out, slice_rows)
+    want = visits.withColumn("step", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "id")))
+    assert got.columns == [*visits.columns, out]
+    assert as_set(got.select("id", out)) == as_set(want.select("id", "step"))
+
+
 def test_large_group_is_cut(visits):
     sliced, cut = ranges.with_slices(visits, ["entity"], ["ts", "id"], 100)
     sizes = {(r["entity"], r["_slice"]): r["count"] for r in sliced.groupBy("entity", "_slice").count().collect()}
