@@ -17,6 +17,8 @@ from longitab.sources.shared import settle
 
 
 MAX_PHASES = 100
+#: Units in which ``in_units`` adds up values; a value holds fewer than 2^30 of each.
+UNITS = tuple(2.0**k for k in (30, 0, -30, -60))
 
 
 def pair(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,6 +33,27 @@ def long_values(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame
     return doubles.unpivot(ids, features, "feature", "value")
 
 
+def in_units(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``value`` as whole numbers ``_u0, _u1...`` of ``UNITS``, and ``_rest``, what they leave.
+
+    Whole numbers add up to the same sum in any order of rows, which doubles do not. Values from
+    2^60 on, infinite ones and those that are no numbers are rest.
+    """
+    known = F.abs(value) < UNITS[0] * 2.0**30
+    left = F.when(known, F.col(value)).when(F.col(value).isNotNull(), 0.0)
+    for k, unit in enumerate(UNITS):
+        df = df.withColumn(f"_u{k}", (left / unit).cast("long")).withColumn("_rest", left - F.col(f"_u{k}") * unit)
+        left = F.col("_rest")
+    return df.withColumn("_rest", F.when(known, F.col("_rest")).otherwise(F.col(value)))
+
+
+def mean_of_units(value: str, there: Column) -> Column:
+    """Mean of ``value`` over the rows of ``in_units`` that are ``there``; an ordinary one where a sum of units is too long."""
+    at = lambda c: F.when(there, F.col(c))
+    total = reduce(Column.__add__, [F.try_sum(at(f"_u{k}")) * u for k, u in enumerate(UNITS)]) + F.sum(at("_rest"))
+    return F.coalesce(total / F.nullif(F.count(at(value)), F.lit(0)), F.avg(at(value)))
+
+
 def running_extremes(counts: DataFrame) -> DataFrame:
     """Per sorted partition and group, the extremes and the end of the running difference.
 
@@ -278,8 +301,9 @@ def fidelity_report(real: DataFrame, phases: dict[str, DataFrame], features: lis
                                    (there[i - 1] if there else F.lit(True)).alias("there")) for c, v in checks for i, n in enumerate(names, 1)])
         return rows.select("feature", F.inline(found)).filter("there").select("phase", "check", "feature", "value")
 
-    values = long_values(both, ["source"], list(features)).groupBy("feature").agg(*[
-        f(F.when(F.col("source") == i, F.col("value"))).alias(f"{c}{i}") for i in range(len(names) + 1) for c, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    values = in_units(long_values(both, ["source"], list(features)), "value").groupBy("feature").agg(
+        *[mean_of_units("value", F.col("source") == i).alias(f"mean{i}") for i in range(len(names) + 1)],
+        *[F.stddev_samp(F.when(F.col("source") == i, F.col("value"))).alias(f"sd{i}") for i in range(len(names) + 1)])
     gaps = every(values, [(f"{c}_gap", lambda i, c=c: gap(lambda k: F.col(f"{c}{k}"), i)) for c in ("mean", "sd")])
 
     r = lag_correlations(both, entity, step, features, ["source", label], 1)

@@ -224,3 +224,19 @@ def test_ks_counts_values_once(spark):
     found = fi.ks_statistic(a, b, ["x", "y"])
     assert "Range (0, 60" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["feature"]: round(r["d"], 9) for r in found.collect()} == {"x": 0.266666667, "y": 0.0}
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(3)
+    cases = {"near": [rng.gauss(0, 1) for _ in range(4000)], "wide": [rng.gauss(0, 1) * 10 ** rng.randrange(-9, 17) for _ in range(900)],
+             "odd": [None, -0.0, 1e-300, 2.0**60, -(2.0**60)], "none": [None], "nan": [math.nan, 1.0], "inf": [math.inf, 1.0]}
+    rows = [(k, v) for k, vs in cases.items() for v in vs]
+    for order, parts in ((rows, 1), (rows[::-1], 5), (sorted(rows, key=str), 3)):
+        df = fi.in_units(spark.createDataFrame(order, "k string, v double").repartition(parts), "v")
+        got = {r["k"]: r["m"] for r in df.groupBy("k").agg(fi.mean_of_units("v", F.lit(True)).alias("m")).collect()}
+        assert got["none"] is None and math.isnan(got.pop("nan")) and got.pop("inf") == math.inf
+        for k in ("near", "wide", "odd"):
+            known = [v for v in cases[k] if v is not None]
+            assert got[k] == pytest.approx(math.fsum(known) / len(known), rel=1e-15, abs=1e-300)
+        held = got if parts == 1 else held
+        assert got == held
